@@ -24,18 +24,24 @@ def _try(s: Column, fmt: str) -> Column:
 def _iso(s: Column) -> Column:
     """ISO 8601 forms accepted by ``datetime.fromisoformat`` that occur in feeds:
     date, date+time with T or space, optional fraction, optional offset, and
-    the compact ``yyyyMMdd`` date (quirk Q19)."""
+    the compact ``yyyyMMdd`` date (quirk Q19). Cheap shape tests pick the one
+    pattern to try, so a value is parsed at most twice."""
     z = F.regexp_replace(s, "Z$", "+00:00")
-    return F.coalesce(
-        _try(z, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"),
-        _try(z, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"),
-        _try(z, "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX"),
-        _try(z, "yyyy-MM-dd'T'HH:mmXXX"),
-        _try(z, "yyyy-MM-dd'T'HH:mm"),
-        _try(z, "yyyy-MM-dd HH:mm"),
-        _try(z, "yyyy-MM-dd"),
-        F.when(z.rlike(r"^\d{8}$"), _try(z, "yyyyMMdd")),
-    )
+    n = F.char_length(s)
+    sep = F.substring(s, 11, 1)
+    timed = (n >= 16) & sep.isin("T", " ")
+    zoned = s.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return (F.when(timed & zoned, F.coalesce(
+                _try(z, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"),
+                _try(z, "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX"),
+                _try(z, "yyyy-MM-dd'T'HH:mmXXX")))
+            .when(timed, F.coalesce(
+                _try(s, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"),
+                _try(s, "yyyy-MM-dd HH:mm:ss[.SSSSSS]"),
+                _try(s, "yyyy-MM-dd'T'HH:mm"),
+                _try(s, "yyyy-MM-dd HH:mm")))
+            .when(n == 10, _try(s, "yyyy-MM-dd"))
+            .when((n == 8) & s.rlike(r"^\d{8}$"), _try(s, "yyyyMMdd")))
 
 
 def _rfc2822(s: Column) -> Column:
@@ -54,14 +60,15 @@ def _rfc2822(s: Column) -> Column:
 
 def parse_datetime(col, month_names: bool = True) -> Column:
     """fn_parse_datetime (month_names=True) and fn_parse_datetime_fresh
-    (month_names=False). Result is a UTC timestamp or null."""
+    (month_names=False). Result is a UTC timestamp or null. Values starting
+    with a digit go to the ISO / numeric patterns, others to the month-name
+    and RFC 2822 patterns."""
     s = strip_ws(_c(col).cast("string"))
     s = F.when(s != "", s)
-    parts = [_iso(s)]
-    if month_names:
-        parts += [_try(s, "MMM d, yyyy"), _try(s, "MMMM d, yyyy")]
-    parts += [_try(s, "yyyy-MM-dd"), _try(s, "yyyy-MM-dd HH:mm:ss"), _rfc2822(s)]
-    return F.coalesce(*parts)
+    digit = F.substring(s, 1, 1).between("0", "9")
+    numeric = F.coalesce(_iso(s), _try(s, "yyyy-MM-dd HH:mm:ss"))
+    named = [_try(s, "MMM d, yyyy"), _try(s, "MMMM d, yyyy")] if month_names else []
+    return F.when(digit, numeric).otherwise(F.coalesce(*named, _rfc2822(s)))
 
 
 def parse_api_datetime(col) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as X
-from ..functions.constants import DIGEST_SOURCES, OVERALL_LIMIT, PER_SOURCE_LIMIT
+from ..functions.constants import AI_KEYWORDS, DIGEST_SOURCES, OVERALL_LIMIT, PER_SOURCE_LIMIT
 
 
 def source_ordinal(col="source") -> Column:
@@ -30,54 +30,66 @@ def compact_items(items: DataFrame) -> DataFrame:
     """nrm_compact: normalised items -> compact items (truncations 140/240/80,
     defaults, published_at fallback chain, has_direct_url). Feed and mail
     rows (sources ``rss`` / ``email``) follow their own compact rules: summary
-    cut at 220, fixed status, confidence from the link."""
+    cut at 220, fixed status, confidence from the link.
+
+    Whole texts are cleaned once in a first projection; the cuts read the
+    cleaned columns, so no regex runs twice on the same text."""
     cols = set(items.columns)
 
     def opt(name, dtype="string"):
         return F.col(name) if name in cols else F.lit(None).cast(dtype)
 
+    deep_pub = F.col("deep_read.publish_datetime") if "deep_read" in cols else F.lit(None).cast("string")
+    cleaned = items.select(
+        "source", "idx", F.col("kind"), F.col("url"),
+        X.clean_text_nourl(F.col("title")).alias("_title"),
+        X.clean_text_nourl(F.col("summary")).alias("_summary"),
+        X.clean_text_nourl(opt("source_name")).alias("_source_name"),
+        opt("status").alias("_status"), opt("confidence").alias("_confidence"),
+        opt("score", "double").alias("score"),
+        X.first_nonempty(opt("published_at"), opt("published_local"), deep_pub).alias("published_at"),
+        opt("has_direct_url", "boolean").alias("_hdu"),
+        S.engagement(opt("likes", "long"), opt("replies", "long"), opt("retweets", "long")).alias("engagement"),
+        opt("signal_score", "int").alias("signal_score"),
+    )
     src = F.col("source")
     is_feed = src == "rss"
     is_mail = src == "email"
     plain = ~(is_feed | is_mail)
-    title = X.clean_text_nourl(F.col("title"), 140)
-    summary_240 = X.clean_text_nourl(F.col("summary"), 240)
-    summary = (F.when(plain, F.when(summary_240 != "", summary_240)
-                      .otherwise(X.clean_text_nourl(F.col("title"), 120)))
-               .otherwise(X.clean_text_nourl(F.col("summary"), 220)))
     url_ok = X.nonempty("url")
-    deep_pub = F.col("deep_read.publish_datetime") if "deep_read" in cols else F.lit(None).cast("string")
-    published = X.first_nonempty(opt("published_at"), opt("published_local"), deep_pub)
-    status = F.when(plain, F.coalesce(F.nullif(opt("status"), F.lit("")), F.lit("ready"))).otherwise(F.lit("ready"))
+    summary_240 = X.cut(F.col("_summary"), 240)
+    summary = (F.when(plain, F.when(summary_240 != "", summary_240).otherwise(X.cut(F.col("_title"), 120)))
+               .otherwise(X.cut(F.col("_summary"), 220)))
+    status = F.when(plain, F.coalesce(F.nullif(F.col("_status"), F.lit("")), F.lit("ready"))).otherwise(F.lit("ready"))
     confidence = (F.when(is_feed, F.lit("high"))
                   .when(is_mail, F.when(url_ok, F.lit("high")).otherwise(F.lit("medium")))
-                  .otherwise(F.coalesce(F.nullif(opt("confidence"), F.lit("")), F.lit("medium"))))
-    has_direct = F.coalesce(opt("has_direct_url", "boolean"), F.lit(False)) | url_ok
-    eng = S.engagement(opt("likes", "long"), opt("replies", "long"), opt("retweets", "long"))
-    return items.select(
-        "source", F.col("idx"),
+                  .otherwise(F.coalesce(F.nullif(F.col("_confidence"), F.lit("")), F.lit("medium"))))
+    return cleaned.select(
+        "source", "idx",
         F.coalesce(F.nullif(F.col("kind"), F.lit("")), F.lit("item")).alias("kind"),
-        title.alias("title"), F.col("url"), summary.alias("summary"),
-        X.clean_text_nourl(opt("source_name"), 80).alias("source_name"),
-        status.alias("status"), confidence.alias("confidence"),
-        opt("score", "double").alias("score"),
-        published.alias("published_at"),
-        has_direct.alias("has_direct_url"),
-        eng.alias("engagement"),
-        opt("signal_score", "int").alias("signal_score"),
+        X.cut(F.col("_title"), 140).alias("title"), "url", summary.alias("summary"),
+        X.cut(F.col("_source_name"), 80).alias("source_name"),
+        status.alias("status"), confidence.alias("confidence"), "score", "published_at",
+        (F.coalesce(F.col("_hdu"), F.lit(False)) | url_ok).alias("has_direct_url"),
+        "engagement", "signal_score",
     )
 
 
 def score_items(compact: DataFrame, as_of: Column) -> DataFrame:
     """fn_priority over compact items; adds ``published_ts``, ``age_days``
-    and ``priority``."""
-    with_age = (compact
-                .withColumn("published_ts", D.parse_datetime("published_at"))
-                .withColumn("age_days", D.age_days("published_ts", as_of)))
-    kw = S.ai_keyword_score("title", "summary", "source_name")
-    return with_age.withColumn("priority", S.priority(
+    and ``priority``. Compact fields are already cleaned and cut below 500
+    chars, so the keyword text is their lower-cased join (cleaning again would
+    change nothing)."""
+    kw_text = F.concat_ws(" ", *[F.when(X.nonempty(c), F.lower(F.col(c)))
+                                 for c in ("title", "summary", "source_name")])
+    staged = (compact
+              .withColumn("published_ts", D.parse_datetime("published_at"))
+              .withColumn("age_days", D.age_days("published_ts", as_of))
+              .withColumn("_kw_text", kw_text))
+    kw = S.keyword_hits("_kw_text", AI_KEYWORDS)
+    return staged.withColumn("priority", S.priority(
         kw, "url", "has_direct_url", "confidence", "kind", "score", "engagement",
-        "signal_score", "age_days", "status"))
+        "signal_score", "age_days", "status")).drop("_kw_text")
 
 
 def rank_order() -> list[Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DIGEST_SOURCES
-from ..session import table
+from ..session import spread, table
 
 # Fixed run parameters of the adapter world.
 AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)          # wall clock of the digest run, UTC
@@ -37,7 +37,7 @@ def _case(key: Column, values) -> Column:
 
 def digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised digest items from ``documents`` (one item per document)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"), "doc_id")
     doc = F.col("doc_id")
     src = _case(doc % 6, DIGEST_SOURCES)
     fb_kind = _case(F.expr("doc_id div 6") % 3, ("tweet", "podcast_episode", "blog_post"))

@@ -65,3 +65,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df, key: str):
+    """Spread CPU-heavy per-row work (regexes over whole texts) over all cores.
+
+    A scan already split into at least as many tasks as the cluster has cores
+    is returned unchanged (the normal case on large inputs); a scan with fewer
+    splits (one small file) is hash-partitioned on ``key`` so every core gets
+    a share. Hashing on a key keeps the placement deterministic on retries.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
