@@ -79,3 +79,113 @@ def digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "tweet", doc % 7).alias("retweets"),
         F.when(kind == "tweet", doc % 3).alias("replies"),
     )
+
+
+# ---------------- task service ----------------
+
+_SERVICE_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"
+
+
+def _priority_from_order(col: Column) -> Column:
+    d = F.substring(col, 1, 1)
+    return (F.when(d.isin("1", "2"), 5).when(d == "3", 3).when(d == "4", 0)
+            .when(d == "5", 1).otherwise(0)).cast("int")
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task snapshot from ``orders`` x ``customer`` x ``nation``: one task per
+    order; project = market segment; due = order date; status 2 for filled
+    orders; tags = [segment, segment/nation]."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("o_orderkey")
+    seg = F.lower(F.col("c_mktsegment"))
+    odate = F.col("o_orderdate").cast("timestamp")      # stored without zone: read as UTC
+    due_ts = F.timestamp_seconds(F.unix_seconds(odate) + (k % 24) * 3600)
+    due = (F.when(k % 11 == 0, F.lit(None).cast("string"))
+           .when(k % 11 == 1, F.date_format(odate, "yyyy-MM-dd"))
+           .otherwise(F.date_format(due_ts, _SERVICE_FMT)))
+    project = (F.when(k % 17 == 0, F.lit(None).cast("string"))
+               .when(k % 17 == 1, F.concat(F.lit("inbox"), k.cast("string")))
+               .when(k % 17 == 2, F.concat(F.lit("gone-"), seg))
+               .otherwise(F.concat(F.lit("P-"), seg)))
+    done = F.col("o_orderstatus") == "F"
+    completed = F.when(done, F.date_format(F.timestamp_seconds(F.unix_seconds(odate) + k % 86400),
+                                           _SERVICE_FMT))
+    tags = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(
+        F.array(seg, F.concat(F.col("c_mktsegment"), F.lit("/"), F.col("n_name"))))
+    return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+            .select(
+                F.concat(F.lit("T"), k.cast("string")).alias("id"),
+                project.alias("project_id"),
+                F.concat(F.lit("C-"), seg, F.lit("-"), (k % 3).cast("string")).alias("column_id"),
+                F.concat(F.col("c_name"), F.lit(" order "), k.cast("string")).alias("title"),
+                F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("n_name")).alias("content"),
+                _priority_from_order(F.col("o_orderpriority")).alias("priority"),
+                due.alias("due_date"),
+                tags.alias("tags"),
+                F.when(done, 2).otherwise(0).cast("int").alias("status"),
+                completed.alias("completed_time"),
+                k.alias("order_key"),
+            ))
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects: one per market segment found in ``customer``."""
+    seg = F.col("c_mktsegment")
+    views = F.when(F.length(seg) % 3 == 0, "list").when(F.length(seg) % 3 == 1, "kanban").otherwise("timeline")
+    return (table(spark, sf_dir, "customer").select(seg).distinct()
+            .select(F.concat(F.lit("P-"), F.lower(seg)).alias("id"),
+                    F.concat(F.upper(F.substring(seg, 1, 1)), F.lower(F.substring(seg, 2, 1000))).alias("name"),
+                    F.concat(F.lit("#"), F.substring(F.md5(seg), 1, 6)).alias("color"),
+                    views.alias("view_mode")))
+
+
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Board columns: three per project."""
+    p = projects(spark, sf_dir)
+    return (p.select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
+            .select(F.concat(F.lit("C-"), F.substring(F.col("id"), 3, 100), F.lit("-"), F.col("n").cast("string")).alias("id"),
+                    F.col("id").alias("project_id"),
+                    F.element_at(F.array(F.lit("Todo"), F.lit("Doing"), F.lit("Done")), F.col("n") + 1).alias("name")))
+
+
+def checklist_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with checklist items: the lines of each order (at most 7) as items."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus")
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("l_linenumber").alias("pos"),
+        F.concat(F.lit("I"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"),
+        F.when(F.col("l_linestatus") == "F", 2).otherwise(0).cast("int").alias("status"),
+        F.lit(None).cast("string").alias("completed_time"),
+    ))).alias("items"))
+    t = tasks(spark, sf_dir)
+    return t.join(items, t.order_key == items.l_orderkey, "left").drop("l_orderkey")
+
+
+# ---------------- focus sessions ----------------
+
+def focus_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Focus sessions from ``events``: start = ts, focused minutes =
+    floor(value), pause = (event_id % 5) minutes, one task per session
+    (user), project = event type, tag = props.k."""
+    e = table(spark, sf_dir, "events")
+    mins = F.floor(F.col("value")).cast("long")
+    pause = (F.col("event_id") % 5) * 60
+    start = F.col("ts").cast("timestamp")      # stored without zone: read as UTC
+    end = F.timestamp_seconds(F.unix_seconds(start) + mins * 60 + pause)
+    task = F.struct(F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("id"),
+                    F.concat(F.lit("Task "), F.col("user_id").cast("string")).alias("title"),
+                    F.col("event_type").alias("project_name"),
+                    F.array(F.concat(F.lit("k"), F.get_json_object("props", "$.k"))).alias("tags"))
+    return e.select(
+        F.col("event_id").alias("id"),
+        (F.col("event_id") % 2).cast("int").alias("type"),
+        F.lit(1).alias("status"),
+        F.date_format(start, _SERVICE_FMT).alias("start_time"),
+        F.date_format(end, _SERVICE_FMT).alias("end_time"),
+        pause.cast("long").alias("pause_sec"),
+        F.array(task).alias("tasks"),
+    )
