@@ -189,3 +189,169 @@ def focus_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         pause.cast("long").alias("pause_sec"),
         F.array(task).alias("tasks"),
     )
+
+
+# ---------------- landed raw payloads (one JSON element per row) ----------------
+
+def _line(n: int) -> Column:
+    """n-th line of the document text ('' when absent)."""
+    return F.coalesce(F.try_element_at(F.split(F.col("text"), "\n"), F.lit(n)), F.lit(""))
+
+
+def candidate_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated-candidate payload elements (JSON text per element); every 29th
+    element is a bare string instead of an object."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    doc = F.col("doc_id")
+    obj = F.to_json(F.struct(
+        F.when(doc % 23 == 0, F.lit("")).otherwise(_line(1)).alias("title"),
+        F.when(doc % 5 == 0, F.lit(None)).otherwise(_line(2)).alias("selectionReason"),
+        F.when(doc % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("R"), doc.cast("string"))).alias("resourceId"),
+        F.when(doc % 3 == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("https://blogs.example.com/r/"), doc.cast("string"))).alias("readUrl"),
+        F.col("source").alias("sourceName"),
+        (F.col("n_chars") % 101).cast("double").alias("score"),
+        F.col("lang").alias("language"),
+        F.when(doc % 2 == 0, "featured").otherwise("search").alias("candidateSource"),
+        (doc % 10 == 3).alias("fallbackApplied"),
+        (doc % 4 == 2).alias("personalized"),
+    ))
+    raw = F.when(doc % 29 == 0, F.concat(F.lit('"junk-'), doc.cast("string"), F.lit('"'))).otherwise(obj)
+    return d.select(F.lit(TARGET_DATE).alias("dt"), F.lit("bestblogs").alias("source"),
+                    doc.alias("idx"), raw.alias("raw"))
+
+
+def deep_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed detail-read responses per resource id (stdout, stderr, return
+    code); the outcome kind cycles with the document id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    doc = F.col("doc_id")
+    kind = doc % 6
+    meta_url = F.when(kind == 0, F.concat(F.lit("https://origin.example.com/a/"), doc.cast("string")))
+    ok_json = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.struct(
+        meta_url.alias("url"),
+        F.concat(F.lit("https://blogs.example.com/read/"), doc.cast("string")).alias("readUrl"),
+        _line(3).alias("oneSentenceSummary"),
+        F.lit(None).cast("string").alias("summary"),
+        F.lit("featured").alias("featuredReason"),
+        F.array(F.lit("a1")).alias("authors"), F.array(F.lit("t1")).alias("tags"),
+        F.lit("2024-01-29 08:00:00").alias("publishDateTimeStr"), F.lit(True).alias("qualified"),
+        F.lit("done").alias("processFlowStatus")).alias("meta"),
+        F.concat(F.lit("read 429 words of "), doc.cast("string")).alias("markdown")).alias("data")))
+    stdout = (F.when(kind <= 1, ok_json).when(kind == 2, F.lit(""))
+              .when(kind == 3, F.lit("")).when(kind == 4, F.lit("{not json"))
+              .otherwise(F.lit('{"success": true, "data": {}}')))
+    stderr = (F.when(kind == 2, F.lit("RATE_LIMITED: quota exceeded"))
+              .when(kind == 3, F.lit("boom")).otherwise(F.lit("")))
+    rc = F.when(kind.isin(2, 3), F.lit(1)).otherwise(F.lit(0))
+    return d.select(F.concat(F.lit("R"), doc.cast("string")).alias("resource_id"),
+                    stdout.alias("stdout"), stderr.alias("stderr"), rc.alias("returncode"))
+
+
+def builder_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builder posts: one builder per document (name = source, bio = language
+    line), one post per text line; some posts are URL-only, some carry a
+    low-signal phrase, some lack a URL."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    b = d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    doc, pos = F.col("doc_id"), F.col("pos")
+    key = doc + pos
+    text = (F.when(key % 11 == 0, F.concat(F.lit("https://x.example.com/s/"), doc.cast("string"), F.lit("/"), pos.cast("string")))
+            .when(key % 13 == 0, F.concat(F.col("line"), F.lit(" Sign up here")))
+            .otherwise(F.col("line")))
+    url = F.when(key % 17 != 0, F.concat(F.lit("https://x.example.com/"), F.col("source"), F.lit("/status/"),
+                                         doc.cast("string"), F.lit("-"), pos.cast("string")))
+    return b.select(
+        F.lit(TARGET_DATE).alias("dt"), doc.alias("builder_idx"), pos.alias("idx"),
+        F.col("source").alias("builder_name"), F.concat(F.lit("@"), F.col("source")).alias("handle"),
+        F.concat(F.lit("builder writing in "), F.col("lang")).alias("bio"),
+        F.concat(doc.cast("string"), F.lit("-"), pos.cast("string")).alias("tweet_id"),
+        text.alias("text"), url.alias("url"),
+        F.date_format(F.timestamp_seconds(F.lit(AS_OF_EPOCH) - (key % 72) * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        (key % 50).alias("likes"), (key % 7).alias("retweets"), (key % 3).alias("replies"),
+        (key % 19 == 0).alias("is_quote"),
+    )
+
+
+def podcast_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines of podcast episodes: one episode per conversation,
+    transcript = ``Speaker <role> - <text>`` per turn in turn order."""
+    c = table(spark, sf_dir, "conversations")
+    turn_line = F.concat(F.lit("Speaker "), F.col("role"), F.lit(" - "), F.col("text"))
+    return c.select("conv_id", "turn", turn_line.alias("turn_text"))
+
+
+def podcast_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episode headers: one per conversation; every 9th lacks a URL."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    cid = F.col("conv_id")
+    return c.select(F.lit(TARGET_DATE).alias("dt"), cid.alias("idx"),
+                    F.concat(F.lit("Episode "), cid.cast("string")).alias("title"),
+                    F.when(cid % 9 != 0, F.concat(F.lit("https://pod.example.com/ep/"), cid.cast("string"))).alias("url"),
+                    F.concat(F.lit("guid-"), cid.cast("string")).alias("guid"),
+                    F.lit("Builders Pod").alias("name"),
+                    F.date_format(F.timestamp_seconds(F.lit(AS_OF_EPOCH) - (cid % 10) * 86400),
+                                  "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
+
+
+def blog_posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blog payload rows from ``pages``: every 4th blog has no ``posts`` list
+    (the blog itself is the post); others list one or two posts."""
+    p = spread(table(spark, sf_dir, "pages"), "page_id")
+    pid = F.col("page_id")
+    title = F.regexp_extract("html", r"<title>(.*?)</title>", 1)
+    para = F.regexp_extract("html", r"(?s)<p>(.*?)</p>", 1)
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    post1 = F.struct(title.alias("title"), F.col("url").alias("url"), F.lit(None).cast("string").alias("link"),
+                     F.lit(None).cast("string").alias("summary"), para.alias("description"),
+                     F.lit(None).cast("string").alias("content"), F.lit("2024-01-29T10:00:00Z").alias("published_at"),
+                     host.alias("blog_name"))
+    post2 = F.struct(F.lit("").alias("title"), F.concat(F.col("url"), F.lit("#2")).alias("url"),
+                     F.lit(None).cast("string").alias("link"), F.lit(None).cast("string").alias("summary"),
+                     F.lit(None).cast("string").alias("description"), F.col("html").alias("content"),
+                     F.lit(None).cast("string").alias("published_at"), host.alias("blog_name"))
+    self_post = F.struct(title.alias("title"), F.lit(None).cast("string").alias("url"), F.col("url").alias("link"),
+                         F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("description"),
+                         F.col("html").alias("content"), F.lit(None).cast("string").alias("published_at"),
+                         host.alias("blog_name"))
+    posts = (F.when(pid % 4 == 0, F.lit(None))
+             .when(pid % 3 == 0, F.array(post1, post2)).otherwise(F.array(post1)))
+    return p.select(F.lit(TARGET_DATE).alias("dt"), pid.alias("idx"), host.alias("name"),
+                    posts.alias("posts"), self_post.alias("self_post"))
+
+
+def rss_digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregated-RSS payload items: one per document; every 8th lacks a link."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    doc = F.col("doc_id")
+    ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - (doc % 20) * 43200)
+    return d.select(F.lit(TARGET_DATE).alias("dt"), doc.alias("idx"),
+                    F.when(doc % 19 == 0, F.lit("")).otherwise(_line(1)).alias("title"),
+                    F.when(doc % 8 != 0, F.concat(F.lit("https://feeds.example.com/"), F.col("source"), F.lit("/"),
+                                                  doc.cast("string"))).alias("link"),
+                    F.col("text").alias("summary"), F.col("source").alias("feed_name"),
+                    F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com")).alias("site_url"),
+                    F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/feed")).alias("feed_url"),
+                    F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
+                    F.date_format(F.from_utc_timestamp(ts, "Asia/Shanghai"), "yyyy-MM-dd HH:mm").alias("published_local"))
+
+
+def hot_items_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot-item API items before the date filter: publishedAt missing for
+    every 13th, invalid for every 17th, else spread over three days."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    doc = F.col("doc_id")
+    ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - 16 * 3600 - (doc * 3607) % (3 * 86400) + 86400)
+    pub = (F.when(doc % 13 == 0, F.lit(None).cast("string")).when(doc % 17 == 0, F.lit("not-a-date"))
+           .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    cats = F.element_at(F.array(*[F.lit(c) for c in ("ai-models", "ai-products", "industry", "paper", "tip")]),
+                        (doc % 5 + 1).cast("int"))
+    return d.select(F.lit(TARGET_DATE).alias("dt"), doc.alias("idx"),
+                    F.concat(F.lit("H"), doc.cast("string")).alias("id"),
+                    F.when(doc % 31 == 0, F.lit("")).otherwise(_line(1)).alias("title"),
+                    F.when(doc % 12 == 5, F.lit(None)).otherwise(F.concat(F.lit("https://hot.example.com/i/"), doc.cast("string"))).alias("url"),
+                    F.col("source").alias("source_name"), pub.alias("published_at"),
+                    _line(2).alias("summary"), cats.alias("category"),
+                    (F.col("n_chars") % 100).cast("int").alias("score"),
+                    (doc % 3 == 0).alias("selected"),
+                    F.substring(_line(1), 1, 20).alias("title_en"))
