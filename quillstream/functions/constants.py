@@ -108,3 +108,26 @@ DEDUP_WINDOW_DAYS = 14
 RETENTION_DAYS = 21
 COMPLETED_QUERY_LIMIT = 200
 DEEP_READ_LIMIT = 10
+
+# --- fixed values: freshness conclusions of the source-freshness check ---
+VERDICT_NO_HARD_7D = "硬新闻来源（rss/email/aihot）没有最近 7 天的新内容。今天不应强写主线新闻，应转为“无明显新硬新闻 + 深读分析/趋势判断”。"
+VERDICT_NO_HARD_48H = "硬新闻来源没有 48 小时内的新内容；如果继续写日报，必须把内容表述为最近几天的延续，而不是今天新发布。"
+VERDICT_DEEP_NEWER = "深读来源（如 BestBlogs）比硬新闻来源更新，版面应允许新深读上浮，或明确说明“今天主线新闻偏少，本期以高价值深读为主”。"
+VERDICT_OK = "硬新闻来源与深读来源都存在较新的内容，可以正常进入写稿阶段，但仍需做跨天去重。"
+
+# --- fixed values: compact-report warnings and limitations ---
+WARN_NO_HARD_7D = "硬新闻来源（rss/email/aihot）没有最近 7 天内的新条目；如果仍要成稿，应明确写成“今天硬新闻偏少”，并转为分析/深读视角。"
+WARN_NO_HARD_48H = "硬新闻来源没有 48 小时内的新条目；若引用最近几天的 newsletter / AI HOT 条目，必须标注为最近几天的延续，不要冒充当天新主线。"
+WARN_DEEP_NEWER = "BestBlogs/深读来源比硬新闻来源更新；版面上应允许高价值新深读上浮，或明确说明“主线新闻偏少，本期以深读为主”。"
+LIMIT_RSS_MISSING = "RSS 缓存缺失或不可读。"
+LIMIT_RSS_ERRORS = "RSS 有 {n} 个 feed 抓取/解析失败。"
+LIMIT_EMAIL_MISSING = "Email 缓存缺失或当日未抓到邮件。"
+LIMIT_BB_RATE = "BestBlogs 有 {n} 条 deep-read 命中限流，已保留候选但降低优先级。"
+LIMIT_BB_FOLLOWUP = "BestBlogs 仍有 {n} 条需要后续补抓或人工确认。"
+LIMIT_AK_ERRORS = "AK RSS Digest 上游有 {n} 个 feed 报错，但其余条目已保留。"
+LIMIT_FB_TWEETS = "follow-builders 含大量 X 动态，已按 AI 相关性和互动信号压缩，不保留低信噪比 tweet dump。"
+LIMIT_HOT_MODE = "AI HOT 已按 {mode} 模式和目标日期过滤，items API 最多覆盖最近 7 天。"
+LIMIT_HOT_DROPPED = "AI HOT 有 {n} 条因日期或字段不完整被过滤。"
+NO_LIMITATIONS = "- 无明显限制。"
+UNTITLED = "未命名条目"
+LINK_LABEL = "链接"

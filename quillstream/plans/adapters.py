@@ -355,3 +355,93 @@ def hot_items_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("n_chars") % 100).cast("int").alias("score"),
                     (doc % 3 == 0).alias("selected"),
                     F.substring(_line(1), 1, 20).alias("title_en"))
+
+
+# ---------------- feeds ----------------
+
+ERROR_FEEDS = ("src7", "src13")     # feeds whose fetch failed in the landed payload
+
+
+def _xml_escape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def feed_entries_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed entries as landed: one feed per document source, one entry per
+    document, RFC 2822 ``published`` (missing for every 13th; then an ISO
+    ``updated`` for half of those). Entries span two days around the target."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    doc = F.col("doc_id")
+    ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - 2 * 86400 + (doc * 7919) % (2 * 86400))
+    published = F.when(doc % 13 != 0, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
+    updated = F.when((doc % 13 == 0) & (doc % 2 == 0), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    cat = F.element_at(F.array(F.lit("AI"), F.lit("Tech"), F.lit("Research")),
+                       (F.length("source") % 3 + 1).cast("int"))
+    return d.select(
+        doc.alias("idx"), F.col("source").alias("feed_name"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/rss.xml")).alias("feed_url"),
+        cat.alias("category"),
+        F.when(F.col("source").isin(*ERROR_FEEDS), F.lit("<unclosed token")).alias("error"),
+        _line(1).alias("title"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/p/"), doc.cast("string")).alias("link"),
+        F.col("text").alias("summary"), published.alias("published"), updated.alias("updated"))
+
+
+def feed_item_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries as RSS ``<item>`` XML text; items of the failing
+    feeds are cut short (malformed)."""
+    e = feed_entries_raw(spark, sf_dir)
+    xml = F.concat(F.lit("<item><title>"), _xml_escape(F.col("title")), F.lit("</title><link>"), F.col("link"),
+                   F.lit("</link><description>"), _xml_escape(F.col("summary")), F.lit("</description>"),
+                   F.when(F.col("published").isNotNull(),
+                          F.concat(F.lit("<pubDate>"), F.col("published"), F.lit("</pubDate>"))).otherwise(F.lit("")),
+                   F.lit("</item>"))
+    xml = F.when(F.col("error").isNotNull(), F.substring(xml, 1, 40)).otherwise(xml)
+    return e.select("idx", "feed_name", "feed_url", "category", xml.alias("xml"))
+
+
+# ---------------- mail ----------------
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFC 822 messages built from ``documents`` (plain part) and ``pages``
+    (HTML part, page_id = doc_id % 250); every 3rd message has no plain part,
+    every 13th no Date header; every 7th has a PDF attachment."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "source")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("html"))
+    j = d.join(p, (d.doc_id % 250) == p.page_id, "left")
+    doc = F.col("doc_id")
+    ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - 2 * 86400 + (doc * 6007) % (3 * 86400))
+    date_hdr = F.when(doc % 13 != 0, F.concat(F.lit("Date: "), F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss '+0000'"),
+                                              F.lit("\r\n"))).otherwise(F.lit(""))
+    boundary = F.concat(F.lit("b"), doc.cast("string"))
+    plain = F.when(doc % 3 != 0, F.concat(
+        F.lit("--"), boundary, F.lit("\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"),
+        F.col("text"), F.lit("\r\n"))).otherwise(F.lit(""))
+    html = F.when(F.col("html").isNotNull(), F.concat(
+        F.lit("--"), boundary, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"),
+        F.col("html"), F.lit("\r\n"))).otherwise(F.lit(""))
+    attach = F.when(doc % 7 == 0, F.concat(
+        F.lit("--"), boundary, F.lit("\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=a.txt\r\n\r\nattached notes\r\n")
+    )).otherwise(F.lit(""))
+    msg = F.concat(
+        F.lit("From: "), F.initcap(F.col("source")), F.lit(" Weekly <"), F.col("source"), F.lit("@mail.example.com>\r\n"),
+        F.lit("To: reader@example.com\r\nSubject: "), F.substring(_line(1), 1, 60), F.lit("\r\n"), date_hdr,
+        F.lit("Message-ID: <"), doc.cast("string"), F.lit("@mail.example.com>\r\nMIME-Version: 1.0\r\n"),
+        F.lit("Content-Type: multipart/alternative; boundary=\""), boundary, F.lit("\"\r\n\r\n"),
+        plain, html, attach, F.lit("--"), boundary, F.lit("--\r\n"))
+    return j.select(doc.alias("idx"), F.encode(msg, "UTF-8").alias("content"))
+
+
+def mail_registry(spark: SparkSession) -> DataFrame:
+    """Newsletter registry (configuration, not data): senders src0..src9 with
+    a category and frequency; src3 and src5 have two rows, one with a subject
+    needle; src10..src19 are not registered."""
+    rows = []
+    freqs = ("daily", "weekday", "weekly", "3x_week", "irregular")
+    for i in range(10):
+        rows.append((len(rows), f"Letter {i}", f"src{i}@mail.example.com", None, ("AI", "Tech")[i % 2], freqs[i % 5]))
+        if i in (3, 5):
+            rows.append((len(rows), f"Letter {i} special", f"Src{i}@Mail.example.com", "le", "Research", "weekly"))
+    return spark.createDataFrame(rows, "ordinal int, name string, sender string, subject_contains string, "
+                                       "category string, frequency string")
