@@ -131,3 +131,13 @@ LIMIT_HOT_DROPPED = "AI HOT 有 {n} 条因日期或字段不完整被过滤。"
 NO_LIMITATIONS = "- 无明显限制。"
 UNTITLED = "未命名条目"
 LINK_LABEL = "链接"
+
+# --- fixed values: partial-run reasons and actions ---
+REASON_RAW_NOTE_MISSING = "已存在缓存，但原始稿缺失"
+REASON_SUMMARY_MISSING = "原始稿已存在，但摘要稿缺失"
+REASON_SUMMARY_NOT_BUILT = "已存在缓存，但摘要稿尚未生成"
+REASON_RAW_ONLY = "{source} 只有 raw cache，尚未完成 normalization"
+REASON_NORMALIZED_ONLY = "{source} 只有 normalized 文件，缺少 raw cache"
+ACTION_FRESH = "fresh_run"
+ACTION_INCREMENTAL = "ask_user_incremental_or_overwrite"
+ACTION_EXISTING = "ask_user_use_existing_or_overwrite"

@@ -445,3 +445,65 @@ def mail_registry(spark: SparkSession) -> DataFrame:
             rows.append((len(rows), f"Letter {i} special", f"Src{i}@Mail.example.com", "le", "Research", "weekly"))
     return spark.createDataFrame(rows, "ordinal int, name string, sender string, subject_contains string, "
                                        "category string, frequency string")
+
+
+# ---------------- cache inventory ----------------
+
+RAW_NAME_A = {"rss": "rss-raw.json", "email": "email-raw.json", "follow-builders": "follow-builders.json",
+              "bestblogs": "bestblogs.json", "ak-rss-digest": "ak-rss.json", "aihot": "aihot.json"}
+RAW_NAME_B = {"rss": "rss-raw.json", "email": "email-raw.json", "follow-builders": "follow-builders.json",
+              "bestblogs": "bestblogs.json", "ak-rss-digest": "ak-rss-raw.json", "aihot": "aihot-raw.json"}
+
+
+def _map_lookup(key: Column, mapping: dict) -> Column:
+    expr = None
+    for k, v in mapping.items():
+        expr = F.when(key == k, F.lit(v)) if expr is None else expr.when(key == k, F.lit(v))
+    return expr
+
+
+def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backlog of daily cache folders as a file listing: each document is
+    one file (day = (doc_id div 7) % 30 days before the target, source by doc_id % 6,
+    file class by doc_id % 5); a folder holds a name once (lowest doc wins).
+    Manifest files carry their JSON text; every 7th manifest is corrupt."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    doc = F.col("doc_id")
+    src = _case(doc % 6, DIGEST_SOURCES)
+    cls = doc % 5
+    heavy = src.isin("follow-builders", "bestblogs", "ak-rss-digest", "aihot")
+    name = (F.when(cls == 0, _map_lookup(src, RAW_NAME_A))
+            .when((cls == 1) & heavy, F.concat(src, F.lit("-normalized.json")))
+            .when(cls == 1, F.concat(F.lit("notes-"), doc.cast("string"), F.lit(".md")))
+            .when(cls == 2, F.when(doc % 2 == 0, F.lit("run-manifest.json")).otherwise(F.lit("run-metadata.json")))
+            .when(cls == 3, F.concat(F.lit("scratch-"), doc.cast("string"), F.lit(".tmp")))
+            .otherwise(F.when(doc % 2 == 1, F.lit("websites.json")).otherwise(_map_lookup(src, RAW_NAME_B))))
+    statuses = F.array(F.lit("Complete"), F.lit("pending"), F.lit("ready"), F.lit("failed"))
+    manifest = F.to_json(F.struct(
+        F.lit("running").alias("status"),
+        F.create_map(
+            F.lit("aihot"), F.struct(F.element_at(statuses, (doc % 4 + 1).cast("int")).alias("status"),
+                                     F.lit(None).cast("boolean").alias("completed")),
+            F.lit("bestblogs"), F.struct(F.lit(None).cast("string").alias("status"), (doc % 3 == 0).alias("completed")),
+            F.lit("rss"), F.struct(F.element_at(statuses, ((doc + 1) % 4 + 1).cast("int")).alias("status"),
+                                   F.lit(None).cast("boolean").alias("completed")),
+            F.lit("websites"), F.struct(F.lit("ready").alias("status"), F.lit(None).cast("boolean").alias("completed")),
+            F.lit("follow-builders"), F.struct(F.element_at(statuses, ((doc + 2) % 4 + 1).cast("int")).alias("status"),
+                                               F.lit(None).cast("boolean").alias("completed")),
+        ).alias("sources")))
+    content = F.when(cls == 2, F.when(doc % 7 == 0, F.lit("{bad json")).otherwise(manifest))
+    files = d.select(F.date_sub(F.lit(TARGET_DATE), (F.expr("doc_id div 7") % 30).cast("int")).alias("dt"), name.alias("name"),
+                     doc, F.col("n_chars").alias("size_bytes"), content.alias("content"))
+    return (files.groupBy("dt", "name")
+            .agg(F.min_by(F.struct("doc_id", "size_bytes", "content"), F.col("doc_id")).alias("f"))
+            .select("dt", "name", F.col("f.doc_id").alias("doc_id"), F.col("f.size_bytes").alias("size_bytes"),
+                    F.timestamp_seconds(F.lit(AS_OF_EPOCH) - F.col("f.doc_id") * 60).alias("modified_at"),
+                    F.col("f.content").alias("content")))
+
+
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and summary notes per backlog day: the raw note exists unless the
+    day index is 2 mod 3; the summary note only when it is 0 mod 3."""
+    days = cache_files(spark, sf_dir).select("dt").distinct()
+    i = F.datediff(F.lit(TARGET_DATE), F.col("dt"))
+    return days.select("dt", (i % 3 != 2).alias("raw_note_exists"), (i % 3 == 0).alias("summary_note_exists"))
