@@ -141,3 +141,19 @@ REASON_NORMALIZED_ONLY = "{source} 只有 normalized 文件，缺少 raw cache"
 ACTION_FRESH = "fresh_run"
 ACTION_INCREMENTAL = "ask_user_incremental_or_overwrite"
 ACTION_EXISTING = "ask_user_use_existing_or_overwrite"
+
+# --- fixed values: editorial noise patterns (ads, hiring, subscriptions) ---
+EDITORIAL_NOISE_PATTERNS = (
+    ("ad", r"\b(sponsored|advertisement|promoted|partner content)\b"),
+    ("hiring", r"\b(we are hiring|we're hiring|join our team|open positions?)\b"),
+    ("subscription", r"\b(confirm your subscription|welcome to|thanks for subscribing|unsubscribe)\b"),
+)
+TEASER_MAX_WORDS = 12          # a link-less item shorter than this is a vague teaser
+
+# --- fixed values: section caps and thresholds ---
+INDUSTRY_MIN, INDUSTRY_CAP = 8, 4
+PERSONAL_MIN, PERSONAL_CAP = 7, 5
+WATCH_CAP = 15
+CONTINUATION_PENALTY = 2
+HEADLINE_LOOKBACK_DAYS = 3
+REQUIRED_HEADINGS = ("# ", "## ")
