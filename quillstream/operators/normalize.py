@@ -33,14 +33,13 @@ def to_item_schema(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Kept rows. Filtering on ``reason`` makes Spark re-derive the reason in
-    the filter; to get both sides of a large input, write the output once
-    partitioned by outcome (``sources.sinks.write_normalized``)."""
-    return df.filter(F.col("reason").isNull())
+    """Kept rows (null ``reason``)."""
+    return df.select(F.inline(F.when(F.col("reason").isNull(), F.array(F.struct(*[F.col(c) for c in df.columns])))))
 
 
 def dropped(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("reason").isNotNull())
+    """Dropped rows (a ``reason``)."""
+    return df.select(F.inline(F.when(F.col("reason").isNotNull(), F.array(F.struct(*[F.col(c) for c in df.columns])))))
 
 
 def item_id(source: str, *bits) -> Column:
