@@ -21,18 +21,25 @@ HTML, PLAIN = "text/html", "text/plain"
 
 def parts_to_body(parts: DataFrame) -> DataFrame:
     """src_email_parts_to_body: plain parts (mail-cleaned) joined by a blank
-    line win; else HTML parts converted to text; attachments skipped."""
-    p = parts.filter((F.coalesce("disposition", F.lit("")) != "attachment")
-                     & F.col("content_type").isin(PLAIN, HTML))
-    text = F.when(F.col("content_type") == PLAIN, X.clean_text_mail("content")).otherwise(X.html_to_text("content"))
-    p = p.select("idx", "part_idx", "content_type", text.alias("text")).filter(F.col("text") != "")
-
-    def joined(kind):
+    line win; else HTML parts converted to text; attachments skipped.
+
+    One aggregation per message (headers are equal on all its parts); the
+    HTML path, whose entity unescape runs in Python, only sees HTML parts."""
+    ok = (F.coalesce("disposition", F.lit("")) != "attachment") & F.col("content_type").isin(PLAIN, HTML)
+    is_plain = ok & (F.col("content_type") == PLAIN)
+    is_html = ok & (F.col("content_type") == HTML)
+    p = parts.select("idx", "message_id", "from_header", "subject", "date", "part_idx",
+                     X.clean_text_mail(F.when(is_plain, F.col("content"))).alias("_plain_t"),
+                     X.html_to_text(F.when(is_html, F.col("content"))).alias("_html_t"))
+
+    def joined(col):
         return X.strip_ws(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("content_type") == kind, F.struct("part_idx", "text")))), lambda s: s["text"]), "\n\n"))
-    bodies = p.groupBy("idx").agg(joined(PLAIN).alias("_plain"), joined(HTML).alias("_html"))
-    heads = parts.select("idx", "message_id", "from_header", "subject", "date").dropDuplicates(["idx"])
-    out = heads.join(bodies, "idx", "left")
+            F.when(F.coalesce(F.col(col), F.lit("")) != "", F.struct("part_idx", F.col(col).alias("t"))))),
+            lambda s: s["t"]), "\n\n"))
+    out = p.groupBy("idx").agg(
+        F.max("message_id").alias("message_id"), F.max("from_header").alias("from_header"),
+        F.max("subject").alias("subject"), F.max("date").alias("date"),
+        joined("_plain_t").alias("_plain"), joined("_html_t").alias("_html"))
     body = F.when(F.coalesce("_plain", F.lit("")) != "", F.col("_plain")).otherwise(F.coalesce("_html", F.lit("")))
     return out.withColumn("body", body).drop("_plain", "_html")
 

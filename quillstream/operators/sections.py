@@ -27,7 +27,6 @@ def place_sections(df: DataFrame, day: str = "day") -> DataFrame:
     """win_section_quota: industry (score >= 8, at most 4), then personal
     (>= 7, at most 5) among the rest, then watch (at most 15 by priority)."""
     ind_ok = F.col("industry_score") >= K.INDUSTRY_MIN
-    w1 = Window.partitionBy(day).orderBy(F.col("industry_score").desc(), F.col("priority").desc(), "idx")
     a = df.withColumn("_r1", F.when(ind_ok, F.row_number().over(
         Window.partitionBy(day, ind_ok).orderBy(F.col("industry_score").desc(), F.col("priority").desc(), "idx"))))
     a = a.withColumn("_ind", F.coalesce(F.col("_r1") <= K.INDUSTRY_CAP, F.lit(False)))
@@ -41,7 +40,6 @@ def place_sections(df: DataFrame, day: str = "day") -> DataFrame:
         Window.partitionBy(day, "_wok").orderBy(F.col("priority").desc(), "idx"))))
     section = (F.when(F.col("_ind"), "industry").when(F.col("_per"), "personal")
                .when(F.col("_r3") <= K.WATCH_CAP, "watch"))
-    del w1
     return a.withColumn("section", section).drop("_r1", "_ind", "_pok", "_r2", "_per", "_wok", "_r3")
 
 

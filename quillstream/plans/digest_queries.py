@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import digest as G
 from . import oracle as O
-from .adapters import TARGET_DATE, as_of_col, digest_items
+from .adapters import as_of_col, digest_items
 from .registry import register
 
 _CTES = (O.ITEMS_CTE, O.COMPACT_CTE)

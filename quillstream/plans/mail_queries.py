@@ -188,7 +188,6 @@ def src_email_parts_to_body(spark, sf_dir):
 @register("fn_html_to_text", O.with_ctes(MAIL_CTE, body="SELECT idx, html_c AS text FROM mail_body WHERE html IS NOT NULL"))
 def fn_html_to_text(spark, sf_dir):
     """HTML parts (pages) converted to text."""
-    from .adapters import table as _t  # noqa: F401
     m = raw_messages(spark, sf_dir)
     parts = SM.message_parts(m).filter(F.col("content_type") == "text/html")
     return parts.select("idx", X.html_to_text("content").alias("text"))

@@ -9,8 +9,7 @@ whitespace, so results agree on them (Unicode cases are unit-tested).
 from __future__ import annotations
 
 from ..functions.constants import (AI_KEYWORDS, CONFIDENCE_POINTS, DIGEST_SOURCES, KIND_POINTS,
-                                   KIND_POINTS_DEFAULT, NOISE_PATTERNS, SIGNAL_KEYWORDS,
-                                   STATUS_PENALTY)
+                                   KIND_POINTS_DEFAULT, STATUS_PENALTY)
 
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 TARGET_DATE_SQL = "DATE '2024-01-30'"
