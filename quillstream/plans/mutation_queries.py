@@ -105,7 +105,7 @@ def mut_delete_task(spark, sf_dir):
 
 
 def _creates(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter(F.col("p_size") % 7 == 0)
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     pr = F.element_at(F.array(*[F.lit(x) for x in (0, 1, 3, 5, 2)]), (k % 5 + 1).cast("int"))
     return p.select(F.concat(F.lit("N"), k.cast("string")).alias("id"),
@@ -120,9 +120,9 @@ SELECT 'N' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'P-bui
        ([0, 1, 3, 5, 2])[(p_partkey % 5) + 1] AS priority, 'new,' || p_brand AS tags,
        CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END AS n_items, CASE WHEN p_size % 2 = 0 THEN 'CHECKLIST' END AS kind,
        CASE WHEN ([0, 1, 3, 5, 2])[(p_partkey % 5) + 1] NOT IN (0, 1, 3, 5) THEN 'invalid_priority' END AS reason
-FROM part WHERE p_size % 7 = 0""")
+FROM part""")
 def mut_create_task(spark, sf_dir):
-    """New tasks from part rows (every part of a size divisible by 7)."""
+    """New tasks, one create request per part row."""
     c = MU.create_tasks(_creates(spark, sf_dir))
     return c.select("id", "project_id", "title", "priority", F.array_join("tags", ",").alias("tags"),
                     F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), "kind", "reason") \
@@ -130,7 +130,7 @@ def mut_create_task(spark, sf_dir):
 
 
 def _adds(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") >= 6)
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("id"),
                      (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"),
                      F.concat(F.lit("check part "), F.col("l_partkey").cast("string")).alias("title"))
@@ -139,11 +139,11 @@ def _adds(spark, sf_dir):
 @register("mut_add_subtask", O.with_ctes(TASKS_CTE, body="""
 SELECT 'T' || a.k AS id, coalesce(n.n, 0) + a.cnt AS n_items, a.last_title, 'CHECKLIST' AS kind FROM (
   SELECT l_orderkey AS k, count(*) AS cnt, arg_max('check part ' || l_partkey, l_linenumber * 1000000 + l_partkey) AS last_title
-  FROM lineitem WHERE l_linenumber >= 6 GROUP BY 1) a
+  FROM lineitem GROUP BY 1) a
 LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) n USING (k)
 JOIN tasks t ON t.id = 'T' || a.k"""))
 def mut_add_subtask(spark, sf_dir):
-    """Checklist items appended to tasks (one per order line numbered 6+)."""
+    """Checklist items appended to tasks (one add request per order line)."""
     out = MU.add_subtasks(checklist_tasks(spark, sf_dir), _adds(spark, sf_dir))
     a = _adds(spark, sf_dir).select("id").distinct()
     return out.join(a, "id", "left_semi").select(
@@ -151,7 +151,7 @@ def mut_add_subtask(spark, sf_dir):
 
 
 def _subtask_requests(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 10 == 0)
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     key = (F.when(k % 30 == 0, F.lit("nomatch")).when(k % 20 == 0, F.concat(F.lit("I"), k.cast("string"), F.lit("-1")))
            .otherwise(F.lit("PART 1")))
@@ -163,7 +163,7 @@ items AS (SELECT l_orderkey AS k, 'I' || l_orderkey || '-' || l_linenumber AS ii
                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'I' || l_orderkey || '-' || l_linenumber,
                    'part ' || l_partkey, CASE WHEN l_linestatus = 'F' THEN 2 ELSE 0 END) AS pos FROM lineitem),
 req AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 30 = 0 THEN 'nomatch' WHEN o_orderkey % 20 = 0 THEN 'I' || o_orderkey || '-1'
-                                     ELSE 'PART 1' END AS subtask FROM orders WHERE o_orderkey % 10 = 0),
+                                     ELSE 'PART 1' END AS subtask FROM orders),
 hit AS (SELECT r.k, min(i.pos) AS pos FROM req r JOIN items i ON i.k = r.k
         AND (i.iid = r.subtask OR contains(lower(i.title), lower(r.subtask))) GROUP BY r.k)""", body="""
 SELECT 'T' || r.k AS id, r.subtask, i.title AS completed_title, CASE WHEN h.pos IS NULL THEN 'subtask_not_found' END AS reason
