@@ -189,13 +189,18 @@ SELECT (SELECT count(*) FROM hot2) AS raw_items, (SELECT count(*) FROM hot2 WHER
 def agg_hot_fetch_stats(spark, sf_dir):
     """raw / kept / dropped counts, pages and the truncation flag."""
     hot = N.target_date_strict(hot_items_raw(spark, sf_dir), TARGET_DATE, "Asia/Shanghai")
+    nl, nb = F.lit(None).cast("long"), F.lit(None).cast("boolean")
     counts = hot.agg(F.count(F.lit(1)).alias("raw_items"), F.count_if(F.col("reason").isNull()).alias("kept_items"),
-                     F.count_if(F.col("reason").isNotNull()).alias("dropped_items"))
+                     F.count_if(F.col("reason").isNotNull()).alias("dropped_items"),
+                     nl.alias("page_count"), nb.alias("truncated"))
     pages = _pages(spark, sf_dir).agg(
+        nl.alias("raw_items"), nl.alias("kept_items"), nl.alias("dropped_items"),
         F.count(F.lit(1)).alias("page_count"),
         F.max_by(F.col("hasNext") & F.col("nextCursor").isNotNull(), F.col("page")).alias("truncated"))
-    # both sides are single-row aggregates; a constant key joins them
-    return counts.withColumn("_k", F.lit(1)).join(pages.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # two single-row aggregates side by side: a union and one more aggregate, no join
+    u = counts.unionByName(pages)
+    return u.agg(*[F.max(c).alias(c) for c in ("raw_items", "kept_items", "dropped_items", "page_count")],
+                 F.bool_or("truncated").alias("truncated"))
 
 
 # ---------------- hot-item request filters ----------------
