@@ -27,3 +27,18 @@ def parse_items(df: DataFrame, col: str = "xml") -> DataFrame:
         F.when(~bad, summary).alias("summary"),
         F.when(~bad, F.coalesce("_p.pubDate", F.lit(""))).alias("published"),
         F.when(bad, F.lit("unparseable feed item")).alias("error"))
+
+
+def read_feed_files(spark, path: str) -> DataFrame:
+    """src_rss_xml over landed feed files: the built-in XML source with
+    ``rowTag=item``; unparseable items land in the corrupt-record column."""
+    schema = "title string, link string, summary string, description string, pubDate string, _corrupt_record string"
+    df = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path))
+    bad = F.col("_corrupt_record").isNotNull()
+    summary = F.substring(F.coalesce(F.nullif("summary", F.lit("")), F.col("description"), F.lit("")), 1, 500)
+    return df.select(F.when(~bad, F.coalesce("title", F.lit(""))).alias("title"),
+                     F.when(~bad, F.coalesce("link", F.lit(""))).alias("link"),
+                     F.when(~bad, summary).alias("summary"),
+                     F.when(~bad, F.coalesce("pubDate", F.lit(""))).alias("published"),
+                     F.when(bad, F.lit("unparseable feed item")).alias("error"))

@@ -57,3 +57,12 @@ def message_parts(raw: DataFrame) -> DataFrame:
     """src_email_messages: ``(idx, content BINARY)`` -> one row per part with
     the decoded message headers."""
     return raw.select("idx", "content").mapInPandas(_parse_batches, PARTS_SCHEMA)
+
+
+def read_eml_files(spark, path: str) -> DataFrame:
+    """src_email_messages over landed ``.eml`` files: ``binaryFile`` source,
+    one message per file, then the same part rows as ``message_parts``."""
+    from pyspark.sql import functions as F
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true")
+           .load(path).select(F.xxhash64("path").alias("idx"), "content"))
+    return message_parts(raw)
