@@ -123,12 +123,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
     for _ in range(max_iter):
         nbr = (und.join(labels.withColumnRenamed("id", "src"), "src")
                .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_nl")))
-        new = (labels.join(nbr, "id", "left")
-               .select("id", F.least(F.col("label"), F.coalesce(F.col("_nl"), F.col("label"))).alias("label"))
-               .checkpoint())
-        changed = (new.join(labels.withColumnRenamed("label", "_old"), "id")
-                   .filter(F.col("label") != F.col("_old")).limit(1).count())
-        labels = new
+        low = F.least(F.col("label"), F.coalesce(F.col("_nl"), F.col("label")))
+        # the change flag is part of the checkpointed round, so testing for
+        # convergence only reads the checkpoint
+        new = labels.join(nbr, "id", "left").select("id", low.alias("label"), (low < F.col("label")).alias("_chg")).checkpoint()
+        changed = new.filter(F.col("_chg")).limit(1).count()
+        labels = new.select("id", "label")
         if changed == 0:
             break
     return labels.withColumnRenamed("label", "component")
