@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, table
 from . import decontaminate as op10
+from . import packing as op2
+from . import tokens as op4
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +54,23 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN words USING (doc_id)""")
 def decontamination(spark, sf_dir):
     """Words of documents inside a benchmark window of ten words."""
     return op10.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _ranks() -> tuple[str, str]:
+    """The byte-level vocabulary as ranks, and its split pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op2_packing")
+def packing(spark, sf_dir):
+    """Batch of every document, with length buckets of the least padding."""
+    return op2.pack(table(spark, sf_dir, "documents"), *_ranks())
+
+
+@query("op4_token_counts")
+def token_counts(spark, sf_dir):
+    """Totals, quantile and truncated totals at every encoded length."""
+    lengths = op4.encoded_lengths(table(spark, sf_dir, "documents"), *_ranks())
+    return op4.suffix_sums(op4.length_histogram(lengths))
