@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, table
 from . import decontaminate as op10
+from . import language as op7
 from . import packing as op2
 from . import tokens as op4
+from . import toxicity as op9
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +76,17 @@ def token_counts(spark, sf_dir):
     """Totals, quantile and truncated totals at every encoded length."""
     lengths = op4.encoded_lengths(table(spark, sf_dir, "documents"), *_ranks())
     return op4.suffix_sums(op4.length_histogram(lengths))
+
+
+@query("op7_language_id")
+def language_id(spark, sf_dir):
+    """Language of every document; learned outside the held-out fold."""
+    return op7.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def toxicity(spark, sf_dir):
+    """Severity of every document; learned from the label table."""
+    docs = table(spark, sf_dir, "documents")
+    model = op9.fit(docs, op9.label_grades(table(spark, sf_dir, "labels")))
+    return op9.score(docs, model)

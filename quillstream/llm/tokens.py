@@ -63,7 +63,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text"
                     [b.column(i + 1).slice(lo, hi - lo) for i in range(len(keep))] + [pa.array(n, pa.int64())],
                     names=[*keep, length])
 
-    rows = docs.select(F.col(text).cast("string").alias(text), *keep)
+    rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
     return rows.mapInArrow(encode, ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[1:]] + [f"`{length}` long"]))
 
 
