@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import prepare, table
 from . import decontaminate as op10
 from . import language as op7
+from . import neighbours as op1
 from . import packing as op2
 from . import tokens as op4
 from . import toxicity as op9
+from .common import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -75,7 +77,7 @@ def packing(spark, sf_dir):
 def token_counts(spark, sf_dir):
     """Totals, quantile and truncated totals at every encoded length."""
     lengths = op4.encoded_lengths(table(spark, sf_dir, "documents"), *_ranks())
-    return op4.suffix_sums(op4.length_histogram(lengths))
+    return op4.suffix_sums(stored(op4.length_histogram(lengths), "histogram"))     # read twice
 
 
 @query("op7_language_id")
@@ -90,3 +92,10 @@ def toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = op9.fit(docs, op9.label_grades(table(spark, sf_dir, "labels")))
     return op9.score(docs, model)
+
+
+@query("op1_neighbours")
+def neighbours(spark, sf_dir):
+    """The 10 nearest vectors to each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return op1.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
