@@ -7,8 +7,8 @@
   smallest id only (star edges, linear in the input however large a bucket
   grows), and an edge is kept when the signatures agree on at least
   ``threshold`` of their positions.
-* Units are the connected components of those edges: min-label propagation
-  with DataFrame joins, lineage cut with ``checkpoint()`` into the session's
+* Units are the connected components of those edges: least labels and pointer
+  jumping with DataFrame joins, each round written to the session's
   ``spark.checkpoint.dir``.
 * Cross-day rules are semi / anti joins on (key, day ranges); "new facts" is
   an anti join of exploded facts, so no key's history is ever collected.
@@ -16,13 +16,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_folder
 
 NUM_HASHES = 64
 BANDS = 16
@@ -108,30 +110,41 @@ def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float
             .select("src", "dst"))
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int = 50) -> DataFrame:
-    """Min-label propagation until no label changes: (id, component).
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest id of each vertex's component: (id, component).
 
-    The undirected edge list is checkpointed once and the labels after every
-    round (reliable checkpoints in ``spark.checkpoint.dir``), so a round only
-    reads materialised data and the lineage never grows."""
+    Each round takes the least label among a vertex and its neighbours, then
+    the label of that label (pointer jumping), until no label changes; a path
+    of n vertices needs about log n rounds. The edge list and each round's
+    labels are tables in ``spark.checkpoint.dir``; a round's table is deleted
+    when the next one is written, so the lineage and the disk stay small."""
     spark = vertices.sparkSession
-    checkpoint_dir(spark)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
     und = (edges.select("src", "dst")
            .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-           .distinct().checkpoint())
-    labels = vertices.select(F.col("id"), F.col("id").alias("label")).checkpoint()
-    for _ in range(max_iter):
+           .filter("src <> dst").distinct())
+    und.write.parquet(f"{base}/edges")
+    und = spark.read.parquet(f"{base}/edges")
+    # vertices without an edge are their own component and take no part
+    labels = und.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_nl")).select("id", F.least("id", "_nl").alias("label"))
+    step, changed = 0, True
+    labels.write.parquet(f"{base}/0")
+    labels = spark.read.parquet(f"{base}/0")
+    while changed:
         nbr = (und.join(labels.withColumnRenamed("id", "src"), "src")
                .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_nl")))
-        low = F.least(F.col("label"), F.coalesce(F.col("_nl"), F.col("label")))
-        # the change flag is part of the checkpointed round, so testing for
-        # convergence only reads the checkpoint
-        new = labels.join(nbr, "id", "left").select("id", low.alias("label"), (low < F.col("label")).alias("_chg")).checkpoint()
-        changed = new.filter(F.col("_chg")).limit(1).count()
+        low = labels.join(nbr, "id").select("id", F.col("label").alias("_old"), F.least("label", "_nl").alias("label"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("_jump"))
+        new = low.join(jump, "label", "left").select(
+            "id", F.least("label", "_jump").alias("label"), (F.least("label", "_jump") < F.col("_old")).alias("_chg"))
+        new.write.parquet(f"{base}/{step + 1}")
+        new = spark.read.parquet(f"{base}/{step + 1}")
+        changed = not new.filter("_chg").isEmpty()
         labels = new.select("id", "label")
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+        delete_folder(spark, f"{base}/{step}")
+        step += 1
+    return (vertices.select("id").join(labels, "id", "left")
+            .select("id", F.coalesce("label", "id").alias("component")))
 
 
 def event_units(scored: DataFrame, texts: DataFrame, threshold: float = 0.8) -> DataFrame:
