@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import prepare, table
 from . import decontaminate as op10
 from . import language as op7
+from . import near_duplicates as op8
 from . import neighbours as op1
 from . import packing as op2
 from . import tokens as op4
@@ -99,3 +100,9 @@ def neighbours(spark, sf_dir):
     """The 10 nearest vectors to each vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
     return op1.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query("op8_near_duplicates")
+def near_duplicates(spark, sf_dir):
+    """Near-duplicate class of every document (five-word shingles, 0.8)."""
+    return op8.near_duplicate_classes(table(spark, sf_dir, "documents"))
