@@ -13,11 +13,13 @@ draws about one point for each shingle.
 
 Texts with equal multisets are one vertex. Bands of ``ROWS`` slots bucket the
 vertices. In each bucket every member is verified, exactly, against two hubs
-of the bucket (linear in the bucket); then, across the components so found,
-every member outside the bucket's largest hub component against every member
-of another component, so that no link of the bands is lost while a group of
-copies is never expanded into its pairs. At a similarity of 0.8 a pair shares
-a band with probability 0.99995.
+(linear in the bucket): the member that shares most buckets with others, which
+for the copies of one text is that text, and the least one. Then each member
+outside the hub's component is compared with the bucket's members of other
+components, so that no link of the bands is lost. This works on blocks of
+``BLOCK`` members inside tasks, a pair only in the first band it shares, and
+gives out links alone: no table of pairs is made. At a similarity of 0.8 a pair
+shares a band with probability 0.99995.
 
 Defined cases: null, empty and wordless texts, and rows without an id, have no
 class (null); repeated ids take the class of each row's own text; an empty
@@ -40,6 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
+BLOCK = 500
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -187,6 +190,77 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
             .mapInArrow(check, "src binary, dst binary, ok boolean").filter("ok").select("src", "dst"))
 
 
+def remaining_links(shared: DataFrame, components: DataFrame, vertices: DataFrame, bag: DataFrame,
+                    similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (src, dst) between members of a bucket that are in different
+    components, one of them not in the component of the bucket's hub."""
+    at = components.withColumnRenamed("id", "vertex")
+    hub_at = components.select(F.col("id").alias("hub"), F.col("component").alias("_hub_component"))
+    placed = (shared.join(at, "vertex").join(hub_at, "hub")
+              .select("band", "bucket", "vertex", "n", "component", (F.col("component") != F.col("_hub_component")).alias("outside")))
+    mixed = placed.filter("outside").groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n_outside"))
+    placed = stored(placed.join(mixed, ["band", "bucket"]), "placed")
+    pools = max(1, math.ceil(placed.count() / (2 * block)))
+    pool = F.pmod(F.xxhash64("band", "bucket"), F.lit(pools)).alias("pool")
+    full = (placed.join(bag, "vertex").join(vertices.select("vertex", "bands"), "vertex")
+            .withColumn("_m", F.ceil(F.col("n") / block)).withColumn("_o", F.ceil(F.col("n_outside") / block)))
+    cols = [F.col(c).alias(c) for c in ("band", "bucket", "vertex", "component", "outside", "hashes", "counts", "bands")]
+    one = F.lit(1).cast("long")
+    left = full.select(pool, (F.pmod(F.xxhash64("vertex"), "_m") + 1).alias("mb"), F.explode(F.sequence(one, "_o")).alias("ob"), *cols)
+    right = full.filter("outside").select(pool, F.explode(F.sequence(one, "_m")).alias("mb"),
+                                          (F.pmod(F.xxhash64("vertex"), "_o") + 1).alias("ob"), *cols)
+
+    def columns(t: pa.Table):
+        t = t.combine_chunks()
+        lists = {c: t.column(c).combine_chunks() if t.num_rows else None for c in ("hashes", "counts", "bands")}
+        order = np.lexsort((t.column("bucket").to_numpy(), t.column("band").to_numpy()))
+        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
+        cut = lists["hashes"].offsets.to_numpy() - lists["hashes"].offsets[0].as_py()
+        key = np.stack([t.column("band").to_numpy(), t.column("bucket").to_numpy()], 1)
+        return {"key": key, "order": order, "vertex": t.column("vertex").to_pylist(), "component": t.column("component").to_pylist(),
+                "outside": t.column("outside").to_numpy(), "bands": flat["bands"].reshape(t.num_rows, -1), "cut": cut,
+                "h": flat["hashes"].view(np.uint64), "c": flat["counts"], "w": np.add.reduceat(flat["counts"], cut[:-1])}
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        src, dst = [], []
+        if left.num_rows and right.num_rows:
+            a, b = columns(left), columns(right)
+            rows = {}
+            for i in a["order"]:
+                rows.setdefault(tuple(a["key"][i]), []).append(i)
+            held, entries = None, None
+            for j in b["order"]:
+                key = tuple(b["key"][j])
+                if key != held:
+                    held, mine = key, np.array(rows.get(key, []), np.int64)
+                    parts = [slice(a["cut"][i], a["cut"][i + 1]) for i in mine]
+                    if parts:
+                        h = np.concatenate([a["h"][p] for p in parts])
+                        order = np.argsort(h, kind="stable")
+                        entries = (h[order], np.repeat(np.arange(len(mine)), a["cut"][mine + 1] - a["cut"][mine])[order],
+                                   np.concatenate([a["c"][p] for p in parts])[order])
+                if not len(mine):
+                    continue
+                v, comp, w = b["vertex"][j], b["component"][j], b["w"][j]
+                ok = np.array([a["component"][i] != comp and not (a["outside"][i] and a["vertex"][i] > v) for i in mine])
+                ok &= np.minimum(a["w"][mine], w) >= similarity * np.maximum(a["w"][mine], w) - 1e-9
+                ok &= ~(a["bands"][mine, :key[0]] == b["bands"][j, :key[0]]).any(1)         # compared in an earlier band
+                if not ok.any():
+                    continue
+                hj, cj = (b[c][b["cut"][j]:b["cut"][j + 1]] for c in "hc")
+                lo, hi = np.searchsorted(entries[0], hj, "left"), np.searchsorted(entries[0], hj, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                low = np.bincount(entries[1][at], np.minimum(entries[2][at], np.repeat(cj, n)), len(mine))
+                ok &= low >= (similarity - 1e-12) * (a["w"][mine] + w - low)
+                src += [a["vertex"][i] for i in mine[ok]]
+                dst += [v] * int(ok.sum())
+        return pa.Table.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
+
+    keys = ["pool", "mb", "ob"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "src binary, dst binary")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
                            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) of every row: the least id of its group."""
@@ -196,11 +270,13 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, size
                 .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     vertices = stored(vertices, "vertices")
     members = vertices.select("vertex", F.posexplode("bands").alias("band", "bucket"))
-    hubs = (members.groupBy("band", "bucket")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("low"),
-                 F.min_by("vertex", F.xxhash64("vertex")).alias("other")).filter("n > 1").drop("n"))
-    shared = stored(members.join(hubs, ["band", "bucket"]), "buckets")      # only buckets of several vertices
-    stars = (shared.select(F.col("vertex").alias("src"), F.explode(F.array_distinct(F.array("low", "other"))).alias("dst"))
+    sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(members.join(sizes, ["band", "bucket"]), "buckets")          # only buckets of several vertices
+    rank = shared.groupBy("vertex").agg(F.sum("n").alias("rank"))
+    hubs = (shared.join(rank, "vertex").groupBy("band", "bucket")
+            .agg(F.max_by("vertex", F.struct("rank", "vertex")).alias("hub"), F.min("vertex").alias("low")))
+    shared = stored(shared.join(hubs, ["band", "bucket"]), "buckets")
+    stars = (shared.select(F.col("vertex").alias("src"), F.explode(F.array_distinct(F.array("hub", "low"))).alias("dst"))
              .filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     wanted = shared.select("vertex").distinct().join(vertices.select("vertex", "doc_id"), "vertex")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -208,17 +284,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, size
     edges = stored(verified(stars, bag, similarity), "links")
     nodes = shared.select(F.col("vertex").alias("id")).distinct()
     first = stored(connected_components(nodes, edges), "components")
-    # what the hubs left: members outside the component of their bucket's hub
-    at = first.withColumnRenamed("id", "vertex")
-    placed = shared.select("band", "bucket", "vertex", "low").join(at, "vertex")
-    hub_at = first.select(F.col("id").alias("low"), F.col("component").alias("hub_component"))
-    placed = placed.join(hub_at, "low").select("band", "bucket", "vertex", "component", "hub_component")
-    outside = placed.filter("component <> hub_component").select(
-        "band", "bucket", F.col("vertex").alias("dst"), F.col("component").alias("dst_component"))
-    rest = (placed.join(outside, ["band", "bucket"]).filter("component <> dst_component")
-            .select(F.least("vertex", "dst").alias("src"), F.greatest("vertex", "dst").alias("dst")).distinct()
-            .join(stars, ["src", "dst"], "left_anti"))
-    more = stored(verified(rest, bag, similarity), "links")
+    more = stored(remaining_links(shared, first, vertices, bag, similarity), "links")
     classes = first if more.isEmpty() else connected_components(nodes, edges.unionByName(more))
     whole = (vertices.select("vertex", "doc_id").join(classes.withColumnRenamed("id", "vertex"), "vertex", "left")
              .select("vertex", "doc_id", F.coalesce("component", "vertex").alias("component")))
