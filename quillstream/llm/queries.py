@@ -14,6 +14,7 @@ from . import language as op7
 from . import near_duplicates as op8
 from . import neighbours as op1
 from . import packing as op2
+from . import suffix_dedup as op3
 from . import tokens as op4
 from . import toxicity as op9
 from .common import stored
@@ -106,3 +107,9 @@ def neighbours(spark, sf_dir):
 def near_duplicates(spark, sf_dir):
     """Near-duplicate class of every document (five-word shingles, 0.8)."""
     return op8.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    """Bytes of documents covered by repeated 400-byte strings."""
+    return op3.deduplicate(table(spark, sf_dir, "documents"))
