@@ -6,10 +6,11 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else
 1. ``window_runs`` cuts each text into runs of consecutive windows of
    ``LENGTH`` bytes that have the same least ``GRAM``-byte hash. Equal windows
    have the same hash, wherever they stand, so a hash that occurs once rules
-   its run out; only runs whose hash repeats go on, with their bytes.
-2. Runs of equal bytes are counted first; copies are never gathered.
-3. Runs of different bytes and the same hash are pooled, whatever the number
-   of documents, into texts of about ``POOL`` bytes. There ``repeated_windows``
+   its run out; only runs whose hash repeats go on.
+2. Runs of equal bytes (by a second hash, of the whole run) are counted first;
+   copies are never gathered, and need no bytes.
+3. One run of each kind, where a hash has several, is pooled with its bytes
+   into texts of about ``POOL`` bytes. There ``repeated_windows``
    sorts the suffixes, forms the Burrows-Wheeler transform and finds common
    prefix lengths in increasing order: the borders between intervals of length
    l, extended backward by each byte, give the borders of length l + 1; after
@@ -48,17 +49,17 @@ GRIDS = (64, 8, 1)
 SLICE = 2 << 20         # bytes hashed at a time; must be under 2**24
 NEAR = 32               # interval places walked before the ranks are searched
 
-RUNS = "k1 long, k2 long, v long, start int, n int, anchor int, again boolean"
+RUNS = "k1 long, k2 long, v long, sh long, start int, n int, anchor int, again boolean"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of a block's windows: (row, start, windows, hash, anchor, again).
-    ``anchor``: place of the hash's bytes after the start; ``again``: they
-    occur more than once in a window of the run."""
+    """Runs of a block's windows: (row, start, windows, hash, hash of all its
+    bytes, anchor, again). ``anchor``: place of the least hash's bytes after
+    the start; ``again``: they occur more than once in a window of the run."""
     n, w = len(data), length - gram + 1
     total = n - length + 1
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64, bool))
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, bool))
     if total < 1:
         return none
     s = np.zeros(n + 1, np.uint64)
@@ -91,8 +92,10 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     at = np.repeat(starts, parts) + k * PIECE
     row = np.searchsorted(offsets, at, "right") - 1
-    return (row, at - offsets[row], np.minimum(PIECE, np.repeat(count, parts) - k * PIECE), v[at], first[at] - at,
-            np.repeat(again, parts))
+    size = np.minimum(PIECE, np.repeat(count, parts) - k * PIECE)
+    end = at + size + length - 1
+    whole = mix((s[end] - s[at]) * powers(n + 1, _BASE)[end - 1] + size.astype(np.uint64))
+    return row, at - offsets[row], size, v[at], whole, first[at] - at, np.repeat(again, parts)
 
 
 def _slices(offsets: np.ndarray, length: int):
@@ -121,18 +124,21 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             data, offs = text_bytes(b.column("text"))
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
             for lo, shift, x, y, inner in _slices(offs, length):
-                row, start, n, v, anchor, again = window_runs(data[x:y], inner, length)
+                row, start, n, v, sh, anchor, again = window_runs(data[x:y], inner, length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(v.view(np.int64)), pa.array(start + shift, pa.int32()),
-                     pa.array(n, pa.int32()), pa.array(anchor, pa.int32()), pa.array(again)],
-                    names=["k1", "k2", "v", "start", "n", "anchor", "again"])
+                    [pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(v.view(np.int64)), pa.array(sh.view(np.int64)),
+                     pa.array(start + shift, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor, pa.int32()), pa.array(again)],
+                    names=["k1", "k2", "v", "sh", "start", "n", "anchor", "again"])
 
     return docs.select("k1", "k2", "text").mapInArrow(cut, RUNS)
 
 
+_FIELDS = ("v", "sh", "start", "n", "anchor", "again", "kinds")
+
+
 def _segments(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """The runs with their bytes (``seg``) and a hash of these (``sh``)."""
-    listed = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "start", "n", "anchor", "again")).alias("runs"))
+    """The runs with their bytes (``seg``)."""
+    listed = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct(*_FIELDS)).alias("runs"))
 
     def take(batches):
         for b in batches:
@@ -151,14 +157,11 @@ def _segments(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                         j += 1
                 rep = pa.array(np.repeat(np.arange(part.num_rows), size))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k1").take(rep), part.column("k2").take(rep), r.field("v"), r.field("start"), r.field("n"),
-                     r.field("anchor"), r.field("again"), pa.array(seg, pa.binary()),
-                     pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in seg], pa.binary())],
-                    names=["k1", "k2", "v", "start", "n", "anchor", "again", "seg", "sh"])
+                    [part.column("k1").take(rep), part.column("k2").take(rep), *(r.field(c) for c in _FIELDS),
+                     pa.array(seg, pa.binary())], names=["k1", "k2", *_FIELDS, "seg"])
 
-    # equal rows share a key: one text serves them all
     texts = docs.select("k1", "k2", "text").join(listed, ["k1", "k2"])
-    return texts.mapInArrow(take, RUNS + ", seg binary, sh binary")
+    return texts.mapInArrow(take, RUNS + ", kinds long, seg binary")
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -286,16 +289,19 @@ def _split(segs: DataFrame, grid: int, length: int) -> DataFrame:
                         e = min(n, a - cell * step + 1)         # first window of the next cell
                         core = seg[a - cell * step:a - (cell + 1) * step + 1 + length]
                     part = seg[o:e - 1 + length]
-                    key = hashlib.blake2b(core + r["v"].to_bytes(8, "little", signed=True), digest_size=8).digest()
-                    out.append((r["k1"], r["k2"], int.from_bytes(key, "little", signed=True), r["start"] + o, e - o, a - o, r["again"],
-                                part, hashlib.blake2b(part, digest_size=16).digest()))
+                    out.append((r["k1"], r["k2"], _digest(core, r["v"]), _digest(part, 0), r["start"] + o, e - o, a - o, r["again"], part))
                     o = e
             cols = list(zip(*out)) or [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["k1", "k2", "v", "start", "n", "anchor", "again", "seg", "sh"])
+                                             names=["k1", "k2", "v", "sh", "start", "n", "anchor", "again", "seg"])
+
+    return segs.select("k1", "k2", "v", "start", "n", "anchor", "again", "seg").mapInArrow(cut, RUNS + ", seg binary")
 
-    return segs.mapInArrow(cut, RUNS + ", seg binary, sh binary")
+
+def _digest(data: bytes, salt: int) -> int:
+    h = hashlib.blake2b(data + salt.to_bytes(8, "little", signed=True), digest_size=8)
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -303,25 +309,30 @@ def repeated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataF
     runs = stored(_runs(docs, length), "runs")
     often = (runs.groupBy("v").agg(F.count(F.lit(1)).alias("_n"), F.max("again").alias("_again"))
              .filter("_n > 1 or _again").select("v"))
-    segs = stored(_segments(docs, runs.join(often, "v", "left_semi"), length), "segments")
-    found = None
+    rows = stored(runs.join(often, "v", "left_semi"), "runs")
+    texts, found = None, None                 # first the runs without bytes, then parts with bytes
     for grid in (*GRIDS, 0):
-        equal = stored(segs.groupBy("v", "sh").agg(F.count(F.lit(1)).alias("copies"), F.max("again").alias("again")), "equal")
-        kinds = stored(equal.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any"))
+        # one row for each kind of run; copies are repeated in full and stand for nothing more
+        equal = stored(rows.groupBy("v", "sh").agg(
+            F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n", "anchor", "again")).alias("one")), "equal")
+        kinds = stored(equal.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("one.again").alias("any"))
                        .filter("kinds > 1 or any"), "kinds")
-        # copies of one run are repeated in full
-        whole = (segs.select("k1", "k2", "v", "sh", "start", "n").join(equal.filter("copies > 1").select("v", "sh"), ["v", "sh"])
+        whole = (rows.select("k1", "k2", "v", "sh", "start", "n").join(equal.filter("copies > 1").select("v", "sh"), ["v", "sh"])
                  .select("k1", "k2", "start", "n"))
-        # a run without a copy, against the different runs of its hash; one row stands for copies
-        last = grid == 0
-        few = kinds.select("v") if last else kinds.filter(F.col("kinds") <= crowd).select("v")
-        distinct = segs.join(few, "v", "left_semi").dropDuplicates(["v", "sh"])
-        part = stored(whole.unionByName(_pooled(stored(distinct, "pools"), length)), "repeated")
+        ones = equal.join(kinds, "v").select("one.*", "v", "sh", "kinds")
+        if texts is None:
+            segs = _segments(docs, ones, length)
+        else:
+            segs = texts.join(ones.select("k1", "k2", "start", "v", "sh", "kinds"), ["k1", "k2", "start", "v", "sh"]).dropDuplicates(["v", "sh"])
+        segs = stored(segs, "segments")
+        pooled = segs if grid == 0 else segs.filter(F.col("kinds") <= crowd)
+        part = stored(whole.unionByName(_pooled(pooled, length)), "repeated")
         found = part if found is None else found.unionByName(part)
-        crowded = kinds.filter(F.col("kinds") > crowd).select("v")
-        if last or crowded.isEmpty():
+        crowded = segs.filter(F.col("kinds") > crowd)
+        if grid == 0 or crowded.isEmpty():
             return found
-        segs = stored(_split(segs.join(crowded, "v", "left_semi"), grid, length), "segments")
+        texts = stored(_split(crowded, grid, length), "parts")
+        rows = texts.drop("seg")
     return found
 
 
