@@ -32,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import connected_components
@@ -121,8 +121,8 @@ def fingerprints(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) -
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, vertex, bands): each text's multiset fingerprint (null without
-    words) and one hash for each band of its signature."""
+    """(doc_id, text_hash, vertex, bands): each text's multiset fingerprint (null
+    without words) and one hash for each band of its signature."""
     def sign(batches):
         for b in batches:
             data, offs = text_bytes(b.column("text"))
@@ -139,11 +139,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                 have = np.array([v is not None for v in vertex])
                 cut = np.concatenate([[0], np.cumsum(np.where(have, bands, 0))])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, n), pa.array(vertex, pa.binary()),
-                     list_array(band[have].reshape(-1).view(np.int64), cut, pa.int64())], names=["doc_id", "vertex", "bands"])
+                    [b.column("doc_id").slice(lo, n), b.column("text_hash").slice(lo, n), pa.array(vertex, pa.binary()),
+                     list_array(band[have].reshape(-1).view(np.int64), cut, pa.int64())], names=["doc_id", "text_hash", "vertex", "bands"])
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_.mapInArrow(sign, "doc_id long, vertex binary, bands array<long>")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows_.mapInArrow(sign, "doc_id long, text_hash long, vertex binary, bands array<long>")
 
 
 def bags(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -263,7 +263,7 @@ def remaining_links(shared: DataFrame, components: DataFrame, vertices: DataFram
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
                            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id) of every row: the least id of its group."""
+    """(doc_id, text_hash, class_id) of every row: the least id of its group."""
     signed = stored(signatures(docs, bands, rows, size), "signatures")
     # one row for each distinct multiset, whatever the number of copies
     vertices = (signed.filter("vertex is not null and doc_id is not null").groupBy("vertex")
@@ -291,4 +291,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, size
     least = whole.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = whole.join(least, "component").select("vertex", "class_id")
     return (signed.join(named, "vertex", "left")
-            .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")))
+            .select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group, the one with the least id (of its
+    repeated rows the first by text hash); rows without a class stay."""
+    classes = stored(near_duplicate_classes(docs, **options).filter("class_id is not null").distinct(), "classes")
+    least = classes.filter("class_id = doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("_first"))
+    marks = classes.join(least, "doc_id", "left").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
+        F.coalesce((F.col("class_id") == F.col("doc_id")) & (F.col("_first") == F.col("text_hash")), F.lit(False)).alias("_kept"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct("*").alias("_doc"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    rows = rows.join(marks, ["_id", "_hash"], "left").withColumn("_nth", nth)
+    return rows.filter("_kept is null or (_kept and _nth = 1)").select("_doc.*")

@@ -62,7 +62,7 @@ def decontamination(spark, sf_dir):
     return op10.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _ranks() -> tuple[str, str]:
+def ranks() -> tuple[str, str]:
     """The byte-level vocabulary as ranks, and its split pattern."""
     import public_tokenizers
 
@@ -72,13 +72,13 @@ def _ranks() -> tuple[str, str]:
 @query("op2_packing")
 def packing(spark, sf_dir):
     """Batch of every document, with length buckets of the least padding."""
-    return op2.pack(table(spark, sf_dir, "documents"), *_ranks())
+    return op2.pack(table(spark, sf_dir, "documents"), *ranks())
 
 
 @query("op4_token_counts")
 def token_counts(spark, sf_dir):
     """Totals, quantile and truncated totals at every encoded length."""
-    lengths = op4.encoded_lengths(table(spark, sf_dir, "documents"), *_ranks())
+    lengths = op4.encoded_lengths(table(spark, sf_dir, "documents"), *ranks())
     return op4.suffix_sums(stored(op4.length_histogram(lengths), "histogram"))     # read twice
 
 

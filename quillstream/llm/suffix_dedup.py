@@ -115,7 +115,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key that equal rows share: hash of the text, and the id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.col("doc_id").cast("long")
-    return docs.select(F.xxhash64(text, doc).alias("k1"), F.xxhash64(doc, F.lit("id"), text).alias("k2"), doc.alias("doc_id"), text.alias("text"))
+    return docs.select(F.xxhash64(text, doc).alias("k1"), F.xxhash64(doc, F.lit("id"), text).alias("k2"), doc.alias("doc_id"),
+                       text.alias("text"), F.struct("*").alias("row"))
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
@@ -336,16 +337,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataF
     return found
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, texts: bool = False) -> DataFrame:
-    """Result columns of every row; with ``texts`` also ``kept`` (the remaining
-    bytes, as a string with broken characters replaced) and ``spans``."""
+def _removed(docs: DataFrame, length: int, crowd: int, texts: bool) -> DataFrame:
+    """RESULT columns of every row; with ``texts`` the row itself (``row``) and
+    its remaining bytes (``kept``, cut characters dropped)."""
     keyed = _keyed(docs)
     hits = repeated(keyed, length, crowd).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
 
     def remove(batches):
         for b in batches:
             col = b.column("text").cast(pa.binary())
-            out = []
+            out, rest_texts = [], []
             for raw, hit, doc in zip(col, b.column("hits"), b.column("doc_id")):
                 raw, doc = raw.as_py(), doc.as_py()
                 spans: list[list[int]] = []
@@ -359,12 +360,29 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, texts
                     kept.append(raw[at:s])
                     at = e
                 rest = b"".join(kept) + raw[at:]
-                row = [doc, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()]
-                out.append(row + [rest.decode("utf-8", "replace"), spans] if texts else row)
-            cols = list(zip(*out)) or [()] * (7 if texts else 5)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.list_(pa.int32()))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[:len(cols)])
-
-    joined = keyed.join(hits, ["k1", "k2"], "left").select("doc_id", "text", "hits")
-    return joined.mapInArrow(remove, RESULT + (", kept string, spans array<array<int>>" if texts else ""))
+                out.append((doc, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
+                rest_texts.append(rest.decode("utf-8", "ignore"))
+            cols = list(zip(*out)) or [()] * 5
+            arrays = [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()])]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if texts:
+                arrays += [b.column("row"), pa.array(rest_texts, pa.string())]
+                names += ["row", "kept"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    carried = ["doc_id", "text", "hits"] + ["row"] * texts
+    joined = keyed.join(hits, ["k1", "k2"], "left").select(*carried)
+    kind = f", row {dict(keyed.dtypes)['row']}, kept string" if texts else ""
+    return joined.mapInArrow(remove, RESULT + kind)
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    return _removed(docs, length, crowd, False)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with the remaining text of every row (null stays null)."""
+    rows = _removed(docs, length, crowd, True)
+    return rows.select("row.*", F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("_kept")).select(
+        *[F.col("_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns])
