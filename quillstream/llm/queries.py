@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, table
 from . import decontaminate as op10
+from . import katz as op6
 from . import language as op7
 from . import near_duplicates as op8
 from . import neighbours as op1
@@ -113,3 +114,9 @@ def near_duplicates(spark, sf_dir):
 def suffix_dedup(spark, sf_dir):
     """Bytes of documents covered by repeated 400-byte strings."""
     return op3.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op6_katz_backoff")
+def katz_backoff(spark, sf_dir):
+    """Katz backoff log probability of every document."""
+    return op6.score(table(spark, sf_dir, "documents"))
