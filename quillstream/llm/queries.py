@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, table
 from . import decontaminate as op10
+from . import id_files as op5
 from . import katz as op6
 from . import language as op7
 from . import near_duplicates as op8
@@ -120,3 +121,11 @@ def suffix_dedup(spark, sf_dir):
 def katz_backoff(spark, sf_dir):
     """Katz backoff log probability of every document."""
     return op6.score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_id_files")
+def id_file_round_trip(spark, sf_dir):
+    """Place, length and checksum of every document's ids, read back from files."""
+    import public_tokenizers
+
+    return op5.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
