@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

@@ -43,10 +43,10 @@ from .common import _BASE, mix, powers, row_blocks, stored, text_bytes
 LENGTH = 400
 GRAM = 32
 PIECE = 1024            # windows of a run at most
-POOL = 1 << 20
+POOL = 3 << 18
 CROWD = 1500
 GRIDS = (64, 8, 1)
-SLICE = 2 << 20         # bytes hashed at a time; must be under 2**24
+SLICE = 1 << 20         # bytes hashed at a time; must be under 2**24
 NEAR = 32               # interval places walked before the ranks are searched
 
 RUNS = "k1 long, k2 long, v long, sh long, start int, n int, anchor int, again boolean"
