@@ -91,30 +91,30 @@ def flt_due_range(spark, sf_dir):
 
 
 @register("flt_due_today", _sql(f"SELECT {_TSEL} FROM tasks WHERE {_svc_ts('due_date')} BETWEEN "
-                                 f"{_bounds(TASK_TODAY, 1)[0]} AND {_bounds(TASK_TODAY, 1)[1]}"))
+                                 f"{_bounds(TASK_TODAY, 1)[0]} AND {_bounds(TASK_TODAY, 1)[1]} AND status = 0"))
 def flt_due_today(spark, sf_dir):
-    return TK.due_today(tasks(spark, sf_dir), TASK_TODAY).select(*_TCOLS)
+    return TK.due_today(tasks(spark, sf_dir).filter(F.col("status") == 0), TASK_TODAY).select(*_TCOLS)
 
 
 @register("flt_due_upcoming", _sql(f"SELECT {_TSEL} FROM tasks WHERE {_svc_ts('due_date')} BETWEEN "
-                                    f"{_bounds(TASK_TODAY, 7)[0]} AND {_bounds(TASK_TODAY, 7)[1]}"))
+                                    f"{_bounds(TASK_TODAY, 7)[0]} AND {_bounds(TASK_TODAY, 7)[1]} AND status = 0"))
 def flt_due_upcoming(spark, sf_dir):
-    return TK.due_upcoming(tasks(spark, sf_dir), TASK_TODAY, 7).select(*_TCOLS)
+    return TK.due_upcoming(tasks(spark, sf_dir).filter(F.col("status") == 0), TASK_TODAY, 7).select(*_TCOLS)
 
 
-@register("flt_tag", _sql(f"SELECT {_TSEL} FROM tasks WHERE len(list_filter(tags, lambda x: lower(coalesce(x, '')) = 'building')) > 0"))
+@register("flt_tag", _sql(f"SELECT {_TSEL} FROM tasks WHERE len(list_filter(tags, lambda x: lower(coalesce(x, '')) = 'building')) > 0 AND status = 0"))
 def flt_tag(spark, sf_dir):
-    return TK.by_tag(tasks(spark, sf_dir), "Building").select(*_TCOLS)
+    return TK.by_tag(tasks(spark, sf_dir).filter(F.col("status") == 0), "Building").select(*_TCOLS)
 
 
-@register("flt_tag_prefix", _sql(f"SELECT {_TSEL} FROM tasks WHERE len(list_filter(tags, lambda x: lower(coalesce(x, '')) = 'build' OR starts_with(lower(coalesce(x, '')), 'build'))) > 0"))
+@register("flt_tag_prefix", _sql(f"SELECT {_TSEL} FROM tasks WHERE len(list_filter(tags, lambda x: lower(coalesce(x, '')) = 'build' OR starts_with(lower(coalesce(x, '')), 'build'))) > 0 AND status = 0"))
 def flt_tag_prefix(spark, sf_dir):
-    return TK.by_tag(tasks(spark, sf_dir), "build", prefix=True).select(*_TCOLS)
+    return TK.by_tag(tasks(spark, sf_dir).filter(F.col("status") == 0), "build", prefix=True).select(*_TCOLS)
 
 
-@register("flt_task_search", _sql(f"SELECT {_TSEL}, status FROM tasks WHERE contains(lower(coalesce(title, '')), 'urgent') OR contains(lower(coalesce(content, '')), 'urgent')"))
+@register("flt_task_search", _sql(f"SELECT {_TSEL}, status FROM tasks WHERE status = 0 AND (contains(lower(coalesce(title, '')), 'urgent') OR contains(lower(coalesce(content, '')), 'urgent'))"))
 def flt_task_search(spark, sf_dir):
-    return TK.search(tasks(spark, sf_dir), "URGENT").select(*_TCOLS, "status")
+    return TK.search(tasks(spark, sf_dir).filter(F.col("status") == 0), "URGENT").select(*_TCOLS, "status")
 
 
 @register("flt_project_tasks", _sql(f"""
