@@ -88,15 +88,6 @@ def html_to_text(col) -> Column:
     return clean_text_mail(html_unescape(v))
 
 
-def html_to_text_no_entities(col) -> Column:
-    """Tag-stripping part of ``html_to_text`` without entity unescaping."""
-    v = F.regexp_replace(_c(col), r"(?is)<(script|style).*?>.*?</\1>", " ")
-    v = F.regexp_replace(v, r"(?i)<br\s*/?>", "\n")
-    v = F.regexp_replace(v, r"(?i)</p\s*>", "\n\n")
-    v = F.regexp_replace(v, r"(?s)<[^>]+>", " ")
-    return clean_text_mail(v)
-
-
 def strip_invisible(col) -> Column:
     """fn_strip_invisible: remove zero-width and direction-control characters."""
     return F.regexp_replace(_c(col), r"[\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF]", "")

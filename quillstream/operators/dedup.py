@@ -3,15 +3,15 @@
 * Exact units: items with the same normalised title share a key; each joins
   its group's smallest id (star edges, never all pairs).
 * Near duplicates: MinHash signatures over word 3-shingles of the whole text,
-  LSH bands; inside a band bucket every member is linked to the bucket's
-  smallest id only (star edges, linear in the input however large a bucket
-  grows), and an edge is kept when the signatures agree on at least
-  ``threshold`` of their positions.
+  LSH bands; an edge is kept when two signatures of a bucket agree on at
+  least ``threshold`` of their positions. Members are compared with the
+  bucket's smallest id first and then, in blocks, across the components that
+  are left, so no link between components is lost.
 * Units are the connected components of those edges: least labels and pointer
   jumping with DataFrame joins, each round written to the session's
   ``spark.checkpoint.dir``.
-* Cross-day rules are semi / anti joins on (key, day ranges); "new facts" is
-  an anti join of exploded facts, so no key's history is ever collected.
+* Cross-day rules keep a log of kept days per key, folded over its distinct
+  days; "new facts" is a window over distinct (key, fact, day) rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,29 +85,83 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = NUM_HASHES,
     w = docs.select(id_col, words.alias("_words"))
     n = F.size("_words")
     sh = F.when(n >= shingle, F.transform(F.sequence(F.lit(1), n - shingle + 1),
-                                          lambda i: F.xxhash64(F.array_join(F.slice("_words", i, shingle), " "))))
+                                          lambda i: F.xxhash64(F.array_join(F.slice("_words", i, shingle), " ")))).when(
+        F.col("_words")[0] != "", F.array(F.xxhash64(F.array_join("_words", " "))))
     staged = w.select(id_col, sh.alias("_sh"))   # duplicates cannot change a minimum
-    # texts under ``shingle`` words get a null signature and simply fall in no
-    # bucket; no filter on the UDF result (it would run the UDF twice)
+    # a text under ``shingle`` words is one shingle; one without words gets a null
+    # signature and falls in no bucket
     return staged.select(id_col, _minhash_udf(k)(F.col("_sh")).alias("sig"))
 
 
-def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float = 0.8) -> DataFrame:
-    """Star candidate edges per LSH bucket, kept when the estimated Jaccard
-    (share of equal signature positions) reaches ``threshold``."""
-    rows = NUM_HASHES // bands
-    buckets = sigs.select(id_col, "sig", F.posexplode(F.transform(
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below ``spark.checkpoint.dir`` and read it back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _same_positions(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v)
+
+
+def _compare_blocks(least: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between the two sides of one pair of blocks, one for each pair
+        of components."""
+        out = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
+        rest, other = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if rest.empty or other.empty:
+            return out
+        a, b = np.stack(rest["sig"].to_list()), np.stack(other["sig"].to_list())
+        i, j = np.nonzero((a[:, None, :] == b[None, :, :]).sum(2) >= least)
+        ca, cb = rest["comp"].to_numpy()[i], other["comp"].to_numpy()[j]
+        found = pd.DataFrame({"src": rest["id"].to_numpy()[i], "dst": other["id"].to_numpy()[j], "ca": ca, "cb": cb})
+        return found[found["ca"] != found["cb"]].drop_duplicates(["ca", "cb"])[["src", "dst"]]
+    return links
+
+
+def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float = 0.8, block: int = 256) -> DataFrame:
+    """Edges that connect all pairs of one LSH bucket whose signatures agree
+    on at least ``threshold`` of their positions.
+
+    Equal signatures are linked to their least id, which stands for them. In a
+    bucket, every member is compared with the least id (star edges). Where that
+    leaves several components in a bucket, members outside its largest one are
+    compared with all its members: both sides are dealt into blocks of about
+    ``block`` rows, and a pair of blocks is compared inside one task, so no
+    pair of rows is ever shuffled. Connected components of the result equal
+    those of all such pairs."""
+    rows, least = NUM_HASHES // bands, int(threshold * NUM_HASHES)
+    sigs = sigs.select(F.col(id_col).alias("id"), "sig").filter("sig is not null")
+    reps = sigs.groupBy("sig").agg(F.min("id").alias("id"))
+    copies = (sigs.join(reps.withColumnRenamed("id", "dst"), "sig").filter("id <> dst")
+              .select(F.col("id").alias("src"), "dst"))
+    buckets = _stored(reps.select("id", "sig", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "bucket"))
-    roots = buckets.groupBy("band", "bucket").agg(F.min(id_col).alias("_root"))
-    cand = (buckets.join(roots, ["band", "bucket"]).filter(F.col(id_col) != F.col("_root"))
-            .select(F.col(id_col).alias("src"), F.col("_root").alias("dst")).distinct())
-    s1 = sigs.select(F.col(id_col).alias("src"), F.col("sig").alias("s1"))
-    s2 = sigs.select(F.col(id_col).alias("dst"), F.col("sig").alias("s2"))
-    same = F.aggregate(F.zip_with("s1", "s2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    return (cand.join(s1, "src").join(s2, "dst")
-            .filter(same >= F.lit(int(threshold * NUM_HASHES)))
-            .select("src", "dst"))
+        lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "bucket")), "lsh-buckets")
+    roots = buckets.groupBy("band", "bucket").agg(F.min_by("sig", "id").alias("root_sig"), F.min("id").alias("dst"),
+                                                  F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    star = _stored(buckets.join(roots, ["band", "bucket"]).filter(F.col("id") != F.col("dst"))
+                   .filter(_same_positions("sig", "root_sig") >= least)
+                   .select(F.col("id").alias("src"), "dst").distinct(), "lsh-star")
+    comp = connected_components(buckets.select("id").distinct(), star).withColumnRenamed("component", "comp")
+    members = _stored(buckets.join(comp, "id"), "lsh-members")
+    sizes = members.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    open_ = (sizes.groupBy("band", "bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n"),
+                                                 F.max("k").alias("k"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+             .select("band", "bucket", "main", F.ceil(F.col("n") / block).cast("int").alias("all_blocks"),
+                     F.ceil((F.col("n") - F.col("k")) / block).cast("int").alias("rest_blocks")))
+    m = members.join(open_, ["band", "bucket"])
+
+    def dealt(frame, side, own, other, names):
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
+        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
+        return frame.select("band", "bucket", "id", "comp", "sig", F.lit(side).alias("side"), mine, spread)
+    left = dealt(m.filter("comp <> main"), 0, "rest_blocks", "all_blocks", ("i", "j"))
+    right = dealt(m, 1, "all_blocks", "rest_blocks", ("j", "i"))
+    remaining = left.unionByName(right).groupBy("band", "bucket", "i", "j").applyInPandas(
+        _compare_blocks(least), "src long, dst long")
+    return copies.unionByName(star).unionByName(remaining)
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,7 +205,7 @@ def event_units(scored: DataFrame, texts: DataFrame, threshold: float = 0.8) ->
     """ddp_event_units: (idx, unit, is_representative, unit_size) where the
     representative is the highest-priority member (ties: smallest idx)."""
     exact = exact_edges(scored.withColumn("event_key", event_key("title")))
-    near = lsh_edges(signatures(texts, "idx", "text"), "idx", threshold=threshold)
+    near = lsh_edges(_stored(signatures(texts, "idx", "text"), "signatures"), "idx", threshold=threshold)
     comp = connected_components(scored.select(F.col("idx").alias("id")), exact.unionByName(near))
     u = scored.select("idx", "source", "priority").join(comp.withColumnRenamed("id", "idx"), "idx")
     rep = u.groupBy("component").agg(
@@ -170,27 +224,61 @@ def facts(text_col: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(FACT_PATTERN), 0))
 
 
-def cross_day(today: DataFrame, recent: DataFrame, day: str = "day", window_days: int = 14) -> DataFrame:
-    """ddp_cross_day + ddp_continuation: today's items whose key was seen in
-    the previous ``window_days`` days are dropped unless they bring a fact
-    the earlier reports did not have; kept repeats are continuations.
-
-    ``today`` / ``recent``: (idx, event_key, day, facts ARRAY<STRING>).
-    History is reduced to distinct (key, day) and (key, day, fact) rows
-    first, so each of today's items meets at most ``window_days`` rows of a
-    key's history however hot the key is (no all-pairs join)."""
-    t = today.select("idx", "event_key", F.col(day).alias("t_day"), "facts")
-    in_window = (F.col("p_day") >= F.date_sub(F.col("t_day"), window_days)) & (F.col("p_day") < F.col("t_day"))
-    prior_days = recent.select("event_key", F.col(day).alias("p_day")).distinct()
-    seen = (t.join(prior_days, "event_key").filter(in_window).select("idx").distinct()
-            .withColumn("seen", F.lit(True)))
-    prior_facts = recent.select("event_key", F.col(day).alias("p_day"), F.explode("facts").alias("fact")).distinct()
-    tf = t.select("idx", "event_key", "t_day", F.explode("facts").alias("fact"))
-    known = tf.join(prior_facts, ["event_key", "fact"]).filter(in_window).select("idx", "fact").distinct()
-    new_facts = (tf.select("idx", "fact").join(known, ["idx", "fact"], "left_anti").select("idx").distinct()
-                 .withColumn("has_new_fact", F.lit(True)))
-    out = (t.join(seen, "idx", "left").join(new_facts, "idx", "left")
-           .withColumn("seen", F.coalesce("seen", F.lit(False)))
-           .withColumn("has_new_fact", F.coalesce("has_new_fact", F.lit(False))))
-    return (out.withColumn("keep", ~F.col("seen") | F.col("has_new_fact"))
+def kept_log(days: DataFrame, window_days: int) -> DataFrame:
+    """(event_key, day, before) of every distinct (key, day): ``before`` is the
+    last day on which the key was kept. A day is kept if no kept day lies in
+    the ``window_days`` before it, or if it brings a new fact (``any_new``).
+
+    The days of one key are folded in order; their number is bounded by the
+    calendar, not by the rows of the key."""
+    none = F.struct(F.lit(None).cast("date").alias("last"),
+                    F.array().cast("array<struct<day:date,before:date>>").alias("days"))
+
+    def step(acc, d):
+        keep = acc["last"].isNull() | (F.datediff(d["day"], acc["last"]) > window_days) | d["any_new"]
+        seen = F.struct(d["day"].alias("day"), acc["last"].alias("before"))
+        return F.struct(F.when(keep, d["day"]).otherwise(acc["last"]).alias("last"),
+                        F.concat(acc["days"], F.array(seen)).alias("days"))
+    per_key = days.groupBy("event_key").agg(F.array_sort(F.collect_list(F.struct("day", "any_new"))).alias("_d"))
+    return per_key.select("event_key", F.inline(F.aggregate("_d", none, step, lambda acc: acc["days"])))
+
+
+def cross_day(items: DataFrame, day: str = "day", window_days: int = 14) -> DataFrame:
+    """ddp_cross_day + ddp_continuation over a whole history: an item whose
+    key was kept in the previous ``window_days`` days is dropped unless it
+    brings a fact that its key did not have in those days; kept repeats are
+    continuations. Blank keys are never repeats.
+
+    ``items``: (idx, event_key, day, facts ARRAY<STRING>). The history is first
+    reduced to distinct (key, day) and (key, fact, day) rows, so windows and
+    folds follow the number of days however hot a key is."""
+    t = items.select("idx", "event_key", F.col(day).alias("t_day"), "facts")
+    named = t.filter("event_key <> ''")
+    facts_of = named.select("idx", "event_key", "t_day", F.explode("facts").alias("fact"))
+    before = F.lag("t_day").over(Window.partitionBy("event_key", "fact").orderBy("t_day"))
+    new = (facts_of.select("event_key", "fact", "t_day").distinct().withColumn("_b", before)
+           .filter(F.col("_b").isNull() | (F.datediff("t_day", "_b") > window_days)).drop("_b"))
+    fresh = facts_of.join(new, ["event_key", "fact", "t_day"]).select("idx").distinct().withColumn("_new", F.lit(True))
+    flagged = t.join(fresh, "idx", "left").withColumn("has_new_fact", F.when(
+        F.col("event_key") == "", F.size("facts") > 0).otherwise(F.coalesce("_new", F.lit(False)))).drop("_new")
+    days = (flagged.filter("event_key <> ''").groupBy("event_key", F.col("t_day").alias("day"))
+            .agg(F.max("has_new_fact").alias("any_new")))
+    log = kept_log(days, window_days).withColumnRenamed("day", "t_day")
+    seen = F.coalesce(F.datediff("t_day", "before") <= window_days, F.lit(False))
+    return (flagged.join(log, ["event_key", "t_day"], "left").withColumn("seen", seen).drop("before")
+            .withColumn("keep", ~F.col("seen") | F.col("has_new_fact"))
             .withColumn("is_continuation", F.col("seen") & F.col("has_new_fact")))
+
+
+def rolling_keep(df: DataFrame, key: str = "event_key", ts: str = "event_ts", window_days: int = 14) -> DataFrame:
+    """inc_rolling_dedup (batch): the first row of a key on a day is kept
+    unless a row of the key was kept in the ``window_days`` days before. Rows
+    with a blank key or without a time are never repeats."""
+    named = df.filter((F.col(key) != "") & F.col(ts).isNotNull())
+    firsts = (named.groupBy(F.col(key).alias("event_key"), F.to_date(ts).alias("day"))
+              .agg(F.min(F.struct(ts, "idx")).alias("_first"), F.lit(False).alias("any_new")))
+    log = kept_log(firsts, window_days)
+    kept = log.filter(F.col("before").isNull() | (F.datediff("day", "before") > window_days))
+    ids = firsts.join(kept, ["event_key", "day"]).select(F.col("_first.idx").alias("idx"), F.lit(True).alias("_kept"))
+    free = (F.coalesce(F.col(key), F.lit("")) == "") | F.col(ts).isNull()
+    return df.join(ids, "idx", "left").withColumn("keep", free | F.coalesce("_kept", F.lit(False))).drop("_kept")

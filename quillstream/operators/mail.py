@@ -69,13 +69,17 @@ def mail_date_keep(messages: DataFrame, target: _dt.date, zone: str) -> DataFram
     return messages.filter(ts.isNull() | (D.local_date(ts, zone) == F.lit(target)))
 
 
-def mail_entries(matched: DataFrame, max_body_chars: int = 20000) -> DataFrame:
-    """Mail payload entries: body cut to ``max_body_chars`` (the mail fetch's
-    field cap), summary = first 1000 chars of the body."""
+def _upto(col: str, n: int | None):
+    return F.col(col) if n is None else F.substring(col, 1, n)
+
+
+def mail_entries(matched: DataFrame, max_body_chars: int | None = None, summary_chars: int | None = None) -> DataFrame:
+    """Mail payload entries; the body, and the summary taken from it, are
+    whole unless a cut is asked for."""
     name = F.regexp_extract("from_header", r"^\s*\"?([^\"<]*?)\"?\s*<", 1)
-    body = F.substring("body", 1, max_body_chars) if max_body_chars > 0 else F.col("body")
-    return matched.select("idx", "source", "category", "from", name.alias("from_name"), "subject", "date",
-                          "message_id", body.alias("body"), F.substring(body, 1, 1000).alias("summary"))
+    cut = matched.withColumn("body", _upto("body", max_body_chars))
+    return cut.select("idx", "source", "category", "from", name.alias("from_name"), "subject", "date",
+                      "message_id", "body", _upto("body", summary_chars).alias("summary"))
 
 
 def newsletter_items(entries: DataFrame) -> DataFrame:
@@ -104,11 +108,11 @@ def feed_date_keep(entries: DataFrame, target: _dt.date, zone: str) -> DataFrame
     return entries.filter(ts.isNotNull() & (D.local_date(ts, zone) == F.lit(target)))
 
 
-def feed_items(entries: DataFrame) -> DataFrame:
+def feed_items(entries: DataFrame, summary_chars: int | None = None) -> DataFrame:
     """nrm_feed_entries: feed entries -> items ready for compacting."""
     return entries.select(
         F.lit("rss").alias("source"), "idx", F.lit("rss_entry").alias("kind"), "title",
-        F.col("link").alias("url"), F.substring("summary", 1, 500).alias("summary"),
+        F.col("link").alias("url"), _upto("summary", summary_chars).alias("summary"),
         F.col("feed_name").alias("source_name"), X.clean_text_nourl("category", 60).alias("category"),
         F.col("published").alias("published_at"))
 

@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as X
-from ..functions.constants import DEEP_READ_LIMIT
 
 ITEM_COLUMNS = {
-    "dt": "date", "source": "string", "kind": "string", "idx": "bigint", "id": "string",
+    "dt": "date", "source": "string", "kind": "string", "idx": "bigint", "part": "int", "id": "string",
     "title": "string", "url": "string", "summary": "string", "source_name": "string",
     "status": "string", "confidence": "string", "score": "double", "published_at": "string",
     "has_direct_url": "boolean", "signal_score": "int", "likes": "bigint", "retweets": "bigint",
@@ -87,13 +86,13 @@ def deep_read_outcome(responses: DataFrame) -> DataFrame:
 
 
 def normalize_candidates(elements: DataFrame, outcomes: DataFrame | None = None,
-                         limit: int = DEEP_READ_LIMIT) -> DataFrame:
+                         limit: int | None = None) -> DataFrame:
     """nrm_candidates (+ jn_deep_read when ``outcomes`` is given).
 
-    Deep reads go to the first ``limit`` titled, URL-less candidates with a
-    resource id, per day payload in element order (quirk Q17): a
-    ``row_number`` per ``dt`` that Spark plans as a partial group limit, then
-    a left join to the landed outcomes.
+    Deep reads go to the titled, URL-less candidates with a resource id, by a
+    left join to the landed outcomes. A service quota on them can be given as
+    ``limit``: the first ones per day payload in element order (quirk Q17), a
+    ``row_number`` per ``dt`` that Spark plans as a partial group limit.
     """
     e = parse_elements(elements)
     title = X.clean_text(_vs("$.title"))
@@ -117,9 +116,10 @@ def normalize_candidates(elements: DataFrame, outcomes: DataFrame | None = None,
     has_rid = X.nonempty("resource_id")
     eligible = F.col("reason").isNull() & ~has_url & has_rid
     if outcomes is not None:
-        w = Window.partitionBy("dt").orderBy("idx")
-        ranked = base.filter(eligible).select("dt", "idx", "resource_id").withColumn("_n", F.row_number().over(w))
-        attempted = ranked.filter(F.col("_n") <= limit).drop("_n")
+        attempted = base.filter(eligible).select("dt", "idx", "resource_id")
+        if limit is not None:
+            w = Window.partitionBy("dt").orderBy("idx")
+            attempted = attempted.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
         tried = attempted.join(outcomes, "resource_id", "left").select(
             "dt", "idx", F.coalesce("outcome", F.lit("missing_meta")).alias("outcome"), "meta_url",
             "meta_read_url", "meta_one_sentence", "meta_summary", "meta_featured_reason", "meta_publish")
@@ -182,7 +182,7 @@ def normalize_posts(posts: DataFrame) -> DataFrame:
     who = X.first_nonempty("builder_name", "handle")
     return p.select(
         "dt", F.lit("follow-builders").alias("source"), F.lit("tweet").alias("kind"),
-        (F.col("builder_idx") * 100000 + F.col("idx")).alias("idx"),
+        F.col("builder_idx").alias("idx"), F.col("idx").alias("part"),
         item_id("follow-builders", F.lit("tweet"), F.col("tweet_id"), F.col("handle")).alias("id"),
         X.post_title(who, F.col("visible")).alias("title"), "url", F.col("text").alias("summary"),
         F.col("builder_name").alias("source_name"), F.col("handle").alias("author_handle"),
@@ -240,7 +240,7 @@ def normalize_blog_posts(blogs: DataFrame) -> DataFrame:
     """nrm_blog_posts: a blog's ``posts`` list, or the blog itself as one
     post; title and url (url or link) required; summary cut at 400 + …"""
     posts = F.when(F.col("posts").isNotNull(), F.col("posts")).otherwise(F.array(F.col("self_post")))
-    b = blogs.select("dt", F.col("idx").alias("blog_idx"), "name", F.posexplode(posts).alias("idx", "p"))
+    b = blogs.select("dt", F.col("idx").alias("blog_idx"), "name", F.posexplode(posts).alias("part", "p"))
     title = X.clean_text(F.col("p.title"))
     url = X.first_nonempty(F.col("p.url"), F.col("p.link"))
     summary = X.clean_text(X.first_nonempty(F.col("p.summary"), F.col("p.description"), F.col("p.content")))
@@ -248,7 +248,7 @@ def normalize_blog_posts(blogs: DataFrame) -> DataFrame:
     reason = F.when((title == "") | url.isNull(), F.lit("missing_title_or_url"))
     return b.select(
         "dt", F.lit("follow-builders").alias("source"), F.lit("blog_post").alias("kind"),
-        (F.col("blog_idx") * 100 + F.col("idx")).alias("idx"),
+        F.col("blog_idx").alias("idx"), "part",
         item_id("follow-builders", F.lit("blog"), title, url).alias("id"),
         title.alias("title"), url.alias("url"), summary.alias("summary"),
         F.col("p.published_at").alias("published_at"),

@@ -77,52 +77,51 @@ def editorial_noise(items: DataFrame, labels: DataFrame | None = None) -> DataFr
     return df.withColumn("noise_reason", reason)
 
 
-def publish_safety(docs: DataFrame, patterns: DataFrame, fixed: tuple[str, ...] = (), anchor_words: int = 4) -> DataFrame:
+def publish_safety(docs: DataFrame, patterns: DataFrame, fixed: tuple[str, ...] = (), anchor_words: int = 4,
+                   anchor_chars: int = 8) -> DataFrame:
     """flt_publish_safety: one problem per (document, pattern) where the
-    pattern occurs in the text.
+    pattern occurs in the text. Empty patterns are none.
 
     Exact and without a cross join: a pattern's words after its first space
-    start at a word boundary of any text containing it, so each pattern is
-    anchored on that ``anchor_words``-word window; texts emit all their word
-    windows, an equi-join on the window hash gives candidates, and
-    ``instr`` verifies them. Short fixed patterns are plain ``contains``."""
-    tok = lambda c: F.split(F.col(c), r"\s")
-    pw = patterns.select("pattern_id", "pattern", tok("pattern").alias("_w"))
-    # words 2..anchor_words+1 are each followed by whitespace inside the pattern,
-    # so they appear as whole tokens wherever the pattern occurs
-    anchor = pw.filter(F.size("_w") > anchor_words + 1).select(
-        "pattern_id", "pattern", F.xxhash64(F.array_join(F.slice("_w", 2, anchor_words), " ")).alias("h"))
-    short = pw.filter(F.size("_w") <= anchor_words + 1).select("pattern_id", "pattern")
-    # short patterns cannot be anchored; they are few by nature and become
-    # literal ``contains`` tests only behind a size check
-    n_short = short.count()
-    if n_short > 1000:
-        raise ValueError(f"{n_short} short patterns: too many for literal matching")
-    short_rows = [(r["pattern_id"], r["pattern"]) for r in short.collect()] if n_short else []
-    dw = docs.select("doc_id", tok("text").alias("_w"))
-    n = F.size("_w")
-    windows = dw.select("doc_id", F.explode(F.when(n >= anchor_words, F.transform(
-        F.sequence(F.lit(1), n - anchor_words + 1),
-        lambda i: F.xxhash64(F.array_join(F.slice("_w", i, anchor_words), " "))))).alias("h")).distinct()
-    cand = windows.join(anchor, "h").select("doc_id", "pattern_id", "pattern").distinct()
+    start at a word boundary of any text containing it, so a pattern of more
+    than ``anchor_words`` + 1 words is anchored on that window of words, and a
+    shorter one on its first ``anchor_chars`` characters (all, if fewer). Texts
+    emit the hashes of such windows, an equi-join gives candidates, and
+    ``instr`` verifies them. The join comes before any shuffle of windows when
+    the anchors are small enough for Spark to broadcast. ``fixed`` patterns are
+    literal tests, numbered -1, -2, ..."""
+    def pieces(words, i, n, sep):
+        return F.xxhash64(F.lit(sep), F.array_join(F.slice(words, i, n), sep))
+
+    def windows(units, n, sep):
+        u = docs.select("doc_id", units.alias("_u"))
+        count = F.size("_u") - n + 1
+        return u.select("doc_id", F.explode(F.array_distinct(F.when(count >= 1, F.transform(
+            F.sequence(F.lit(1), count), lambda i: pieces("_u", i, n, sep))))).alias("h"))
+
+    p = patterns.filter("pattern <> ''").select("pattern_id", "pattern", F.split("pattern", r"\s").alias("_w"),
+                                                F.char_length("pattern").alias("_n"))
+    long = F.size("_w") > anchor_words + 1
+    anchors = p.select("pattern_id", "pattern", F.when(long, pieces("_w", F.lit(2), F.lit(anchor_words), " ")).otherwise(
+        F.xxhash64(F.lit(""), F.substring("pattern", 1, anchor_chars))).alias("h"))
+    # at most anchor_chars different widths, whatever the number of patterns
+    widths = sorted(r[0] for r in p.filter(~long).select(F.least("_n", F.lit(anchor_chars))).distinct().collect())
+    found = windows(F.split("text", r"\s"), anchor_words, " ")
+    for n in widths:
+        found = found.unionByName(windows(F.slice(F.split("text", ""), F.lit(1), F.char_length("text")), n, ""))
+    cand = found.join(anchors, "h").select("doc_id", "pattern_id", "pattern").distinct()
     hits = (cand.join(docs.select("doc_id", "text"), "doc_id")
             .filter(F.instr("text", F.col("pattern")) > 0).select("doc_id", "pattern_id"))
-    parts = [hits]
-    literal = [(-(i + 1), p) for i, p in enumerate(fixed)] + short_rows
-    if literal:
-        fx = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(pid).cast("long").alias("pattern_id"),
-                                                                 F.lit(p).alias("pattern"))
-                                                       for pid, p in literal])).alias("p"), "text")
-        parts.append(fx.filter(F.instr("text", F.col("p.pattern")) > 0).select("doc_id", F.col("p.pattern_id").alias("pattern_id")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not fixed:
+        return hits
+    literal = F.array(*[F.when(F.instr("text", t) > 0, F.lit(-(i + 1)).cast("long")) for i, t in enumerate(fixed)])
+    return hits.unionByName(docs.select("doc_id", F.explode(F.array_compact(literal)).alias("pattern_id")))
 
 
 def output_quality(texts: DataFrame, text_col: str = "text", headings=K.REQUIRED_HEADINGS) -> DataFrame:
-    """flt_output_quality: template residue ``{{...}}`` and required headings."""
+    """flt_output_quality: template residue ``{{...}}`` and required headings
+    (at the start of a line)."""
     t = F.col(text_col)
-    missing = F.array_compact(F.array(*[F.when(~t.contains(h), F.lit(h.strip())) for h in headings]))
+    missing = F.array_compact(F.array(*[F.when(~t.rlike(f"(?m)^{h}"), F.lit(h.strip())) for h in headings]))
     return texts.withColumn("has_residue", F.coalesce(t.rlike(r"\{\{.*?\}\}"), F.lit(False))) \
         .withColumn("missing_headings", F.array_join(missing, ","))

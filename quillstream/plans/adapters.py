@@ -404,18 +404,20 @@ def feed_item_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------- mail ----------------
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RFC 822 messages built from ``documents`` (plain part) and ``pages``
-    (HTML part, page_id = doc_id % 250); every 3rd message has no plain part,
-    every 13th no Date header; every 7th has a PDF attachment."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "source")
-    p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("html"))
-    j = d.join(p, (d.doc_id % 250) == p.page_id, "left")
-    doc = F.col("doc_id")
+    """RFC 822 messages built from every row of ``documents`` (plain part) and
+    ``pages`` (HTML part), matched by equal ids; every 3rd message with an
+    HTML part has no plain part, every 13th message no Date header, every 7th
+    an attachment."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    doc = F.coalesce("doc_id", "page_id")
+    j = d.join(p, d.doc_id == p.page_id, "full").withColumn(
+        "source", F.coalesce("source", F.concat(F.lit("src"), (doc % 20).cast("string"))))
     ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - 2 * 86400 + (doc * 6007) % (3 * 86400))
     date_hdr = F.when(doc % 13 != 0, F.concat(F.lit("Date: "), F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss '+0000'"),
                                               F.lit("\r\n"))).otherwise(F.lit(""))
     boundary = F.concat(F.lit("b"), doc.cast("string"))
-    plain = F.when(doc % 3 != 0, F.concat(
+    plain = F.when(F.col("text").isNotNull() & ((doc % 3 != 0) | F.col("html").isNull()), F.concat(
         F.lit("--"), boundary, F.lit("\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"),
         F.col("text"), F.lit("\r\n"))).otherwise(F.lit(""))
     html = F.when(F.col("html").isNotNull(), F.concat(
@@ -426,7 +428,8 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).otherwise(F.lit(""))
     msg = F.concat(
         F.lit("From: "), F.initcap(F.col("source")), F.lit(" Weekly <"), F.col("source"), F.lit("@mail.example.com>\r\n"),
-        F.lit("To: reader@example.com\r\nSubject: "), F.substring(_line(1), 1, 60), F.lit("\r\n"), date_hdr,
+        F.lit("To: reader@example.com\r\nSubject: "),
+        F.coalesce(F.substring(_line(1), 1, 60), F.concat(F.lit("Page "), doc.cast("string"))), F.lit("\r\n"), date_hdr,
         F.lit("Message-ID: <"), doc.cast("string"), F.lit("@mail.example.com>\r\nMIME-Version: 1.0\r\n"),
         F.lit("Content-Type: multipart/alternative; boundary=\""), boundary, F.lit("\"\r\n\r\n"),
         plain, html, attach, F.lit("--"), boundary, F.lit("--\r\n"))

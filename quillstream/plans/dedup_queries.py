@@ -41,16 +41,26 @@ dd AS (
 ),
 tracks AS (SELECT *, {_clip_sum(_IND)} AS industry_score, {_clip_sum(_PER)} AS personal_score FROM dd),
 prior_days AS (SELECT DISTINCT event_key, day AS p_day FROM dd),
-seen AS (SELECT DISTINCT t.idx FROM dd t JOIN prior_days p USING (event_key) WHERE p.p_day >= t.day - 14 AND p.p_day < t.day),
+seen AS (SELECT DISTINCT t.idx FROM dd t JOIN prior_days p USING (event_key) WHERE t.event_key <> '' AND p.p_day >= t.day - 14 AND p.p_day < t.day),
 pf AS (SELECT DISTINCT event_key, day AS p_day, unnest(facts) AS fact FROM dd),
 tf AS (SELECT idx, event_key, day AS t_day, unnest(facts) AS fact FROM dd),
-known AS (SELECT DISTINCT tf.idx, tf.fact FROM tf JOIN pf USING (event_key, fact) WHERE p_day >= t_day - 14 AND p_day < t_day),
+known AS (SELECT DISTINCT tf.idx, tf.fact FROM tf JOIN pf USING (event_key, fact) WHERE tf.event_key <> '' AND p_day >= t_day - 14 AND p_day < t_day),
 newf AS (SELECT DISTINCT tf.idx FROM tf LEFT JOIN known k ON k.idx = tf.idx AND k.fact = tf.fact WHERE k.idx IS NULL),
-xday AS (
-  SELECT d.idx, d.event_key, d.day, d.priority, s.idx IS NOT NULL AS seen, n.idx IS NOT NULL AS has_new_fact,
-         s.idx IS NULL OR n.idx IS NOT NULL AS keep, s.idx IS NOT NULL AND n.idx IS NOT NULL AS is_continuation
-  FROM dd d LEFT JOIN seen s USING (idx) LEFT JOIN newf n USING (idx)
+key_days AS (
+  SELECT d.event_key, d.day, bool_or(n.idx IS NOT NULL) AS any_new, row_number() OVER (PARTITION BY d.event_key ORDER BY d.day) AS n
+  FROM dd d LEFT JOIN newf n ON n.idx = d.idx WHERE d.event_key <> '' GROUP BY d.event_key, d.day
 ),
+log AS (
+  SELECT event_key, n, day, NULL::DATE AS before, day AS last FROM key_days WHERE n = 1
+  UNION ALL
+  SELECT k.event_key, k.n, k.day, l.last, CASE WHEN k.day - l.last > 14 OR k.any_new THEN k.day ELSE l.last END
+  FROM log l JOIN key_days k ON k.event_key = l.event_key AND k.n = l.n + 1
+),
+xday0 AS (
+  SELECT d.idx, d.event_key, d.day, d.priority, coalesce(d.day - l.before <= 14, false) AS seen, n.idx IS NOT NULL AS has_new_fact
+  FROM dd d LEFT JOIN log l ON l.event_key = d.event_key AND l.day = d.day LEFT JOIN newf n ON n.idx = d.idx
+),
+xday AS (SELECT *, NOT seen OR has_new_fact AS keep, seen AND has_new_fact AS is_continuation FROM xday0),
 sec1 AS (
   SELECT *, CASE WHEN industry_score >= {K.INDUSTRY_MIN} THEN row_number() OVER (PARTITION BY day, industry_score >= {K.INDUSTRY_MIN}
               ORDER BY industry_score DESC, priority DESC, idx) END AS r1 FROM tracks
@@ -79,12 +89,12 @@ _ALL = (O.ITEMS_CTE, O.COMPACT_CTE, DD_CTE)
 
 def _dd(spark, sf_dir):
     """Items with day, event key, facts, priority and label columns."""
-    it = digest_items(spark, sf_dir).select("idx", "source", "title", "url", "summary", "event_ts")
+    it = digest_items(spark, sf_dir).select("idx", "source", "title", "url", F.to_date("event_ts").alias("day"),
+                                            DD.event_key("title").alias("event_key"), DD.facts("summary").alias("facts"))
     pr = scored_items(spark, sf_dir).select("idx", "priority")
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality", "toxic")
     return (it.join(pr, "idx").join(lab, "idx", "left")
-            .select("idx", "source", "title", "url", F.to_date("event_ts").alias("day"), "priority",
-                    DD.event_key("title").alias("event_key"), DD.facts("summary").alias("facts"), "quality", "toxic"))
+            .select("idx", "source", "title", "url", "day", "priority", "event_key", "facts", "quality", "toxic"))
 
 
 def _tracks(df):
@@ -96,8 +106,7 @@ def _tracks(df):
 
 
 def _xday(spark, sf_dir):
-    d = _dd(spark, sf_dir)
-    return DD.cross_day(d, d)
+    return DD.cross_day(_dd(spark, sf_dir))
 
 
 @register("ddp_cross_day", O.with_ctes(*_ALL, body="SELECT idx, seen, has_new_fact, keep FROM xday"))
@@ -109,10 +118,11 @@ def ddp_cross_day(spark, sf_dir):
 @register("jn_recent_semi", O.with_ctes(*_ALL, body="SELECT idx FROM seen"))
 def jn_recent_semi(spark, sf_dir):
     """Items whose event key already appeared in the previous 14 days."""
-    d = _dd(spark, sf_dir)
-    prior = d.select("event_key", F.col("day").alias("p_day")).distinct()
-    j = d.join(prior, "event_key").filter((F.col("p_day") >= F.date_sub("day", 14)) & (F.col("p_day") < F.col("day")))
-    return j.select("idx").distinct()
+    d = _dd(spark, sf_dir).select("idx", "event_key", "day").filter("event_key <> ''")
+    before = F.lag("day").over(Window.partitionBy("event_key").orderBy("day"))
+    again = (d.select("event_key", "day").distinct().withColumn("_b", before)
+             .filter(F.datediff("day", "_b") <= 14).drop("_b"))
+    return d.join(again, ["event_key", "day"]).select("idx")
 
 
 @register("ddp_continuation", O.with_ctes(*_ALL, body=f"""
@@ -162,42 +172,32 @@ _T = TARGET_DATE
 
 
 @register("ddp_log_upkeep", O.with_ctes(*_ALL, body=f"""
-SELECT idx, event_key, day FROM dd WHERE day > DATE '{_T}' - 14 AND day < DATE '{_T}'
-UNION ALL SELECT idx, event_key, day FROM xday WHERE day = DATE '{_T}' AND keep"""))
+SELECT idx, event_key, day FROM xday WHERE day > DATE '{_T}' - 14 AND day <= DATE '{_T}' AND keep"""))
 def ddp_log_upkeep(spark, sf_dir):
-    """The rolling event log after the target day: the previous days inside
-    the window plus the day's kept events."""
-    d = _dd(spark, sf_dir)
-    old = d.filter((F.col("day") > F.date_sub(F.lit(_T), 14)) & (F.col("day") < F.lit(_T))).select("idx", "event_key", "day")
-    x = _xday(spark, sf_dir)
-    new = x.filter((F.col("t_day") == F.lit(_T)) & F.col("keep")).select("idx", "event_key", F.col("t_day").alias("day"))
-    return old.unionByName(new)
-
-
-def rolling_keep(df, key: str = "event_key", ts: str = "event_ts", window_days: int = K.DEDUP_WINDOW_DAYS):
-    """inc_rolling_dedup (batch): keep a row unless an earlier row with the
-    same key lies within ``window_days``. Skew-safe: the lag window runs per
-    (key, window-sized time chunk); each chunk also receives copies of the
-    previous chunk's rows, so a predecessor across the edge is still seen."""
-    span = window_days * 86400 * 1_000_000
-    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_chunk", F.floor(F.col("_us") / span))
-    carry = base.withColumn("_chunk", F.col("_chunk") + 1).withColumn("_carry", F.lit(True))
-    rows = base.withColumn("_carry", F.lit(False)).unionByName(carry)
-    w = Window.partitionBy(key, "_chunk").orderBy("_us", "idx")
-    prev = F.lag("_us").over(w)
-    out = rows.withColumn("_prev", prev).filter(~F.col("_carry"))
-    return out.withColumn("keep", F.col("_prev").isNull() | ((F.col("_us") - F.col("_prev")) > span)) \
-        .drop("_us", "_chunk", "_carry", "_prev")
-
-
-@register("inc_rolling_dedup", O.with_ctes(O.ITEMS_CTE, body=f"""
-SELECT idx, prev IS NULL OR epoch_us(event_ts) - prev > {K.DEDUP_WINDOW_DAYS * 86400 * 1000000} AS keep FROM (
-  SELECT idx, event_ts, lag(epoch_us(event_ts)) OVER (PARTITION BY trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))
-                                                     ORDER BY event_ts, idx) AS prev FROM items)"""))
+    """The rolling event log after the target day: the kept events of the
+    days inside the window, the target day included."""
+    x = _xday(spark, sf_dir).select("idx", "event_key", F.col("t_day").alias("day"), "keep")
+    return x.filter((F.col("day") > F.date_sub(F.lit(_T), 14)) & (F.col("day") <= F.lit(_T)) & F.col("keep")).drop("keep")
+
+
+@register("inc_rolling_dedup", O.with_ctes(O.ITEMS_CTE, """
+keyed AS (
+  SELECT idx, event_ts, event_ts::DATE AS day, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS event_key FROM items
+),
+key_days AS (
+  SELECT event_key, day, arg_min(idx, (event_ts, idx)) AS first_idx, row_number() OVER (PARTITION BY event_key ORDER BY day) AS n
+  FROM keyed WHERE event_key <> '' GROUP BY event_key, day
+),
+log AS (
+  SELECT event_key, n, day, first_idx, day AS last FROM key_days WHERE n = 1
+  UNION ALL
+  SELECT k.event_key, k.n, k.day, k.first_idx, CASE WHEN k.day - l.last > 14 THEN k.day ELSE l.last END
+  FROM log l JOIN key_days k ON k.event_key = l.event_key AND k.n = l.n + 1
+)""", body="SELECT idx, event_key = '' OR event_ts IS NULL OR idx IN (SELECT first_idx FROM log WHERE day = last) AS keep FROM keyed"))
 def inc_rolling_dedup(spark, sf_dir):
     """Rolling 14-day dedup over the item stream (batch form)."""
     it = digest_items(spark, sf_dir).select("idx", "title", "event_ts").withColumn("event_key", DD.event_key("title"))
-    return rolling_keep(it).select("idx", "keep")
+    return DD.rolling_keep(it, window_days=K.DEDUP_WINDOW_DAYS).select("idx", "keep")
 
 
 @register("ddp_event_units", None)
@@ -263,7 +263,7 @@ def flt_publish_safety(spark, sf_dir):
 
 @register("flt_output_quality", """
 SELECT doc_id, coalesce(regexp_matches(text, '\\{\\{.*?\\}\\}'), false) AS has_residue,
-       concat_ws(',', CASE WHEN NOT contains(text, '# ') THEN '#' END, CASE WHEN NOT contains(text, '## ') THEN '##' END) AS missing_headings
+       concat_ws(',', CASE WHEN NOT regexp_matches(text, '(?m)^# ') THEN '#' END, CASE WHEN NOT regexp_matches(text, '(?m)^## ') THEN '##' END) AS missing_headings
 FROM documents""")
 def flt_output_quality(spark, sf_dir):
     """Template residue and required headings of every text."""

@@ -28,7 +28,7 @@ feed_raw AS (
   FROM documents
 ),
 feed_entries AS (
-  SELECT idx, feed_name, category, title, link, substring(text, 1, 500) AS summary,
+  SELECT idx, feed_name, category, title, link, text AS summary,
          CASE WHEN has_pub THEN strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') END AS published,
          CASE WHEN has_pub OR has_upd THEN ts END AS eff_ts
   FROM feed_raw WHERE NOT is_err
@@ -47,7 +47,7 @@ def _feed_day(spark, sf_dir):
 @register("src_rss_xml", O.with_ctes(FEED_CTE, body=f"""
 SELECT idx, feed_name, CASE WHEN is_err THEN NULL ELSE title END AS title,
        CASE WHEN is_err THEN NULL ELSE link END AS link,
-       CASE WHEN is_err THEN NULL ELSE substring(text, 1, 500) END AS summary,
+       CASE WHEN is_err THEN NULL ELSE text END AS summary,
        CASE WHEN is_err THEN NULL ELSE coalesce(CASE WHEN has_pub THEN strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') END, '') END AS published,
        CASE WHEN is_err THEN 'unparseable feed item' END AS error
 FROM feed_raw"""))
@@ -92,7 +92,7 @@ SELECT count(*) AS total_feeds, coalesce(sum(n), 0)::BIGINT AS total_entries,
 FROM (SELECT DISTINCT feed_name, is_err FROM feed_raw) f
 LEFT JOIN (SELECT feed_name, count(*) AS n FROM feed_day GROUP BY 1) d USING (feed_name)"""))
 def agg_feed_stats(spark, sf_dir):
-    feeds = feed_entries_raw(spark, sf_dir).select("feed_name", "error").dropDuplicates(["feed_name"])
+    feeds = feed_entries_raw(spark, sf_dir).groupBy("feed_name").agg(F.max("error").alias("error"))
     return M.feed_stats(_feed_day(spark, sf_dir), feeds)
 
 
@@ -107,13 +107,17 @@ _REG_VALUES = ", ".join(f"({o}, {O.q(n)}, {O.q(s)}, {'NULL' if c is None else O.
                         for o, n, s, c, cat in _REG_ROWS)
 
 MAIL_CTE = f"""
+mail_src AS (
+  SELECT coalesce(d.doc_id, p.page_id) AS idx, coalesce(d.source, 'src' || (coalesce(d.doc_id, p.page_id) % 20)) AS sender, d.text, p.html
+  FROM documents d FULL JOIN pages p ON d.doc_id = p.page_id
+),
 mail_raw AS (
-  SELECT d.doc_id AS idx, upper(substr(d.source, 1, 1)) || lower(substr(d.source, 2)) || ' Weekly <' || d.source || '@mail.example.com>' AS from_header,
-         substring(split_part(d.text, {NL}, 1), 1, 60) AS subject,
-         CASE WHEN d.doc_id % 13 <> 0 THEN strftime(make_timestamp((1706659200 - 2 * 86400 + (d.doc_id * 6007) % (3 * 86400)) * 1000000), '%a, %d %b %Y %H:%M:%S +0000') END AS date,
-         '<' || d.doc_id || '@mail.example.com>' AS message_id,
-         CASE WHEN d.doc_id % 3 <> 0 THEN d.text END AS plain, p.html
-  FROM documents d LEFT JOIN pages p ON d.doc_id % 250 = p.page_id
+  SELECT idx, upper(substr(sender, 1, 1)) || lower(substr(sender, 2)) || ' Weekly <' || sender || '@mail.example.com>' AS from_header,
+         coalesce(substring(split_part(text, {NL}, 1), 1, 60), 'Page ' || idx) AS subject,
+         CASE WHEN idx % 13 <> 0 THEN strftime(make_timestamp((1706659200 - 2 * 86400 + (idx * 6007) % (3 * 86400)) * 1000000), '%a, %d %b %Y %H:%M:%S +0000') END AS date,
+         '<' || idx || '@mail.example.com>' AS message_id,
+         CASE WHEN idx % 3 <> 0 OR html IS NULL THEN text END AS plain, html
+  FROM mail_src
 ),
 html_txt AS (
   SELECT idx, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -155,7 +159,7 @@ mail_day AS (
 ),
 mail_entries AS (
   SELECT idx, source, category, "from", regexp_extract(from_header, '^\\s*"?([^"<]*?)"?\\s*<', 1) AS from_name,
-         subject, date, message_id, substring(body, 1, 20000) AS body, substring(substring(body, 1, 20000), 1, 1000) AS summary
+         subject, date, message_id, body, body AS summary
   FROM mail_day
 )"""
 

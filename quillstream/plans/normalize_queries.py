@@ -78,7 +78,7 @@ def _cand_out(deep: bool) -> str:
 cand_tried AS (
   SELECT c.idx, coalesce(d.outcome, 'missing_meta') AS outcome, d.meta_url, d.meta_read_url, d.meta_one,
          d.meta_featured, d.meta_publish
-  FROM (SELECT idx, resource_id FROM cand1 WHERE reason IS NULL AND NOT has_url AND has_rid ORDER BY idx LIMIT 10) c
+  FROM (SELECT idx, resource_id FROM cand1 WHERE reason IS NULL AND NOT has_url AND has_rid) c
   LEFT JOIN deep_out d USING (resource_id)
 ),""" if deep else """
 cand_tried AS (SELECT NULL::BIGINT AS idx, NULL AS outcome, NULL AS meta_url, NULL AS meta_read_url, NULL AS meta_one,
@@ -120,7 +120,7 @@ def nrm_candidates(spark, sf_dir):
 @register("jn_deep_read", O.with_ctes(CAND_CTE, _cand_out(True),
                                       body=f"SELECT {', '.join(_CAND_COLS)}, outcome, published_at FROM cand_out"))
 def jn_deep_read(spark, sf_dir):
-    """Candidates with the first 10 URL-less ones enriched from landed detail reads."""
+    """Candidates with the URL-less ones enriched from landed detail reads."""
     out = N.normalize_candidates(candidate_elements(spark, sf_dir), N.deep_read_outcome(deep_reads(spark, sf_dir)))
     return out.select(*_CAND_COLS, "outcome", "published_at")
 
@@ -170,7 +170,7 @@ posts2 AS (
          {_word_count('visible')} AS wc FROM posts1
 ),
 posts_out AS (
-  SELECT 'follow-builders' AS source, 'tweet' AS kind, builder_idx * 100000 + idx AS idx,
+  SELECT 'follow-builders' AS source, 'tweet' AS kind, builder_idx AS idx, idx AS part,
     {_item_id('follow-builders', "'tweet'", 'tweet_id', 'handle')} AS id,
     {O.first_nonempty('builder_name', 'handle')} || '：' || substring(visible, 1, 80) || CASE WHEN length(visible) > 80 THEN '…' ELSE '' END AS title,
     url, text AS summary, builder_name AS source_name, 'ready' AS status,
@@ -186,11 +186,11 @@ posts_out AS (
   FROM posts2
 )"""
 
-_POST_COLS = ["idx", "id", "title", "url", "summary", "signal_score", "confidence", "reason", "preview", "builder"]
+_POST_COLS = ["idx", "part", "id", "title", "url", "summary", "signal_score", "confidence", "reason", "preview", "builder"]
 
 
 @register("nrm_posts", O.with_ctes(POSTS_CTE, body="""
-SELECT idx, id, title, url, summary, signal_score, confidence, reason,
+SELECT idx, part, id, title, url, summary, signal_score, confidence, reason,
        CASE WHEN reason IS NOT NULL AND url IS NOT NULL AND url <> '' THEN substring(visible, 1, 160) END AS preview, builder
 FROM posts_out"""))
 def nrm_posts(spark, sf_dir):
@@ -199,34 +199,34 @@ def nrm_posts(spark, sf_dir):
 
 
 @register("flt_post_noise", O.with_ctes(POSTS_CTE, body="""
-SELECT idx, reason FROM posts_out WHERE url IS NOT NULL AND url <> ''"""))
+SELECT idx, part, reason FROM posts_out WHERE url IS NOT NULL AND url <> ''"""))
 def flt_post_noise(spark, sf_dir):
     """Noise reason of every post that has a URL (null = kept). Returned as a
     splitter column rather than filtered, so the reason is computed once."""
     p = builder_posts(spark, sf_dir).filter(X.nonempty("url"))
     out = N.with_noise_reason(p, "text", "bio", "reason")
-    return out.select((F.col("builder_idx") * 100000 + F.col("idx")).alias("idx"), "reason")
+    return out.select(F.col("builder_idx").alias("idx"), F.col("idx").alias("part"), "reason")
 
 
 @register("fn_signal_score", O.with_ctes(POSTS_CTE, body="""
-SELECT builder_idx * 100000 + idx AS idx, sig::INTEGER AS signal_score, wc::INTEGER AS word_count FROM posts2"""))
+SELECT builder_idx AS idx, idx AS part, sig::INTEGER AS signal_score, wc::INTEGER AS word_count FROM posts2"""))
 def fn_signal_score(spark, sf_dir):
     """fn_signal_score and fn_word_count of every post's visible text."""
     from ..functions import scoring as S
     p = builder_posts(spark, sf_dir).select(
-        (F.col("builder_idx") * 100000 + F.col("idx")).alias("idx"),
+        F.col("builder_idx").alias("idx"), F.col("idx").alias("part"),
         X.strip_ws(X.remove_urls(X.clean_text("text"))).alias("visible"), X.clean_text("bio").alias("bio"))
-    return p.select("idx", S.signal_score("visible", "bio").cast("int").alias("signal_score"),
+    return p.select("idx", "part", S.signal_score("visible", "bio").cast("int").alias("signal_score"),
                     X.word_count("visible").alias("word_count"))
 
 
 @register("flt_url_only", O.with_ctes(POSTS_CTE, body=f"""
-SELECT builder_idx * 100000 + idx AS idx, {_url_only('text')} AS url_only, visible AS visible_text FROM posts1"""))
+SELECT builder_idx AS idx, idx AS part, {_url_only('text')} AS url_only, visible AS visible_text FROM posts1"""))
 def flt_url_only(spark, sf_dir):
     """flt_url_only and fn_visible_text over every post."""
     p = builder_posts(spark, sf_dir)
     t = X.clean_text("text")
-    return p.select((F.col("builder_idx") * 100000 + F.col("idx")).alias("idx"), X.is_url_only(t).alias("url_only"),
+    return p.select(F.col("builder_idx").alias("idx"), F.col("idx").alias("part"), X.is_url_only(t).alias("url_only"),
                     X.visible_text("text").alias("visible_text"))
 
 
@@ -290,17 +290,17 @@ blog0 AS (
          regexp_extract(html, {_TITLE_RE}, 1) AS ttl, regexp_extract(html, {_PARA_RE}, 1) AS para FROM pages
 ),
 blog_posts AS (
-  SELECT page_id * 100 + 0 AS idx, CASE WHEN page_id % 4 = 0 THEN ttl ELSE ttl END AS t,
+  SELECT page_id AS idx, 0 AS part, CASE WHEN page_id % 4 = 0 THEN ttl ELSE ttl END AS t,
          CASE WHEN page_id % 4 = 0 THEN page_url ELSE page_url END AS u,
          CASE WHEN page_id % 4 = 0 THEN {O.first_nonempty('html')} ELSE {O.first_nonempty('para')} END AS s,
          CASE WHEN page_id % 4 = 0 THEN NULL ELSE '2024-01-29T10:00:00Z' END AS published_at, host
   FROM blog0
   UNION ALL
-  SELECT page_id * 100 + 1, '', page_url || '#2', {O.first_nonempty('html')}, NULL, host FROM blog0
+  SELECT page_id, 1, '', page_url || '#2', {O.first_nonempty('html')}, NULL, host FROM blog0
   WHERE page_id % 4 <> 0 AND page_id % 3 = 0
 ),
 blog_out AS (
-  SELECT 'follow-builders' AS source, 'blog_post' AS kind, idx,
+  SELECT 'follow-builders' AS source, 'blog_post' AS kind, idx, part,
     {_item_id('follow-builders', "'blog'", O.clean('t'), 'u')} AS id,
     {O.clean('t')} AS title, u AS url,
     CASE WHEN length({O.clean('s')}) > 400 THEN substring({O.clean('s')}, 1, 400) || '…' ELSE {O.clean('s')} END AS summary,
@@ -311,11 +311,11 @@ blog_out AS (
 )"""
 
 
-@register("nrm_blog_posts", O.with_ctes(BLOG_CTE, body="SELECT idx, id, title, url, summary, published_at, source_name, reason FROM blog_out"))
+@register("nrm_blog_posts", O.with_ctes(BLOG_CTE, body="SELECT idx, part, id, title, url, summary, published_at, source_name, reason FROM blog_out"))
 def nrm_blog_posts(spark, sf_dir):
     """Blog posts (or blogs as posts) -> items."""
     out = N.normalize_blog_posts(blog_posts_raw(spark, sf_dir))
-    return out.select("idx", "id", "title", "url", "summary", "published_at", "source_name", "reason")
+    return out.select("idx", "part", "id", "title", "url", "summary", "published_at", "source_name", "reason")
 
 
 # ---------------- aggregated RSS ----------------

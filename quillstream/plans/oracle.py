@@ -199,4 +199,4 @@ winners AS (SELECT * FROM ranked WHERE rank <= 8)"""
 
 
 def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n" + body

@@ -117,7 +117,7 @@ def _limitations(spark, sf_dir):
     cstats = cands.agg(F.count_if(F.col("outcome") == "rate_limited").alias("deep_read_rate_limited"),
                        F.count_if(F.col("reason").isNull() & F.col("status").isin(
                            "needs_deep_read", "deferred_rate_limited", "summary_only")).alias("items_needing_followup"))
-    feeds = feed_entries_raw(spark, sf_dir).select("feed_name", "error").dropDuplicates(["feed_name"])
+    feeds = feed_entries_raw(spark, sf_dir).groupBy("feed_name").agg(F.max("error").alias("error"))
     # conditional counts, not filters on the reason column (see normalize.kept)
     tweets = N.normalize_posts(builder_posts(spark, sf_dir)).agg(F.count_if(F.col("reason").isNull()).alias("n"))
     hot = N.target_date_strict(hot_items_raw(spark, sf_dir), TARGET_DATE, "Asia/Shanghai")
@@ -155,7 +155,7 @@ def _pages(spark, sf_dir):
     + 1 exists: an equi-join, no global window."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     pages = d.groupBy((F.col("doc_id") / 100).cast("long").alias("page")).agg(
-        F.array_sort(F.collect_list(F.concat(F.lit("H"), F.col("doc_id").cast("string")))).alias("_ids"),
+        F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(F.lit("H"), i.cast("string"))).alias("_ids"),
         F.count(F.lit(1)).alias("count"))
     nxt = pages.select((F.col("page") - 1).alias("page"), F.lit(True).alias("hasNext"))
     p = pages.join(nxt, "page", "left")
@@ -166,7 +166,7 @@ def _pages(spark, sf_dir):
 
 _PAGES_SQL = """
 pages AS (
-  SELECT doc_id // 100 AS page, list('H' || doc_id ORDER BY 'H' || doc_id) AS ids, count(*) AS count FROM documents GROUP BY 1
+  SELECT doc_id // 100 AS page, list('H' || doc_id ORDER BY doc_id) AS ids, count(*) AS count FROM documents GROUP BY 1
 ),
 pages2 AS (
   SELECT page, ids, count, page < (SELECT max(page) FROM pages) AS hasNext,

@@ -163,11 +163,10 @@ def _completed(spark, sf_dir):
 
 @register("flt_completed_range", _sql(f"""
 SELECT id, title, completed_time FROM tasks WHERE {_COMPLETED_WHERE}
-ORDER BY completed_time, id LIMIT 200"""))
+ORDER BY completed_time, id"""))
 def flt_completed_range(spark, sf_dir):
-    """Completed in a local date range, first 200 by completion time (the
-    service's cap; ties by id)."""
-    return _completed(spark, sf_dir).orderBy("completed_time", "id").limit(200).select("id", "title", "completed_time")
+    """Completed in a local date range, by completion time (ties by id)."""
+    return _completed(spark, sf_dir).orderBy("completed_time", "id").select("id", "title", "completed_time")
 
 
 # ---------- joins ----------

@@ -14,11 +14,11 @@ ITEM_SCHEMA = ("title string, link string, summary string, description string, p
 
 
 def parse_items(df: DataFrame, col: str = "xml") -> DataFrame:
-    """src_rss_xml: title, link, summary (``summary`` else ``description``,
-    first 500 chars), published; ``error`` set for unparseable items."""
+    """src_rss_xml: title, link, summary (``summary`` else ``description``),
+    published; ``error`` set for unparseable items."""
     p = F.from_xml(F.col(col), ITEM_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     out = df.withColumn("_p", p)
-    summary = F.substring(F.coalesce(F.nullif("_p.summary", F.lit("")), F.col("_p.description"), F.lit("")), 1, 500)
+    summary = F.coalesce(F.nullif("_p.summary", F.lit("")), F.col("_p.description"), F.lit(""))
     bad = F.col("_p._corrupt_record").isNotNull()
     return out.select(
         *[c for c in df.columns if c != col],
@@ -36,7 +36,7 @@ def read_feed_files(spark, path: str) -> DataFrame:
     df = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path))
     bad = F.col("_corrupt_record").isNotNull()
-    summary = F.substring(F.coalesce(F.nullif("summary", F.lit("")), F.col("description"), F.lit("")), 1, 500)
+    summary = F.coalesce(F.nullif("summary", F.lit("")), F.col("description"), F.lit(""))
     return df.select(F.when(~bad, F.coalesce("title", F.lit(""))).alias("title"),
                      F.when(~bad, F.coalesce("link", F.lit(""))).alias("link"),
                      F.when(~bad, summary).alias("summary"),

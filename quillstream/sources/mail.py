@@ -29,8 +29,11 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             msg = parser.parsebytes(bytes(raw))
 
             def hdr(name):
-                v = msg.get(name)
-                return None if v is None else str(v)
+                try:
+                    v = msg.get(name)
+                    return None if v is None else str(v)
+                except Exception:  # noqa: BLE001 - a malformed header leaves its field empty
+                    return None
             head = (int(idx), hdr("Message-ID"), hdr("From"), hdr("Subject") or "", hdr("Date"))
             parts = list(msg.walk()) if msg.is_multipart() else [msg]
             n = 0

@@ -17,7 +17,6 @@ from quillstream.operators import normalize as N
 from quillstream.operators import runstate as RS
 from quillstream.operators import sections as SC
 from quillstream.plans.adapters import builder_posts
-from quillstream.plans.dedup_queries import rolling_keep
 from quillstream.session import table
 from quillstream.sources import payloads as P
 
@@ -82,15 +81,51 @@ def test_request_rate_chunks_match_plain_window(spark):
     assert fast.exceptAll(plain).count() == 0 and plain.exceptAll(fast).count() == 0
 
 
-def test_rolling_keep_matches_lag(spark):
-    rows = [(i, f"k{i % 3}", dt.datetime(2024, 1, 1) + dt.timedelta(days=(i * 5) % 40)) for i in range(40)]
+def _day(n):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+
+
+def test_rolling_keep_compares_with_kept_rows(spark):
+    rows = [(i, "k", _day(10 * i)) for i in range(5)]
+    rows += [(10, "", _day(0)), (11, "", _day(1)), (12, "j", _day(3)), (13, "j", _day(3)), (14, "m", None)]
     df = spark.createDataFrame(rows, "idx long, event_key string, event_ts timestamp")
-    got = {r.idx: r.keep for r in rolling_keep(df).collect()}
-    by_key = {}
-    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
-        prev = by_key.get(k)
-        assert got[i] == (prev is None or (t - prev) > dt.timedelta(days=14)), i
-        by_key[k] = t
+    got = {r.idx: r.keep for r in DD.rolling_keep(df).collect()}
+    assert [got[i] for i in range(5)] == [True, False, True, False, True]
+    assert got[10] and got[11] and got[12] and not got[13] and got[14]
+
+
+def test_cross_day_log_holds_kept_events_only(spark):
+    rows = [(i, "k", _day(10 * i).date(), []) for i in range(5)] + [(9, "", _day(1).date(), []), (10, "", _day(2).date(), [])]
+    df = spark.createDataFrame(rows, "idx long, event_key string, day date, facts array<string>")
+    got = {r.idx: r.keep for r in DD.cross_day(df).collect()}
+    assert [got[i] for i in range(5)] == [True, False, True, False, True] and got[9] and got[10]
+
+
+def test_messages_follow_both_tables(spark, scratch):
+    docs = spark.range(0, 700).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'src1' as source", "6L as n_chars")
+    pages = spark.range(300, 900).selectExpr("id as page_id", "'http://x' as url", "concat('<p>', id, '</p>') as html")
+    docs.write.parquet(f"{scratch}/documents.parquet")
+    pages.write.parquet(f"{scratch}/pages.parquet")
+    body = {r.idx: r.body for r in E.queries()["src_email_parts_to_body"](spark, scratch).collect()}
+    assert set(body) == set(range(900))
+    assert body[3] == "text 3" and body[301] == "text 301" and body[303] == "303" and body[899] == "899"
+
+
+def test_publish_safety_with_many_short_patterns(spark):
+    docs = spark.createDataFrame([(1, "one needle7 and tokenneedle1500x"), (2, ""), (3, None), (4, "Second Brain e")], "doc_id long, text string")
+    pats = spark.range(0, 2000).selectExpr("id as pattern_id", "concat('needle', id) as pattern").union(
+        spark.createDataFrame([(5000, "e"), (5001, ""), (5002, "nd tok")], "pattern_id long, pattern string"))
+    got = {tuple(r) for r in SC.publish_safety(docs, pats, ("Second Brain",)).collect()}
+    assert got == {(1, 7), (1, 15), (1, 150), (1, 1), (1, 1500), (1, 5000), (1, 5002), (4, -1), (4, 5000)}
+
+
+def test_lsh_edges_link_members_that_fail_against_the_least_id(spark):
+    base = list(range(64))
+    near = base[:56] + [1000 + i for i in range(8)]
+    least = base[:32] + [2000 + i for i in range(32)]
+    sigs = spark.createDataFrame([(0, least), (1, base), (2, near), (3, near), (4, None)], "id long, sig array<long>")
+    comp = {r.id: r.component for r in DD.connected_components(sigs.select("id"), DD.lsh_edges(sigs, "id", block=2)).collect()}
+    assert comp == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_cross_day_bounded_and_correct(spark):
@@ -98,7 +133,7 @@ def test_cross_day_bounded_and_correct(spark):
     rows = [(1, "k", d - dt.timedelta(days=3), ["1", "2"]), (2, "k", d, ["2"]), (3, "k", d, ["9"]),
             (4, "j", d, ["1"]), (5, "k", d - dt.timedelta(days=20), ["9"])]
     df = spark.createDataFrame(rows, "idx long, event_key string, day date, facts array<string>")
-    out = {r.idx: (r.seen, r.has_new_fact, r.keep) for r in DD.cross_day(df, df).collect()}
+    out = {r.idx: (r.seen, r.has_new_fact, r.keep) for r in DD.cross_day(df).collect()}
     assert out[2] == (True, False, False)        # repeat without new facts
     assert out[3] == (True, True, True)          # continuation
     assert out[4] == (False, True, True)
@@ -133,4 +168,4 @@ def test_output_quality(spark):
     df = spark.createDataFrame([("# T\n## A\n{{x}}",), ("## only",)], "text string")
     r = SC.output_quality(df).collect()
     assert r[0].has_residue and r[0].missing_headings == ""
-    assert not r[1].has_residue
+    assert not r[1].has_residue and r[1].missing_headings == "#"
