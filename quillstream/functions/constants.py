@@ -64,9 +64,6 @@ DIGEST_SOURCES = ("rss", "email", "follow-builders", "bestblogs", "ak-rss-digest
 BREAKING_SOURCES = ("rss", "email", "aihot")
 DEEP_SOURCES = ("bestblogs", "follow-builders", "ak-rss-digest")
 
-# --- fixed values: hot-item categories ---
-HOT_CATEGORIES = ("ai-models", "ai-products", "industry", "paper", "tip")
-
 # --- fixed values: cache file names per source ---
 RAW_CACHE_FILES = {
     "email-raw.json": "email",
@@ -127,7 +124,6 @@ LIMIT_AK_ERRORS = "AK RSS Digest 上游有 {n} 个 feed 报错，但其余条目
 LIMIT_FB_TWEETS = "follow-builders 含大量 X 动态，已按 AI 相关性和互动信号压缩，不保留低信噪比 tweet dump。"
 LIMIT_HOT_MODE = "AI HOT 已按 {mode} 模式和目标日期过滤，items API 最多覆盖最近 7 天。"
 LIMIT_HOT_DROPPED = "AI HOT 有 {n} 条因日期或字段不完整被过滤。"
-NO_LIMITATIONS = "- 无明显限制。"
 UNTITLED = "未命名条目"
 LINK_LABEL = "链接"
 
@@ -141,7 +137,7 @@ ACTION_FRESH = "fresh_run"
 ACTION_INCREMENTAL = "ask_user_incremental_or_overwrite"
 ACTION_EXISTING = "ask_user_use_existing_or_overwrite"
 
-# --- fixed values: editorial noise patterns (ads, hiring, subscriptions) ---
+# --- own rules: editorial noise patterns (ads, hiring, subscriptions) ---
 EDITORIAL_NOISE_PATTERNS = (
     ("ad", r"\b(sponsored|advertisement|promoted|partner content)\b"),
     ("hiring", r"\b(we are hiring|we're hiring|join our team|open positions?)\b"),
@@ -155,4 +151,6 @@ PERSONAL_MIN, PERSONAL_CAP = 7, 5
 WATCH_CAP = 15
 CONTINUATION_PENALTY = 2
 HEADLINE_LOOKBACK_DAYS = 3
+
+# --- own rule: headings a note must have ---
 REQUIRED_HEADINGS = ("# ", "## ")

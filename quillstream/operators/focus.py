@@ -110,16 +110,19 @@ def all_time(sessions: DataFrame) -> DataFrame:
 
 def focus_chunks(sessions: DataFrame) -> DataFrame:
     """Per-task focus summaries: each session split into pomodoro-sized focus
-    entries ``[id, start_sec, end_sec]`` (a bounded array per session)."""
-    s = with_minutes(sessions)
+    entries ``[id, start_sec, end_sec]`` (a bounded array per session). Every
+    task of a session gets its full time, to the second."""
     start = F.unix_seconds(D.service_ts("start_time"))
-    n = F.greatest(F.ceil(F.col("minutes") / POMODORO_MINUTES), F.lit(1)).cast("int")
+    s = sessions.withColumn("_secs", F.unix_seconds(D.service_ts("end_time")) - start - F.coalesce("pause_sec", F.lit(0)))
+    entry = POMODORO_MINUTES * 60
+    n = F.greatest(F.ceil(F.col("_secs") / entry), F.lit(1)).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         F.concat(F.col("id").cast("string"), F.lit("-"), i.cast("string")).alias("id"),
-        (start + i * POMODORO_MINUTES * 60).alias("start_sec"),
-        (start + F.least((i + 1) * POMODORO_MINUTES, F.col("minutes")) * 60).alias("end_sec")))
-    return s.select(F.col("tasks")[0]["title"].alias("task"),
-                    n.alias("pomo_count"), chunks.alias("focuses"))
+        (start + i * entry).alias("start_sec"),
+        (start + F.least((i + 1) * entry, F.col("_secs"))).alias("end_sec")))
+    rows = s.select("tasks", n.alias("pomo_count"), chunks.alias("focuses"))
+    return rows.select(F.explode("tasks").alias("_task"), "pomo_count", "focuses").select(
+        F.col("_task.title").alias("task"), "pomo_count", "focuses")
 
 
 def focus_seconds(summaries: DataFrame) -> DataFrame:

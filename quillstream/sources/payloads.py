@@ -1,8 +1,8 @@
 """Landed JSON payloads and the normalised-item sink.
 
 ``read_json_cache`` reads one day's payload per source with an explicit
-schema (PERMISSIVE mode); a missing path gives an empty DataFrame of that
-schema, as a missing or unreadable cache file counts as "no payload".
+schema; a missing path gives an empty DataFrame of that schema and a corrupt
+file no rows, as a missing or unreadable cache file counts as "no payload".
 """
 
 from __future__ import annotations
@@ -21,10 +21,13 @@ TASK_SCHEMA = ("id string, projectId string, columnId string, title string, cont
 
 def read_json_cache(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
     """src_json_cache: payload files under ``path`` (``dt=`` partitions are
-    discovered); missing path -> empty DataFrame of ``schema``."""
+    discovered); missing path -> empty DataFrame of ``schema``, corrupt file
+    -> no rows."""
     try:
-        return (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path))
-    except AnalysisException:
+        return (spark.read.schema(schema).option("multiLine", multiline).option("mode", "DROPMALFORMED").json(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

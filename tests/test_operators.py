@@ -143,6 +143,12 @@ def test_cross_day_bounded_and_correct(spark):
 def test_payload_reader_and_sink(spark, scratch):
     empty = P.read_json_cache(spark, os.path.join(scratch, "missing"), P.HOT_PAYLOAD_SCHEMA)
     assert empty.count() == 0
+    os.makedirs(os.path.join(scratch, "hot"))
+    for name, body in (("good", '{"id": "a", "title": "T", "score": 3}'), ("bad", '{"id": "b", '), ("none", "")):
+        with open(os.path.join(scratch, "hot", name + ".json"), "w") as f:
+            f.write(body)
+    read = P.read_json_cache(spark, os.path.join(scratch, "hot"), P.HOT_PAYLOAD_SCHEMA)
+    assert [(r.id, r.score) for r in read.collect()] == [("a", 3)] and read.count() == 1
     posts = N.normalize_posts(builder_posts(spark, SF001))
     path = os.path.join(scratch, "norm")
     P.write_normalized(posts.select("dt", "source", "idx", "reason"), path)
@@ -169,3 +175,12 @@ def test_output_quality(spark):
     r = SC.output_quality(df).collect()
     assert r[0].has_residue and r[0].missing_headings == ""
     assert not r[1].has_residue and r[1].missing_headings == "#"
+
+
+def test_every_task_of_a_session_gets_its_seconds(spark):
+    rows = [("2024-01-01T10:00:00.000+0000", "2024-01-01T10:30:45.000+0000", 0, ["A", "B"]),
+            ("2024-01-01T11:00:00.000+0000", "2024-01-01T11:01:40.000+0000", 10, ["B"])]
+    df = spark.createDataFrame(rows, "start_time string, end_time string, pause_sec long, names array<string>")
+    df = df.selectExpr("1L as id", "start_time", "end_time", "pause_sec", "transform(names, n -> named_struct('title', n)) as tasks")
+    got = {r.task: r.focus_seconds for r in FO.focus_seconds(FO.focus_chunks(df)).collect()}
+    assert got == {"A": 1845, "B": 1935}
