@@ -1,7 +1,7 @@
 """Nearest neighbours by adaptive dimension scan over inverted lists.
 
-Fitting takes a bounded sample (``SAMPLE`` rows, ``SAMPLE_BYTES`` at most, drawn by a
-hash of the id): k-means centroids of the lists, and the number of lists to
+Fitting takes a bounded sample (``SAMPLE`` ids, ``SAMPLE_BYTES`` at most, drawn by a
+hash of the id, the least vector of each): k-means centroids of the lists, and the number of lists to
 probe, raised until the sample's own neighbours are found with ``RECALL``. Every
 row is then put in the list of its nearest centroid. Vectors are rotated by a
 random orthogonal matrix and compared in blocks of ``COLUMNS`` rotated columns:
@@ -10,7 +10,8 @@ exceeds the best known k-th distance by more than the sampling error allows
 (a hypothesis test with ``EPSILON`` deviations) is abandoned. What is left is
 measured on the original vectors in double precision.
 
-A query's first bound is its k-th distance within the sample. Large lists are
+A query's first bound is its k-th distance within the sample, where each id
+stands once, so k different ids lie within it. Large lists are
 split by a hash of the id into blocks of about ``ROWS`` vectors, many queries of
 a list into blocks of about ``QUERIES``; a task takes one block of each, so a
 list that holds most of the table still spreads. Only list sizes and the model
@@ -80,15 +81,16 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
-def fit(vectors: DataFrame, k: int, n: int, sample: int = SAMPLE, seed: int = 11, rounds: int = 8) -> Index | None:
-    """Centroids, rotation and number of probes from a bounded sample."""
+def fit(vectors: DataFrame, k: int, n: int, n_ids: int, sample: int = SAMPLE, seed: int = 11, rounds: int = 8) -> Index | None:
+    """Centroids, rotation and number of probes from a bounded sample of one row an id."""
     first = vectors.first()
     if first is None:
         return None
     d = len(first.vec)
     size = min(sample, max(1, SAMPLE_BYTES // (8 * d)))
-    share = min(1.0, size / n)
+    share = min(1.0, size / n_ids)
     drawn = vectors.filter(F.pmod(F.xxhash64(F.col("vec_id"), F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = drawn.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     got = drawn.limit(2 * size).toPandas().sort_values("vec_id", kind="stable")     # 2 * size: far above the expected size
     if got.empty:
         got = vectors.limit(1).toPandas()
@@ -131,21 +133,22 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInArrow(put, f"vec_id long, vec {vectors.schema['vec'].dataType.simpleString()}, list int")
 
 
-def probe(queries: DataFrame, index: Index, sizes: dict[int, int], k: int) -> DataFrame:
+def probe(queries: DataFrame, index: Index, ids_in: dict[int, int], k: int) -> DataFrame:
     """(query_id, vec, bound, list): the lists each query asks, and an upper
-    bound of its k-th distance from the sample."""
+    bound of its k-th distance from the sample. ``ids_in``: ids of each list,
+    an id counted in one list only."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
     def route(batches):
         ix = shared.value
-        rows = np.array([sizes.get(i, 0) for i in range(len(ix.centroids))])
+        held = np.array([ids_in.get(i, 0) for i in range(len(ix.centroids))])
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 q, ids = _matrix(part.column("vec")), part.column("query_id").to_numpy()
                 order = np.argsort(_squares(q, ix.centroids), axis=1, kind="stable")
                 # always enough lists to hold k candidates besides the query
-                need = np.maximum(ix.probes, 1 + np.argmax(np.cumsum(rows[order], axis=1) >= min(k + 1, rows.sum()), axis=1))
+                need = np.maximum(ix.probes, 1 + np.argmax(np.cumsum(held[order], axis=1) >= min(k + 1, held.sum()), axis=1))
                 dist = _squares(q, ix.sample)
                 dist[ids[:, None] == ix.sample_ids[None, :]] = np.inf
                 bound = np.sqrt(np.partition(dist, k - 1, axis=1)[:, k - 1]) if dist.shape[1] >= k else np.full(len(q), np.inf)
@@ -222,16 +225,17 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     of ``queries`` (same columns as ``table``), nearest first."""
     schema = "query_id long, vec_id long, score double"
     vectors = usable(table, id_col, vec_col)
-    n = vectors.count()
-    index = fit(vectors, k, n, sample)
+    n, n_ids = vectors.agg(F.count(F.lit(1)), F.approx_count_distinct("vec_id")).first()
+    index = fit(vectors, k, n, max(1, n_ids), sample)
     if index is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = stored(assign(vectors, index), "lists")
     sizes = {r[0]: r[1] for r in listed.groupBy("list").count().collect()}       # one row for each list
+    ids_in = {r[0]: r[1] for r in listed.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()}
     d = len(index.rotation)
     asking = (usable(queries, id_col, vec_col).filter(F.size("vec") == d)
               .groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")))
-    probes = stored(probe(asking, index, sizes, k), "probes")
+    probes = stored(probe(asking, index, ids_in, k), "probes")
     asked = {r[0]: r[1] for r in probes.groupBy("list").count().collect()}
     v_blocks = F.array(*[F.lit(max(1, math.ceil(sizes.get(i, 0) / rows))) for i in range(len(index.centroids))])
     q_blocks = F.array(*[F.lit(max(1, math.ceil(asked.get(i, 0) / per_block))) for i in range(len(index.centroids))])

@@ -48,6 +48,23 @@ def test_cases(spark):
     assert neighbours.search(t, t.limit(0)).collect() == []
 
 
+def test_an_id_repeated_more_than_k_times_counts_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 32)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(300)] + [(299, (x[0] + 0.001 * j).tolist()) for j in range(1, 13)] + [(298, x[5].tolist())] * 150
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = neighbours.search(t, t.filter("vec_id in (0, 5, 100)"), 10, sample=200).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 10, 5: 10, 100: 10}
+    for a, g in got.sort_values("rank").groupby("query_id"):
+        least = {}
+        for i, v in rows:
+            if i != a:
+                least[i] = min(least.get(i, np.inf), float(np.sqrt(((np.array(v, np.float32).astype(np.float64) - x[a]) ** 2).sum())))
+        best = sorted((s, i) for i, s in least.items())[:10]
+        assert (g.vec_id.iloc[0], g["rank"].tolist()) == (best[0][1], list(range(1, 11)))
+        assert len(set(g.vec_id) & {i for _, i in best}) >= 9
+
+
 def test_abandoning_keeps_the_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(5000, 64)) + 3 * rng.normal(size=(20, 64))[rng.integers(0, 20, 5000)]
