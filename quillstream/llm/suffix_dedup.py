@@ -56,7 +56,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of a block's windows: (row, start, windows, hash, hash of all its
     bytes, anchor, again). ``anchor``: place of the least hash's bytes after
-    the start; ``again``: they occur more than once in a window of the run."""
+    the start; ``again``: they occur more than once in the run."""
     n, w = len(data), length - gram + 1
     total = n - length + 1
     none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, bool))
@@ -87,7 +87,8 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     if not len(starts):
         return none
     count = np.add.reduceat(valid.astype(np.int64), starts)
-    again = np.logical_or.reduceat((first != last) & valid, starts)
+    # in a run of more windows than a window has grams the least place has moved to an equal hash
+    again = np.logical_or.reduceat((first != last) & valid, starts) | (count > w)
     parts = -(-count // PIECE)
     k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     at = np.repeat(starts, parts) + k * PIECE

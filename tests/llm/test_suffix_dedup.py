@@ -64,6 +64,18 @@ def test_long_text_is_cut_into_slices(docs_of, monkeypatch):
     same(sd.deduplicate(docs_of(rows)).collect(), rows)
 
 
+@pytest.mark.parametrize("crowd", [1500, 0])
+def test_periods_around_the_places_of_a_window(docs_of, crowd):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(p, letters(p) * 3) for p in (368, 369, 370, 738)]
+    t = letters(369)
+    rows += [(1000, letters(50) + t + t + t[:31] + letters(50))]     # two equal windows, 369 bytes apart
+    got = sd.deduplicate(docs_of(rows), crowd=crowd).collect()
+    same(got, rows)
+    assert {r.doc_id: r.n_removed for r in got}[369] == 1107
+
+
 def test_empty_table(docs_of):
     assert sd.deduplicate(docs_of([(1, "x")]).limit(0)).collect() == []
 
