@@ -2,11 +2,11 @@
 
 * Exact units: items with the same normalised title share a key; each joins
   its group's smallest id (star edges, never all pairs).
-* Near duplicates: MinHash signatures over word 3-shingles of the whole text,
-  LSH bands; an edge is kept when two signatures of a bucket agree on at
-  least ``threshold`` of their positions. Members are compared with the
-  bucket's smallest id first and then, in blocks, across the components that
-  are left, so no link between components is lost.
+* Near duplicates: MinHash signatures over word 3-shingles of the whole text
+  bucket the texts by LSH bands; an edge is kept when the exact Jaccard
+  similarity of two shingle sets of a bucket is at least ``threshold``. Members
+  are compared with the bucket's smallest id first and then, in blocks, across
+  the components that are left, so no link of the buckets is lost.
 * Units are the connected components of those edges: least labels and pointer
   jumping with DataFrame joins, each round written to the session's
   ``spark.checkpoint.dir``.
@@ -76,8 +76,8 @@ def _minhash_udf(k: int):
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = NUM_HASHES, shingle: int = SHINGLE) -> DataFrame:
-    """MinHash signature of every text (whole text, word ``shingle``-grams).
-    Shingle hashes are computed in the JVM; only the k-permutation minimum
+    """MinHash signature and sorted distinct shingle hashes of every text
+    (whole text, word ``shingle``-grams). Shingle hashes are computed in the JVM; only the k-permutation minimum
     runs in an Arrow-batched pandas UDF."""
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " ")), " ")
     # the word array is materialised first: a lambda that referenced the
@@ -87,10 +87,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = NUM_HASHES,
     sh = F.when(n >= shingle, F.transform(F.sequence(F.lit(1), n - shingle + 1),
                                           lambda i: F.xxhash64(F.array_join(F.slice("_words", i, shingle), " ")))).when(
         F.col("_words")[0] != "", F.array(F.xxhash64(F.array_join("_words", " "))))
-    staged = w.select(id_col, sh.alias("_sh"))   # duplicates cannot change a minimum
+    staged = w.select(id_col, F.array_sort(F.array_distinct(sh)).alias("shingles"))
     # a text under ``shingle`` words is one shingle; one without words gets a null
     # signature and falls in no bucket
-    return staged.select(id_col, _minhash_udf(k)(F.col("_sh")).alias("sig"))
+    return staged.select(id_col, _minhash_udf(k)(F.col("shingles")).alias("sig"), "shingles")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -100,11 +100,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _same_positions(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v)
+def _similar(a: str, b: str, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two sets is at least ``threshold``."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
 
 
-def _compare_blocks(least: int):
+def _compare_blocks(threshold: float):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between the two sides of one pair of blocks, one for each pair
         of components."""
@@ -112,55 +114,77 @@ def _compare_blocks(least: int):
         rest, other = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if rest.empty or other.empty:
             return out
-        a, b = np.stack(rest["sig"].to_list()), np.stack(other["sig"].to_list())
-        i, j = np.nonzero((a[:, None, :] == b[None, :, :]).sum(2) >= least)
-        ca, cb = rest["comp"].to_numpy()[i], other["comp"].to_numpy()[j]
-        found = pd.DataFrame({"src": rest["id"].to_numpy()[i], "dst": other["id"].to_numpy()[j], "ca": ca, "cb": cb})
-        return found[found["ca"] != found["cb"]].drop_duplicates(["ca", "cb"])[["src", "dst"]]
+        size = rest["set"].map(len).to_numpy()
+        h = np.concatenate(rest["set"].to_list())
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], np.repeat(np.arange(len(rest)), size)[order]
+        ids, comp, found = rest["id"].to_numpy(), rest["comp"].to_numpy(), []
+        for dst, cb, mine in zip(other["id"], other["comp"], other["set"]):
+            lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(rest))
+            ok = (both >= threshold * (size + len(mine) - both) - 1e-9) & (comp != cb)
+            found += [(ids[i], dst, comp[i], cb) for i in np.flatnonzero(ok)]
+        if not found:
+            return out
+        return pd.DataFrame(found, columns=["src", "dst", "ca", "cb"]).drop_duplicates(["ca", "cb"])[["src", "dst"]]
     return links
 
 
 def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float = 0.8, block: int = 256) -> DataFrame:
-    """Edges that connect all pairs of one LSH bucket whose signatures agree
-    on at least ``threshold`` of their positions.
+    """Edges that connect all pairs of one LSH bucket whose shingle sets have a
+    Jaccard similarity of at least ``threshold``. Signatures without a
+    ``shingles`` column are compared position by position instead.
 
-    Equal signatures are linked to their least id, which stands for them. In a
+    Equal sets are linked to their least id, which stands for them. In a
     bucket, every member is compared with the least id (star edges). Where that
     leaves several components in a bucket, members outside its largest one are
     compared with all its members: both sides are dealt into blocks of about
     ``block`` rows, and a pair of blocks is compared inside one task, so no
     pair of rows is ever shuffled. Connected components of the result equal
     those of all such pairs."""
-    rows, least = NUM_HASHES // bands, int(threshold * NUM_HASHES)
-    sigs = sigs.select(F.col(id_col).alias("id"), "sig").filter("sig is not null")
-    reps = sigs.groupBy("sig").agg(F.min("id").alias("id"))
-    copies = (sigs.join(reps.withColumnRenamed("id", "dst"), "sig").filter("id <> dst")
-              .select(F.col("id").alias("src"), "dst"))
-    buckets = _stored(reps.select("id", "sig", F.posexplode(F.transform(
+    rows = NUM_HASHES // bands
+    if "shingles" in sigs.columns:
+        sets = F.col("shingles")
+    else:
+        least = int(threshold * NUM_HASHES)
+        sets = F.array_sort(F.transform("sig", lambda v, i: F.xxhash64(i, v)))
+        threshold = least / (2 * NUM_HASHES - least)        # the same agreement as a share of the union
+    sigs = sigs.filter("sig is not null").select(F.col(id_col).alias("id"), "sig", sets.alias("set"))
+    mark = [F.xxhash64("set").alias("m1"), F.xxhash64(F.lit("set"), "set").alias("m2")]
+    marked = sigs.select("id", *mark)
+    reps = marked.groupBy("m1", "m2").agg(F.min("id").alias("dst"))
+    copies = marked.join(reps, ["m1", "m2"]).filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    kept = sigs.select("id", "sig", "set", *mark).join(reps.withColumnRenamed("dst", "id"), ["id", "m1", "m2"], "left_semi")
+    reps = _stored(kept.select("id", "sig", "set"), "lsh-sets")
+    buckets = _stored(reps.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "bucket")), "lsh-buckets")
-    roots = buckets.groupBy("band", "bucket").agg(F.min_by("sig", "id").alias("root_sig"), F.min("id").alias("dst"),
-                                                  F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    star = _stored(buckets.join(roots, ["band", "bucket"]).filter(F.col("id") != F.col("dst"))
-                   .filter(_same_positions("sig", "root_sig") >= least)
-                   .select(F.col("id").alias("src"), "dst").distinct(), "lsh-star")
-    comp = connected_components(buckets.select("id").distinct(), star).withColumnRenamed("component", "comp")
-    members = _stored(buckets.join(comp, "id"), "lsh-members")
+    roots = (buckets.groupBy("band", "bucket").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").drop("n"))
+    shared = _stored(buckets.join(roots, ["band", "bucket"]), "lsh-shared")
+    pairs = shared.filter("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
+    star = _stored(pairs.join(reps.select(F.col("id").alias("src"), F.col("set").alias("_a")), "src")
+                   .join(reps.select(F.col("id").alias("dst"), F.col("set").alias("_b")), "dst")
+                   .filter(_similar("_a", "_b", threshold)).select("src", "dst").distinct(), "lsh-star")
+    comp = connected_components(shared.select("id").distinct(), star).withColumnRenamed("component", "comp")
+    members = _stored(shared.drop("dst").join(comp, "id"), "lsh-members")
     sizes = members.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     open_ = (sizes.groupBy("band", "bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n"),
                                                  F.max("k").alias("k"), F.count(F.lit(1)).alias("c")).filter("c > 1")
              .select("band", "bucket", "main", F.ceil(F.col("n") / block).cast("int").alias("all_blocks"),
                      F.ceil((F.col("n") - F.col("k")) / block).cast("int").alias("rest_blocks")))
-    m = members.join(open_, ["band", "bucket"])
+    m = members.join(open_, ["band", "bucket"]).join(reps.select("id", "set"), "id")
 
     def dealt(frame, side, own, other, names):
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
         spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
-        return frame.select("band", "bucket", "id", "comp", "sig", F.lit(side).alias("side"), mine, spread)
+        return frame.select("band", "bucket", "id", "comp", "set", F.lit(side).alias("side"), mine, spread)
     left = dealt(m.filter("comp <> main"), 0, "rest_blocks", "all_blocks", ("i", "j"))
     right = dealt(m, 1, "all_blocks", "rest_blocks", ("j", "i"))
     remaining = left.unionByName(right).groupBy("band", "bucket", "i", "j").applyInPandas(
-        _compare_blocks(least), "src long, dst long")
+        _compare_blocks(threshold), "src long, dst long")
     return copies.unionByName(star).unionByName(remaining)
 
 

@@ -65,6 +65,47 @@ def test_event_units_against_brute_force(spark):
     assert not missed, missed[:5]
 
 
+def _components(sets, threshold):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and both >= threshold * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def _near_components(texts, **kw):
+    edges = DD.lsh_edges(DD._stored(DD.signatures(texts, "idx", "text"), "signatures"), "idx", **kw)
+    return {r.id: r.component for r in DD.connected_components(texts.select(F.col("idx").alias("id")), edges).collect()}
+
+
+def test_near_links_at_the_threshold_itself(spark):
+    rows = []
+    for i in range(60):       # 90 shingles each, 80 (0.8) or 79 (0.782) of them shared
+        words = [f"w{i}x{j}" for j in range(92)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:82 - i % 2] + [f"v{i}x{j}" for j in range(10 + i % 2)]))]
+    hub = [f"h{j}" for j in range(92)]       # none of these is close to the least id of its buckets
+    rows += [(1000, " ".join(hub[:60] + [f"a{j}" for j in range(32)]))] + [(1001 + k, " ".join(hub + [f"k{k}"])) for k in range(5)]
+    texts = spark.createDataFrame(rows, "idx long, text string")
+    want = _components({i: _shingles(t) for i, t in rows}, 0.8)
+    assert sum(want[i] != i for i in want) == 34
+    assert _near_components(texts, block=2) == want
+
+
+def test_near_links_of_a_table_against_brute_force(spark):
+    docs = table(spark, SF001, "documents").select(F.col("doc_id").alias("idx"), "text")
+    sets = {r.idx: _shingles(r.text) for r in docs.collect()}
+    got = _near_components(docs)
+    want = _components({i: s for i, s in sets.items() if s}, 0.8)
+    assert {i: got[i] for i in want} == want
+
+
 def test_publish_safety_against_brute_force(spark):
     got = {(r.doc_id, r.pattern_id) for r in E.queries()["flt_publish_safety"](spark, SF01).collect()}
     con = duckdb.connect()
