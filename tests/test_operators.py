@@ -9,7 +9,6 @@ import duckdb
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
 import __spark_entry__ as E
 from quillstream.operators import dedup as DD
 from quillstream.operators import focus as FO
@@ -20,6 +19,8 @@ from quillstream.plans.adapters import builder_posts
 from quillstream.session import table
 from quillstream.sources import payloads as P
 
+SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
