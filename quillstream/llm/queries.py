@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, table
+from . import conversations as op13
 from . import decontaminate as op10
 from . import id_files as op5
 from . import katz as op6
@@ -129,3 +130,10 @@ def id_file_round_trip(spark, sf_dir):
     import public_tokenizers
 
     return op5.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    """Faults, cheapest repair and repaired text hash of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    return op13.report(rows, op13.damage(rows))
