@@ -17,6 +17,7 @@ from . import language as op7
 from . import near_duplicates as op8
 from . import neighbours as op1
 from . import packing as op2
+from . import spelling as op11
 from . import suffix_dedup as op3
 from . import tokens as op4
 from . import toxicity as op9
@@ -137,3 +138,9 @@ def conversation_repair(spark, sf_dir):
     """Faults, cheapest repair and repaired text hash of every damaged conversation."""
     rows = table(spark, sf_dir, "conversations")
     return op13.report(rows, op13.damage(rows))
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark, sf_dir):
+    """Near words, form and root of every word of the documents."""
+    return op11.variants(table(spark, sf_dir, "documents"))
