@@ -144,3 +144,16 @@ def rows_of(first: np.ndarray) -> np.ndarray:
 
 def list_array(values, offsets, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+FILTER_PROBES = 5           # bits set in a key's block of a Bloom filter
+
+
+def block_and_mask(h: np.ndarray, blocks: np.ndarray):
+    """Block of a hash among ``blocks`` blocks, and its bits in the block."""
+    v = mix(h)
+    block = (v >> np.uint64(32)) % blocks.astype(np.uint64)
+    mask = np.zeros(len(v), np.uint64)
+    for i in range(FILTER_PROBES):
+        mask |= np.uint64(1) << ((v >> np.uint64(6 * i)) & np.uint64(63))
+    return block.astype(np.int64), mask

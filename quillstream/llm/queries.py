@@ -17,6 +17,7 @@ from . import language as op7
 from . import near_duplicates as op8
 from . import neighbours as op1
 from . import packing as op2
+from . import shingle_join as op12
 from . import spelling as op11
 from . import suffix_dedup as op3
 from . import tokens as op4
@@ -144,3 +145,9 @@ def conversation_repair(spark, sf_dir):
 def spelling_variants(spark, sf_dir):
     """Near words, form and root of every word of the documents."""
     return op11.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_shingle_join")
+def shingle_join(spark, sf_dir):
+    """Component of every document under links of five-word shingle sets."""
+    return op12.components(table(spark, sf_dir, "documents"))

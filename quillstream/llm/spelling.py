@@ -33,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, LOWER, mix, powers, row_blocks, stored, text_bytes
+from .common import _BASE, _INVERSE, LOWER, block_and_mask, mix, powers, row_blocks, stored, text_bytes
 
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
 ODDS = 97                   # one run in so many loses a letter
 MAX_BYTES = 16 << 20        # of all filters together
 WORD_BITS = 16              # bits of filter a word, while that fits
-PROBES = 5                  # bits set in a word's block
 LONGEST_SHARD = 40          # words of so many code points or more share a shard
 PROBE_BLOCK = 1 << 20       # edits generated at a time
 
@@ -149,16 +148,6 @@ def _hashes(points: np.ndarray, offsets: np.ndarray):
     return place, term, total, total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _block_and_mask(h: np.ndarray, blocks: np.ndarray):
-    """Block of a hash among ``blocks`` blocks, and its bits in the block."""
-    v = mix(h)
-    block = (v >> np.uint64(32)) % blocks.astype(np.uint64)
-    mask = np.zeros(len(v), np.uint64)
-    for i in range(PROBES):
-        mask |= np.uint64(1) << ((v >> np.uint64(6 * i)) & np.uint64(63))
-    return block.astype(np.int64), mask
-
-
 def shard_of(length):
     return np.minimum(length, LONGEST_SHARD)
 
@@ -179,7 +168,7 @@ def filters(vocabulary: DataFrame, max_bytes: int = MAX_BYTES):
             if b.num_rows:
                 points, offs = _points(b.column("word"))
                 s = shard_of(np.diff(offs))
-                block, mask = _block_and_mask(_hashes(points, offs)[3], blocks[s])
+                block, mask = block_and_mask(_hashes(points, offs)[3], blocks[s])
                 yield pa.RecordBatch.from_arrays([pa.array(first[s] + block), pa.array(mask.view(np.int64))], names=["block", "mask"])
 
     rows = vocabulary.select("word").mapInArrow(set_bits, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
@@ -200,7 +189,7 @@ def neighbours(vocabulary: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
         def found(h, shard):
             ok = blocks[shard] > 0
-            block, mask = _block_and_mask(h, np.maximum(blocks[shard], 1))
+            block, mask = block_and_mask(h, np.maximum(blocks[shard], 1))
             at = np.where(ok, first[shard] + block, 0)
             return ok & ((table[at] & mask) == mask) if len(table) else np.zeros(len(h), bool)
 
