@@ -1,7 +1,9 @@
 """Event units and cross-day dedup.
 
-* Exact units: items with the same normalised title share a key; each joins
-  its group's smallest id (star edges, never all pairs).
+* Exact units: items with the same canonical URL are one event whatever their
+  title and day; each joins its group's smallest id (star edges, never all
+  pairs). Items with the same normalised title are one event while no gap
+  between their days is over ``window_days``.
 * Near duplicates: MinHash signatures over word 3-shingles of the whole text
   bucket the texts by LSH bands; an edge is kept when the exact Jaccard
   similarity of two shingle sets of a bucket is at least ``threshold``. Members
@@ -29,6 +31,7 @@ from ..session import checkpoint_dir, delete_folder
 NUM_HASHES = 64
 BANDS = 16
 SHINGLE = 3
+PIECE = 1 << 18         # shingles permuted at a time
 _PRIME = (1 << 61) - 1
 
 
@@ -46,6 +49,35 @@ def exact_edges(items: DataFrame, id_col: str = "idx", key_col: str = "event_key
             .select(F.col(id_col).alias("src"), F.col("_root").alias("dst")))
 
 
+#: query keys that name a campaign or a click, not a document (own rule)
+TRACKING_KEYS = r"(?i)^(utm_.*|fbclid|gclid|msclkid|mc_cid|mc_eid|spm|ref|ref_src|from)(=.*)?$"
+
+
+def canonical_url(url) -> Column:
+    """Host (lower case, without ``www.`` and a default port), path (without a
+    last slash) and sorted query (without tracking keys) of an absolute URL;
+    null if it has no host. Scheme and fragment don't count."""
+    u = F.trim(F.col(url) if isinstance(url, str) else url)
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), r"^www\.|:(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1), r"/+$", "")
+    parts = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING_KEYS))
+    query = F.array_join(F.array_sort(parts), "&")
+    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def title_edges(items: DataFrame, window_days: int) -> DataFrame:
+    """Star edges between items (idx, event_key, day) of one title: a run of
+    days without a gap over ``window_days`` is one event. The runs are found on
+    distinct (title, day) rows. Items without a title or day have none."""
+    named = items.filter("event_key <> '' and day is not null").select("idx", "event_key", "day")
+    by_key = Window.partitionBy("event_key").orderBy("day")
+    new = F.datediff("day", F.lag("day").over(by_key)) <= window_days
+    days = named.select("event_key", "day").distinct().withColumn("_first", F.when(~F.coalesce(new, F.lit(False)), F.col("day")))
+    runs = days.select("event_key", "day", F.max("_first").over(by_key).alias("_run"))
+    keyed = named.join(runs, ["event_key", "day"]).withColumn("_key", F.concat_ws("@", F.col("_run").cast("string"), "event_key"))
+    return exact_edges(keyed, key_col="_key")
+
+
 def _coeffs(k: int, seed: int = 7):
     rng = np.random.default_rng(seed)
     a = rng.integers(1, _PRIME - 1, size=k, dtype=np.int64)
@@ -60,17 +92,25 @@ def _minhash_udf(k: int):
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def minhash(hashes: pd.Series) -> pd.Series:
-        """Per text: k universal-hash permutations of the shingle hashes, min
-        of each (vectorised numpy over one text's shingles)."""
-        out = []
+        """Per text: k universal-hash permutations of the shingle hashes, min of
+        each. A batch's shingles lie in one array and go through the
+        permutations in pieces of bounded size."""
         p = np.uint64((1 << 31) - 1)
-        for h in hashes:
-            if h is None or len(h) == 0:
-                out.append(None)
-                continue
-            v = (np.asarray(h, dtype=np.int64).astype(np.uint64) % p)
-            m = ((a64[:, None] * v[None, :] + b64[:, None]) % p).min(axis=1)
-            out.append(m.astype(np.int64).tolist())
+        size = np.array([0 if h is None else len(h) for h in hashes])
+        have = np.flatnonzero(size)
+        out = [None] * len(size)
+        if len(have):
+            v = np.concatenate([np.asarray(hashes.iloc[i], np.int64) for i in have]).astype(np.uint64) % p
+            first = np.concatenate([[0], np.cumsum(size[have])])
+            sig = np.full((k, len(have)), p, np.uint64)
+            for lo in range(0, len(v), PIECE):
+                hi = min(lo + PIECE, len(v))
+                a, b = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
+                cut = np.maximum(first[a:b], lo) - lo
+                for i in range(k):
+                    sig[i, a:b] = np.minimum(sig[i, a:b], np.minimum.reduceat((a64[i] * v[lo:hi] + b64[i]) % p, cut))
+            for j, i in enumerate(have):
+                out[i] = sig[:, j].astype(np.int64).tolist()
         return pd.Series(out)
     return minhash
 
@@ -106,7 +146,7 @@ def _similar(a: str, b: str, threshold: float) -> Column:
     return both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
 
 
-def _compare_blocks(threshold: float):
+def _compare_blocks(threshold: float, window_days: int | None = None):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between the two sides of one pair of blocks, one for each pair
         of components."""
@@ -118,13 +158,15 @@ def _compare_blocks(threshold: float):
         h = np.concatenate(rest["set"].to_list())
         order = np.argsort(h, kind="stable")
         h, owner = h[order], np.repeat(np.arange(len(rest)), size)[order]
-        ids, comp, found = rest["id"].to_numpy(), rest["comp"].to_numpy(), []
-        for dst, cb, mine in zip(other["id"], other["comp"], other["set"]):
+        ids, comp, days, found = rest["id"].to_numpy(), rest["comp"].to_numpy(), rest["day"].to_numpy(), []
+        for dst, cb, day, mine in zip(other["id"], other["comp"], other["day"], other["set"]):
             lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
             n = hi - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             both = np.bincount(owner[at], minlength=len(rest))
             ok = (both >= threshold * (size + len(mine) - both) - 1e-9) & (comp != cb)
+            if window_days is not None:
+                ok &= np.abs(days - day) <= window_days
             found += [(ids[i], dst, comp[i], cb) for i in np.flatnonzero(ok)]
         if not found:
             return out
@@ -132,7 +174,8 @@ def _compare_blocks(threshold: float):
     return links
 
 
-def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float = 0.8, block: int = 256) -> DataFrame:
+def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float = 0.8, block: int = 256,
+              day_col: str | None = None, window_days: int | None = None) -> DataFrame:
     """Edges that connect all pairs of one LSH bucket whose shingle sets have a
     Jaccard similarity of at least ``threshold``. Signatures without a
     ``shingles`` column are compared position by position instead.
@@ -143,48 +186,57 @@ def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float
     compared with all its members: both sides are dealt into blocks of about
     ``block`` rows, and a pair of blocks is compared inside one task, so no
     pair of rows is ever shuffled. Connected components of the result equal
-    those of all such pairs."""
+    those of all such pairs.
+
+    With ``day_col`` and ``window_days`` a pair's days are at most that far
+    apart, and rows without a day have no edges."""
     rows = NUM_HASHES // bands
+    day = F.unix_date(day_col) if day_col else F.lit(0)
+    slot = F.floor(F.col("day") / max(1, window_days)) if day_col else F.lit(0)
+    slots = F.array(slot, slot + 1) if day_col else F.array(slot)
+    key = ["band", "bucket", "slot"]
     if "shingles" in sigs.columns:
         sets = F.col("shingles")
     else:
         least = int(threshold * NUM_HASHES)
         sets = F.array_sort(F.transform("sig", lambda v, i: F.xxhash64(i, v)))
         threshold = least / (2 * NUM_HASHES - least)        # the same agreement as a share of the union
-    sigs = sigs.filter("sig is not null").select(F.col(id_col).alias("id"), "sig", sets.alias("set"))
+    sigs = sigs.filter("sig is not null").select(F.col(id_col).alias("id"), day.alias("day"), "sig", sets.alias("set")).filter("day is not null")
     mark = [F.xxhash64("set").alias("m1"), F.xxhash64(F.lit("set"), "set").alias("m2")]
-    marked = sigs.select("id", *mark)
-    reps = marked.groupBy("m1", "m2").agg(F.min("id").alias("dst"))
-    copies = marked.join(reps, ["m1", "m2"]).filter("id <> dst").select(F.col("id").alias("src"), "dst")
-    kept = sigs.select("id", "sig", "set", *mark).join(reps.withColumnRenamed("dst", "id"), ["id", "m1", "m2"], "left_semi")
-    reps = _stored(kept.select("id", "sig", "set"), "lsh-sets")
-    buckets = _stored(reps.select("id", F.posexplode(F.transform(
+    marked = sigs.select("id", "day", *mark)
+    reps = marked.groupBy("m1", "m2", "day").agg(F.min("id").alias("dst"))
+    copies = marked.join(reps, ["m1", "m2", "day"]).filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    kept = sigs.select("id", "day", "sig", "set", *mark).join(reps.select(F.col("dst").alias("id"), "m1", "m2"), ["id", "m1", "m2"], "left_semi")
+    reps = _stored(kept.select("id", "day", "sig", "set"), "lsh-sets")
+    banded = reps.select("id", "day", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "bucket")), "lsh-buckets")
-    roots = (buckets.groupBy("band", "bucket").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").drop("n"))
-    shared = _stored(buckets.join(roots, ["band", "bucket"]), "lsh-shared")
-    pairs = shared.filter("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
+        lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "bucket"))
+    buckets = _stored(banded.select("id", "day", "band", "bucket", F.explode(slots).alias("slot")), "lsh-buckets")
+    roots = (buckets.groupBy(*key).agg(F.min(F.struct("id", "day")).alias("root"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").select(*key, F.col("root.id").alias("dst"), F.col("root.day").alias("dst_day")))
+    shared = _stored(buckets.join(roots, key), "lsh-shared")
+    near = F.abs(F.col("day") - F.col("dst_day")) <= window_days if day_col else F.lit(True)
+    pairs = shared.filter("id <> dst").filter(near).select(F.col("id").alias("src"), "dst").distinct()
     star = _stored(pairs.join(reps.select(F.col("id").alias("src"), F.col("set").alias("_a")), "src")
                    .join(reps.select(F.col("id").alias("dst"), F.col("set").alias("_b")), "dst")
                    .filter(_similar("_a", "_b", threshold)).select("src", "dst").distinct(), "lsh-star")
     comp = connected_components(shared.select("id").distinct(), star).withColumnRenamed("component", "comp")
-    members = _stored(shared.drop("dst").join(comp, "id"), "lsh-members")
-    sizes = members.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    open_ = (sizes.groupBy("band", "bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n"),
+    members = _stored(shared.drop("dst", "dst_day").join(comp, "id"), "lsh-members")
+    sizes = members.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("k"))
+    open_ = (sizes.groupBy(*key).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n"),
                                                  F.max("k").alias("k"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-             .select("band", "bucket", "main", F.ceil(F.col("n") / block).cast("int").alias("all_blocks"),
+             .select(*key, "main", F.ceil(F.col("n") / block).cast("int").alias("all_blocks"),
                      F.ceil((F.col("n") - F.col("k")) / block).cast("int").alias("rest_blocks")))
-    m = members.join(open_, ["band", "bucket"]).join(reps.select("id", "set"), "id")
+    m = members.join(open_, key).join(reps.select("id", "set"), "id")
 
     def dealt(frame, side, own, other, names):
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
         spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
-        return frame.select("band", "bucket", "id", "comp", "set", F.lit(side).alias("side"), mine, spread)
+        return frame.select(*key, "id", "day", "comp", "set", F.lit(side).alias("side"), mine, spread)
     left = dealt(m.filter("comp <> main"), 0, "rest_blocks", "all_blocks", ("i", "j"))
     right = dealt(m, 1, "all_blocks", "rest_blocks", ("j", "i"))
-    remaining = left.unionByName(right).groupBy("band", "bucket", "i", "j").applyInPandas(
-        _compare_blocks(threshold), "src long, dst long")
+    remaining = left.unionByName(right).groupBy(*key, "i", "j").applyInPandas(
+        _compare_blocks(threshold, window_days), "src long, dst long")
     return copies.unionByName(star).unionByName(remaining)
 
 
@@ -225,12 +277,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .select("id", F.coalesce("label", "id").alias("component")))
 
 
-def event_units(scored: DataFrame, texts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """ddp_event_units: (idx, unit, is_representative, unit_size) where the
-    representative is the highest-priority member (ties: smallest idx)."""
-    exact = exact_edges(scored.withColumn("event_key", event_key("title")))
-    near = lsh_edges(_stored(signatures(texts, "idx", "text"), "signatures"), "idx", threshold=threshold)
-    comp = connected_components(scored.select(F.col("idx").alias("id")), exact.unionByName(near))
+def event_units(scored: DataFrame, texts: DataFrame, threshold: float = 0.8, window_days: int = 14) -> DataFrame:
+    """ddp_event_units: (idx, unit, is_representative, unit_size, n_sources)
+    where the representative is the highest-priority member (ties: smallest idx).
+
+    ``scored``: (idx, source, priority, title, url, day); ``texts``: (idx, text,
+    day). One canonical URL is one event; equal titles and near-duplicate texts
+    are one event within ``window_days``. Items without a day are linked by URL
+    alone."""
+    items = scored.select("idx", event_key("title").alias("event_key"), canonical_url("url").alias("place"), "day")
+    same = exact_edges(items, key_col="place").unionByName(title_edges(items, window_days))
+    signed = signatures(texts, "idx", "text").join(texts.select("idx", "day"), "idx")
+    near = lsh_edges(_stored(signed, "signatures"), "idx", threshold=threshold, day_col="day", window_days=window_days)
+    comp = connected_components(scored.select(F.col("idx").alias("id")), same.unionByName(near))
     u = scored.select("idx", "source", "priority").join(comp.withColumnRenamed("id", "idx"), "idx")
     rep = u.groupBy("component").agg(
         F.max_by("idx", F.struct(F.col("priority"), -F.col("idx"))).alias("_rep"),

@@ -121,3 +121,25 @@ def partial_reasons(states: DataFrame, notes: DataFrame, files: DataFrame) -> Da
               .otherwise(F.lit(K.ACTION_FRESH)))
     return out.select("dt", partial.alias("is_partial_run"), F.array_join(reasons, "; ").alias("partial_reasons"),
                       action.alias("recommended_action"))
+
+
+def due_days(calendar: DataFrame, successes: DataFrame, look_back: int = 7) -> DataFrame:
+    """flt_frequency_due: rows of ``calendar`` (source, frequency, day) on which
+    the source is due. daily / 3x_week / irregular always are, weekday skips
+    Saturday and Sunday, weekly skips a day with a success (source, d) in the
+    ``look_back`` days before it. Each success is expanded to the days it
+    covers and anti-joined; distinct (source, day) rows bound the expansion."""
+    covered = (successes.filter("d is not null").distinct()
+               .select("source", F.explode(F.sequence(F.date_add("d", 1), F.date_add("d", look_back))).alias("day")).distinct())
+    weekly = calendar.filter(F.col("frequency") == "weekly").join(covered, ["source", "day"], "left_anti")
+    weekday = calendar.filter((F.col("frequency") == "weekday") & F.dayofweek("day").between(2, 6))
+    always = calendar.filter(F.col("frequency").isin("daily", "3x_week", "irregular"))
+    return always.unionByName(weekday, allowMissingColumns=False).unionByName(weekly.select(*calendar.columns))
+
+
+def skipped_sources(states: DataFrame, due: DataFrame) -> DataFrame:
+    """inc_weekly_skip: (dt, source, by_rule) of the sources without cache files
+    whose manifest entry says complete; ``by_rule``: the source isn't due that day."""
+    done = states.filter((F.col("status") == "complete") & ~F.col("has_raw") & ~F.col("has_normalized") & F.col("manifest_complete"))
+    days = due.select("source", F.col("day").alias("dt"), F.lit(False).alias("_free")).distinct()
+    return done.join(days, ["dt", "source"], "left").select("dt", "source", F.coalesce("_free", F.lit(True)).alias("by_rule"))

@@ -1,10 +1,13 @@
 """Track scores, section placement, headline repeat rule, editorial noise
 and publish-safety scan.
 
-Section placement is per day: three ``row_number`` ranks with caps, each over
-what the previous section left (quotas are caps, not targets; overflow falls
-to the next section). Spark plans the ``rank <= cap`` filters as partial group
-limits, so a day's items are never gathered into one task.
+Section placement is per day: three ranks with caps, each over what the
+previous section left (quotas are caps, not targets; overflow falls to the next
+section). A section's winners are among the day's first rows in its own order,
+as many as its cap and the caps before it allow. Those few rows are found by
+``row_number() <= k`` filters, which Spark plans as group limits before the
+shuffle; the cascade runs on them alone, so a day's items are never gathered
+into one task.
 """
 
 from __future__ import annotations
@@ -23,24 +26,37 @@ def with_track_scores(df: DataFrame, industry: list[str], personal: list[str]) -
     return df.withColumn("industry_score", S.track_score(*industry)).withColumn("personal_score", S.track_score(*personal))
 
 
+def section_winners(df: DataFrame, day: str = "day") -> DataFrame:
+    """(idx, section) of the items that get a section: industry (score >= 8,
+    at most 4), then personal (>= 7, at most 5) among the rest, then watch (at
+    most 15 by priority). ``idx`` is unique."""
+    order = {"industry": [F.col("industry_score").desc(), F.col("priority").desc(), F.col("idx")],
+             "personal": [F.col("personal_score").desc(), F.col("priority").desc(), F.col("idx")],
+             "watch": [F.col("priority").desc(), F.col("idx")]}
+    eligible = {"industry": F.col("industry_score") >= K.INDUSTRY_MIN, "personal": F.col("personal_score") >= K.PERSONAL_MIN,
+                "watch": F.lit(True)}
+    caps = {"industry": K.INDUSTRY_CAP, "personal": K.PERSONAL_CAP, "watch": K.WATCH_CAP}
+    first, reach = None, 0
+    for name in order:
+        reach += caps[name]                 # earlier sections take at most the caps before this one
+        rank = F.row_number().over(Window.partitionBy(day).orderBy(*order[name]))
+        part = (df.filter(eligible[name]).select(F.col(day).alias("day"), "idx", "industry_score", "personal_score", "priority", rank.alias("rank"))
+                .filter(F.col("rank") <= reach).select("day", "idx", F.lit(name).alias("section"), "rank"))
+        first = part if first is None else first.unionByName(part)
+    # at most as many rows a day as the reaches add to
+    few = first.groupBy("day", "idx").agg(*[F.min(F.when(F.col("section") == name, F.col("rank"))).alias(name) for name in order])
+    taken = F.lit(None).cast("string")
+    for name in order:
+        open_ = F.col("section").isNull() & F.col(name).isNotNull()
+        few = few.withColumn("section", taken) if name == "industry" else few
+        place = F.row_number().over(Window.partitionBy("day", open_).orderBy(name))
+        few = few.withColumn("section", F.when(open_ & (place <= caps[name]), F.lit(name)).otherwise(F.col("section")))
+    return few.filter("section is not null").select("idx", "section")
+
+
 def place_sections(df: DataFrame, day: str = "day") -> DataFrame:
-    """win_section_quota: industry (score >= 8, at most 4), then personal
-    (>= 7, at most 5) among the rest, then watch (at most 15 by priority)."""
-    ind_ok = F.col("industry_score") >= K.INDUSTRY_MIN
-    a = df.withColumn("_r1", F.when(ind_ok, F.row_number().over(
-        Window.partitionBy(day, ind_ok).orderBy(F.col("industry_score").desc(), F.col("priority").desc(), "idx"))))
-    a = a.withColumn("_ind", F.coalesce(F.col("_r1") <= K.INDUSTRY_CAP, F.lit(False)))
-    per_ok = ~F.col("_ind") & (F.col("personal_score") >= K.PERSONAL_MIN)
-    a = a.withColumn("_pok", per_ok)
-    a = a.withColumn("_r2", F.when(F.col("_pok"), F.row_number().over(
-        Window.partitionBy(day, "_pok").orderBy(F.col("personal_score").desc(), F.col("priority").desc(), "idx"))))
-    a = a.withColumn("_per", F.coalesce(F.col("_r2") <= K.PERSONAL_CAP, F.lit(False)))
-    a = a.withColumn("_wok", ~F.col("_ind") & ~F.col("_per"))
-    a = a.withColumn("_r3", F.when(F.col("_wok"), F.row_number().over(
-        Window.partitionBy(day, "_wok").orderBy(F.col("priority").desc(), "idx"))))
-    section = (F.when(F.col("_ind"), "industry").when(F.col("_per"), "personal")
-               .when(F.col("_r3") <= K.WATCH_CAP, "watch"))
-    return a.withColumn("section", section).drop("_r1", "_ind", "_pok", "_r2", "_per", "_wok", "_r3")
+    """win_section_quota: every item with its ``section`` (null: none)."""
+    return df.join(section_winners(df, day), "idx", "left")
 
 
 def headline_repeat(today: DataFrame, history: DataFrame, day: str = "day",
@@ -77,6 +93,36 @@ def editorial_noise(items: DataFrame, labels: DataFrame | None = None) -> DataFr
     return df.withColumn("noise_reason", reason)
 
 
+def vendor_mentions(items: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(idx, vendor) of every item whose title or summary names a vendor: the
+    name's words stand there one after another, whatever their case and the
+    signs between them. Names without a letter or digit are none.
+
+    A name is anchored on its first word: texts emit their distinct words, an
+    equi-join with the anchors (before any shuffle while Spark finds the vendor
+    table small enough to broadcast) leaves few candidates, and only their
+    texts are searched for the whole name."""
+    def plain(c):
+        return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+    v = vendors.select("vendor", plain(F.col("name")).alias("name")).filter("name <> ''").withColumn(
+        "word", F.substring_index("name", " ", 1))
+    t = items.select("idx", plain(F.concat_ws(" ", "title", "summary")).alias("plain"))
+    words = t.select("idx", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+    cand = words.join(v, "word").select("idx", "vendor", "name")
+    space = F.lit(" ")
+    return (cand.join(t, "idx").filter(F.instr(F.concat(space, "plain", space), F.concat(space, "name", space)) > 0)
+            .select("idx", "vendor").distinct())
+
+
+def uncovered_vendors(mentions: DataFrame, scored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """jn_vendor_coverage: vendors whose best item (priority, then least idx)
+    isn't among the chosen ones: (vendor, idx)."""
+    best = (mentions.join(scored.select("idx", "priority"), "idx").groupBy("vendor")
+            .agg(F.max_by("idx", F.struct("priority", -F.col("idx"))).alias("idx")))
+    return best.join(chosen.select("idx"), "idx", "left_anti").select("vendor", "idx")
+
+
 def publish_safety(docs: DataFrame, patterns: DataFrame, fixed: tuple[str, ...] = (), anchor_words: int = 4,
                    anchor_chars: int = 8) -> DataFrame:
     """flt_publish_safety: one problem per (document, pattern) where the
@@ -118,10 +164,16 @@ def publish_safety(docs: DataFrame, patterns: DataFrame, fixed: tuple[str, ...]
     return hits.unionByName(docs.select("doc_id", F.explode(F.array_compact(literal)).alias("pattern_id")))
 
 
-def output_quality(texts: DataFrame, text_col: str = "text", headings=K.REQUIRED_HEADINGS) -> DataFrame:
-    """flt_output_quality: template residue ``{{...}}`` and required headings
-    (at the start of a line)."""
+def output_quality(texts: DataFrame, days: DataFrame | None = None, text_col: str = "text", headings=K.REQUIRED_HEADINGS) -> DataFrame:
+    """flt_output_quality: template residue ``{{...}}``, required headings (at
+    the start of a line), and with ``days`` (dt, is_partial_run) whether the
+    text's day (``dt``) is only half done; a day without a run is half done."""
     t = F.col(text_col)
     missing = F.array_compact(F.array(*[F.when(~t.rlike(f"(?m)^{h}"), F.lit(h.strip())) for h in headings]))
-    return texts.withColumn("has_residue", F.coalesce(t.rlike(r"\{\{.*?\}\}"), F.lit(False))) \
+    out = texts.withColumn("has_residue", F.coalesce(t.rlike(r"\{\{.*?\}\}"), F.lit(False))) \
         .withColumn("missing_headings", F.array_join(missing, ","))
+    if days is None:
+        return out
+    half = days.select("dt", F.col("is_partial_run").alias("_half"))
+    out = out.join(half, "dt", "left").withColumn("day_partial", F.coalesce("_half", F.lit(True))).drop("_half")
+    return out.withColumn("publishable", ~F.col("has_residue") & (F.col("missing_headings") == "") & ~F.col("day_partial"))

@@ -17,7 +17,7 @@ from ..operators import dedup as DD
 from ..operators import digest as G
 from ..operators import report as R
 from ..operators import sections as SC
-from ..session import spread, table
+from ..session import spread, table, work_table
 from . import oracle as O
 from .adapters import TARGET_DATE, digest_items
 from .digest_queries import scored_items
@@ -88,13 +88,14 @@ _ALL = (O.ITEMS_CTE, O.COMPACT_CTE, DD_CTE)
 
 
 def _dd(spark, sf_dir):
-    """Items with day, event key, facts, priority and label columns."""
+    """Items with day, event key, facts, priority and label columns, written
+    once: a query's rules all read this narrow table, not the texts."""
     it = digest_items(spark, sf_dir).select("idx", "source", "title", "url", F.to_date("event_ts").alias("day"),
                                             DD.event_key("title").alias("event_key"), DD.facts("summary").alias("facts"))
     pr = scored_items(spark, sf_dir).select("idx", "priority")
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality", "toxic")
-    return (it.join(pr, "idx").join(lab, "idx", "left")
-            .select("idx", "source", "title", "url", "day", "priority", "event_key", "facts", "quality", "toxic"))
+    return work_table(it.join(pr, "idx").join(lab, "idx", "left").select(
+        "idx", "source", "title", "url", "day", "priority", "event_key", "facts", "quality", "toxic"), "dd")
 
 
 def _tracks(df):
@@ -105,14 +106,14 @@ def _tracks(df):
     return SC.with_track_scores(df, ind, per)
 
 
-def _xday(spark, sf_dir):
-    return DD.cross_day(_dd(spark, sf_dir))
+def _xday(dd):
+    return DD.cross_day(dd.select("idx", "event_key", "day", "facts"))
 
 
 @register("ddp_cross_day", O.with_ctes(*_ALL, body="SELECT idx, seen, has_new_fact, keep FROM xday"))
 def ddp_cross_day(spark, sf_dir):
     """Every item against its previous 14 days: seen, new facts, kept."""
-    return _xday(spark, sf_dir).select("idx", "seen", "has_new_fact", "keep")
+    return _xday(_dd(spark, sf_dir)).select("idx", "seen", "has_new_fact", "keep")
 
 
 @register("jn_recent_semi", O.with_ctes(*_ALL, body="SELECT idx FROM seen"))
@@ -130,8 +131,8 @@ SELECT idx, is_continuation, CASE WHEN is_continuation THEN priority - {K.CONTIN
 FROM xday WHERE keep"""))
 def ddp_continuation(spark, sf_dir):
     """Kept items; kept repeats are continuations and lose 2 points."""
-    pr = _dd(spark, sf_dir).select("idx", "priority")
-    x = _xday(spark, sf_dir).join(pr, "idx").filter(F.col("keep"))
+    dd = _dd(spark, sf_dir)
+    x = _xday(dd).filter(F.col("keep")).join(dd.select("idx", "priority"), "idx")
     adj = F.when(F.col("is_continuation"), F.col("priority") - K.CONTINUATION_PENALTY).otherwise(F.col("priority"))
     return x.select("idx", "is_continuation", adj.alias("adjusted_priority"))
 
@@ -142,14 +143,14 @@ def agg_track_score(spark, sf_dir):
     return _tracks(_dd(spark, sf_dir)).select("idx", "industry_score", "personal_score")
 
 
-def _sections(spark, sf_dir):
-    return SC.place_sections(_tracks(_dd(spark, sf_dir)))
+def _sections(dd):
+    return SC.place_sections(_tracks(dd))
 
 
 @register("win_section_quota", O.with_ctes(*_ALL, body="SELECT idx, day, industry_score, personal_score, section FROM sections"))
 def win_section_quota(spark, sf_dir):
     """Each item placed in one section per day: industry, personal, watch (caps)."""
-    return _sections(spark, sf_dir).select("idx", "day", "industry_score", "personal_score", "section")
+    return _sections(_dd(spark, sf_dir)).select("idx", "day", "industry_score", "personal_score", "section")
 
 
 @register("ddp_headline_3d", O.with_ctes(*_ALL, body=f"""
@@ -162,9 +163,9 @@ LEFT JOIN (SELECT DISTINCT t.idx FROM sections t JOIN (SELECT DISTINCT event_key
 def ddp_headline_3d(spark, sf_dir):
     """Industry items that led the section in the last 3 days without new
     facts are demoted to watch."""
-    s = _sections(spark, sf_dir)
-    x = _xday(spark, sf_dir).select("idx", "has_new_fact")
-    t = s.join(x, "idx")
+    dd = _dd(spark, sf_dir)
+    s = work_table(_sections(dd).select("idx", "event_key", "day", "section"), "sections")
+    t = s.join(_xday(dd).select("idx", "has_new_fact"), "idx")
     return SC.headline_repeat(t, s).select("idx", "section", "final_section", "demoted")
 
 
@@ -176,7 +177,7 @@ SELECT idx, event_key, day FROM xday WHERE day > DATE '{_T}' - 14 AND day <= DAT
 def ddp_log_upkeep(spark, sf_dir):
     """The rolling event log after the target day: the kept events of the
     days inside the window, the target day included."""
-    x = _xday(spark, sf_dir).select("idx", "event_key", F.col("t_day").alias("day"), "keep")
+    x = _xday(_dd(spark, sf_dir)).select("idx", "event_key", F.col("t_day").alias("day"), "keep")
     return x.filter((F.col("day") > F.date_sub(F.lit(_T), 14)) & (F.col("day") <= F.lit(_T)) & F.col("keep")).drop("keep")
 
 
@@ -200,13 +201,24 @@ def inc_rolling_dedup(spark, sf_dir):
     return DD.rolling_keep(it, window_days=K.DEDUP_WINDOW_DAYS).select("idx", "keep")
 
 
+def _event_items(spark, sf_dir):
+    """Scored items with title, day and the URL they were posted with: one in
+    ten is a repost of the item before it, under a link with tracking keys."""
+    posted = F.when(F.col("idx") % 10 == 5, F.concat(F.lit("HTTP://www.News.example.com/story/"), (F.col("idx") - 1).cast("string"),
+                                                      F.lit("/?utm_source=feed#top"))).when(
+        F.col("idx") % 10 == 4, F.concat(F.lit("https://news.example.com/story/"), F.col("idx").cast("string"))).otherwise(F.col("url"))
+    it = digest_items(spark, sf_dir).select("idx", "title", posted.alias("url"), F.to_date("event_ts").alias("day"))
+    return scored_items(spark, sf_dir).select("idx", "source", "priority").join(it, "idx")
+
+
 @register("ddp_event_units", None)
 def ddp_event_units(spark, sf_dir):
-    """Event units: exact-title and MinHash-LSH near-duplicate edges,
-    connected components, highest-priority representative."""
-    scored = scored_items(spark, sf_dir)
+    """Event units: items of one canonical URL, and items of one title or with
+    near-duplicate texts within the 14-day window; components of those links,
+    highest-priority representative."""
+    items = work_table(_event_items(spark, sf_dir), "event-items")
     texts = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text"), "idx")
-    return DD.event_units(scored, texts)
+    return DD.event_units(items, texts.join(items.select("idx", "day"), "idx"), window_days=K.DEDUP_WINDOW_DAYS)
 
 
 @register("agg_event_coverage", None)
@@ -216,17 +228,31 @@ def agg_event_coverage(spark, sf_dir):
     return u.filter(F.col("is_representative") & (F.col("unit_size") > 1)).select("unit", "unit_size", "n_sources")
 
 
-@register("jn_vendor_coverage", O.with_ctes(O.ITEMS_CTE, O.COMPACT_CTE, body=f"""
-SELECT v.source_name, v.idx FROM (
-  SELECT source_name, arg_max(idx, (priority, -idx)) AS idx FROM scored GROUP BY source_name) v
+_PLAIN = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _vendors(spark, sf_dir):
+    """Vendor table (vendor, name): each benchmark item is a vendor, named by
+    the first two words of its text."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("vendor"), F.substring_index(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ", 2).alias("name"))
+
+
+@register("jn_vendor_coverage", O.with_ctes(O.ITEMS_CTE, O.COMPACT_CTE, f"""
+vendors AS (SELECT item_id AS vendor, array_to_string(string_split({_PLAIN.format('text')}, ' ')[1:2], ' ') AS name FROM benchmark),
+named AS (
+  SELECT i.idx, v.vendor, s.priority FROM items i JOIN scored s USING (idx)
+  JOIN vendors v ON v.name <> '' AND contains(' ' || {_PLAIN.format("concat_ws(' ', i.title, i.summary)")} || ' ', ' ' || v.name || ' ')
+)""", body=f"""
+SELECT v.vendor, v.idx FROM (SELECT vendor, arg_max(idx, (priority, -idx)) AS idx FROM named GROUP BY vendor) v
 WHERE v.idx NOT IN (SELECT idx FROM winners ORDER BY priority DESC, coalesce(score, 0) DESC, engagement DESC,
                     coalesce(title, '') DESC, {O.source_ordinal()}, rank LIMIT 18)"""))
 def jn_vendor_coverage(spark, sf_dir):
-    """Outlets (source names) whose best item did not make the overall top 18."""
-    scored = scored_items(spark, sf_dir)
-    best = scored.groupBy("source_name").agg(F.max_by("idx", F.struct("priority", -F.col("idx"))).alias("idx"))
+    """Vendors named in the items whose best item did not make the overall top 18."""
+    scored = work_table(scored_items(spark, sf_dir), "scored")
+    items = digest_items(spark, sf_dir).select("idx", "title", "summary")
     chosen = G.top_overall(G.top_per_source(scored)).select("idx")
-    return best.join(chosen, "idx", "left_anti").select("source_name", "idx")
+    return SC.uncovered_vendors(SC.vendor_mentions(items, _vendors(spark, sf_dir)), scored, chosen)
 
 
 _NOISE_SQL = " ".join(f"WHEN regexp_matches(t, {O.q('(?i)' + p)}) THEN {O.q(n)}" for n, p in K.EDITORIAL_NOISE_PATTERNS)
@@ -261,14 +287,29 @@ def flt_publish_safety(spark, sf_dir):
     return SC.publish_safety(docs, pats, _PRIVATE)
 
 
-@register("flt_output_quality", """
-SELECT doc_id, coalesce(regexp_matches(text, '\\{\\{.*?\\}\\}'), false) AS has_residue,
-       concat_ws(',', CASE WHEN NOT regexp_matches(text, '(?m)^# ') THEN '#' END, CASE WHEN NOT regexp_matches(text, '(?m)^## ') THEN '##' END) AS missing_headings
-FROM documents""")
+def _quality_sql():
+    from .runstate_queries import RUN_CTE, partial_sql
+    text = "text"
+    return O.with_ctes(RUN_CTE, f"half AS ({partial_sql()})", f"""
+q AS (
+  SELECT doc_id, coalesce(regexp_matches({text}, '\\{{\\{{.*?\\}}\\}}'), false) AS has_residue,
+         concat_ws(',', CASE WHEN NOT regexp_matches({text}, '(?m)^# ') THEN '#' END, CASE WHEN NOT regexp_matches({text}, '(?m)^## ') THEN '##' END) AS missing_headings,
+         DATE '{_T}' - (doc_id % 40)::INTEGER AS dt
+  FROM documents
+)""", body="""
+SELECT doc_id, has_residue, missing_headings, coalesce(h.is_partial_run, true) AS day_partial,
+       NOT has_residue AND missing_headings = '' AND NOT coalesce(h.is_partial_run, true) AS publishable
+FROM q LEFT JOIN half h USING (dt)""")
+
+
+@register("flt_output_quality", _quality_sql())
 def flt_output_quality(spark, sf_dir):
-    """Template residue and required headings of every text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return SC.output_quality(d).select("doc_id", "has_residue", "missing_headings")
+    """Template residue and required headings of every text, and whether its
+    day's run is only half done."""
+    from .runstate_queries import half_done
+    day = F.date_sub(F.lit(_T), (F.col("doc_id") % 40).cast("int")).alias("dt")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", day)
+    return SC.output_quality(d, half_done(spark, sf_dir)).select("doc_id", "has_residue", "missing_headings", "day_partial", "publishable")
 
 
 @register("snk_raw_note", O.with_ctes(O.ITEMS_CTE, O.COMPACT_CTE, body=f"""
@@ -289,9 +330,9 @@ SELECT count(*) AS raw_items, count(*) FILTER (WHERE x.keep) AS after_dedup,
 FROM sections s JOIN xday x USING (idx) WHERE s.day = DATE '{_T}'"""))
 def snk_summary_stats(spark, sf_dir):
     """Front-matter counts of the target day: raw, after dedup, per section."""
-    s = _sections(spark, sf_dir).filter(F.col("day") == F.lit(_T))
-    x = _xday(spark, sf_dir).select("idx", "keep")
-    j = s.join(x, "idx")
+    dd = _dd(spark, sf_dir)
+    s = _sections(dd.filter(F.col("day") == F.lit(_T))).select("idx", "section")
+    j = s.join(_xday(dd).filter(F.col("t_day") == F.lit(_T)).select("idx", "keep"), "idx")
     return j.agg(F.count(F.lit(1)).alias("raw_items"), F.count_if("keep").alias("after_dedup"),
                  F.count_if(F.col("section") == "industry").alias("industry"),
                  F.count_if(F.col("section") == "personal").alias("personal"),

@@ -278,14 +278,13 @@ def fn_clean_text(spark, sf_dir):
 
 
 @register("fn_strip_invisible", """
-SELECT doc_id, regexp_replace(w, '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g') AS stripped
-FROM (SELECT doc_id, split_part(text, ' ', 1) || chr(8203) || split_part(text, ' ', 2) || chr(65279) AS w FROM documents)""")
+SELECT doc_id, regexp_replace(replace(text, ' ', chr(8203) || ' ') || chr(65279), '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g') AS stripped
+FROM documents""")
 def fn_strip_invisible(spark, sf_dir):
-    """Zero-width and direction marks removed (first two words joined by U+200B, U+FEFF appended)."""
-    d = table(spark, sf_dir, "documents")
-    w = F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\u200b"), F.split_part("text", F.lit(" "), F.lit(2)),
-                 F.lit("\ufeff"))
-    return d.select("doc_id", X.strip_invisible(w).alias("stripped"))
+    """Zero-width and direction marks removed from whole texts (U+200B before every blank, U+FEFF appended)."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    marked = F.concat(F.replace("text", F.lit(" "), F.lit("\u200b ")), F.lit("\ufeff"))
+    return d.select("doc_id", X.strip_invisible(marked).alias("stripped"))
 
 
 @register("fn_ai_keyword_score", O.with_ctes(*_CTES, body=f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import mail as M
 from ..operators import runstate as RS
+from ..session import work_table
 from . import oracle as O
 from .adapters import RAW_NAME_A, RAW_NAME_B, TARGET_DATE, cache_files, mail_registry, note_files
 from .registry import register
@@ -155,6 +156,17 @@ FROM (
         FROM (SELECT DISTINCT dt FROM files)) d)"""
 
 
+def partial_sql() -> str:
+    """(dt, is_partial_run) of every listed day."""
+    return f"SELECT dt, is_partial_run FROM ({_reason_sql()})"
+
+
+def half_done(spark, sf_dir):
+    """(dt, is_partial_run) of every listed day."""
+    files = cache_files(spark, sf_dir)
+    return RS.partial_reasons(RS.run_state(files), note_files(spark, sf_dir), files).select("dt", "is_partial_run")
+
+
 @register("agg_partial_reasons", O.with_ctes(RUN_CTE, body=_reason_sql()))
 def agg_partial_reasons(spark, sf_dir):
     """Why each day is half done, and the recommended action."""
@@ -169,13 +181,38 @@ def inc_resume(spark, sf_dir):
     return s.filter((F.col("status") == "raw_only") & F.col("is_heavy")).select("dt", "source")
 
 
-@register("inc_weekly_skip", O.with_ctes(RUN_CTE, body="""
-SELECT dt, source FROM states WHERE status = 'complete' AND NOT has_raw AND NOT has_normalized"""))
+_FREQUENCIES = ("daily", "weekday", "weekly", "3x_week", "irregular")
+
+
+def _due_sql(grid: str, got: str) -> str:
+    """(source, frequency, day) of ``grid`` that are due, given ``got`` (source, d)."""
+    return f"""SELECT g.source, g.frequency, g.day FROM {grid} g
+  WHERE g.frequency IN ('daily', '3x_week', 'irregular') OR (g.frequency = 'weekday' AND dayofweek(g.day) BETWEEN 1 AND 5)
+     OR (g.frequency = 'weekly' AND NOT EXISTS (SELECT 1 FROM {got} s WHERE s.source = g.source AND s.d BETWEEN g.day - 7 AND g.day - 1))"""
+
+
+def _run_registry(spark):
+    """Frequency of every run source (configuration, not data)."""
+    rows = [(x, _FREQUENCIES[(i + 2) % 5]) for i, x in enumerate(K.ALL_RUN_SOURCES)]
+    return spark.createDataFrame(rows, "source string, frequency string")
+
+
+_RUN_REGISTRY_SQL = ", ".join(f"({O.q(x)}, {O.q(_FREQUENCIES[(i + 2) % 5])})" for i, x in enumerate(K.ALL_RUN_SOURCES))
+
+
+@register("inc_weekly_skip", O.with_ctes(RUN_CTE, f"""
+run_days AS (SELECT s.source, r.frequency, s.dt AS day FROM states s JOIN (VALUES {_RUN_REGISTRY_SQL}) r(source, frequency) USING (source)),
+got AS (SELECT DISTINCT source, dt AS d FROM states WHERE has_raw),
+due AS ({_due_sql('run_days', 'got')})""", body="""
+SELECT s.dt, s.source, d.source IS NULL AS by_rule FROM states s LEFT JOIN due d ON d.source = s.source AND d.day = s.dt
+WHERE s.status = 'complete' AND NOT s.has_raw AND NOT s.has_normalized AND s.manifest_complete"""))
 def inc_weekly_skip(spark, sf_dir):
-    """Sources counted complete only because the manifest says so (e.g. a
-    skipped-by-frequency run)."""
-    s = _states(spark, sf_dir)
-    return s.filter((F.col("status") == "complete") & ~F.col("has_raw") & ~F.col("has_normalized")).select("dt", "source")
+    """Sources without files that the manifest counts complete, and whether the
+    frequency rule skips them on that day."""
+    s = work_table(_states(spark, sf_dir), "states")
+    grid = s.select("source", F.col("dt").alias("day")).join(_run_registry(spark), "source")
+    due = RS.due_days(grid, s.filter("has_raw").select("source", F.col("dt").alias("d")))
+    return RS.skipped_sources(s, due).select("dt", "source", "by_rule")
 
 
 @register("inc_retention", O.with_ctes(RUN_CTE, body=f"""
@@ -192,23 +229,30 @@ def inc_retention(spark, sf_dir):
 _DAYS = [TARGET_DATE - _dt.timedelta(days=i) for i in range(6, -1, -1)]
 
 
-@register("flt_frequency_due", None)
+def _frequency_sql():
+    from .mail_queries import MAIL_CTE
+    names = []
+    for i in range(10):
+        names.append((f"Letter {i}", _FREQUENCIES[i % 5]))
+        if i in (3, 5):
+            names.append((f"Letter {i} special", "weekly"))
+    values = ", ".join(f"({O.q(n)}, {O.q(f)})" for n, f in names)
+    ts = "try_strptime(date, '%a, %d %b %Y %H:%M:%S +0000')"
+    return O.with_ctes(MAIL_CTE, f"""
+grid AS (SELECT r.source, r.frequency, d.day::DATE AS day FROM (VALUES {values}) r(source, frequency)
+         CROSS JOIN generate_series(DATE '{_DAYS[0]}', DATE '{_DAYS[-1]}', INTERVAL 1 DAY) d(day)),
+got AS (SELECT DISTINCT source, ({ts} + INTERVAL 8 HOUR)::DATE AS d FROM mail_match WHERE {ts} IS NOT NULL)""",
+                       body=_due_sql("grid", "got"))
+
+
+@register("flt_frequency_due", _frequency_sql())
 def flt_frequency_due(spark, sf_dir):
-    """Which newsletter sources are due on each of the last seven days:
-    daily / 3x_week / irregular always; weekday skips Sat/Sun; weekly skips
-    when the source delivered on any of the previous seven days. Deliveries
-    come from the matched mail; the 7-day look-back is a bounded expansion of
-    each delivery to the days it covers, then an anti join."""
+    """Which newsletter sources are due on each of the last seven days.
+    Deliveries come from the matched mail."""
     from .mail_queries import _matched
     from ..functions import dates as D
-    reg = mail_registry(spark)
-    grid = reg.select(F.col("name").alias("source"), "frequency",
-                      F.explode(F.sequence(F.lit(_DAYS[0]), F.lit(_DAYS[-1]))).alias("day")).distinct()
+    grid = mail_registry(spark).select(F.col("name").alias("source"), "frequency",
+                                       F.explode(F.sequence(F.lit(_DAYS[0]), F.lit(_DAYS[-1]))).alias("day")).distinct()
     ts = D.parse_datetime("date", month_names=False)
-    got = (_matched(spark, sf_dir).select("source", D.local_date(ts, "Asia/Shanghai").alias("d"))
-           .filter(F.col("d").isNotNull()).distinct())
-    covered = got.select("source", F.explode(F.sequence(F.date_add("d", 1), F.date_add("d", 7))).alias("day")).distinct()
-    weekly = grid.filter(F.col("frequency") == "weekly").join(covered, ["source", "day"], "left_anti")
-    weekday = grid.filter((F.col("frequency") == "weekday") & F.dayofweek("day").between(2, 6))
-    always = grid.filter(F.col("frequency").isin("daily", "3x_week", "irregular"))
-    return always.unionByName(weekday).unionByName(weekly).select("source", "frequency", "day")
+    got = _matched(spark, sf_dir).select("source", D.local_date(ts, "Asia/Shanghai").alias("d"))
+    return RS.due_days(grid, got).select("source", "frequency", "day")

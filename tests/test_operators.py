@@ -54,16 +54,64 @@ def _shingles(text):
 
 
 def test_event_units_against_brute_force(spark):
-    con = duckdb.connect()
-    docs = con.execute(f"select doc_id, text from '{SF001}/documents.parquet'").fetchall()
-    sh = {d: _shingles(t) for d, t in docs}
-    close = set()
-    for (a, sa), (b, sb) in itertools.combinations(sh.items(), 2):
-        if sa and sb and len(sa & sb) / len(sa | sb) >= 0.95:
-            close.add((a, b))
+    """All pairs of sf0.001: canonical URL, title runs, and texts at 0.8 within the window."""
+    from quillstream.plans.dedup_queries import _event_items
+
+    texts = {r.doc_id: r.text for r in table(spark, SF001, "documents").collect()}
+    items = {r.idx: r for r in _event_items(spark, SF001).collect()}
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    title = {i: re.sub(r"[\W_]+", " ", (r.title or "").lower()).strip() for i, r in items.items()}
+    place = {i: re.sub(r"^https?://(www\.)?|/?(\?utm_source=feed)?(#top)?$", "", r.url.lower()) if r.url else None for i, r in items.items()}
+    root = {i: i for i in items}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    apart = 0
+    for a, b in itertools.combinations(sorted(items), 2):
+        both = len(sets[a] & sets[b])
+        alike = both > 0 and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9
+        close = abs((items[a].day - items[b].day).days) <= 14
+        apart += alike and not close
+        if (place[a] and place[a] == place[b]) or (close and (alike or (title[a] and title[a] == title[b]))):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
     units = {r.idx: r.unit for r in E.queries()["ddp_event_units"](spark, SF001).collect()}
-    missed = [(a, b) for a, b in close if units[a] != units[b]]
-    assert not missed, missed[:5]
+    assert units == {i: find(i) for i in items}
+    assert apart and any(find(i) != i for i in items if i % 10 == 5)
+
+
+def test_canonical_urls(spark):
+    same = ["https://News.example.com/a/b", "http://www.news.example.com:80/a/b/", "https://u:p@news.example.com/a/b?utm_source=x&fbclid=1#top",
+            " https://news.example.com:443/a/b?gclid="]
+    other = ["https://news.example.com/a/B", "https://news.example.com/a/b?id=1", "https://news.example.com:8080/a/b", "https://m.news.example.com/a/b"]
+    none = [None, "", "/a/b", "news.example.com/a/b", "mailto:x@y"]
+    rows = spark.createDataFrame([(u,) for u in same + other + none], "u string").select(DD.canonical_url("u").alias("c")).collect()
+    got = [r.c for r in rows]
+    assert set(got[:4]) == {"news.example.com/a/b"} and len(set(got[4:8])) == 4 and "news.example.com/a/b" not in got[4:8] and got[8:] == [None] * 5
+    q = spark.createDataFrame([("http://x.com?b=2&a=1&utm_campaign=z",), ("https://x.com/?a=1&b=2",)], "u string").select(DD.canonical_url("u").alias("c")).collect()
+    assert q[0].c == q[1].c == "x.com?a=1&b=2"
+
+
+def test_event_units_over_days(spark):
+    day = dt.date(2024, 1, 1)
+    words = " ".join(f"w{j}" for j in range(60))
+    rows = [(1, "One story", None, 0, words), (2, "One  STORY!", None, 14, "x"), (3, "one story", None, 29, "y"),      # a run of titles, then a gap of 15 days
+            (4, "A", None, 100, words), (5, "B", None, 114, words + " more"), (6, "C", None, 129, words),              # texts: 14 days, then 15
+            (7, "first title", "https://a.com/x", 0, "p"), (8, "second title", "http://www.a.com/x/?utm_medium=m", 300, "q"),
+            (9, "One story", None, None, words), (10, "", None, 0, "r"), (11, None, None, 0, None)]
+    items = spark.createDataFrame([(i, "s", 1.0, t, u, None if d is None else day + dt.timedelta(d), x) for i, t, u, d, x in rows],
+                                  "idx long, source string, priority double, title string, url string, day date, text string")
+    got = {r.idx: r.unit for r in DD.event_units(items.drop("text"), items.select("idx", "text", "day")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}
+
+
+def test_vendor_names_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "Open-AI ships", None), (2, "openai", "by OPEN  ai."), (3, "reopen ai", "open air"), (4, None, None)],
+                                  "idx long, title string, summary string")
+    vendors = spark.createDataFrame([(1, "Open AI"), (2, "openai"), (3, "..."), (4, None)], "vendor long, name string")
+    assert sorted(tuple(r) for r in SC.vendor_mentions(items, vendors).collect()) == [(1, 1), (2, 1), (2, 2)]
 
 
 def _components(sets, threshold):
