@@ -36,6 +36,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def send(spark: SparkSession, value):
+    """Broadcast the fields of ``value`` (plain arrays and numbers). Broadcast
+    values are pickled by reference, and workers have no copy of this package."""
+    return spark.sparkContext.broadcast(None if value is None else dict(vars(value)))
+
+
+def received(kind: type, shared):
+    """The value sent, on a worker."""
+    if shared.value is None:
+        return None
+    out = object.__new__(kind)
+    out.__dict__.update(shared.value)
+    return out
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

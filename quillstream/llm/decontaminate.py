@@ -6,10 +6,12 @@ intersecting them needs no shuffle and a common term splits over all
 partitions). ``phrase_hits`` starts at the list of each window's rarest term
 (by its count over all documents), shifts it by the term's offset and keeps
 the starts that the next rarest terms' lists also hold. ``proximity_matches``
-asks for all terms within a distance of the rarest one.
+asks for all terms within a distance of the rarest one, in any order.
 
-The benchmark is taken in blocks of at most ``BLOCK_WINDOWS`` windows: only a
-block's terms and windows are sent to the executors, whatever its size.
+The benchmark is taken in blocks of at most ``BLOCK_WINDOWS`` different
+windows: only a block's terms and windows are sent to the executors, whatever
+its size and however many items share a window. Hits name windows; Spark joins
+them with the items.
 
 Defined cases: null or wordless texts have no words and no hits; null
 ``item_id`` rows take no part, repeated item rows count once; every document
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, list_array, row_blocks, rows_of, stored, text_bytes, words
+from .common import ALNUM, list_array, received, row_blocks, rows_of, send, stored, text_bytes, words
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -36,7 +38,7 @@ GAP = 64            # empty positions between documents; windows must be shorter
 PAIRS = 1 << 20     # candidate starts handled at a time
 
 INDEX = "row long, doc_id long, n_words int, terms array<int>, positions array<int>"
-HITS = "row long, doc_id long, n_words int, starts array<int>, ends array<int>, items array<string>"
+HITS = "row long, doc_id long, n_words int, starts array<int>, ends array<int>, keys array<string>"
 RESULT = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -68,15 +70,12 @@ class Phrases:
     """One block of windows: its sorted vocabulary and each window's terms."""
 
     def __init__(self, rows):
-        by_key: dict[str, tuple] = {}
-        for key, item, terms in rows:
-            by_key.setdefault(key, (terms, []))[1].append(item)
-        self.items = [sorted(v[1]) for v in by_key.values()]
-        width = max((len(v[0]) for v in by_key.values()), default=1)
-        self.length = np.array([len(v[0]) for v in by_key.values()], np.int64)
-        h = np.zeros((len(by_key), width), np.uint64)
-        self.used = np.zeros((len(by_key), width), bool)
-        for i, (terms, _) in enumerate(by_key.values()):
+        self.keys = [key for key, _ in rows]
+        width = max((len(terms) for _, terms in rows), default=1)
+        self.length = np.array([len(terms) for _, terms in rows], np.int64)
+        h = np.zeros((len(rows), width), np.uint64)
+        self.used = np.zeros((len(rows), width), bool)
+        for i, (_, terms) in enumerate(rows):
             h[i, :len(terms)] = np.array(terms, np.int64).view(np.uint64)
             self.used[i, :len(terms)] = True
         self.vocab = np.unique(h[self.used])
@@ -104,10 +103,10 @@ class Phrases:
 
 def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
     """Positions of the vocabulary's terms in each whole document, stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+    shared = send(docs.sparkSession, phrases)
 
     def index(batches):
-        ph, part, seq = shared.value, TaskContext.get().partitionId(), 0
+        ph, part, seq = received(Phrases, shared), TaskContext.get().partitionId(), 0
         for b in batches:
             data, offs = text_bytes(b.column("text"))
             ids = b.column("doc_id")
@@ -193,13 +192,13 @@ def _starts(ph: Phrases, base, term, place):
 
 
 def phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """Per document: the maximal runs of hit words and the items found."""
+    """Per document: the maximal runs of hit words and the windows found."""
     if phrases.term.shape[1] > GAP:
         raise ValueError(f"windows are at most {GAP} words")
-    shared = index.sparkSession.sparkContext.broadcast(phrases)
+    shared = send(index.sparkSession, phrases)
 
     def search(batches):
-        ph = shared.value
+        ph = received(Phrases, shared)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
@@ -213,98 +212,117 @@ def phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
                 left, right = edge[::2], edge[1::2]
                 doc = np.searchsorted(base, left, "right") - 1
                 cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                items: list[set] = [set() for _ in range(b.num_rows)]
+                keys: list[list] = [[] for _ in range(b.num_rows)]
                 owner = np.searchsorted(base, s, "right") - 1
                 for d, w in np.unique(np.stack([owner, win], 1), axis=0) if len(s) else ():
-                    items[d].update(ph.items[w])
+                    keys[d].append(ph.keys[w])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("row"), b.column("doc_id"), b.column("n_words"),
                      list_array(left - base[doc], cut, pa.int32()), list_array(right - base[doc], cut, pa.int32()),
-                     pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["row", "doc_id", "n_words", "starts", "ends", "items"])
+                     pa.array(keys, pa.list_(pa.string()))],
+                    names=["row", "doc_id", "n_words", "starts", "ends", "keys"])
 
     return index.mapInArrow(search, HITS)
 
 
-def proximity_matches(index: DataFrame, phrases: Phrases, distance: int) -> DataFrame:
-    """(doc_id, item, position): places of a window's rarest term with every
-    other term of the window within ``distance`` words, in any order."""
-    shared = index.sparkSession.sparkContext.broadcast(phrases)
+def proximity_hits(index: DataFrame, phrases: Phrases, distance: int) -> DataFrame:
+    """(doc_id, key, position): places of a window's rarest term with every
+    other term of the window within ``distance`` words of the document, in any
+    order. All windows are searched at once in lists sorted by term and place."""
+    shared = send(index.sparkSession, phrases)
 
     def search(batches):
-        ph = shared.value
-        for b in batches:
-            base, term, place = _lists(b)
-            ids = b.column("doc_id").to_pylist()
-            order = np.lexsort((place, term))
-            lists = place[order]
-            first = np.searchsorted(term[order], np.arange(len(ph.vocab) + 1))
-            out = []
-            for w in range(len(ph.length)):
-                rare = ph.term[w, ph.place[w, 0]]
-                at = lists[first[rare]:first[rare + 1]]
-                doc = np.searchsorted(base, at, "right") - 1
-                for j in range(1, int(ph.length[w])):
-                    t = ph.term[w, ph.place[w, j]]
-                    other = np.concatenate([lists[first[t]:first[t + 1]], [base[-1] + 2 * GAP + distance]])
-                    near = np.searchsorted(other, np.maximum(at - distance, base[doc]))
-                    ok = other[near] <= np.minimum(at + distance, base[doc + 1] - GAP - 1)
-                    at, doc = at[ok], doc[ok]
-                out += [(ids[d], item, int(p - base[d])) for p, d in zip(at, doc) for item in ph.items[w]]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("doc_id", "item", "position"), x)) for x in out],
-                schema=pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("position", pa.int32())]))
-
-    return index.mapInArrow(search, "doc_id long, item string, position int")
-
-
-def indexed(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS):
-    """(index, phrases) of each block of the benchmark's windows."""
-    cuts = item_windows(items, window)
-    blocks = max(1, math.ceil(cuts.select("key").distinct().count() / block_windows))
+        ph = received(Phrases, shared)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                base, term, place = _lists(b)
+                span = base[-1] + 2 * GAP + 2 * distance
+                lists = np.sort(term.astype(np.int64) * span + place)
+                many = np.diff(ph.rare_first)[term]
+                term, place, many = term[many > 0], place[many > 0], many[many > 0]
+                for x, y in _pairs(many):
+                    m = many[x:y]
+                    at = np.repeat(place[x:y], m)
+                    k = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+                    win = ph.by_rare[np.repeat(ph.rare_first[term[x:y]], m) + k]
+                    for j in range(1, ph.term.shape[1]):
+                        doc = np.searchsorted(base, at, "right") - 1
+                        off = ph.place[win, j]
+                        start = ph.term[win, off].astype(np.int64) * span
+                        near = np.searchsorted(lists, start + np.maximum(at - distance, base[doc]))
+                        last = start + np.minimum(at + distance, base[doc + 1] - GAP - 1)
+                        ok = ~ph.used[win, off] | ((near < len(lists)) & (lists[np.minimum(near, len(lists) - 1)] <= last))
+                        at, win = at[ok], win[ok]
+                    doc = np.searchsorted(base, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(pa.array(doc)), pa.array([ph.keys[w] for w in win], pa.string()),
+                         pa.array(at - base[doc], pa.int32())], names=["doc_id", "key", "position"])
+
+    return index.mapInArrow(search, "doc_id long, key string, position int")
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, distance: int, window: int = WINDOW,
+                      block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """(doc_id, item, position) of every row's proximity hits; an item's hit is
+    given once for each of its windows whose rarest term stands there."""
+    hits, cuts = None, item_windows(items, window)
+    for index, ph in indexed(docs, cuts, block_windows):
+        part = proximity_hits(index, ph, distance)
+        hits = part if hits is None else hits.unionByName(part)
+    return hits.join(cuts.select("key", "item"), "key").select("doc_id", "item", "position")
+
+
+def indexed(docs: DataFrame, cuts: DataFrame, block_windows: int = BLOCK_WINDOWS):
+    """(index, phrases) of each block of the benchmark's different windows."""
+    different = cuts.select("key", "terms").dropDuplicates(["key"])
+    blocks = max(1, math.ceil(different.count() / block_windows))
     part = F.pmod(F.xxhash64("key"), F.lit(blocks))
     for i in range(blocks):
-        ph = Phrases(cuts.filter(part == i).collect())     # at most about block_windows rows
+        ph = Phrases(different.filter(part == i).collect())     # about block_windows rows, one a window
         index = build_index(docs, ph)
         ph.order(term_counts(index, len(ph.vocab)))
         yield index, ph
 
 
 def _finish(hits: DataFrame) -> DataFrame:
-    """Result columns from a document's hit runs (of one block or several)."""
+    """Result columns from a document's hit runs (of one block or several) and items."""
+    def covered(starts, ends):
+        total, upto = 0, 0
+        for x, y in sorted(zip(starts, ends)):
+            total += max(0, y - max(x, upto))
+            upto = max(upto, y)
+        return total
+
     def finish(batches):
         for b in batches:
-            n_hit, n_items, sha = [], [], []
-            for s, e, items in zip(*(b.column(c).to_pylist() for c in ("starts", "ends", "items"))):
-                total, upto = 0, 0
-                for x, y in sorted(zip(s, e)):
-                    total += max(0, y - max(x, upto))
-                    upto = max(upto, y)
-                names = sorted(set(items))
-                n_hit.append(total)
-                n_items.append(len(names))
-                sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            n = pa.array(n_hit, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_words").cast(pa.int64()), n, pa.array(n_items, pa.int64()),
-                 pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            n = pa.array([covered(s, e) for s, e in zip(b.column("starts").to_pylist(), b.column("ends").to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words").cast(pa.int64()), n, b.column("items")],
+                                             names=["doc_id", "n_words", "n_hit", "items"])
 
-    return hits.mapInArrow(finish, RESULT)
+    counted = hits.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(
+        finish, "doc_id long, n_words long, n_hit long, items array<string>")
+    return counted.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                          F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                          (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def document_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                   block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document row: hit runs and items over all blocks of the benchmark."""
-    found = [phrase_hits(index, ph) for index, ph in indexed(docs, items, window, block_windows)]
-    if len(found) == 1:
-        return found[0]
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    return (hits.groupBy("row").agg(                       # one row of each block
+    """Per document row: hit runs over all blocks of the benchmark, and the
+    sorted items of the windows found."""
+    cuts = stored(item_windows(items, window), "windows")
+    hits = None
+    for index, ph in indexed(docs, cuts, block_windows):
+        part = phrase_hits(index, ph)
+        hits = part if hits is None else hits.unionByName(part)
+    hits = stored(hits, "hits")
+    found = hits.select("row", F.explode("keys").alias("key")).join(cuts.select("key", "item"), "key").select("row", "item").distinct()
+    named = found.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    whole = hits.groupBy("row").agg(                        # one row of each block
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))))
+        *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")))
+    return whole.join(named, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,

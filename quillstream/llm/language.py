@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_blocks, text_bytes
+from .common import received, row_blocks, send, text_bytes
 
 ORDER = 3
 SAMPLE = 600
@@ -160,10 +160,10 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col("text").cast("string").alias("_text"), letters.alias("_letters"), *keep)
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[2:])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = send(docs.sparkSession, model)
 
     def guess(batches):
-        m = shared.value
+        m = received(Model, shared)
         for b in batches:
             data, offs = text_bytes(b.column(0))
             ok = b.column(1).to_numpy(zero_copy_only=False)

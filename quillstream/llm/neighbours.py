@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import received, send, stored
 
 SAMPLE = 16_384
 SAMPLE_BYTES = 32 << 20
@@ -137,10 +137,10 @@ def probe(queries: DataFrame, index: Index, ids_in: dict[int, int], k: int) -> D
     """(query_id, vec, bound, list): the lists each query asks, and an upper
     bound of its k-th distance from the sample. ``ids_in``: ids of each list,
     an id counted in one list only."""
-    shared = queries.sparkSession.sparkContext.broadcast(index)
+    shared = send(queries.sparkSession, index)
 
     def route(batches):
-        ix = shared.value
+        ix = received(Index, shared)
         held = np.array([ids_in.get(i, 0) for i in range(len(ix.centroids))])
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -166,10 +166,10 @@ def probe(queries: DataFrame, index: Index, ids_in: dict[int, int], k: int) -> D
 def sample_neighbours(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """(query_id, vec_id, score): each query's k nearest within the sample, the
     rows behind its first bound, so that abandoning never leaves fewer than k."""
-    shared = queries.sparkSession.sparkContext.broadcast(index)
+    shared = send(queries.sparkSession, index)
 
     def near(batches):
-        ix = shared.value
+        ix = received(Index, shared)
         for b in batches:
             out = []
             for q, own in zip(_matrix(b.column("vec")), b.column("query_id").to_pylist()):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, powers, row_blocks, rows_of, stored, text_bytes, words
+from .common import ALNUM, LOWER, mix, powers, received, row_blocks, rows_of, send, stored, text_bytes, words
 
 SAMPLE = 4096
 FEATURES = 512
@@ -227,11 +227,11 @@ def fit(docs: DataFrame, grades: DataFrame, limit: int = SAMPLE, n_features: int
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the likeliest grade (``grade``), ``severity`` (the expected grade),
     ``p_toxic`` (probability of a grade above 0) and ``toxic`` (w.x reaches the model's cut)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = send(docs.sparkSession, model)
     rows = docs.select(F.col("text").cast("string").alias("_text"), *keep)
 
     def rate(batches):
-        m = shared.value
+        m = received(Model, shared)
         find = _Lookup(m.hashes)
         for b in batches:
             data, offs = text_bytes(b.column(0))
