@@ -11,17 +11,18 @@
    leaves out prefix shingles that nobody else has.
 3. Equal sets are one vertex. Sets that share a prefix shingle form a list;
    lists with the same members are taken once.
-4. ``star_pairs``: members are compared with one member of their list first,
-   which joins most of a group of near copies without listing its pairs.
+4. ``star_pairs``: members are compared with the least member of their list
+   first, which joins most of a group of near copies without listing its pairs.
 5. ``tree_pairs``: where a list still has several components, its points are
    indexed in an R-tree, and every member outside the largest component
    searches it. The sum over groups of the smaller coordinate of a point and a
    box's upper corner bounds the overlap with everything in the box; boxes and
    points whose bound is under 4/9 of the two sizes (a similarity of 0.8) are
    left out. Lists are dealt into blocks of ``BLOCK`` points.
-6. The surviving pairs are verified on the whole sets; components of the links
-   are the result. Pairs inside one component are never compared again, and no
-   pair across components is left out.
+6. The surviving pairs are verified on the whole sets, in rounds: each component
+   first tests its pair of largest bound, then 4, 16, ... of those left. Pairs
+   that have come into one component need no test; no pair across components
+   is left untested. Components of the links are the result.
 
 A tree over all documents isn't built: in 64 dimensions the boxes of unlike
 texts overlap, so every document would search every part. The shared prefix
@@ -39,7 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import connected_components
@@ -53,7 +54,7 @@ MOST_HOT = 1 << 18
 LEAST_HOT = 32
 FILTER_BYTES = 16 << 20
 FILTER_BITS = 12            # a key, while that fits
-STARS = 2
+GROWTH = 4                  # pairs a component tests in a round, times those of the last round
 BLOCK = 2048                # points of a tree
 LEAF = 16
 CHUNK = 1 << 16             # bounds computed at a time
@@ -297,14 +298,10 @@ def _open_lists(members: DataFrame, block: int) -> DataFrame:
     return members.join(lists, "h")
 
 
-def star_pairs(members: DataFrame, seed: int, block: int) -> DataFrame:
-    """Pairs of a list's members outside its largest component with one member
-    of that component (another one for each seed)."""
-    opened = _open_lists(members, block)
-    hub = F.min_by("sid", F.xxhash64(F.lit(seed), "sid"))
-    hubs = opened.filter("comp = main").groupBy("h").agg(hub.alias("dst"))
-    return (opened.filter("comp <> main").select("h", F.col("sid").alias("src")).join(hubs, "h")
-            .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of each list's members with its least member."""
+    hubs = members.groupBy("h").agg(F.min("sid").alias("src"))
+    return members.select("h", F.col("sid").alias("dst")).join(hubs, "h").filter("src <> dst").select("src", "dst").distinct()
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, block: int) -> DataFrame:
@@ -326,7 +323,8 @@ def tree_pairs(members: DataFrame, points: DataFrame, block: int) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs whose sizes and summed coordinate minima allow a link."""
+    """(src, dst, share): pairs whose sizes and summed coordinate minima allow
+    a link; ``share``: the bound in the two sizes."""
     def check(batches):
         num, den = SHARE
         for b in batches:
@@ -334,24 +332,53 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             bound = np.minimum(pa_, pb).sum(1, dtype=np.int64) + np.minimum(na - pa_.sum(1, dtype=np.int64), nb - pb.sum(1, dtype=np.int64))
             ok = may_link(bound, na, nb) & (np.minimum(na, nb) * den >= num * np.maximum(na, nb))
-            yield b.select(["src", "dst"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(bound / (na + nb))], names=["src", "dst", "share"]).filter(pa.array(ok))
 
     a = points.select(F.col("sid").alias("src"), F.col("n").alias("na"), F.col("point").alias("pa"))
     b = points.select(F.col("sid").alias("dst"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    return pairs.join(a, "src").join(b, "dst").mapInArrow(check, "src long, dst long")
+    return pairs.join(a, "src").join(b, "dst").mapInArrow(check, "src long, dst long, share double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose whole sets are similar enough."""
+    """Pairs whose whole sets are similar enough. Sets in no pair are left out
+    by a filter before anything is shuffled."""
     num, den = SHARE
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
+    wanted = pairs.sparkSession.sparkContext.broadcast(key_filter(ids, FILTER_BYTES))
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_filter(wanted.value, b.column("sid").to_numpy().view(np.uint64))))
+
+    few = sets.select("sid", "set").mapInArrow(keep, "sid long, set array<long>")
     both = F.size(F.array_intersect("a", "b"))
-    full = (pairs.join(sets.select(F.col("sid").alias("src"), F.col("set").alias("a")), "src")
-            .join(sets.select(F.col("sid").alias("dst"), F.col("set").alias("b")), "dst"))
+    full = (pairs.join(few.select(F.col("sid").alias("src"), F.col("set").alias("a")), "src")
+            .join(few.select(F.col("sid").alias("dst"), F.col("set").alias("b")), "dst"))
     return full.filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
+def _own_sets(docs: DataFrame, pairs: DataFrame, size: int, filter_bytes: int) -> DataFrame:
+    """Stored sets of the texts in a surviving pair."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
+    return stored(whole_sets(docs, stored(wanted, "wanted"), size, filter_bytes), "sets")
+
+
+def _picked(open_: DataFrame, k: int) -> DataFrame:
+    """The ``k`` open pairs of largest bound of each component."""
+    order = [F.col("share").desc(), F.col("src"), F.col("dst")]
+    parts = [open_.withColumn("_r", F.row_number().over(Window.partitionBy(side).orderBy(*order))).filter(F.col("_r") <= k)
+             .select("src", "dst") for side in ("cs", "cd")]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def _placed_pairs(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """Pairs across components, with both components."""
+    return (pairs.join(at.select(F.col("sid").alias("src"), F.col("comp").alias("cs")), "src")
+            .join(at.select(F.col("sid").alias("dst"), F.col("comp").alias("cd")), "dst").filter("cs <> cd"))
+
+
 def components(docs: DataFrame, size: int = SHINGLE, zone: int = ZONE, most_hot: int = MOST_HOT,
-               filter_bytes: int = FILTER_BYTES, stars: int = STARS, block: int = BLOCK) -> DataFrame:
+               filter_bytes: int = FILTER_BYTES, block: int = BLOCK, star: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     context = docs.sparkSession.sparkContext
     shared = stored(frequent(docs, size, zone), "shared")
@@ -365,17 +392,28 @@ def components(docs: DataFrame, size: int = SHINGLE, zone: int = ZONE, most_hot:
     members = stored(entries.join(lists, "h"), "members")
     nodes = stored(members.select("sid").distinct(), "nodes")
     points = stored(points.select("sid", "n", "point").join(nodes, "sid"), "points")
-    sets = stored(whole_sets(docs, nodes, size, filter_bytes), "sets")
     vertices = nodes.withColumnRenamed("sid", "id")
     edges, at = None, vertices.select(F.col("id").alias("sid"), F.col("id").alias("comp"))
-    for step in range(stars + 1):
-        placed = members.join(at, "sid")
-        pairs = star_pairs(placed, step, block) if step < stars else tree_pairs(placed, points, block)
-        more = stored(verified(bounded(pairs, points), sets), "links")
-        if more.isEmpty():
+
+    def linked(more: DataFrame):
+        found = more if edges is None else edges.unionByName(more)
+        return found, stored(connected_components(vertices, found).select(F.col("id").alias("sid"), F.col("component").alias("comp")), "components")
+
+    for step in (["star"] if star else []) + ["tree"]:
+        pairs = star_pairs(members) if step == "star" else tree_pairs(members.join(at, "sid"), points, block)
+        open_ = stored(_placed_pairs(stored(bounded(pairs, points), "pairs"), at), "open")
+        if open_.isEmpty():
             continue
-        edges = more if edges is None else edges.unionByName(more)
-        at = stored(connected_components(vertices, edges).select(F.col("id").alias("sid"), F.col("component").alias("comp")), "components")
+        sets, k = _own_sets(docs, open_, size, filter_bytes), 1
+        while not open_.isEmpty():
+            picks = stored(open_.select("src", "dst") if step == "star" else _picked(open_, k), "picks")
+            more = stored(verified(picks, sets), "links")
+            if not more.isEmpty():
+                edges, at = linked(more)
+            if step == "star":
+                break
+            left = open_.select("src", "dst", "share").join(picks, ["src", "dst"], "left_anti")
+            open_, k = stored(_placed_pairs(left, at), "open"), k * GROWTH
     least = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low")).join(at, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = least.join(least.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("sid", "component_id")
     return rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left").select(

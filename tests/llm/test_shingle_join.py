@@ -70,7 +70,7 @@ def _texts(rng, near, words=60):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"stars": 0, "block": 40}, {"stars": 1, "block": 20, "most_hot": 5, "filter_bytes": 64}, {"zone": 1 << 61}])
+@pytest.mark.parametrize("options", [{}, {"star": False, "block": 40}, {"block": 20, "most_hot": 5, "filter_bytes": 64, "zone": 1 << 61}])
 def test_groups_at_the_threshold(spark, docs_of, options):
     """Chains of near copies around 0.8, in lists of several blocks, with tiny filters, few hot shingles and a small zone."""
     rows = list(enumerate(_texts(random.Random(3), 120)))
