@@ -103,7 +103,6 @@ PER_SOURCE_LIMIT = 8
 OVERALL_LIMIT = 18
 DEDUP_WINDOW_DAYS = 14
 RETENTION_DAYS = 21
-COMPLETED_QUERY_LIMIT = 200
 
 # --- fixed values: freshness conclusions of the source-freshness check ---
 VERDICT_NO_HARD_7D = "硬新闻来源（rss/email/aihot）没有最近 7 天的新内容。今天不应强写主线新闻，应转为“无明显新硬新闻 + 深读分析/趋势判断”。"
