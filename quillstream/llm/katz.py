@@ -1,29 +1,34 @@
-"""Katz backoff language model of word pairs, learned and scored in the cluster.
-
-P(w | v) = d_c * c(v,w) / c(v) for a pair seen c times in training, with
-Good-Turing discounts d_c for c up to ``GT_MAX`` (1 above), and else alpha(v) * P(w):
-a context without a discounted pair gives up half a
-count. alpha(v) gives what discounting left to the words not seen after v, divided by
-their share of P, so that every context's probabilities add up to 1. P(w) is
-the base, (c(w) + 1) / (N + V + 1), the one class of unknown words included. A
-text's tokens are its lower-cased words and one end; before the first word the
-context is a start mark.
+"""Katz backoff language model, learned, stored and scored in the cluster.
+
+With h the words before w, and h' the same without the farthest one,
+P(w | h) = d_r * c(h,w) / c(h) for an n-gram seen r times in training, with
+Good-Turing discounts d_r of its order for r up to ``GT_MAX`` (1 above), and else
+alpha(h) * P(w | h'): a context without a discounted n-gram gives up half a count.
+alpha(h) gives what discounting left to the words not seen after h, divided by
+their share of P(. | h'), so that every context's probabilities add up to 1; it is 1
+for a context not seen. Order 1 is the base, (c(w) + 1) / (N + V + 1), the one class of
+unknown words included. The order is a parameter (3: up to two words before). A
+text's tokens are its lower-cased words and one end; before the first word stand
+start marks.
 
 Counts are never held in one place. Texts are taken in blocks of about
 ``BLOCK_TOKENS`` tokens.
 
 1. Each block sends its distinct words, by hash to buckets; a bucket numbers
-   and counts its words over all blocks and answers the blocks.
-2. Each block sends its pairs, with the second word's count and the text they
-   stand in, to the bucket of the first word. A word with so many pairs that it
-   would fill a bucket is split by the second word (its sums, one row for each
-   such word, of which there are at most four for each bucket, are added on the
-   driver).
-3. One pass over the buckets gives the counts of counts for the discounts; the
-   second evaluates every pair and returns each text's sum of logarithms.
-
-The model's orders are words and pairs; a text's probability is evaluated
-recursively from them.
+   and counts its words over all blocks and answers the blocks (table
+   ``vocabulary``, order 1). The numbered blocks are written (``tokens``).
+2. Each block sends its distinct training n-grams with their counts to the bucket
+   of the word before last, that is of the nearest context word, so that a bucket
+   holds every order of its contexts. A word that would fill a bucket is split by the
+   n-gram's last word. Buckets add up the counts (table ``counts``, by context
+   hash; counts of lower orders are its sums) and their counts of counts.
+3. From the lowest order up, buckets compute totals and backoff weights of their
+   contexts (tables ``weights``, one for each order, by context hash). The parts of
+   a split word send their contexts' sums to buckets of the whole context, which add
+   and return them.
+4. Each block sends its n-grams with their text to the same buckets, where they
+   meet the tables and are evaluated recursively; sums of logarithms return to the
+   block.
 
 Defined cases: a null text is empty, which is the end alone; null ids train;
 repeated rows are texts of their own; without training tokens N and V are 0 and
@@ -46,8 +51,9 @@ from .common import NOT_SPACE, mix, row_blocks, stored, text_bytes, words
 from .language import held_out
 
 GT_MAX = 5
+ORDER = 3
 BLOCK_TOKENS = 1_200_000
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 600_000
 VOCAB_BUCKET = 500_000
 END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64((1 << 40) - 1)         # a context number that no word has
@@ -116,11 +122,12 @@ def _vocabulary(rows: DataFrame, buckets: int) -> DataFrame:
         for number, vocab, cuts, at, first, _, out in _blocks(batches, buckets):
             train = np.repeat(~out, np.diff(first))
             n = np.bincount(at[train], minlength=len(vocab))
-            for k in range(buckets):
+            filled = np.flatnonzero(np.diff(cuts))
+            for k in filled:
                 part = slice(cuts[k], cuts[k + 1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([k], pa.int32()), pa.array([vocab[part].tobytes()], pa.binary()),
-                     pa.array([pack(n[part])], pa.binary()), pa.array([[int((~out).sum()), len(at)]] if k == 0 else [[0, 0]], pa.list_(pa.int64()))],
+                     pa.array([pack(n[part])], pa.binary()), pa.array([[int((~out).sum()), len(at)]] if k == filled[0] else [[0, 0]], pa.list_(pa.int64()))],
                     names=["block", "bucket", "words", "counts", "size"])
 
     def count(t: pa.Table) -> pa.Table:
@@ -149,118 +156,252 @@ def _salts(count: np.ndarray, tokens: int, buckets: int) -> np.ndarray:
     return np.maximum(1, -(-count.astype(np.int64) * 4 * buckets // max(1, tokens)))
 
 
-def _pairs(rows: DataFrame, vocabulary: DataFrame, vocab_buckets: int, buckets: int, n: int, v: int, texts: int) -> DataFrame:
-    """(bucket, block, body): packed pairs for a bucket, or (bucket -1) the
-    block's texts with their base scores."""
+def discounts(n_r: dict[int, int]) -> np.ndarray:
+    """d_1 .. d_GT_MAX from the numbers of pairs seen r times (Katz's form)."""
+    for k in range(GT_MAX, 0, -1):
+        n = [n_r.get(r, 0) for r in range(k + 2)]
+        if all(n[1:]):
+            tail = (k + 1) * n[k + 1] / n[1]
+            d = [((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if tail < 1 else 0 for r in range(1, k + 1)]
+            if all(0 < x < 1 for x in d):
+                return np.array(d + [1.0] * (GT_MAX - k))
+    return np.array([(r - 0.5) / r for r in range(1, GT_MAX + 1)])
+
+
+def _tokens(rows: DataFrame, vocabulary: DataFrame, vocab_buckets: int) -> DataFrame:
+    """(block, numbers, counts, sizes, ids, out): every block's tokens as word
+    numbers with their training counts."""
     def stream(batches):
         for number, vocab, cuts, at, first, ids, out in _blocks(batches, vocab_buckets):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([pack(at)], pa.binary()), pa.array([pack(np.diff(first))], pa.binary()),
                  pa.array([ids], pa.list_(pa.int64())), pa.array([pack(out)], pa.binary())], names=["block", "tokens", "sizes", "ids", "out"])
 
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = left.column("block")[0].as_py()
-        at, sizes, out = (unpack(left.column(c)[0].as_py()).astype(np.int64) for c in ("tokens", "sizes", "out"))
+    def number(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = unpack(left.column("tokens")[0].as_py()).astype(np.int64)
         order = np.argsort(right.column("bucket").to_numpy())
-        number = np.concatenate([unpack(right.column("numbers")[int(i)].as_py()) for i in order])[at]
-        count = np.concatenate([unpack(right.column("counts")[int(i)].as_py()) for i in order])[at].astype(np.int64)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        start = np.cumsum(sizes) - sizes
-        base = np.bincount(text, np.log10((count + 1) / (n + v + 1)), len(sizes))
-        known = np.bincount(text, count > 0, len(sizes)).astype(np.int64)
-        ctx, ctx_count = np.roll(number, 1), np.roll(count, 1)
-        ctx[start], ctx_count[start] = START, texts
-        salts = _salts(ctx_count, n, buckets)
-        bucket = mix(ctx) + np.where(salts > 1, mix(number) % salts.astype(np.uint64), 0).astype(np.uint64)
-        bucket = (bucket % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((number, ctx, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        train = out[text] == 0
-        keys, bodies = [-1], [[pack(sizes), pack(known), base.tobytes(), pack(out)]]
-        for k in np.flatnonzero(np.diff(cuts)):
-            o = order[cuts[k]:cuts[k + 1]]
-            c, w = ctx[o], number[o]
-            step_c = np.diff(c, prepend=np.uint64(0))
-            step_w = np.where(step_c == 0, np.diff(w, prepend=np.uint64(0)), w)      # from the pair before in the same context
-            step_w[0] = w[0]
-            bodies.append([pack(step_c), pack(step_w), pack(text[o] * 2 + train[o]), pack(count[o]), pack(np.unique(c[salts[o] > 1]))])
-            keys.append(int(k))
+        numbers, counts = (np.concatenate([unpack(right.column(c)[int(i)].as_py()) for i in order])[at] for c in ("numbers", "counts"))
         return pa.Table.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([block] * len(keys), pa.int64()), pa.array(bodies, pa.list_(pa.binary())),
-             pa.array([left.column("ids")[0].as_py()] + [None] * (len(keys) - 1), pa.list_(pa.int64()))], names=["bucket", "block", "body", "ids"])
+            [left.column("block"), pa.array([pack(numbers)], pa.binary()), pa.array([pack(counts)], pa.binary()),
+             left.column("sizes"), left.column("ids"), left.column("out")], names=["block", "numbers", "counts", "sizes", "ids", "out"])
 
     streams = rows.mapInArrow(stream, "block long, tokens binary, sizes binary, ids array<long>, out binary")
     return (streams.groupBy("block").cogroup(vocabulary.filter("block >= 0").groupBy("block"))
-            .applyInArrow(send, "bucket int, block long, body array<binary>, ids array<long>"))
+            .applyInArrow(number, "block long, numbers binary, counts binary, sizes binary, ids array<long>, out binary"))
 
 
-class _Bucket:
-    """All pairs of one bucket, sorted; counts of each distinct pair and context."""
-
-    def __init__(self, parts, n: int, v: int):
-        ctx, word, text, count, block, hot = [], [], [], [], [], []
-        for number, body in parts:
-            step_c, step_w, t, c, h = (unpack(x) for x in body)
-            cx = np.cumsum(step_c, dtype=np.uint64)
-            # words restart where the context changes: sums within each context
-            total = np.cumsum(step_w, dtype=np.uint64)
-            head = np.flatnonzero(np.concatenate([[True], step_c[1:] != 0]))
-            lead = np.repeat((total - step_w)[head], np.diff(np.append(head, len(cx))))
-            ctx.append(cx)
-            word.append(total - lead)
-            text.append(t)
-            count.append(c)
-            hot.append(h)
-            block.append(np.full(len(cx), number, np.int64))
-        ctx, word, self.block, text, count = (np.concatenate(x) for x in (ctx, word, block, text, count))
-        order = np.lexsort((word, ctx))
-        ctx, word = ctx[order], word[order]
-        self.block, self.text, train = self.block[order], (text[order] >> np.uint64(1)).astype(np.int64), (text[order] & np.uint64(1)).astype(np.int64)
-        self.base = (count[order].astype(np.float64) + 1) / (n + v + 1)
-        new = np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])])
-        self.pair = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        self.seen = np.add.reduceat(train, first)
-        self.p = self.base[first]
-        pair_ctx = ctx[first]
-        head = np.concatenate([[True], pair_ctx[1:] != pair_ctx[:-1]])
-        self.of = np.cumsum(head) - 1
-        self.head, self.ctx = np.flatnonzero(head), pair_ctx[head]
-        self.hot = np.unique(np.concatenate(hot))
-
-    def sums(self) -> np.ndarray:
-        """For each context: pairs seen 1 .. GT_MAX times, tokens of pairs seen
-        more often, all tokens, base share of the seen words."""
-        r = self.seen
-        cols = [(r == k) * 1.0 for k in range(1, GT_MAX + 1)] + [np.where(r > GT_MAX, r, 0), r, np.where(r > 0, self.p, 0.0)]
-        return np.stack([np.add.reduceat(c.astype(np.float64), self.head) for c in cols], 1)
+def _histories(number: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words before each token, nearest first; START before a text."""
+    place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return [np.where(place >= k, np.roll(number, k), START) for k in range(1, order)]
 
 
-def discounts(n_r: dict[int, int]) -> np.ndarray:
-    """d_1 .. d_GT_MAX from the numbers of pairs seen r times (Katz's form)."""
-    for k in range(GT_MAX, 0, -1):
-        n = [n_r.get(r, 0) for r in range(k + 2)]
-        if all(n[1:]):
-            tail = (k + 1) * n[k + 1] / n[1]
-            d = [((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if tail < 1 else 0 for r in range(1, k + 1)]
-            if all(0 < x < 1 for x in d):
-                return np.array(d + [1.0] * (GT_MAX - k))
-    return np.array([(r - 0.5) / r for r in range(1, GT_MAX + 1)])
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before; rows are sorted."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _grams(blocks: DataFrame, order: int, buckets: int, n: int, v: int, texts: int, train: bool) -> DataFrame:
+    """(bucket, block, body, ids): the n-grams a block sends to a bucket, with
+    counts (``train``) or else, for all texts, with the text of each; then
+    bucket -1 - block holds the block's texts and their base scores."""
+    def send(batches):
+        for r in (r for b in batches for r in b.to_pylist()):
+            number, sizes = unpack(r["numbers"]), unpack(r["sizes"]).astype(np.int64)
+            count, out = unpack(r["counts"]).astype(np.int64), unpack(r["out"])
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            before = _histories(number, sizes, order)
+            first = before[0] == START
+            ctx_count = np.where(first, texts, np.roll(count, 1))
+            keys, bodies, ids = [], [], []
+            if not train:
+                base = np.bincount(text, np.log10((count + 1) / (n + v + 1)), len(sizes))
+                known = np.bincount(text, count > 0, len(sizes)).astype(np.int64)
+                keys.append(-1 - r["block"])
+                bodies.append([pack(sizes), pack(known), base.tobytes(), r["out"]])
+                ids.append(r["ids"])
+            salts = _salts(ctx_count, n, buckets)
+            bucket = mix(before[0]) + np.where(salts > 1, mix(number) % salts.astype(np.uint64), 0).astype(np.uint64)
+            bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+            learn = out[text] == 0
+            # the parts of a split word also need the weights of contexts learned in other parts
+            use = np.flatnonzero(learn | (salts > 1)) if train else np.arange(len(number))
+            use = use[np.lexsort((text[use], number[use], *(h[use] for h in before[::-1]), bucket[use]))]
+            cuts = np.searchsorted(bucket[use], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                o = use[cuts[k]:cuts[k + 1]]
+                gram = [*(h[o] for h in before), number[o]]
+                gram[0] = np.diff(gram[0], prepend=np.uint64(0))
+                if train:
+                    at = np.flatnonzero(_changes([h[o] for h in before] + [number[o]]))
+                    gram[0] = np.diff(before[0][o][at], prepend=np.uint64(0))
+                    gram[1:] = [g[at] for g in gram[1:]]
+                    bodies.append([*map(pack, gram), pack(count[o][at]), pack(np.add.reduceat(learn[o].astype(np.int64), at)),
+                                   pack(np.unique(before[0][o][salts[o] > 1]))])
+                else:
+                    bodies.append([*map(pack, gram), pack(count[o]), pack(text[o])])
+                keys.append(int(k))
+                ids.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array([r["block"]] * len(keys), pa.int64()), pa.array(bodies, pa.list_(pa.binary())),
+                 pa.array(ids, pa.list_(pa.int64()))], names=["bucket", "block", "body", "ids"])
+
+    return blocks.mapInArrow(send, "bucket long, block long, body array<binary>, ids array<long>")
+
+
+def _read(body: list[bytes]) -> list[np.ndarray]:
+    """The columns of a body, the nearest context word restored."""
+    columns = [unpack(x) for x in body]
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+    return columns
 
 
-def _by_bucket(rows):
-    """Bucket after bucket of a partition; rows of bucket -1 are passed as they are."""
-    held: dict[int, list] = {}
-    for r in rows:
-        if r.bucket >= 0:
-            held.setdefault(r.bucket, []).append((r.block, r.body))
-    for k in sorted(held):
-        yield held.pop(k)
+def _counts(sent: DataFrame, order: int) -> DataFrame:
+    """(bucket, body, n_r): each bucket's distinct n-grams in order with their
+    last words' counts, their own counts and the split words; n_r: the numbers
+    of n-grams seen 1 .. GT_MAX + 1 times, for each order from 2."""
+    def add(t: pa.Table) -> pa.Table:
+        parts = [_read(x) for x in t.column("body").to_pylist()]
+        *gram, count, seen, hot = (np.concatenate(x) for x in zip(*parts))
+        o = np.lexsort(gram[-1:] + gram[-2::-1])
+        gram, count, seen = [g[o] for g in gram], count[o], seen[o]
+        at = np.flatnonzero(_changes(gram))
+        gram, count, seen = [g[at] for g in gram], count[at], np.add.reduceat(seen, at)
+        b = _Bucket(gram, seen)
+        n_r = np.concatenate([np.bincount(np.minimum(b.seen[k], GT_MAX + 2), minlength=GT_MAX + 3)[1:GT_MAX + 2] for k in range(2, order + 1)])
+        body = [pack(np.diff(gram[0], prepend=np.uint64(0))), *map(pack, [*gram[1:], count, seen, np.unique(hot)])]
+        return pa.Table.from_arrays([t.column("bucket").slice(0, 1), pa.array([body], pa.list_(pa.binary())), pa.array([n_r.tolist()], pa.list_(pa.int64()))],
+                                    names=["bucket", "body", "n_r"])
 
+    return sent.groupBy("bucket").applyInArrow(add, "bucket long, body array<binary>, n_r array<long>")
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """SCORES of every row; learned from the rows outside the held-out fold."""
-    spark = docs.sparkSession
+
+class _Bucket:
+    """N-grams of a bucket in every order: ``gram[k]`` the order-k n-gram of each
+    row, ``seen[k]`` its count, ``of[k]`` its context, ``first[k]`` a row of it,
+    ``head[k]`` a row of each context; contexts are numbered in sorted order.
+    Rows before ``learned`` are of texts to score, those from it of the counts table."""
+
+    def __init__(self, gram: list[np.ndarray], n: np.ndarray, learned: int = 0):
+        self.words, self.learned = gram, learned
+        self.gram, self.seen, self.of, self.first, self.head = {}, {}, {}, {}, {}
+        for k in range(2, len(gram) + 1):
+            before = gram[:k - 1]
+            o = np.lexsort([gram[-1], *before[::-1]])
+            ctx = _changes([x[o] for x in before])
+            new = ctx | _changes([gram[-1][o]])
+            self.gram[k] = np.empty(len(o), np.int64)
+            self.gram[k][o] = np.cumsum(new) - 1
+            self.seen[k] = np.bincount(self.gram[k], n, int(new.sum())).astype(np.int64)
+            self.of[k] = (np.cumsum(ctx) - 1)[new]
+            self.first[k], self.head[k] = o[new], o[ctx]
+
+    def sums(self, k: int, lower: np.ndarray, d: np.ndarray):
+        """For each context of order k: tokens, n-grams with a discount,
+        discounted tokens, share of the lower order's probability of the seen words."""
+        r = self.seen[k]
+        factor = np.append(d, 1.0)[np.minimum(np.maximum(r, 1), GT_MAX + 1) - 1]
+        size = len(self.head[k])
+        add = [np.bincount(self.of[k], x, size) for x in (r, (r > 0) & (factor < 1), factor * r, np.where(r > 0, lower[self.first[k]], 0.0))]
+        return np.stack(add, 1)
+
+    def climb(self, k: int, lower: np.ndarray, d: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Probability of each row at order k from that at order k - 1; weights
+        (total, scale, alpha) of the contexts of the counts table, in their order."""
+        r = self.seen[k]
+        known = np.zeros(len(self.head[k]), bool)
+        known[self.of[k][self.gram[k][self.learned:]]] = True
+        total, scale, alpha = np.zeros(len(known)), np.ones(len(known)), np.ones(len(known))
+        total[known], scale[known], alpha[known] = weights.T
+        factor = np.append(d, 1.0)[np.minimum(np.maximum(r, 1), GT_MAX + 1) - 1]
+        star = scale[self.of[k]] * factor * r / np.maximum(total[self.of[k]], 1)
+        return np.where((r > 0)[self.gram[k]], star[self.gram[k]], alpha[self.of[k]][self.gram[k]] * lower)
+
+
+def _weights_of(sums: np.ndarray) -> np.ndarray:
+    """(total, scale, alpha) of contexts from their sums."""
+    total, discounted, mass, share = sums.T
+    seen = np.maximum(total, 1)
+    scale = np.where((discounted == 0) & (total > 0), 1 - 0.5 / seen, 1.0)
+    return np.stack([total, scale, np.where(total > 0, (1 - scale * mass / seen) / (1 - share), 1.0)], 1)
+
+
+def _model(t: pa.Table):
+    """((n-grams, last words' counts, counts), split words, weights by order) of a
+    bucket, from its rows of the counts (order 0) and weights tables."""
+    grams, hot, weights = None, None, {}
+    for k, body in zip(t.column("order").to_pylist(), t.column("body").to_pylist()):
+        if k == 0:
+            *gram, count, seen, hot = _read(body)
+            grams = gram, count, seen
+        else:
+            weights[k] = np.frombuffer(body[0], np.float64).reshape(-1, 3)
+    return grams, hot, weights
+
+
+def _weights(tables: DataFrame, k: int, d: list[np.ndarray], n: int, v: int, buckets: int) -> DataFrame:
+    """(order, bucket, body): weights of the order-k contexts of each bucket.
+    ``tables`` holds the counts and the weights of the orders below k."""
+    def level(t):
+        (gram, count, seen), hot, weights = _model(t)
+        base = (count.astype(np.float64) + 1) / (n + v + 1)
+        b, p = _Bucket(gram, seen), base
+        for j in range(2, k):
+            p = b.climb(j, p, d[j], weights[j])
+        return b, hot, b.sums(k, p, d[k])
+
+    def send(t: pa.Table) -> pa.Table:
+        b, hot, sums = level(t)
+        bucket = t.column("bucket")[0].as_py()
+        ctx = [w[b.head[k]] for w in b.words[:k - 1]]
+        split = np.isin(ctx[0], hot)
+        rows = [(bucket, -1, [sums.tobytes(), pack(split)])]
+        if split.any():
+            key = np.zeros(int(split.sum()), np.uint64)
+            for c in ctx:
+                key = mix(key * np.uint64(31) + c[split])
+            owner = key % np.uint64(buckets)
+            for o in np.unique(owner):
+                mine = owner == o
+                rows.append((bucket, int(o), [*(pack(c[split][mine]) for c in ctx), sums[split][mine].tobytes(), pack(np.flatnonzero(split)[mine])]))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int64(), pa.int64(), pa.list_(pa.binary())))],
+                                    names=["bucket", "owner", "body"])
+
+    def add(t: pa.Table) -> pa.Table:
+        bodies = t.column("body").to_pylist()
+        ctx = [np.concatenate([unpack(b[i]) for b in bodies]) for i in range(k - 1)]
+        sums = np.concatenate([np.frombuffer(b[-2], np.float64).reshape(-1, 4) for b in bodies])
+        o = np.lexsort(ctx[::-1])
+        at = np.flatnonzero(_changes([c[o] for c in ctx]))
+        whole = np.empty_like(sums)
+        whole[o] = np.repeat(np.add.reduceat(sums[o], at), np.diff(np.append(at, len(o))), 0)
+        cut = np.cumsum([0] + [len(b[-2]) // 32 for b in bodies])
+        return pa.Table.from_arrays(
+            [t.column("bucket"), t.column("owner"), pa.array([[whole[x:y].tobytes(), b[-1]] for x, y, b in zip(cut, cut[1:], bodies)], pa.list_(pa.binary()))],
+            names=["bucket", "owner", "body"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        rows = list(zip(t.column("owner").to_pylist(), t.column("body").to_pylist()))
+        sums = next(np.frombuffer(b[0], np.float64) for o, b in rows if o < 0).reshape(-1, 4).copy()
+        for o, b in rows:
+            if o >= 0:
+                sums[unpack(b[1]).astype(np.int64)] = np.frombuffer(b[0], np.float64).reshape(-1, 4)
+        return pa.Table.from_arrays([pa.array([k], pa.int32()), t.column("bucket").slice(0, 1), pa.array([[_weights_of(sums).tobytes()]], pa.list_(pa.binary()))],
+                                    names=["order", "bucket", "body"])
+
+    schema = "bucket long, owner long, body array<binary>"
+    parts = stored(tables.groupBy("bucket").applyInArrow(send, schema), f"sums-{k}")
+    back = parts.filter("owner >= 0").groupBy("owner").applyInArrow(add, schema)
+    return parts.filter("owner < 0").unionByName(back).groupBy("bucket").applyInArrow(finish, "order int, bucket long, body array<binary>")
+
+
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER) -> DataFrame:
+    """SCORES of every row under the model of ``order`` (2 or more); learned
+    from the rows outside the held-out fold."""
     doc = F.col("doc_id").cast("long")
     rows = docs.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(modulus, remainder).alias("held_out"))
     size = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
@@ -269,75 +410,58 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     stats = [unpack(r.numbers).astype(np.int64) for r in vocabulary.filter("block = -1").select("numbers").collect()]
     n, v, texts, tokens = (int(x) for x in np.sum(stats, 0)) if stats else (0, 0, 0, 0)
     buckets = max(1, math.ceil(tokens / BUCKET_TOKENS))
-    pairs = _pairs(rows, vocabulary, vocab_buckets, buckets, n, v, texts)
-    # as an RDD, so that both passes read the same shuffle files
-    dealt = pairs.repartition(max(buckets, spark.sparkContext.defaultParallelism), F.when(F.col("bucket") < 0, F.col("block") + buckets).otherwise(F.col("bucket"))).rdd
-
-    def survey(part):
-        n_r: dict[int, int] = {}
-        hot: dict[int, np.ndarray] = {}
-        for parts in _by_bucket(part):
-            b = _Bucket(parts, n, v)
-            for r, m in enumerate(np.bincount(np.minimum(b.seen, GT_MAX + 2), minlength=GT_MAX + 3)[1:GT_MAX + 2], 1):
-                n_r[r] = n_r.get(r, 0) + int(m)
-            if len(b.hot):
-                mine = np.isin(b.ctx, b.hot)
-                for c, s in zip(b.ctx[mine].tolist(), b.sums()[mine]):
-                    hot[c] = hot.get(c, 0) + s
-        yield n_r, hot
-
-    n_r: dict[int, int] = {}
-    hot: dict[int, np.ndarray] = {}
-    for some, sums in dealt.mapPartitions(survey).collect():
-        for r, m in some.items():
-            n_r[r] = n_r.get(r, 0) + m
-        for c, s in sums.items():
-            hot[c] = hot.get(c, 0) + s
-    d = discounts(n_r)
-    shared = spark.sparkContext.broadcast((np.array(sorted(hot), np.uint64), np.array([hot[c] for c in sorted(hot)])))
-
-    def evaluate(part):
-        part = list(part)
-        for r in part:
-            if r.bucket < 0:
-                yield (r.block, r.body, r.ids)
-        hot_ctx, hot_sums = shared.value
-        for parts in _by_bucket(part):
-            b = _Bucket(parts, n, v)
-            sums = b.sums()
-            if len(hot_ctx):
-                at = np.minimum(np.searchsorted(hot_ctx, b.ctx), len(hot_ctx) - 1)
-                sums = np.where((hot_ctx[at] == b.ctx)[:, None], hot_sums[at], sums)
-            total = sums[:, GT_MAX + 1]
-            mass = (sums[:, :GT_MAX] * (d * np.arange(1, GT_MAX + 1))).sum(1) + sums[:, GT_MAX]
-            # a context whose pairs are all seen too often for a discount gives up half a count
-            scale = np.where((total > 0) & ((sums[:, :GT_MAX] * (d < 1)).sum(1) == 0), 1 - 0.5 / np.maximum(total, 1), 1.0)
-            alpha = np.where(total > 0, (1 - scale * mass / np.maximum(total, 1)) / (1 - sums[:, GT_MAX + 2]), 1.0)
-            r = b.seen
-            factor = np.append(d, 1.0)[np.minimum(np.maximum(r, 1), GT_MAX + 1) - 1]
-            p = np.where(r > 0, scale[b.of] * factor * r / np.maximum(total[b.of], 1), alpha[b.of] * b.p)
-            value = np.log10(p)[b.pair]
-            for block in np.unique(b.block):
-                mine = b.block == block
-                text = b.text[mine]
-                at = np.unique(text)
-                yield (int(block), [pack(at), np.bincount(text, value[mine])[at].tobytes()], None)
-
-    out = spark.createDataFrame(dealt.mapPartitions(evaluate), "block long, body array<binary>, ids array<long>", verifySchema=False)
+    blocks = stored(_tokens(rows, vocabulary, vocab_buckets), "tokens")
+    counts = stored(_counts(_grams(blocks, order, buckets, n, v, texts, True), order), "counts")
+
+    width = GT_MAX + 1
+    found = counts.agg(*(F.sum(F.col("n_r")[i]) for i in range(width * (order - 1)))).first()
+    d = [None, None] + [discounts({r: found[width * k + r - 1] or 0 for r in range(1, width + 1)}) for k in range(order - 1)]
+    tables = counts.select(F.lit(0).alias("order"), "bucket", "body")
+    for k in range(2, order + 1):
+        tables = tables.unionByName(stored(_weights(tables, k, d, n, v, buckets), f"weights-{k}"))
+
+    def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks_, bodies = left.column("block").to_pylist(), left.column("body").to_pylist()
+        out = []
+        if len(left) and left.column("bucket")[0].as_py() < 0:
+            out = list(zip(blocks_, bodies, left.column("ids").to_pylist()))
+        elif len(left):
+            parts = [_read(x) for x in bodies]
+            *gram, count, text = (np.concatenate(x) for x in zip(*parts))
+            block = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+            seen = np.zeros(len(count), np.int64)
+            weights = {k: np.empty((0, 3)) for k in range(2, order + 1)}
+            if len(right):
+                (grams, have, times), _, weights = _model(right)
+                gram = [np.concatenate(x) for x in zip(gram, grams)]
+                count, seen = np.concatenate([count, have]), np.concatenate([seen, times.astype(np.int64)])
+            p = (count.astype(np.float64) + 1) / (n + v + 1)
+            b = _Bucket(gram, seen, len(block))
+            for k in range(2, order + 1):
+                p = b.climb(k, p, d[k], weights[k])
+            value, text = np.log10(p[:len(block)]), text.astype(np.int64)
+            for i, number in enumerate(blocks_):
+                mine = block == i
+                at = np.unique(text[mine])
+                out.append((number, [pack(at), np.bincount(text[mine], value[mine])[at].tobytes()], None))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate((pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())))],
+                                    names=["block", "body", "ids"])
+
+    asked = _grams(blocks, order, buckets, n, v, texts, False)
+    values = (asked.groupBy("bucket").cogroup(tables.groupBy("bucket"))
+              .applyInArrow(evaluate, "block long, body array<binary>, ids array<long>"))
 
     def gather(t: pa.Table) -> pa.Table:
-        total = None
-        for ids, body in zip(t.column("ids").to_pylist(), t.column("body").to_pylist()):
-            if ids is not None:
-                sizes, known, out_ = (unpack(body[i]).astype(np.int64) for i in (0, 1, 3))
-                base, doc_ids = np.frombuffer(body[2], np.float64), ids
+        rows_ = list(zip(t.column("ids").to_pylist(), t.column("body").to_pylist()))
+        doc_ids, body = next(r for r in rows_ if r[0] is not None)
+        sizes, known, out_ = (unpack(body[i]).astype(np.int64) for i in (0, 1, 3))
         total = np.zeros(len(sizes))
-        for ids, body in zip(t.column("ids").to_pylist(), t.column("body").to_pylist()):
+        for ids, part in rows_:
             if ids is None:
-                total[unpack(body[0]).astype(np.int64)] += np.frombuffer(body[1], np.float64)
+                total[unpack(part[0]).astype(np.int64)] += np.frombuffer(part[1], np.float64)
         return pa.Table.from_arrays(
             [pa.array(doc_ids, pa.int64()), pa.array(out_ > 0), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n, np.int64)),
-             pa.array(base), pa.array(total)],
+             pa.array(np.frombuffer(body[2], np.float64)), pa.array(total)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return out.groupBy("block").applyInArrow(gather, SCORES)
+    return values.groupBy("block").applyInArrow(gather, SCORES)
