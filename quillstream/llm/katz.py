@@ -23,9 +23,9 @@ Counts are never held in one place. Texts are taken in blocks of about
    n-gram's last word. Buckets add up the counts (table ``counts``, by context
    hash; counts of lower orders are its sums) and their counts of counts.
 3. From the lowest order up, buckets compute totals and backoff weights of their
-   contexts (tables ``weights``, one for each order, by context hash). The parts of
-   a split word send their contexts' sums to buckets of the whole context, which add
-   and return them.
+   contexts (tables by context hash, for each order). The parts of a split word
+   send their contexts' sums to buckets of the whole context, which add them and
+   return the weights.
 4. Each block sends its n-grams with their text to the same buckets, where they
    meet the tables and are evaluated recursively; sums of logarithms return to the
    block.
@@ -52,8 +52,8 @@ from .language import held_out
 
 GT_MAX = 5
 ORDER = 3
-BLOCK_TOKENS = 1_200_000
-BUCKET_TOKENS = 600_000
+BLOCK_TOKENS = 800_000
+BUCKET_TOKENS = 400_000
 VOCAB_BUCKET = 500_000
 END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64((1 << 40) - 1)         # a context number that no word has
@@ -210,7 +210,7 @@ def _grams(blocks: DataFrame, order: int, buckets: int, n: int, v: int, texts: i
     counts (``train``) or else, for all texts, with the text of each; then
     bucket -1 - block holds the block's texts and their base scores."""
     def send(batches):
-        for r in (r for b in batches for r in b.to_pylist()):
+        for r in (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist()):
             number, sizes = unpack(r["numbers"]), unpack(r["sizes"]).astype(np.int64)
             count, out = unpack(r["counts"]).astype(np.int64), unpack(r["out"])
             text = np.repeat(np.arange(len(sizes)), sizes)
@@ -330,73 +330,78 @@ def _weights_of(sums: np.ndarray) -> np.ndarray:
     return np.stack([total, scale, np.where(total > 0, (1 - scale * mass / seen) / (1 - share), 1.0)], 1)
 
 
+def _planes(a: np.ndarray) -> list[bytes]:
+    """Rows of numbers, column by column, compressed."""
+    return [len(a).to_bytes(8, "little")] + [pa.compress(np.ascontiguousarray(c).tobytes(), "zstd", asbytes=True) if len(a) else b"" for c in a.T]
+
+
+def _rows(planes: list[bytes]) -> np.ndarray:
+    n = int.from_bytes(planes[0], "little")
+    return np.stack([np.frombuffer(pa.decompress(bytes(c), decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b"", np.float64)
+                     for c in planes[1:]], 1)
+
+
 def _model(t: pa.Table):
     """((n-grams, last words' counts, counts), split words, weights by order) of a
     bucket, from its rows of the counts (order 0) and weights tables."""
-    grams, hot, weights = None, None, {}
-    for k, body in zip(t.column("order").to_pylist(), t.column("body").to_pylist()):
+    grams, hot, weights, whole = None, None, {}, []
+    for k, owner, body in zip(*(t.column(c).to_pylist() for c in ("order", "owner", "body"))):
         if k == 0:
             *gram, count, seen, hot = _read(body)
             grams = gram, count, seen
+        elif owner < 0:
+            weights[k] = _rows(body)
         else:
-            weights[k] = np.frombuffer(body[0], np.float64).reshape(-1, 3)
+            whole.append((k, body))
+    for k, body in whole:               # of split words, from all parts
+        weights[k][unpack(body[0]).astype(np.int64)] = _rows(body[1:])
     return grams, hot, weights
 
 
 def _weights(tables: DataFrame, k: int, d: list[np.ndarray], n: int, v: int, buckets: int) -> DataFrame:
-    """(order, bucket, body): weights of the order-k contexts of each bucket.
+    """(order, bucket, owner, body): weights of the order-k contexts of each bucket
+    (owner -1), and places and weights of those of split words.
     ``tables`` holds the counts and the weights of the orders below k."""
-    def level(t):
+    def send(t: pa.Table) -> pa.Table:
         (gram, count, seen), hot, weights = _model(t)
-        base = (count.astype(np.float64) + 1) / (n + v + 1)
-        b, p = _Bucket(gram, seen), base
+        p = (count.astype(np.float64) + 1) / (n + v + 1)
+        b = _Bucket(gram, seen)
         for j in range(2, k):
             p = b.climb(j, p, d[j], weights[j])
-        return b, hot, b.sums(k, p, d[k])
-
-    def send(t: pa.Table) -> pa.Table:
-        b, hot, sums = level(t)
+        sums = b.sums(k, p, d[k])
         bucket = t.column("bucket")[0].as_py()
         ctx = [w[b.head[k]] for w in b.words[:k - 1]]
-        split = np.isin(ctx[0], hot)
-        rows = [(bucket, -1, [sums.tobytes(), pack(split)])]
-        if split.any():
-            key = np.zeros(int(split.sum()), np.uint64)
-            for c in ctx:
-                key = mix(key * np.uint64(31) + c[split])
-            owner = key % np.uint64(buckets)
-            for o in np.unique(owner):
-                mine = owner == o
-                rows.append((bucket, int(o), [*(pack(c[split][mine]) for c in ctx), sums[split][mine].tobytes(), pack(np.flatnonzero(split)[mine])]))
+        split = np.flatnonzero(np.isin(ctx[0], hot))
+        rows = [(bucket, -1, _planes(_weights_of(sums)))]
+        key = np.zeros(len(split), np.uint64)
+        for c in ctx:
+            key = mix(key * np.uint64(31) + c[split])
+        owner = key % np.uint64(buckets)
+        for o in np.unique(owner):
+            mine = split[owner == o]
+            rows.append((bucket, int(o), [pack(mine), *(pack(c[mine]) for c in ctx), *_planes(sums[mine])]))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int64(), pa.int64(), pa.list_(pa.binary())))],
                                     names=["bucket", "owner", "body"])
 
     def add(t: pa.Table) -> pa.Table:
         bodies = t.column("body").to_pylist()
-        ctx = [np.concatenate([unpack(b[i]) for b in bodies]) for i in range(k - 1)]
-        sums = np.concatenate([np.frombuffer(b[-2], np.float64).reshape(-1, 4) for b in bodies])
+        ctx = [np.concatenate([unpack(b[i]) for b in bodies]) for i in range(1, k)]
+        parts = [_rows(b[k:]) for b in bodies]
+        sums = np.concatenate(parts)
         o = np.lexsort(ctx[::-1])
         at = np.flatnonzero(_changes([c[o] for c in ctx]))
         whole = np.empty_like(sums)
         whole[o] = np.repeat(np.add.reduceat(sums[o], at), np.diff(np.append(at, len(o))), 0)
-        cut = np.cumsum([0] + [len(b[-2]) // 32 for b in bodies])
+        cut = np.cumsum([0] + [len(x) for x in parts])
+        weights = _weights_of(whole)
         return pa.Table.from_arrays(
-            [t.column("bucket"), t.column("owner"), pa.array([[whole[x:y].tobytes(), b[-1]] for x, y, b in zip(cut, cut[1:], bodies)], pa.list_(pa.binary()))],
+            [t.column("bucket"), t.column("owner"), pa.array([[b[0], *_planes(weights[x:y])] for x, y, b in zip(cut, cut[1:], bodies)], pa.list_(pa.binary()))],
             names=["bucket", "owner", "body"])
 
-    def finish(t: pa.Table) -> pa.Table:
-        rows = list(zip(t.column("owner").to_pylist(), t.column("body").to_pylist()))
-        sums = next(np.frombuffer(b[0], np.float64) for o, b in rows if o < 0).reshape(-1, 4).copy()
-        for o, b in rows:
-            if o >= 0:
-                sums[unpack(b[1]).astype(np.int64)] = np.frombuffer(b[0], np.float64).reshape(-1, 4)
-        return pa.Table.from_arrays([pa.array([k], pa.int32()), t.column("bucket").slice(0, 1), pa.array([[_weights_of(sums).tobytes()]], pa.list_(pa.binary()))],
-                                    names=["order", "bucket", "body"])
-
     schema = "bucket long, owner long, body array<binary>"
     parts = stored(tables.groupBy("bucket").applyInArrow(send, schema), f"sums-{k}")
-    back = parts.filter("owner >= 0").groupBy("owner").applyInArrow(add, schema)
-    return parts.filter("owner < 0").unionByName(back).groupBy("bucket").applyInArrow(finish, "order int, bucket long, body array<binary>")
+    back = stored(parts.filter("owner >= 0").groupBy("owner").applyInArrow(add, schema), f"split-{k}")
+    return parts.filter("owner < 0").unionByName(back).withColumn("order", F.lit(k))
 
 
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER) -> DataFrame:
@@ -416,9 +421,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = OR
     width = GT_MAX + 1
     found = counts.agg(*(F.sum(F.col("n_r")[i]) for i in range(width * (order - 1)))).first()
     d = [None, None] + [discounts({r: found[width * k + r - 1] or 0 for r in range(1, width + 1)}) for k in range(order - 1)]
-    tables = counts.select(F.lit(0).alias("order"), "bucket", "body")
+    tables = counts.select(F.lit(0).alias("order"), "bucket", F.lit(-1).cast("long").alias("owner"), "body")
     for k in range(2, order + 1):
-        tables = tables.unionByName(stored(_weights(tables, k, d, n, v, buckets), f"weights-{k}"))
+        tables = tables.unionByName(_weights(tables, k, d, n, v, buckets))
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks_, bodies = left.column("block").to_pylist(), left.column("body").to_pylist()
