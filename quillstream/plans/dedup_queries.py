@@ -17,7 +17,8 @@ from ..operators import dedup as DD
 from ..operators import digest as G
 from ..operators import report as R
 from ..operators import sections as SC
-from ..session import spread, table, work_table
+from ..session import spread, table, work_path, work_table
+from ..sources import payloads as P
 from . import oracle as O
 from .adapters import TARGET_DATE, digest_items
 from .digest_queries import scored_items
@@ -313,14 +314,16 @@ def flt_output_quality(spark, sf_dir):
 
 
 @register("snk_raw_note", O.with_ctes(O.ITEMS_CTE, O.COMPACT_CTE, body=f"""
-SELECT source, idx, '- **' || title || '** ' || coalesce(url, '') AS line FROM scored"""))
+SELECT DISTINCT source, '- **' || title || '** ' || coalesce(url, '') AS line FROM scored"""))
 def snk_raw_note(spark, sf_dir):
-    """Raw-note lines: one section per source, items by time then id
-    (written sorted, appended per day partition)."""
+    """The raw notes of the day, one for each source with its lines by time then id:
+    appended to the note folder and read back."""
     s = scored_items(spark, sf_dir)
     line = F.concat(F.lit("- **"), F.col("title"), F.lit("** "), F.coalesce("url", F.lit("")))
-    return (s.select("source", "idx", "published_ts", line.alias("line"))
-            .orderBy(G.source_ordinal(), F.col("published_ts").asc_nulls_last(), "idx").select("source", "idx", "line"))
+    path = work_path(spark, "raw-notes")
+    P.append_notes(s.select(F.lit(TARGET_DATE).alias("dt"), "source", F.struct(F.col("published_ts").isNull(), "published_ts", "idx").alias("ord"),
+                            line.alias("line")), path)
+    return P.read_notes(spark, path).select("source", "line")
 
 
 @register("snk_summary_stats", O.with_ctes(*_ALL, body=f"""

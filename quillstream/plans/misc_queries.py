@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import mail as M
 from ..operators import normalize as N
+from ..session import work_path
 from ..sources import payloads as P
+from . import landed as L
 from . import oracle as O
-from .adapters import hot_items_raw, projects, tasks
+from .adapters import tasks
 from .registry import ORACLE, QUERIES, register
 
 # (new id, query it is a column view of, columns)
@@ -101,55 +103,56 @@ SELECT source, kind, idx, CASE WHEN reason IS NULL THEN 'kept' ELSE 'dropped' EN
 
 @register("snk_normalized", _snk_sql())
 def snk_normalized(spark, sf_dir):
-    """Rows as the normalised-item sink writes them, with the ``outcome``
-    partition column (see ``sources.payloads.write_normalized``)."""
+    """Normalised rows written by day and source and read back from the sink."""
     from .normalize_queries import all_normalized
-    a = all_normalized(spark, sf_dir)
-    return a.select("source", "kind", "idx", F.when(F.col("reason").isNull(), "kept").otherwise("dropped").alias("outcome"))
+    path = work_path(spark, "normalized")
+    P.write_normalized(all_normalized(spark, sf_dir).select("dt", "source", "kind", "idx", "reason"), path)
+    return spark.read.parquet(path).select("source", "kind", "idx", "outcome")
 
 
-@register("snk_json", None)
+@register("snk_json", O.with_ctes(TASKS_CTE, body="""
+SELECT id, concat('{"id":', to_json(id), coalesce(',"project_id":' || to_json(project_id), ''), ',"column_id":', to_json(column_id),
+  ',"title":', to_json(title), ',"content":', to_json(content), ',"priority":', priority, coalesce(',"due_date":' || to_json(due_date), ''),
+  ',"tags":', to_json(tags), ',"status":', status, coalesce(',"completed_time":' || to_json(completed_time), ''), '}') AS json
+FROM tasks"""))
 def snk_json(spark, sf_dir):
-    """Task rows as JSON text (the ``--json`` output form)."""
+    """Task rows as JSON text (the ``--json`` output form); null fields are left out."""
     t = tasks(spark, sf_dir)
     return t.select("id", F.to_json(F.struct(*[F.col(c) for c in t.columns if c != "order_key"])).alias("json"))
 
 
 # ---------------- JSON sources ----------------
 
-@register("src_json_cache", O.with_ctes(HOT_CTE, body="""
+@register("src_json_cache", O.with_ctes(HOT_CTE, body=f"""
 SELECT hid AS id, title_raw AS title, url, sn AS source, published_at AS publishedAt, category, score::INTEGER AS score, selected
-FROM hot0"""))
+FROM hot0 WHERE (idx // {L.PAGE_ITEMS}) % 7 <> {L.BAD_PAGE}"""))
 def src_json_cache(spark, sf_dir):
-    """A landed hot-item payload (one JSON element per item) parsed with its
-    explicit schema."""
-    raw = hot_items_raw(spark, sf_dir)
-    js = raw.select(F.to_json(F.struct(
-        "id", "title", "url", F.col("source_name").alias("source"), F.col("published_at").alias("publishedAt"),
-        "category", "score", "selected")).alias("json"))
-    p = P.parse_json_lines(js, "json", P.HOT_PAYLOAD_SCHEMA)
-    return p.select("id", "title", "url", "source", "publishedAt", "category", "score", "selected")
+    """Items of the landed hot-item payload files; a corrupt file gives none."""
+    pages = P.read_payloads(spark, L.hot_pages(spark, sf_dir), P.PAGE_SCHEMA)
+    return P.page_items(pages).select("id", "title", "url", "source", "publishedAt", "category", "score", "selected")
 
 
-@register("src_task_snapshot", O.with_ctes(TASKS_CTE, body="SELECT id, title, len(tags) AS n_tags, status FROM tasks"))
+_SNAPSHOT = f"(order_key // {L.SNAPSHOT_KEYS}) % 11 <> {L.BAD_ENVELOPE}"
+
+
+@register("src_task_snapshot", O.with_ctes(TASKS_CTE, body=f"SELECT id, title, len(tags) AS n_tags, status FROM tasks WHERE {_SNAPSHOT}"))
 def src_task_snapshot(spark, sf_dir):
-    """A task snapshot landed as one JSON object per task, parsed with the
-    task schema."""
-    t = tasks(spark, sf_dir)
-    js = t.select(F.to_json(F.struct(F.col("id"), F.col("project_id").alias("projectId"), "title", "content", "priority",
-                                     F.col("due_date").alias("dueDate"), "tags", "status")).alias("json"))
-    p = P.parse_json_lines(js, "json", P.TASK_SCHEMA)
-    return p.select("id", "title", F.size(F.coalesce("tags", F.array().cast("array<string>"))).alias("n_tags"), "status")
+    """Tasks of the landed snapshot envelopes; a corrupt envelope gives none."""
+    t = P.snapshot_tasks(P.read_payloads(spark, L.task_snapshots(spark, sf_dir), P.SNAPSHOT_SCHEMA, multiline=False))
+    return t.select("id", "title", F.size(F.coalesce("tags", F.array().cast("array<string>"))).alias("n_tags"), "status")
+
+
+@register("src_snapshot_tags", O.with_ctes(TASKS_CTE, body=f"""
+SELECT DISTINCT name, CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) END AS parent
+FROM (SELECT unnest(tags) AS name FROM tasks WHERE {_SNAPSHOT})"""))
+def src_snapshot_tags(spark, sf_dir):
+    """The tags table of the landed snapshot envelopes."""
+    return P.snapshot_tags(P.read_payloads(spark, L.task_snapshots(spark, sf_dir), P.SNAPSHOT_SCHEMA, multiline=False))
 
 
 @register("src_project_data", O.with_ctes(TASKS_CTE, body="""
-SELECT p.id, p.name, count(t.id) FILTER (WHERE t.status = 0) AS open_tasks, 3 AS n_columns
+SELECT p.id, p.name, count(t.id) FILTER (WHERE t.status = 0) AS open_tasks, 3::BIGINT AS n_columns
 FROM projects p LEFT JOIN tasks t ON t.project_id = p.id GROUP BY p.id, p.name"""))
 def src_project_data(spark, sf_dir):
-    """Per project its open tasks and board columns (the project data view)."""
-    from .adapters import columns
-    p = projects(spark, sf_dir)
-    t = tasks(spark, sf_dir).filter(F.col("status") == 0).groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("open_tasks"))
-    c = columns(spark, sf_dir).groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("n_columns"))
-    return (p.join(t, "id", "left").join(c, "id", "left")
-            .select("id", "name", F.coalesce("open_tasks", F.lit(0)).alias("open_tasks"), "n_columns"))
+    """Per project its open tasks and board columns, from the landed project envelopes."""
+    return P.project_sizes(P.read_payloads(spark, L.project_data(spark, sf_dir), P.PROJECT_SCHEMA, multiline=False))

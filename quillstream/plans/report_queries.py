@@ -15,6 +15,8 @@ from ..operators import digest as G
 from ..operators import normalize as N
 from ..operators import report as R
 from ..session import spread, table
+from ..sources import payloads as P
+from . import landed as L
 from . import oracle as O
 from .adapters import TARGET_DATE, as_of_col, digest_items, hot_items_raw
 from .digest_queries import scored_items
@@ -150,60 +152,41 @@ def snk_compact_context(spark, sf_dir):
 # ---------------- API pages ----------------
 
 def _pages(spark, sf_dir):
-    """Landed API pages: 100 items per page in document order (the item list
-    of a page is bounded by the page size). A page has a next page when page
-    + 1 exists: an equi-join, no global window."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    pages = d.groupBy((F.col("doc_id") / 100).cast("long").alias("page")).agg(
-        F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(F.lit("H"), i.cast("string"))).alias("_ids"),
-        F.count(F.lit(1)).alias("count"))
-    nxt = pages.select((F.col("page") - 1).alias("page"), F.lit(True).alias("hasNext"))
-    p = pages.join(nxt, "page", "left")
-    has = F.coalesce(F.col("hasNext"), F.lit(False))
-    return p.select("page", "_ids", "count", has.alias("hasNext"),
-                    F.when(has, F.concat(F.lit("cursor-"), (F.col("page") + 1).cast("string"))).alias("nextCursor"))
-
-
-_PAGES_SQL = """
+    return P.read_payloads(spark, L.hot_pages(spark, sf_dir), P.PAGE_SCHEMA)
+
+
+_PAGES_SQL = f"""
 pages AS (
-  SELECT doc_id // 100 AS page, list('H' || doc_id ORDER BY doc_id) AS ids, count(*) AS count FROM documents GROUP BY 1
+  SELECT doc_id // {L.PAGE_ITEMS} AS page, list('H' || doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY 1
 ),
 pages2 AS (
-  SELECT page, ids, count, page < (SELECT max(page) FROM pages) AS hasNext,
-         CASE WHEN page < (SELECT max(page) FROM pages) THEN 'cursor-' || (page + 1) END AS nextCursor FROM pages
+  SELECT page, ids, page % 7 = {L.BAD_PAGE} AS bad, page + 1 IN (SELECT page FROM pages) AS hasNext FROM pages
 )"""
 
 
 @register("src_api_pages", O.with_ctes(_PAGES_SQL, body="""
-SELECT page, pos - 1 AS pos, id FROM (SELECT page, unnest(generate_series(1, len(ids))) AS pos, unnest(ids) AS id FROM pages2)"""))
+SELECT page::INTEGER AS page, (pos - 1)::INTEGER AS pos, id
+FROM (SELECT page, unnest(generate_series(1, len(ids))) AS pos, unnest(ids) AS id FROM pages2 WHERE NOT bad)"""))
 def src_api_pages(spark, sf_dir):
-    """Cursor pages concatenated in page order (page, position, item id)."""
-    return _pages(spark, sf_dir).select("page", F.posexplode("_ids").alias("pos", "id"))
+    """Items of the landed cursor pages in order of arrival (page, position, item id)."""
+    return P.page_items(_pages(spark, sf_dir)).select("page", "pos", "id")
 
 
 @register("agg_hot_fetch_stats", O.with_ctes(_PAGES_SQL, HOT_CTE, body="""
 SELECT (SELECT count(*) FROM hot2) AS raw_items, (SELECT count(*) FROM hot2 WHERE date_reason IS NULL) AS kept_items,
        (SELECT count(*) FROM hot2 WHERE date_reason IS NOT NULL) AS dropped_items,
-       (SELECT count(*) FROM pages2) AS page_count,
-       (SELECT hasNext AND nextCursor IS NOT NULL FROM pages2 ORDER BY page DESC LIMIT 1) AS truncated"""))
+       (SELECT count(*) FROM pages2 WHERE NOT bad) AS page_count, (SELECT count(*) FROM pages2 WHERE bad) AS bad_pages,
+       (SELECT CASE WHEN hasNext THEN 'cursor-' || (page + 1) END FROM pages2 WHERE NOT bad ORDER BY page DESC LIMIT 1) AS last_next_cursor,
+       (SELECT hasNext FROM pages2 WHERE NOT bad ORDER BY page DESC LIMIT 1) AS truncated"""))
 def agg_hot_fetch_stats(spark, sf_dir):
-    """raw / kept / dropped counts, pages and the truncation flag."""
+    """raw / kept / dropped counts; pages, the last cursor and the truncation flag of the landed pages."""
     hot = N.target_date_strict(hot_items_raw(spark, sf_dir), TARGET_DATE, "Asia/Shanghai")
-    nl, nb = F.lit(None).cast("long"), F.lit(None).cast("boolean")
     counts = hot.agg(F.count(F.lit(1)).alias("raw_items"), F.count_if(F.col("reason").isNull()).alias("kept_items"),
-                     F.count_if(F.col("reason").isNotNull()).alias("dropped_items"),
-                     nl.alias("page_count"), nb.alias("truncated"))
-    pages = _pages(spark, sf_dir).agg(
-        nl.alias("raw_items"), nl.alias("kept_items"), nl.alias("dropped_items"),
-        F.count(F.lit(1)).alias("page_count"),
-        F.max_by(F.col("hasNext") & F.col("nextCursor").isNotNull(), F.col("page")).alias("truncated"))
+                     F.count_if(F.col("reason").isNotNull()).alias("dropped_items"))
     # two single-row aggregates side by side: a union and one more aggregate, no join
-    u = counts.unionByName(pages)
-    return u.agg(*[F.max(c).alias(c) for c in ("raw_items", "kept_items", "dropped_items", "page_count")],
-                 F.bool_or("truncated").alias("truncated"))
-
+    both = counts.unionByName(P.page_stats(_pages(spark, sf_dir)), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
-# ---------------- hot-item request filters ----------------
 
 @register("flt_since", O.with_ctes(HOT_CTE, body=f"""
 SELECT idx FROM hot1 WHERE ts >= TIMESTAMP '{_dt.datetime.combine(TARGET_DATE, _dt.time()) - _dt.timedelta(hours=8)}'"""))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import mail as M
 from ..operators import runstate as RS
-from ..session import work_table
+from ..session import work_path, work_table
+from ..sources import inventory as INV
+from ..sources import payloads as P
+from . import landed as L
 from . import oracle as O
 from .adapters import RAW_NAME_A, RAW_NAME_B, TARGET_DATE, cache_files, mail_registry, note_files
 from .registry import register
@@ -92,14 +95,18 @@ states AS (
 )"""
 
 
+def _listed(spark, sf_dir):
+    return INV.list_cache(spark, L.cache_folder(spark, sf_dir), partitioned=True)
+
+
 def _states(spark, sf_dir):
     return RS.run_state(cache_files(spark, sf_dir))
 
 
 @register("src_cache_inventory", O.with_ctes(RUN_CTE, body="SELECT dt, name, cls FROM classified"))
 def src_cache_inventory(spark, sf_dir):
-    """Every cached file of every day with its class."""
-    return RS.classify(cache_files(spark, sf_dir)).select("dt", "name", "cls")
+    """Every cached file of every day with its class, from a listing of the cache folder."""
+    return RS.classify(_listed(spark, sf_dir)).select("dt", "name", "cls")
 
 
 @register("jn_raw_vs_normalized", O.with_ctes(RUN_CTE, body="SELECT dt, source, raw_files, normalized_files FROM flags"))
@@ -112,7 +119,7 @@ SELECT dt, source, coalesce(done, false) OR lower(coalesce(st, '')) IN ('complet
 FROM man_src"""))
 def jn_manifest(spark, sf_dir):
     """Per day the first parseable manifest's per-source completeness."""
-    return RS.manifest_entries(RS.classify(cache_files(spark, sf_dir))).select("dt", "source", "manifest_complete")
+    return RS.manifest_entries(RS.classify(_listed(spark, sf_dir))).select("dt", "source", "manifest_complete")
 
 
 @register("agg_run_state", O.with_ctes(RUN_CTE, body="""
@@ -134,7 +141,9 @@ def agg_run_group_rollup(spark, sf_dir):
 SELECT dt, (DATE '{TARGET_DATE}' - dt) % 3 <> 2 AS raw_note_exists, (DATE '{TARGET_DATE}' - dt) % 3 = 0 AS summary_note_exists
 FROM (SELECT DISTINCT dt FROM files)"""))
 def src_note_state(spark, sf_dir):
-    return note_files(spark, sf_dir)
+    """Whether each listed day's notes exist, from a listing of the note folder."""
+    notes = INV.list_cache(spark, L.note_folder(spark, sf_dir), partitioned=True)
+    return INV.note_state(notes, _listed(spark, sf_dir)).select("dt", "raw_note_exists", "summary_note_exists")
 
 
 def _reason_sql() -> str:
@@ -174,11 +183,25 @@ def agg_partial_reasons(spark, sf_dir):
     return RS.partial_reasons(RS.run_state(files), note_files(spark, sf_dir), files)
 
 
-@register("inc_resume", O.with_ctes(RUN_CTE, body=f"SELECT dt, source FROM states WHERE status = 'raw_only' AND source IN ({_HEAVY})"))
+def _resume_sql():
+    from .normalize_queries import _ALL_CTES, _UNION
+    return O.with_ctes(RUN_CTE, *_ALL_CTES, _UNION, f"""
+written AS (SELECT DATE '{TARGET_DATE}' AS dt, source, count(*) AS n_rows FROM all_rows GROUP BY source)""", body=f"""
+SELECT s.dt, s.source, coalesce(w.n_rows, 0) AS n_rows FROM states s LEFT JOIN written w USING (dt, source)
+WHERE s.status = 'raw_only' AND s.source IN ({_HEAVY})""")
+
+
+@register("inc_resume", _resume_sql())
 def inc_resume(spark, sf_dir):
-    """(day, source) pairs to normalise: raw cache present, normalised missing."""
-    s = _states(spark, sf_dir)
-    return s.filter((F.col("status") == "raw_only") & F.col("is_heavy")).select("dt", "source")
+    """(day, source) pairs with a raw file and no normalised one are normalised into
+    the sink; the rows their partitions hold afterwards."""
+    from .normalize_queries import all_normalized
+    path = work_path(spark, "resumed")
+    states = work_table(RS.run_state(_listed(spark, sf_dir)), "resume-states")
+    items = all_normalized(spark, sf_dir).select("dt", "source", "kind", "idx", "reason")
+    todo = P.resume_normalized(items, states, path)
+    held = P.read_normalized(spark, path).groupBy("dt", "source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return todo.join(held, ["dt", "source"], "left").select("dt", "source", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 _FREQUENCIES = ("daily", "weekday", "weekly", "3x_week", "irregular")

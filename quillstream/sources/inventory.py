@@ -1,23 +1,55 @@
 """Cache-folder inventory from the file system.
 
-``binaryFile`` lists files with path, length and modification time; the
-``content`` column is never selected, so Spark does not read the files.
-Day folders are named ``YYYY-MM-DD`` under one cache root.
+``binaryFile`` lists files with path, length and modification time; ``content``
+is not selected in a listing, so Spark does not read the files. Two layouts are
+known: day folders ``YYYY-MM-DD/<file>``, and ``day=YYYY-MM-DD/name=<file>/`` as
+Spark writes them, where conditions on day and name prune folders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 
-def list_cache(spark: SparkSession, root: str) -> DataFrame:
-    """src_cache_inventory / src_note_state: (dt, name, size_bytes, modified_at)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    parts = F.split(F.col("path"), "/")
-    return files.select(
-        F.try_to_date(F.element_at(parts, -2), "yyyy-MM-dd").alias("dt"),
-        F.element_at(parts, -1).alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        F.lit(None).cast("string").alias("content"))
+
+def _files(spark: SparkSession, root: str, partitioned: bool, names=None) -> DataFrame:
+    """binaryFile rows with ``dt`` and ``name``; only files of ``names`` if given."""
+    reader = spark.read.format("binaryFile")
+    if partitioned:
+        files = reader.load(root)
+        if "name" not in files.columns:                 # an empty root
+            files = files.withColumn("day", F.lit(None).cast("date")).withColumn("name", F.lit(None).cast("string"))
+        if names is not None:
+            files = files.filter(F.col("name").isin(*names))
+        return files.withColumn("dt", F.try_to_date(F.col("day").cast("string"), "yyyy-MM-dd"))
+    reader = reader.option("recursiveFileLookup", "true")
+    if names is not None:
+        reader = reader.option("pathGlobFilter", "{" + ",".join(names) + "}")
+    files, parts = reader.load(root), F.split(F.col("path"), "/")
+    return files.withColumn("dt", F.try_to_date(F.element_at(parts, -2), "yyyy-MM-dd")).withColumn("name", F.element_at(parts, -1))
+
+
+def list_cache(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
+    """src_cache_inventory: (dt, name, size_bytes, modified_at) of every file, with
+    the text of manifests only; no other file is read."""
+    listed = _files(spark, root, partitioned).select("dt", "name", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+    texts = _files(spark, root, partitioned, K.MANIFEST_FILES).select("dt", "name", F.col("content").cast("string").alias("content"))
+    return listed.join(texts, ["dt", "name"], "left")
+
+
+def note_state(notes: DataFrame, days: DataFrame, raw: str = "raw.md", summary: str = "summary.md") -> DataFrame:
+    """src_note_state: for each day of ``days`` whether a listing holds the raw
+    and the summary note, with size and time."""
+    def has(name: str) -> Column:
+        return F.coalesce(F.bool_or(F.col("name") == name), F.lit(False))
+
+    def value(column: str, name: str) -> Column:
+        return F.max(F.when(F.col("name") == name, F.col(column)))
+
+    found = notes.filter(F.col("name").isin(raw, summary)).select("dt", "name", "size_bytes", "modified_at")
+    return days.select("dt").distinct().join(found, "dt", "left").groupBy("dt").agg(
+        has(raw).alias("raw_note_exists"), has(summary).alias("summary_note_exists"),
+        value("size_bytes", raw).alias("raw_note_bytes"), value("size_bytes", summary).alias("summary_note_bytes"),
+        value("modified_at", raw).alias("raw_note_at"), value("modified_at", summary).alias("summary_note_at"))

@@ -6,6 +6,7 @@ from quillstream.operators import mail as M
 from quillstream.sources import feeds as SF
 from quillstream.sources import inventory as INV
 from quillstream.sources import mail as SM
+from quillstream.sources import payloads as P
 
 EML = (b"From: Letter Zero <src0@mail.example.com>\r\nSubject: Caf\xc3\xa9 news\r\n"
        b"Date: Mon, 29 Jan 2024 10:00:00 +0000\r\nMessage-ID: <1@x>\r\nMIME-Version: 1.0\r\n"
@@ -40,3 +41,86 @@ def test_feed_files(spark, scratch):
                 "<item><title>C</title><link>https://e/2</link><summary>s</summary></item></channel></rss>")
     rows = sorted(SF.read_feed_files(spark, p).collect(), key=lambda r: r.link)
     assert [(r.title, r.summary) for r in rows] == [("A & B", "d"), ("C", "s")]
+
+
+def test_partitioned_listing_and_notes(spark, scratch):
+    root = os.path.join(scratch, "listed")
+    rows = [("2024-01-30", "run-manifest.json", '{"status": "ok"}'), ("2024-01-30", "aihot.json", "[]"), ("2024-01-29", "raw.md", "# n"),
+            ("2024-01-29", "x.tmp", "")]
+    spark.createDataFrame(rows, "day string, name string, text string").write.partitionBy("day", "name").text(root)
+    listed = INV.list_cache(spark, root, partitioned=True)
+    got = {(str(r.dt), r.name): r for r in listed.collect()}
+    assert set(got) == {(d, n) for d, n, _ in rows} and got["2024-01-29", "raw.md"].size_bytes == 4
+    assert [k for k, r in got.items() if r.content is not None] == [("2024-01-30", "run-manifest.json")]
+    notes = {str(r.dt): r for r in INV.note_state(listed, listed).collect()}
+    assert notes["2024-01-29"].raw_note_exists and notes["2024-01-29"].raw_note_bytes == 4
+    assert not notes["2024-01-29"].summary_note_exists and not notes["2024-01-30"].raw_note_exists
+
+
+def test_payload_pages_keep_corrupt_files_apart(spark, scratch):
+    root = os.path.join(scratch, "pages")
+    bodies = {0: '{"items": [{"id": "a"},\n {"id": "b", "score": 2}], "hasNext": true, "nextCursor": "c1"}', 1: '{"items": [{"id": "lost"}, {"id',
+              2: '{"items": [], "hasNext": true, "nextCursor": "c3"}', 3: ""}
+    for page, body in bodies.items():
+        os.makedirs(os.path.join(root, "dt=2024-01-30", f"page={page}"))
+        with open(os.path.join(root, "dt=2024-01-30", f"page={page}", "p.json"), "w") as f:
+            f.write(body)
+    pages = P.read_payloads(spark, root, P.PAGE_SCHEMA)
+    items = P.page_items(pages).orderBy("page", "pos").select("page", "pos", "id", "score").collect()
+    assert [tuple(r) for r in items] == [(0, 0, "a", None), (0, 1, "b", 2)]
+    s = P.page_stats(pages).first()
+    assert (s.bad_pages, s.last_next_cursor, s.truncated) == (1, "c3", True)
+    assert P.read_payloads(spark, os.path.join(scratch, "nowhere"), P.PAGE_SCHEMA).count() == 0
+
+
+def test_snapshots_and_projects(spark, scratch):
+    root = os.path.join(scratch, "snap")
+    lines = ['{"syncTaskBean": {"update": [{"id": "t1", "tags": ["a/b"]}]}, "tags": [{"name": "a/b", "parent": "a"}]}',
+             '{"syncTaskBean": {"update": [{"id": "t2"', '{"tags": [{"name": "a/b", "parent": "a"}, {"name": "c"}]}']
+    spark.createDataFrame([(x,) for x in lines], "text string").coalesce(1).write.text(root)
+    snap = P.read_payloads(spark, root, P.SNAPSHOT_SCHEMA, multiline=False)
+    assert [r.id for r in P.snapshot_tasks(snap).collect()] == ["t1"]
+    assert sorted((r.name, r.parent) for r in P.snapshot_tags(snap).collect()) == [("a/b", "a"), ("c", None)]
+    root = os.path.join(scratch, "proj")
+    lines = ['{"project": {"id": "p", "name": "P"}, "tasks": [{"id": "1"}, {"id": "2"}], "columns": [{"id": "x"}, {"id": "y"}]}',
+             '{"project": {"id": "p", "name": "P"}, "tasks": [{"id": "3"}], "columns": [{"id": "x"}]}', '{"project": {"id": "q", "name": "Q"}}', '{"proj']
+    spark.createDataFrame([(x,) for x in lines], "text string").coalesce(1).write.text(root)
+    got = P.project_sizes(P.read_payloads(spark, root, P.PROJECT_SCHEMA, multiline=False)).collect()
+    assert sorted((r.id, r.name, r.open_tasks, r.n_columns) for r in got) == [("p", "P", 3, 2), ("q", "Q", 0, 0)]
+
+
+def _stamps(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")}
+
+
+def test_resume_rewrites_only_unfinished_partitions(spark, scratch):
+    path = os.path.join(scratch, "sink")
+    items = spark.createDataFrame([(d, s, "k", i, "bad" if i == 3 else None) for d in (1, 2) for s in ("aihot", "bestblogs") for i in range(6)],
+                                  "d int, source string, kind string, idx long, reason string").selectExpr("date_add(date'2024-01-28', d) as dt", "* except (d)")
+    P.write_normalized(items, path)
+    before = _stamps(path)
+    states = spark.createDataFrame([(1, "aihot", "raw_only", True), (1, "bestblogs", "complete", True), (2, "aihot", "complete", True), (2, "rss", "raw_only", False)],
+                                   "d int, source string, status string, is_heavy boolean").selectExpr("date_add(date'2024-01-28', d) as dt", "* except (d)")
+    fewer = items.filter("idx < 3")                       # the new payload no longer has its dropped row
+    todo = P.resume_normalized(fewer, states, path).collect()
+    assert [(str(r.dt), r.source) for r in todo] == [("2024-01-29", "aihot")]
+    after = _stamps(path)
+    mine = "dt=2024-01-29/source=aihot/"
+    assert {f: t for f, t in before.items() if mine not in f} == {f: t for f, t in after.items() if mine not in f}
+    got = {(str(r.dt), r.source): r["count"] for r in P.read_normalized(spark, path).groupBy("dt", "source").count().collect()}
+    assert got == {("2024-01-29", "aihot"): 3, ("2024-01-29", "bestblogs"): 6, ("2024-01-30", "aihot"): 6, ("2024-01-30", "bestblogs"): 6}
+    P.resume_normalized(fewer, states.filter("status = 'complete'"), path)
+    assert _stamps(path) == after                         # nothing to do: no file touched
+
+
+def test_notes_are_appended_never_rewritten(spark, scratch):
+    path = os.path.join(scratch, "notes")
+    lines = spark.sql("""select date'2024-01-30' as dt, source, line, struct(at is null as undated, cast(at as timestamp) as at, cast(idx as long) as idx) as ord
+                         from values ('rss', 'b', null, 1), ('rss', 'a', '2024-01-30 10:00:00', 2), ('rss', 'a', '2024-01-30 09:00:00', 3),
+                         ('aihot', 'a', null, 4) as t(source, line, at, idx)""")
+    P.append_notes(lines.filter("source = 'rss'"), path)
+    before = _stamps(path)
+    P.append_notes(lines, path)
+    assert before.items() <= _stamps(path).items()
+    got = P.read_notes(spark, path).orderBy("source", "ord").collect()
+    assert [(r.source, r.line) for r in got] == [("aihot", "a"), ("rss", "a"), ("rss", "b")]
