@@ -124,6 +124,14 @@ LIMIT_FB_TWEETS = "follow-builders 含大量 X 动态，已按 AI 相关性和
 LIMIT_HOT_MODE = "AI HOT 已按 {mode} 模式和目标日期过滤，items API 最多覆盖最近 7 天。"
 LIMIT_HOT_DROPPED = "AI HOT 有 {n} 条因日期或字段不完整被过滤。"
 UNTITLED = "未命名条目"
+NO_LIMITS = "- 无明显限制。"
+NO_CANDIDATES = "- 无候选条目。"
+HEAD_STATS = "## 来源统计"
+HEAD_FRESHNESS = "## 新鲜度检查"
+HEAD_CONCLUSIONS = "## 新鲜度结论"
+HEAD_LIMITS = "## 来源限制 / 风险"
+HEAD_CANDIDATES = "## 候选条目（按来源压缩）"
+HEAD_OVERALL = "## 跨来源优先关注"
 LINK_LABEL = "链接"
 
 # --- fixed values: partial-run reasons and actions ---
@@ -153,3 +161,12 @@ HEADLINE_LOOKBACK_DAYS = 3
 
 # --- own rule: headings a note must have ---
 REQUIRED_HEADINGS = ("# ", "## ")
+
+# --- fixed values: statistics fields of each source's normaliser ---
+NORMALIZE_STATS = {
+    "bestblogs": ("candidate_count", "normalized_items", "dropped_items", "items_with_direct_url", "items_needing_followup",
+                  "deep_read_attempted", "deep_read_completed", "deep_read_rate_limited"),
+    "follow-builders": ("normalized_items", "dropped_items", "podcast_items", "tweet_items", "blog_items"),
+    "ak-rss-digest": ("normalized_items", "dropped_items", "upstream_errors"),
+    "aihot": ("normalized_items", "dropped_items", "items_with_direct_url", "selected_items"),
+}

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as X
@@ -22,7 +23,7 @@ ITEM_COLUMNS = {
     "title": "string", "url": "string", "summary": "string", "source_name": "string",
     "status": "string", "confidence": "string", "score": "double", "published_at": "string",
     "has_direct_url": "boolean", "signal_score": "int", "likes": "bigint", "retweets": "bigint",
-    "replies": "bigint", "reason": "string", "preview": "string",
+    "replies": "bigint", "outcome": "string", "selected": "boolean", "reason": "string", "preview": "string",
 }
 
 
@@ -300,20 +301,33 @@ def normalize_hot_items(filtered: DataFrame) -> DataFrame:
         F.lit(True).alias("has_direct_url"), reason.alias("reason"))
 
 
-def normalize_stats(all_rows: DataFrame) -> DataFrame:
-    """agg_normalize_stats: per source normalised, dropped, with URL,
-    needing follow-up, per-kind and selected counts (one partial+final agg)."""
+def normalize_stats(all_rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """agg_normalize_stats: each source's own statistics (``NORMALIZE_STATS``; a
+    field that a source's normaliser doesn't report is null), in one aggregation.
+    ``errors``: (source, upstream_errors), one row for each source; 0 if it has none."""
     k = F.col("reason").isNull()
-    kind = F.col("kind")
-    return all_rows.groupBy("source").agg(
+    kind, outcome = F.col("kind"), F.col("outcome")
+    direct = F.coalesce(F.col("has_direct_url"), F.lit(False)) | (F.col("source") == "aihot")
+    s = all_rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("candidate_count"),
         F.count_if(k).alias("normalized_items"),
         F.count_if(~k).alias("dropped_items"),
-        F.count_if(k & F.coalesce(F.col("has_direct_url"), F.lit(False))).alias("items_with_direct_url"),
+        F.count_if(k & direct).alias("items_with_direct_url"),
         F.count_if(k & F.col("status").isin("needs_deep_read", "deferred_rate_limited", "summary_only")).alias("items_needing_followup"),
+        F.count_if(outcome.isNotNull()).alias("deep_read_attempted"),
+        F.count_if(outcome == "ok").alias("deep_read_completed"),
+        F.count_if(outcome == "rate_limited").alias("deep_read_rate_limited"),
         F.count_if(k & (kind == "podcast_episode")).alias("podcast_items"),
         F.count_if(k & (kind == "tweet")).alias("tweet_items"),
         F.count_if(k & (kind == "blog_post")).alias("blog_items"),
+        F.count_if(k & F.coalesce(F.col("selected"), F.lit(False))).alias("selected_items"),
     )
+    s = s.withColumn("upstream_errors", F.lit(0).cast("long")) if errors is None else (
+        s.join(errors.select("source", F.col("upstream_errors").cast("long")), "source", "left")
+        .withColumn("upstream_errors", F.coalesce("upstream_errors", F.lit(0).cast("long"))))
+    fields = dict.fromkeys(f for fs in K.NORMALIZE_STATS.values() for f in fs)
+    return s.select("source", *[F.when(F.col("source").isin(*[x for x, fs in K.NORMALIZE_STATS.items() if f in fs]), F.col(f)).alias(f)
+                                for f in fields])
 
 
 def drop_reasons(all_rows: DataFrame) -> DataFrame:
@@ -326,8 +340,8 @@ def drop_reasons(all_rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(stats: DataFrame) -> DataFrame:
-    """nrm_fingerprint: ``source|<stats JSON with sorted keys>|<item count>``."""
-    fields = sorted(c for c in stats.columns if c != "source")
-    js = F.to_json(F.struct(*[F.col(c) for c in fields]))
+    """nrm_fingerprint: ``source|<stats JSON with sorted keys>|<item count>``; the
+    JSON holds the source's own fields (null fields are left out)."""
+    js = F.to_json(F.struct(*sorted(c for c in stats.columns if c != "source")))
     return stats.select("source", F.concat_ws("|", F.col("source"), js,
                                               F.col("normalized_items").cast("string")).alias("fingerprint"))

@@ -70,7 +70,7 @@ def item_line(scored: DataFrame) -> Column:
 
 
 def limitations(rss_feeds: DataFrame | None, mail_entries: DataFrame | None, candidate_stats: DataFrame | None,
-                digest_errors: DataFrame | None, tweet_items: DataFrame | None, hot_request_mode: str | None,
+                digest_errors: DataFrame | None, tweet_items: DataFrame | None, hot_request: DataFrame | None,
                 hot_dropped: DataFrame | None, spark) -> DataFrame:
     """agg_limitations: message rows (pos, line) from payload statistics, in
     the fixed order of the report. Each input is a small aggregate."""
@@ -94,13 +94,14 @@ def limitations(rss_feeds: DataFrame | None, mail_entries: DataFrame | None, can
             F.format_string(K.LIMIT_BB_RATE.replace("{n}", "%d"), "deep_read_rate_limited").alias("line")))
         add(4, candidate_stats.filter(F.col("items_needing_followup") > 0).select(
             F.format_string(K.LIMIT_BB_FOLLOWUP.replace("{n}", "%d"), "items_needing_followup").alias("line")))
-    if digest_errors is not None:
-        n = digest_errors.agg(F.count(F.lit(1)).alias("n"))
+    if digest_errors is not None:   # one-row count ``n`` of upstream errors
+        n = digest_errors
         add(5, n.filter(F.col("n") > 0).select(F.format_string(K.LIMIT_AK_ERRORS.replace("{n}", "%d"), "n").alias("line")))
     if tweet_items is not None:    # one-row count ``n`` of kept tweets
         add(6, tweet_items.filter(F.col("n") > 0).select(F.lit(K.LIMIT_FB_TWEETS).alias("line")))
-    if hot_request_mode is not None:
-        add(7, one.select(F.lit(K.LIMIT_HOT_MODE.replace("{mode}", hot_request_mode or "selected")).alias("line")))
+    if hot_request is not None:     # one row ``mode`` of the payload's request, null without a request
+        mode = F.when(F.col("mode") == "", F.lit("selected")).otherwise(F.col("mode"))
+        add(7, hot_request.filter("mode is not null").select(F.format_string(K.LIMIT_HOT_MODE.replace("{mode}", "%s"), mode).alias("line")))
     if hot_dropped is not None:     # one-row count ``n`` of dropped hot items
         n = hot_dropped
         add(8, n.filter(F.col("n") > 0).select(F.format_string(K.LIMIT_HOT_DROPPED.replace("{n}", "%d"), "n").alias("line")))
@@ -113,36 +114,53 @@ def limitations(rss_feeds: DataFrame | None, mail_entries: DataFrame | None, can
 def compact_context_lines(stats: DataFrame, buckets: DataFrame, warnings: DataFrame, limits: DataFrame,
                           winners: DataFrame, overall: DataFrame, date: str) -> DataFrame:
     """snk_compact_context as ordered rows ``(section, source_ord, pos, line)``;
-    ``render`` joins them. All inputs are bounded by the number of sources
-    and the top-k limits."""
+    ``render`` joins them. Every source of the fixed list has its statistics,
+    freshness and heading, also without items. All inputs are bounded by the number of
+    sources and the top-k limits."""
     from .digest import source_ordinal
-    head = stats.sparkSession.createDataFrame(
-        [(0, 0, 0, f"# compact context {date}"), (0, 0, 1, ""), (1, 0, 0, "## 来源统计"), (1, 0, 1, "")],
-        "section int, source_ord int, pos bigint, line string")
-    stat_lines = stats.select(F.lit(2).alias("section"), source_ordinal().alias("source_ord"), F.lit(0).cast("bigint").alias("pos"),
-                              F.format_string("- %s: total=%d, selected=%d, linked=%d, dated=%d, fresh_48h=%d, recent_7d=%d",
-                                              "source", "total_items", "selected_items", "linked_items", "dated_items",
-                                              "fresh_48h_items", "recent_7d_items").alias("line"))
-    fresh = buckets.select(F.lit(4).alias("section"), source_ordinal().alias("source_ord"), F.lit(0).cast("bigint").alias("pos"),
-                           F.format_string("- %s: fresh_48h=%d, recent_7d=%d, stale_gt7d=%d, undated=%d",
-                                           "source", "fresh_48h", "recent_7d", "stale_gt7d", "undated").alias("line"))
-    warn = warnings.select(F.lit(6).alias("section"), F.lit(0).alias("source_ord"), F.col("pos").cast("bigint"),
-                           F.concat(F.lit("- "), F.col("line")).alias("line"))
-    lim = limits.select(F.lit(8).alias("section"), F.lit(0).alias("source_ord"), F.col("pos").cast("bigint"),
-                        F.concat(F.lit("- "), F.col("line")).alias("line"))
-    items = winners.select(F.lit(10).alias("section"), source_ordinal().alias("source_ord"),
-                           F.col("rank").cast("bigint").alias("pos"), item_line(winners).alias("line"))
+    spark = stats.sparkSession
+    layout = "section int, source_ord int, pos bigint, line string"
+    sources = spark.createDataFrame([(x,) for x in K.DIGEST_SOURCES], "source string")
+
+    def rows(section: int, line: Column, source_ord: Column | None = None, pos: Column | None = None) -> list[Column]:
+        return [F.lit(section).alias("section"), (F.lit(0) if source_ord is None else source_ord).alias("source_ord"),
+                (F.lit(0) if pos is None else pos).cast("bigint").alias("pos"), line.alias("line")]
+
+    def counts(df: DataFrame, section: int, form: str, fields: tuple) -> DataFrame:
+        dense = sources.join(df, "source", "full").fillna(0, list(fields))
+        return dense.select(*rows(section, F.format_string(form, "source", *fields), source_ordinal()))
+
+    def bullets(df: DataFrame, section: int) -> DataFrame:
+        return df.select(*rows(section, F.concat(F.lit("- "), "line"), pos=F.col("pos")))
+
+    fixed = [(0, f"# compact context {date}"), (0, ""), (0, K.HEAD_STATS), (0, ""), (2, ""), (2, K.HEAD_FRESHNESS), (2, ""),
+             (6, ""), (6, K.HEAD_LIMITS), (6, ""), (8, ""), (8, K.HEAD_CANDIDATES), (8, ""), (10, K.HEAD_OVERALL), (10, ""), (12, "")]
+    titles = spark.createDataFrame([(x, 0, i, line) for i, (x, line) in enumerate(fixed)], layout)
+    some = warnings.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    conclusions = some.select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("line"))
+                                                  for i, x in enumerate(("", K.HEAD_CONCLUSIONS, ""))])).alias("t"))
+    none = limits.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    held = winners.select("source").distinct().withColumn("held", F.lit(True))
+    empty = F.when(F.col("held").isNull(), F.struct(F.lit(0).alias("pos"), F.lit(K.NO_CANDIDATES).alias("line")))
+    frame = sources.join(held, "source", "full").select("source", F.explode(F.array_compact(F.array(
+        F.struct(F.lit(-2).alias("pos"), F.concat(F.lit("### "), "source").alias("line")), F.struct(F.lit(-1).alias("pos"), F.lit("").alias("line")),
+        empty, F.struct(F.lit((1 << 31) - 1).alias("pos"), F.lit("").alias("line"))))).alias("t"))
     w = Window.orderBy(F.col("priority").desc(), F.coalesce(F.col("score"), F.lit(0.0)).desc(), F.col("engagement").desc(),
                        F.coalesce(F.col("title"), F.lit("")).desc(), source_ordinal().asc(), F.col("rank").asc())
-    top = overall.select(F.lit(12).alias("section"), F.lit(0).alias("source_ord"),
-                         F.row_number().over(w).cast("bigint").alias("pos"), item_line(overall).alias("line"))
-    titles = stats.sparkSession.createDataFrame(
-        [(3, 0, 0, ""), (3, 0, 1, "## 新鲜度检查"), (5, 0, 0, ""), (5, 0, 1, "## 新鲜度结论"), (7, 0, 0, ""),
-         (7, 0, 1, "## 来源限制 / 风险"), (9, 0, 0, ""), (9, 0, 1, "## 候选条目（按来源压缩）"),
-         (11, 0, 0, ""), (11, 0, 1, "## 跨来源优先关注")],
-        "section int, source_ord int, pos bigint, line string")
-    return head.unionByName(stat_lines).unionByName(titles).unionByName(fresh).unionByName(warn) \
-        .unionByName(lim).unionByName(items).unionByName(top)
+    parts = [
+        counts(stats, 1, "- %s: total=%d, selected=%d, linked=%d, dated=%d, fresh_48h=%d, recent_7d=%d",
+               ("total_items", "selected_items", "linked_items", "dated_items", "fresh_48h_items", "recent_7d_items")),
+        counts(buckets, 3, "- %s: fresh_48h=%d, recent_7d=%d, stale_gt7d=%d, undated=%d", ("fresh_48h", "recent_7d", "stale_gt7d", "undated")),
+        conclusions.select(*rows(4, F.col("t.line"), pos=F.col("t.pos"))),
+        bullets(warnings, 5), bullets(limits, 7), none.select(*rows(7, F.lit(K.NO_LIMITS))),
+        frame.select(*rows(9, F.col("t.line"), source_ordinal(), F.col("t.pos"))),
+        winners.select(*rows(9, item_line(winners), source_ordinal(), F.col("rank"))),
+        overall.select(*rows(11, item_line(overall), pos=F.row_number().over(w))),
+    ]
+    out = titles
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def render(lines: DataFrame) -> DataFrame:

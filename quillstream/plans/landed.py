@@ -42,7 +42,7 @@ def hot_pages(spark: SparkSession, sf_dir: str) -> str:
         later = pages.select("dt", (F.col("page") - 1).alias("page"), F.lit(True).alias("hasNext"))
         p = pages.join(later, ["dt", "page"], "left").withColumn("hasNext", F.coalesce("hasNext", F.lit(False)))
         cursor = F.when(F.col("hasNext"), F.concat(F.lit("cursor-"), F.col("page") + 1))
-        text = F.to_json(F.struct("items", "hasNext", cursor.alias("nextCursor")), {"pretty": "true"})
+        text = F.to_json(F.struct("items", "hasNext", cursor.alias("nextCursor"), F.struct(F.lit("selected").alias("mode")).alias("request")), {"pretty": "true"})
         (p.withColumn("_text", text).select("dt", "page", _cut(F.col("_text"), F.col("page") % 7 == BAD_PAGE).alias("text"))
          .write.partitionBy("dt", "page").text(path))
     return _once(spark, sf_dir, "hot-pages", write)

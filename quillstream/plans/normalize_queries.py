@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.constants import NOISE_PATTERNS, SIGNAL_KEYWORDS
+from ..functions.constants import NOISE_PATTERNS, NORMALIZE_STATS, SIGNAL_KEYWORDS
 from ..operators import normalize as N
 from . import oracle as O
-from .adapters import (TARGET_DATE, blog_posts_raw, builder_posts, candidate_elements, deep_reads,
+from .adapters import (ERROR_FEEDS, TARGET_DATE, blog_posts_raw, builder_posts, candidate_elements, deep_reads,
                        hot_items_raw, podcast_episodes, podcast_lines, rss_digest_items)
 from .registry import register
 
@@ -407,9 +407,11 @@ _UNION = f"""all_rows AS (
   SELECT {_COMMON} FROM rssd_out UNION ALL SELECT {_COMMON} FROM hot_out)"""
 
 
-def all_normalized(spark, sf_dir):
-    """set_union_sources over the five normalisers (kept and dropped rows)."""
-    parts = [N.normalize_candidates(candidate_elements(spark, sf_dir)),
+def all_normalized(spark, sf_dir, deep: bool = False):
+    """set_union_sources over the five normalisers (kept and dropped rows);
+    ``deep``: candidates enriched from the landed detail reads."""
+    reads = N.deep_read_outcome(deep_reads(spark, sf_dir)) if deep else None
+    parts = [N.normalize_candidates(candidate_elements(spark, sf_dir), reads),
              N.normalize_posts(builder_posts(spark, sf_dir)),
              N.normalize_podcasts(podcast_episodes(spark, sf_dir), podcast_lines(spark, sf_dir)),
              N.normalize_blog_posts(blog_posts_raw(spark, sf_dir)),
@@ -421,17 +423,50 @@ def all_normalized(spark, sf_dir):
     return out
 
 
-@register("agg_normalize_stats", O.with_ctes(*_ALL_CTES, _UNION, body="""
-SELECT source, count(*) FILTER (WHERE reason IS NULL) AS normalized_items,
+def upstream_errors(spark, sf_dir):
+    """(source, upstream_errors): failed feeds of the aggregated-RSS payload."""
+    from .adapters import feed_entries_raw
+    e = feed_entries_raw(spark, sf_dir).select("feed_name", "error").filter("error is not null")
+    return e.agg(F.count_distinct("feed_name").alias("upstream_errors")).select(F.lit("ak-rss-digest").alias("source"), "upstream_errors")
+
+
+def _stats(spark, sf_dir):
+    return N.normalize_stats(all_normalized(spark, sf_dir, deep=True), upstream_errors(spark, sf_dir))
+
+
+_FOLLOWUP = "status IN ('needs_deep_read', 'deferred_rate_limited', 'summary_only')"
+_ERRORS_SQL = f"(SELECT count(DISTINCT source) FROM documents WHERE source IN ({', '.join(O.q(x) for x in ERROR_FEEDS)}))"
+
+
+def _stats_sql(columns: str) -> str:
+    some = "source, kind, idx, status, has_direct_url, reason, {} AS outcome, {} AS selected"
+    rows = " UNION ALL ".join(f"SELECT {some.format(*x)} FROM {t}" for t, x in (
+        ("cand_out", ("outcome", "NULL::BOOLEAN")), ("posts_out", ("NULL", "NULL")), ("pod_out", ("NULL", "NULL")), ("blog_out", ("NULL", "NULL")),
+        ("rssd_out", ("NULL", "NULL")), ("hot_out", ("NULL", "selected"))))
+    return O.with_ctes(CAND_CTE, _cand_out(True), *_ALL_CTES[2:], f"stat_rows AS ({rows})", f"""
+stats AS (
+  SELECT source, CASE WHEN b THEN count(*) END AS candidate_count, count(*) FILTER (WHERE reason IS NULL) AS normalized_items,
        count(*) FILTER (WHERE reason IS NOT NULL) AS dropped_items,
-       count(*) FILTER (WHERE reason IS NULL AND coalesce(has_direct_url, false)) AS items_with_direct_url,
-       count(*) FILTER (WHERE reason IS NULL AND status IN ('needs_deep_read', 'deferred_rate_limited', 'summary_only')) AS items_needing_followup,
-       count(*) FILTER (WHERE reason IS NULL AND kind = 'podcast_episode') AS podcast_items,
-       count(*) FILTER (WHERE reason IS NULL AND kind = 'tweet') AS tweet_items,
-       count(*) FILTER (WHERE reason IS NULL AND kind = 'blog_post') AS blog_items
-FROM all_rows GROUP BY source"""))
+       CASE WHEN b THEN count(*) FILTER (WHERE reason IS NULL AND coalesce(has_direct_url, false))
+            WHEN h THEN count(*) FILTER (WHERE reason IS NULL) END AS items_with_direct_url,
+       CASE WHEN b THEN count(*) FILTER (WHERE reason IS NULL AND {_FOLLOWUP}) END AS items_needing_followup,
+       CASE WHEN b THEN count(outcome) END AS deep_read_attempted,
+       CASE WHEN b THEN count(*) FILTER (WHERE outcome = 'ok') END AS deep_read_completed,
+       CASE WHEN b THEN count(*) FILTER (WHERE outcome = 'rate_limited') END AS deep_read_rate_limited,
+       CASE WHEN f THEN count(*) FILTER (WHERE reason IS NULL AND kind = 'podcast_episode') END AS podcast_items,
+       CASE WHEN f THEN count(*) FILTER (WHERE reason IS NULL AND kind = 'tweet') END AS tweet_items,
+       CASE WHEN f THEN count(*) FILTER (WHERE reason IS NULL AND kind = 'blog_post') END AS blog_items,
+       CASE WHEN source = 'ak-rss-digest' THEN {_ERRORS_SQL} END AS upstream_errors,
+       CASE WHEN h THEN count(*) FILTER (WHERE reason IS NULL AND selected) END AS selected_items
+  FROM (SELECT *, source = 'bestblogs' AS b, source = 'follow-builders' AS f, source = 'aihot' AS h FROM stat_rows)
+  GROUP BY source, b, f, h
+)""", body=f"SELECT {columns} FROM stats")
+
+
+@register("agg_normalize_stats", _stats_sql("*"))
 def agg_normalize_stats(spark, sf_dir):
-    return N.normalize_stats(all_normalized(spark, sf_dir))
+    """Each source's normaliser statistics, detail reads included."""
+    return _stats(spark, sf_dir)
 
 
 @register("agg_drop_reasons", O.with_ctes(*_ALL_CTES, _UNION, body="""
@@ -480,7 +515,13 @@ def nrm_item_id(spark, sf_dir):
     return sel(c, "bestblogs").unionByName(sel(r, "ak-rss-digest")).unionByName(sel(h, "aihot"))
 
 
-@register("nrm_fingerprint", None)
+def _fingerprint_sql() -> str:
+    fields = sorted({f for fs in NORMALIZE_STATS.values() for f in fs})
+    pairs = ", ".join(f"'\"{f}\":' || {f}" for f in fields)
+    return _stats_sql(f"source, source || '|{{' || concat_ws(',', {pairs}) || '}}|' || normalized_items AS fingerprint")
+
+
+@register("nrm_fingerprint", _fingerprint_sql())
 def nrm_fingerprint(spark, sf_dir):
-    """Run fingerprint per source: ``source|stats JSON (sorted keys)|count``."""
-    return N.fingerprint(N.normalize_stats(all_normalized(spark, sf_dir)))
+    """Run fingerprint per source: ``source|its stats as JSON (sorted keys)|count``."""
+    return N.fingerprint(_stats(spark, sf_dir))

@@ -20,7 +20,7 @@ from . import landed as L
 from . import oracle as O
 from .adapters import TARGET_DATE, as_of_col, digest_items, hot_items_raw
 from .digest_queries import scored_items
-from .normalize_queries import HOT_CTE
+from .normalize_queries import CAND_CTE, HOT_CTE, POSTS_CTE, _cand_out, upstream_errors
 from .registry import register
 
 _CTES = (O.ITEMS_CTE, O.COMPACT_CTE)
@@ -122,12 +122,31 @@ def _limitations(spark, sf_dir):
     feeds = feed_entries_raw(spark, sf_dir).groupBy("feed_name").agg(F.max("error").alias("error"))
     # conditional counts, not filters on the reason column (see normalize.kept)
     tweets = N.normalize_posts(builder_posts(spark, sf_dir)).agg(F.count_if(F.col("reason").isNull()).alias("n"))
-    hot = N.target_date_strict(hot_items_raw(spark, sf_dir), TARGET_DATE, "Asia/Shanghai")
+    hot = N.normalize_hot_items(N.target_date_strict(hot_items_raw(spark, sf_dir), TARGET_DATE, "Asia/Shanghai"))
     hot_n = hot.agg(F.count_if(F.col("reason").isNotNull()).alias("n"))
-    return R.limitations(feeds, _entries(spark, sf_dir), cstats, None, tweets, "selected", hot_n, spark)
-
-
-@register("agg_limitations", None)
+    errors = upstream_errors(spark, sf_dir).select(F.col("upstream_errors").alias("n"))
+    request = P.page_stats(_pages(spark, sf_dir)).select("mode")
+    return R.limitations(feeds, _entries(spark, sf_dir), cstats, errors, tweets, request, hot_n, spark)
+
+
+def _limit_sql() -> tuple:
+    """CTEs that end in ``limits`` (pos, line)."""
+    from .mail_queries import FEED_CTE, MAIL_CTE
+    K = R.K
+    counted = [(1, K.LIMIT_RSS_ERRORS, "count(DISTINCT feed_name) FROM feed_raw WHERE is_err"),
+               (3, K.LIMIT_BB_RATE, "count(*) FROM cand_out WHERE outcome = 'rate_limited'"),
+               (4, K.LIMIT_BB_FOLLOWUP, "count(*) FROM cand_out WHERE reason IS NULL AND status IN ('needs_deep_read', 'deferred_rate_limited', 'summary_only')"),
+               (5, K.LIMIT_AK_ERRORS, "count(DISTINCT feed_name) FROM feed_raw WHERE is_err"),
+               (6, K.LIMIT_FB_TWEETS, "count(*) FROM posts_out WHERE reason IS NULL"),
+               (8, K.LIMIT_HOT_DROPPED, "count(*) FROM hot_out WHERE reason IS NOT NULL")]
+    parts = [f"SELECT {pos} AS pos, replace({O.q(line)}, '{{n}}', n::VARCHAR) AS line FROM (SELECT {count.replace(' FROM', ' AS n FROM', 1)}) WHERE n > 0"
+             for pos, line, count in counted]
+    parts.append(f"SELECT 2, {O.q(K.LIMIT_EMAIL_MISSING)} FROM (SELECT count(*) AS n FROM mail_entries) WHERE n = 0")
+    parts.append(f"SELECT 7, {O.q(K.LIMIT_HOT_MODE.replace('{mode}', 'selected'))} FROM documents WHERE (doc_id // {L.PAGE_ITEMS}) % 7 <> {L.BAD_PAGE} HAVING count(*) > 0")
+    return (FEED_CTE, MAIL_CTE, CAND_CTE, _cand_out(True), POSTS_CTE, HOT_CTE, f"limits AS ({' UNION ALL '.join(parts)})")
+
+
+@register("agg_limitations", O.with_ctes(*_limit_sql(), body="SELECT pos, line FROM limits"))
 def agg_limitations(spark, sf_dir):
     """Warnings from the payload statistics, in report order."""
     return _limitations(spark, sf_dir)
@@ -143,7 +162,44 @@ def _context_lines(spark, sf_dir):
                                    winners, overall, TARGET_DATE.isoformat())
 
 
-@register("snk_compact_context", None)
+def _context_sql() -> str:
+    K = R.K
+    dim = ", ".join(f"({i}, {O.q(x)})" for i, x in enumerate(K.DIGEST_SOURCES))
+    nl = "chr(10)"
+    lines = f"string_agg({{}}, {nl} ORDER BY {{}})"
+    hard, deep = (f"source IN ({', '.join(O.q(x) for x in xs)})" for xs in (K.BREAKING_SOURCES, K.DEEP_SOURCES))
+    return O.with_ctes(O.ITEMS_CTE, O.COMPACT_CTE, *_limit_sql(), f"""
+dim AS (SELECT * FROM (VALUES {dim}) d(ord, source)),
+counts AS (
+  SELECT d.ord, d.source, count(s.source) AS n, least(count(s.source), 8) AS chosen, count(*) FILTER (WHERE {O.nonempty('s.url')}) AS linked,
+         count(*) FILTER (WHERE {O.nonempty('s.published_at')}) AS dated,
+         count(*) FILTER (WHERE {O.nonempty('s.published_at')} AND coalesce(age_days, 0) <= 1) AS f48,
+         count(*) FILTER (WHERE {O.nonempty('s.published_at')} AND (CASE WHEN age_days = 0 THEN 999 ELSE coalesce(age_days, 999) END) <= 7) AS r7,
+         count(*) FILTER (WHERE age_days <= 1) AS fresh, count(*) FILTER (WHERE age_days > 1 AND age_days <= 7) AS recent,
+         count(*) FILTER (WHERE age_days > 7) AS stale, count(*) FILTER (WHERE s.source IS NOT NULL AND age_days IS NULL) AS undated
+  FROM dim d LEFT JOIN scored s USING (source) GROUP BY d.ord, d.source
+),
+sums AS (SELECT sum(fresh) FILTER (WHERE {hard}) AS hf, sum(recent) FILTER (WHERE {hard}) AS hr, sum(fresh + recent) FILTER (WHERE {deep}) AS dd FROM counts),
+warn AS (
+  SELECT 0 AS pos, CASE WHEN hr = 0 THEN {O.q(K.WARN_NO_HARD_7D)} ELSE {O.q(K.WARN_NO_HARD_48H)} END AS line FROM sums WHERE hf = 0
+  UNION ALL SELECT 1, {O.q(K.WARN_DEEP_NEWER)} FROM sums WHERE dd > 0 AND hf = 0
+),
+item_lines AS (SELECT *, {_LINE_SQL} AS line FROM winners),
+top AS (SELECT line, row_number() OVER (ORDER BY priority DESC, coalesce(score, 0) DESC, engagement DESC, coalesce(title, '') DESC, {O.source_ordinal()}, rank) AS n
+        FROM item_lines)""", body=f"""
+SELECT concat_ws({nl}, '# compact context {TARGET_DATE}', '', {O.q(K.HEAD_STATS)}, '',
+  (SELECT {lines.format("'- ' || source || ': total=' || n || ', selected=' || chosen || ', linked=' || linked || ', dated=' || dated || ', fresh_48h=' || f48 || ', recent_7d=' || r7", 'ord')} FROM counts),
+  '', {O.q(K.HEAD_FRESHNESS)}, '',
+  (SELECT {lines.format("'- ' || source || ': fresh_48h=' || fresh || ', recent_7d=' || recent || ', stale_gt7d=' || stale || ', undated=' || undated", 'ord')} FROM counts),
+  (SELECT {nl} || {O.q(K.HEAD_CONCLUSIONS)} || {nl} || {nl} || {lines.format("'- ' || line", 'pos')} FROM warn HAVING count(*) > 0),
+  '', {O.q(K.HEAD_LIMITS)}, '', coalesce((SELECT {lines.format("'- ' || line", 'pos')} FROM limits), {O.q(K.NO_LIMITS)}),
+  '', {O.q(K.HEAD_CANDIDATES)}, '',
+  (SELECT {lines.format("'### ' || source || chr(10) || chr(10) || body || chr(10)", 'ord')} FROM (
+     SELECT d.ord, d.source, coalesce({lines.format('i.line', 'i.rank')}, {O.q(K.NO_CANDIDATES)}) AS body FROM dim d LEFT JOIN item_lines i USING (source) GROUP BY d.ord, d.source)),
+  {O.q(K.HEAD_OVERALL)}, '', (SELECT {lines.format('line', 'n')} FROM top WHERE n <= 18), '') AS markdown""")
+
+
+@register("snk_compact_context", _context_sql())
 def snk_compact_context(spark, sf_dir):
     """The compact context document as one Markdown row."""
     return R.render(_context_lines(spark, sf_dir))
@@ -184,7 +240,7 @@ def agg_hot_fetch_stats(spark, sf_dir):
     counts = hot.agg(F.count(F.lit(1)).alias("raw_items"), F.count_if(F.col("reason").isNull()).alias("kept_items"),
                      F.count_if(F.col("reason").isNotNull()).alias("dropped_items"))
     # two single-row aggregates side by side: a union and one more aggregate, no join
-    both = counts.unionByName(P.page_stats(_pages(spark, sf_dir)), allowMissingColumns=True)
+    both = counts.unionByName(P.page_stats(_pages(spark, sf_dir)).drop("mode"), allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 

@@ -33,7 +33,7 @@ def read_json_cache(spark: SparkSession, path: str, schema: str, multiline: bool
         return spark.createDataFrame([], schema)
 
 
-PAGE_SCHEMA = f"items array<struct<{HOT_PAYLOAD_SCHEMA.replace(' ', ':').replace(',:', ',')}>>, hasNext boolean, nextCursor string"
+PAGE_SCHEMA = f"items array<struct<{HOT_PAYLOAD_SCHEMA.replace(' ', ':').replace(',:', ',')}>>, hasNext boolean, nextCursor string, request struct<mode:string>"
 _TASK_STRUCT = ("struct<id:string,projectId:string,columnId:string,title:string,content:string,priority:int,dueDate:string,"
                 "tags:array<string>,status:int,completedTime:string>")
 SNAPSHOT_SCHEMA = f"syncTaskBean struct<update:array<{_TASK_STRUCT}>>, tags array<struct<name:string,parent:string>>"
@@ -64,12 +64,12 @@ def page_items(pages: DataFrame) -> DataFrame:
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
-    """Readable and unreadable pages, the last readable page's cursor, and whether
-    more items were to come (one row)."""
+    """Readable and unreadable pages, the last readable page's request mode and
+    cursor, and whether more items were to come (one row)."""
     good = F.col("corrupt").isNull()
-    last = F.max_by(F.struct("hasNext", "nextCursor"), F.when(good, F.col("page")))
+    last = F.max_by(F.struct("hasNext", "nextCursor", "request"), F.when(good, F.col("page")))
     return pages.agg(F.count_if(good).alias("page_count"), F.count_if(~good).alias("bad_pages"), last.alias("_l")).select(
-        "page_count", "bad_pages", F.col("_l.nextCursor").alias("last_next_cursor"),
+        "page_count", "bad_pages", F.col("_l.request.mode").alias("mode"), F.col("_l.nextCursor").alias("last_next_cursor"),
         (F.col("_l.hasNext") & F.col("_l.nextCursor").isNotNull()).alias("truncated"))
 
 
