@@ -2,15 +2,15 @@
 mail and feed entries, and their compact items.
 
 The allow-list registry is configuration (a few rows per sender), joined with
-an explicit broadcast; the per-message choice among a sender's registry rows
-is a ``row_number`` over that message's few candidates.
+an explicit broadcast; the choice among a sender's registry rows is made by
+array functions in the message's own row.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -44,22 +44,34 @@ def parts_to_body(parts: DataFrame) -> DataFrame:
     return out.withColumn("body", body).drop("_plain", "_html")
 
 
+def _registry_rows(registry: DataFrame) -> DataFrame:
+    """Registry rows of each sender, by ordinal (configuration: a few rows)."""
+    row = F.struct("ordinal", F.col("name").alias("source"), "category", F.col("subject_contains").alias("needle"))
+    return F.broadcast(registry.groupBy(X.normalize_sender("sender").alias("_sender")).agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+
+
+def from_registered(messages: DataFrame, registry: DataFrame) -> DataFrame:
+    """Messages whose sender is registered, whatever the subject."""
+    m = messages.withColumn("_sender", X.normalize_sender("from_header"))
+    return m.join(_registry_rows(registry).select("_sender"), "_sender", "left_semi").drop("_sender")
+
+
 def match_senders(messages: DataFrame, registry: DataFrame) -> DataFrame:
     """jn_sender_allowlist: registry rows of the sender; the first (by
     ordinal) whose needle occurs in the subject, else the first without a
-    needle; messages without a match are dropped."""
-    reg = F.broadcast(registry.select(
-        X.normalize_sender("sender").alias("_sender"), "ordinal", F.col("name").alias("source"), "category",
-        F.col("subject_contains").alias("_needle")))
+    needle; messages without a match are dropped. A broadcast join and array
+    functions: no message is shuffled."""
     m = messages.withColumn("_sender", X.normalize_sender("from_header"))
-    j = m.join(reg, "_sender")
-    needle = F.lower(F.col("_needle"))
-    hit = X.nonempty("_needle") & F.lower(F.coalesce("subject", F.lit(""))).contains(needle)
-    fallback = ~X.nonempty("_needle")
-    cand = j.withColumn("_hit", hit).filter(F.col("_hit") | fallback)
-    w = Window.partitionBy("idx").orderBy(F.col("_hit").desc(), "ordinal")
-    return (cand.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1)
-            .drop("_n", "_hit", "_needle", "ordinal").withColumnRenamed("_sender", "from"))
+    j = m.join(_registry_rows(registry), "_sender")
+    subject = F.lower(F.coalesce("subject", F.lit("")))
+
+    def has(r):
+        return F.coalesce(r["needle"], F.lit("")) != ""
+    hit = F.filter("_rows", lambda r: has(r) & subject.contains(F.lower(r["needle"])))
+    plain = F.filter("_rows", lambda r: ~has(r))
+    row = F.coalesce(F.get(hit, F.lit(0)), F.get(plain, F.lit(0)))
+    return (j.withColumn("_r", row).filter("_r is not null").withColumn("source", F.col("_r.source")).withColumn("category", F.col("_r.category"))
+            .drop("_rows", "_r").withColumnRenamed("_sender", "from"))
 
 
 def mail_date_keep(messages: DataFrame, target: _dt.date, zone: str) -> DataFrame:

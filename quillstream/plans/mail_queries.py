@@ -169,11 +169,21 @@ def _messages(spark, sf_dir):
 
 
 def _matched(spark, sf_dir):
-    return M.match_senders(_messages(spark, sf_dir), mail_registry(spark))
+    """Headers and content of the messages on the allow-list; no body is parsed."""
+    registry = mail_registry(spark)
+    known = M.from_registered(SM.message_headers(raw_messages(spark, sf_dir)), registry)
+    return M.match_senders(SM.decode_headers(known), registry)
+
+
+def _on_day(spark, sf_dir):
+    return M.mail_date_keep(_matched(spark, sf_dir), TARGET_DATE, ZONE)
 
 
 def _entries(spark, sf_dir):
-    return M.mail_entries(M.mail_date_keep(_matched(spark, sf_dir), TARGET_DATE, ZONE))
+    """Entries of the day: only their messages' bodies are parsed."""
+    kept = _on_day(spark, sf_dir)
+    bodies = M.parts_to_body(SM.message_parts(kept)).select("idx", "body")
+    return M.mail_entries(kept.drop("content").join(bodies, "idx"))
 
 
 @register("src_email_messages", None)
@@ -206,13 +216,14 @@ def jn_sender_allowlist(spark, sf_dir):
 @register("fn_normalize_sender", O.with_ctes(MAIL_CTE, body="""
 SELECT idx, lower(trim(regexp_extract(from_header, '<([^>]*)>', 1))) AS sender FROM mail_raw"""))
 def fn_normalize_sender(spark, sf_dir):
-    return _messages(spark, sf_dir).select("idx", X.normalize_sender("from_header").alias("sender"))
+    """Sender address of every message, from its headers."""
+    return SM.message_headers(raw_messages(spark, sf_dir)).select("idx", X.normalize_sender("from_header").alias("sender"))
 
 
 @register("flt_target_date_mail", O.with_ctes(MAIL_CTE, body="SELECT idx, source FROM mail_day"))
 def flt_target_date_mail(spark, sf_dir):
     """Matched messages of the target day; undated ones are kept."""
-    return M.mail_date_keep(_matched(spark, sf_dir), TARGET_DATE, ZONE).select("idx", "source")
+    return _on_day(spark, sf_dir).select("idx", "source")
 
 
 @register("nrm_newsletters", O.with_ctes(MAIL_CTE, _items_as("m", """
@@ -230,4 +241,5 @@ def nrm_newsletters(spark, sf_dir):
 @register("agg_mail_stats", O.with_ctes(MAIL_CTE, body="""
 SELECT count(*) AS total_entries, count(DISTINCT source) AS sources_with_entries FROM mail_entries"""))
 def agg_mail_stats(spark, sf_dir):
-    return M.mail_stats(_entries(spark, sf_dir))
+    """Entries and sources of the day, from headers alone."""
+    return M.mail_stats(_on_day(spark, sf_dir))

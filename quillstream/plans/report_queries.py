@@ -114,7 +114,7 @@ def snk_item_line(spark, sf_dir):
 
 def _limitations(spark, sf_dir):
     from .adapters import (builder_posts, candidate_elements, deep_reads, feed_entries_raw)
-    from .mail_queries import _entries
+    from .mail_queries import _on_day
     cands = N.normalize_candidates(candidate_elements(spark, sf_dir), N.deep_read_outcome(deep_reads(spark, sf_dir)))
     cstats = cands.agg(F.count_if(F.col("outcome") == "rate_limited").alias("deep_read_rate_limited"),
                        F.count_if(F.col("reason").isNull() & F.col("status").isin(
@@ -126,7 +126,7 @@ def _limitations(spark, sf_dir):
     hot_n = hot.agg(F.count_if(F.col("reason").isNotNull()).alias("n"))
     errors = upstream_errors(spark, sf_dir).select(F.col("upstream_errors").alias("n"))
     request = P.page_stats(_pages(spark, sf_dir)).select("mode")
-    return R.limitations(feeds, _entries(spark, sf_dir), cstats, errors, tweets, request, hot_n, spark)
+    return R.limitations(feeds, _on_day(spark, sf_dir), cstats, errors, tweets, request, hot_n, spark)
 
 
 def _limit_sql() -> tuple:

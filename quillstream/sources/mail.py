@@ -1,7 +1,9 @@
 """Mail source: RFC 822 message bytes -> header and part rows.
 
-MIME parsing is the one place the standard-library ``email`` parser is used:
-``mapInPandas`` runs it per Arrow batch on the executors and emits one row
+Headers are read with column functions from the text up to the first blank
+line, so messages can be filtered by sender and date before any body is
+parsed. MIME parsing is the one place the standard-library ``email`` parser is
+used: ``mapInPandas`` runs it per Arrow batch on the executors and emits one row
 per (message, part); everything after that is DataFrame code.
 """
 
@@ -11,6 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 PARTS_SCHEMA = ("idx bigint, message_id string, from_header string, subject string, date string, "
                 "part_idx int, content_type string, disposition string, content string")
@@ -56,6 +61,45 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PARTS_SCHEMA.split(", ")])
 
 
+HEADERS = {"message_id": "Message-ID", "from_header": "From", "subject": "Subject", "date": "Date"}
+
+
+def message_headers(raw: DataFrame) -> DataFrame:
+    """``(idx, content)`` with the message's headers (the first of a name, folded
+    lines joined, null if missing; the subject empty). Encoded words stay as they
+    are: see ``decode_headers``."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    head = F.regexp_replace(F.regexp_extract(text, r"(?s)\A(.*?)(?:(?:\A|\r?\n)\r?\n|\z)", 1), r"\r?\n(?=[ \t])", "")
+
+    def header(name):
+        found = F.when(F.regexp_like("_head", F.lit(f"(?im)^{name}:")), F.regexp_extract("_head", rf"(?im)^{name}:[ \t]*(.*)$", 1))
+        return F.coalesce(found, F.lit("")) if name == "Subject" else found
+
+    # a generator: conditions on a header are not pushed below it, where each mention would extract it again
+    return raw.select("idx", "content", head.alias("_head")).select(
+        "idx", "content", F.inline(F.array(F.struct(*[header(name).alias(c) for c, name in HEADERS.items()]))))
+
+
+@pandas_udf(StringType())
+def _decoded(values: pd.Series) -> pd.Series:
+    from email.errors import HeaderParseError
+    from email.header import decode_header, make_header
+
+    def one(v):
+        if v is None or "=?" not in v:
+            return v
+        try:
+            return str(make_header(decode_header(v)))
+        except (HeaderParseError, LookupError, UnicodeDecodeError):      # an unknown charset or broken word stays as sent
+            return v
+    return values.map(one)
+
+
+def decode_headers(messages: DataFrame) -> DataFrame:
+    """Encoded words of the subject and the sender's name as text."""
+    return messages.withColumn("subject", _decoded("subject")).withColumn("from_header", _decoded("from_header"))
+
+
 def message_parts(raw: DataFrame) -> DataFrame:
     """src_email_messages: ``(idx, content BINARY)`` -> one row per part with
     the decoded message headers."""
@@ -65,7 +109,6 @@ def message_parts(raw: DataFrame) -> DataFrame:
 def read_eml_files(spark, path: str) -> DataFrame:
     """src_email_messages over landed ``.eml`` files: ``binaryFile`` source,
     one message per file, then the same part rows as ``message_parts``."""
-    from pyspark.sql import functions as F
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true")
            .load(path).select(F.xxhash64("path").alias("idx"), "content"))
     return message_parts(raw)

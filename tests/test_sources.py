@@ -23,6 +23,27 @@ def test_eml_files(spark, scratch):
     assert body.subject == "Café news" and body.body == "Hello & bye"
 
 
+def test_headers_equal_the_parsers(spark):
+    mails = [EML, b"From: =?utf-8?q?Caf=C3=A9?= <A@x.example>\nSubject: =?utf-8?b?Q2Fmw6k=?= and\n\tmore\nSUBJECT: second\n\nSubject: in the body\n",
+             b"From: a@x.example\r\n\r\nDate: in the body\r\n", b"\r\nFrom: body@x.example\r\n", b"", b"Subject: =?nope?b?Q2Fm?= x\n\n.", b"Subject: caf\xe9\n\n."]
+    raw = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(mails)] + [(99, None)], "idx long, content binary")
+    got = {r.idx: r for r in SM.decode_headers(SM.message_headers(raw)).collect()}
+    parsed = {r.idx: r for r in SM.message_parts(raw.filter("idx < 5")).collect()}
+    for i, p in parsed.items():
+        assert [got[i][c] for c in SM.HEADERS] == [p[c] for c in SM.HEADERS]
+    assert set(parsed) == {0, 1, 2, 3, 4} and got[1].subject == "Café and\tmore" and got[1].from_header == "Café <A@x.example>"
+    assert got[5].subject == "=?nope?b?Q2Fm?= x" and got[6].subject == "caf\ufffd" and got[99].subject == ""
+
+
+def test_senders_are_matched_without_a_shuffle(spark):
+    registry = spark.createDataFrame([(0, "plain", "A@x", None, "c0"), (1, "needle", "a@X", "News", "c1"), (2, "late", "a@x", "news", "c2"), (3, "only", "b@x", "q", "c3")],
+                                     "ordinal int, name string, sender string, subject_contains string, category string")
+    m = spark.createDataFrame([(1, "N <a@x>", "the NEWS"), (2, "A@X", None), (3, "b@x", "none"), (4, "c@x", "news"), (5, None, "news"), (1, "b@x", "Q")],
+                              "idx long, from_header string, subject string")
+    out = M.match_senders(M.from_registered(m, registry), registry)
+    assert sorted((r.idx, r.source, r.category, r["from"]) for r in out.collect()) == [(1, "needle", "c1", "a@x"), (1, "only", "c3", "b@x"), (2, "plain", "c0", "a@x")]
+
+
 def test_cache_listing(spark, scratch):
     day = os.path.join(scratch, "cache", "2024-01-30")
     os.makedirs(day)
