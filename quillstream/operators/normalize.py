@@ -322,9 +322,12 @@ def normalize_stats(all_rows: DataFrame, errors: DataFrame | None = None) -> Dat
         F.count_if(k & (kind == "blog_post")).alias("blog_items"),
         F.count_if(k & F.coalesce(F.col("selected"), F.lit(False))).alias("selected_items"),
     )
-    s = s.withColumn("upstream_errors", F.lit(0).cast("long")) if errors is None else (
-        s.join(errors.select("source", F.col("upstream_errors").cast("long")), "source", "left")
-        .withColumn("upstream_errors", F.coalesce("upstream_errors", F.lit(0).cast("long"))))
+    if errors is None:
+        s = s.withColumn("upstream_errors", F.lit(0).cast("long"))
+    else:   # a union of the few rows: the sources are literals, which a join on them would turn into a nested loop
+        both = s.unionByName(errors.select("source", F.col("upstream_errors").cast("long")), allowMissingColumns=True)
+        s = (both.groupBy("source").agg(*[F.max(c).alias(c) for c in both.columns if c != "source"])
+             .filter("candidate_count is not null").withColumn("upstream_errors", F.coalesce("upstream_errors", F.lit(0).cast("long"))))
     fields = dict.fromkeys(f for fs in K.NORMALIZE_STATS.values() for f in fs)
     return s.select("source", *[F.when(F.col("source").isin(*[x for x, fs in K.NORMALIZE_STATS.items() if f in fs]), F.col(f)).alias(f)
                                 for f in fields])
