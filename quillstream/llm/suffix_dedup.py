@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import _BASE, mix, powers, row_blocks, stored, text_bytes
 
 LENGTH = 400
+PASSAGE = 200           # bytes that over 50 words have at least: 51 words of three letters and a blank
+WORDS = 51
 GRAM = 32
 PIECE = 1024            # windows of a run at most
 POOL = 3 << 18
@@ -338,9 +341,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataF
     return found
 
 
-def _removed(docs: DataFrame, length: int, crowd: int, texts: bool) -> DataFrame:
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _removed(docs: DataFrame, length: int, crowd: int, texts: bool, whole: int = 0, words: int = 0) -> DataFrame:
     """RESULT columns of every row; with ``texts`` the row itself (``row``) and
-    its remaining bytes (``kept``, cut characters dropped)."""
+    its remaining bytes (``kept``, cut characters dropped). Spans of fewer than
+    ``whole`` bytes stay unless they hold ``words`` words."""
     keyed = _keyed(docs)
     hits = repeated(keyed, length, crowd).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
 
@@ -356,6 +363,7 @@ def _removed(docs: DataFrame, length: int, crowd: int, texts: bool) -> DataFrame
                         spans[-1][1] = max(spans[-1][1], s + n - 1 + length)
                     else:
                         spans.append([s, s + n - 1 + length])
+                spans = [(s, e) for s, e in spans if e - s >= whole or len(_WORD.findall(raw, s, e)) >= words]
                 kept, at = [], 0
                 for s, e in spans:
                     kept.append(raw[at:s])
@@ -382,8 +390,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> Da
     return _removed(docs, length, crowd, False)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with the remaining text of every row (null stays null)."""
-    rows = _removed(docs, length, crowd, True)
+def without_repeats(docs: DataFrame, length: int = PASSAGE, whole: int = LENGTH, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with the remaining text of every row (null stays null): maximal
+    runs of bytes covered by repeated ``length``-byte strings go if they have
+    ``whole`` bytes or ``words`` words (cut ones at the ends included), so a
+    passage of over 50 words goes though it has fewer than 400 bytes, and a
+    shorter common phrase stays. Every ``whole``-byte repeat is in such a run."""
+    rows = _removed(docs, length, crowd, True, whole, words)
     return rows.select("row.*", F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("_kept")).select(
         *[F.col("_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark):
     kept = stored(cp.cut_repeats(spark, kept, SF), "t")
     assert kept.columns == columns
     got = {r.doc_id: r for r in kept.collect()}
-    for (i, t), (_, n, removed, _, _) in zip(rows, repeats(rows)):
+    for (i, t), (_, n, removed, _, _) in zip(rows, repeats(rows, 200, 400, 51)):
         assert removed - 4 <= n - len(got[i].text.encode()) - 0 <= removed + 12 and (removed or got[i].text == t)
 
     clean = {r.doc_id for r in decontaminate.decontaminate(kept, table(spark, SF, "benchmark")).collect() if not r.contaminated}

@@ -9,7 +9,7 @@ from quillstream.llm import suffix_dedup as sd
 from quillstream.session import table
 
 
-def brute(rows, length=400):
+def brute(rows, length=400, whole=0, words=0):
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(hash(b[k:k + length]) for _, b in raw for k in range(len(b) - length + 1))
     out = []
@@ -20,7 +20,12 @@ def brute(rows, length=400):
                 gone[k] += 1
                 gone[k + length] -= 1
         gone = np.cumsum(gone)[:-1] > 0
-        spans = int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum())
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+        spans = 0
+        for s, e in zip(edge[::2], edge[1::2]):
+            stays = e - s < whole and len(b[s:e].split()) < words
+            gone[s:e] = not stays
+            spans += not stays
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     return out
@@ -91,3 +96,22 @@ def test_repeated_windows_any_length():
         for i in range(len(b) - length + 1):
             if 255 not in b[i:i + length]:
                 assert (c[b[i:i + length]] > 1) == got[i]
+
+
+def test_passages_of_over_fifty_words_go(docs_of):
+    """Under 400 bytes too; a shorter phrase stays, and text without blanks goes from 400 bytes on."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = " ".join(word(rng.randint(3, 7)) for _ in range(55))
+    phrase = " ".join(word(rng.randint(4, 7)) for _ in range(45))
+    packed, solid = word(390), word(400)        # a blank on each side is shared too
+    assert 200 < len(phrase) < 400 and 200 < len(passage) < 400
+    rows = [(i, f"{prose(rng, 90)} {i} {shared} {i} {prose(rng, 90)}") for i, shared in
+            enumerate([passage, passage, phrase, phrase, packed, packed, solid, solid, prose(rng, 60)])] + [(20, None), (21, "")]
+    left = {r.doc_id: r.text for r in sd.without_repeats(docs_of(rows)).collect()}
+    want = brute(rows, length=sd.PASSAGE, whole=sd.LENGTH, words=sd.WORDS)
+    assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in left.items()} == {r[0]: r[4] for r in want}
+    text = dict(rows)
+    for i, cut in enumerate([passage, passage, "", "", "", "", solid, solid, ""]):
+        assert (cut not in left[i] if cut else left[i] == text[i])
+    assert left[20] is None and left[21] == ""
