@@ -145,3 +145,17 @@ def test_notes_are_appended_never_rewritten(spark, scratch):
     assert before.items() <= _stamps(path).items()
     got = P.read_notes(spark, path).orderBy("source", "ord").collect()
     assert [(r.source, r.line) for r in got] == [("aihot", "a"), ("rss", "a"), ("rss", "b")]
+
+
+def test_cache_folder_is_written_and_listed_by_many_tasks(spark, scratch):
+    from pyspark.sql import functions as F
+    from quillstream.plans import landed as L
+    spark.createDataFrame([(i, 10) for i in range(300)], "doc_id long, n_chars long").write.parquet(f"{scratch}/documents.parquet")
+    conf = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before, root = spark.conf.get(conf), L.cache_folder(spark, scratch)
+    files = spark.read.format("binaryFile").load(root)
+    assert files.select(F.regexp_extract("path", r"part-(\d+)", 1)).distinct().count() > 1
+    listed = INV.list_cache(spark, root, partitioned=True)
+    assert spark.conf.get(conf) == before and listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert listed.count() == files.select("day", "name").distinct().count() == files.count()
+    assert listed.filter("content is not null and name in ('run-manifest.json', 'run-metadata.json')").count() == listed.filter("content is not null").count() > 0
