@@ -189,7 +189,7 @@ def _entries(spark, sf_dir):
 @register("src_email_messages", None)
 def src_email_messages(spark, sf_dir):
     """Message bytes parsed into header and part rows (MIME parsing runs in
-    ``mapInPandas``; no SQL form)."""
+    ``mapInArrow``; no SQL form)."""
     return SM.message_parts(raw_messages(spark, sf_dir))
 
 

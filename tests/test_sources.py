@@ -159,3 +159,17 @@ def test_cache_folder_is_written_and_listed_by_many_tasks(spark, scratch):
     assert spark.conf.get(conf) == before and listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert listed.count() == files.select("day", "name").distinct().count() == files.count()
     assert listed.filter("content is not null and name in ('run-manifest.json', 'run-metadata.json')").count() == listed.filter("content is not null").count() > 0
+
+
+def test_parts_go_back_in_bounded_pieces_and_a_header_value_is_parsed_once(monkeypatch):
+    import pyarrow as pa
+    from email.headerregistry import ContentTypeHeader
+    body, parsed, parse = "x" * (SM.PIECE_BYTES // 4), [], ContentTypeHeader.parse.__func__
+    monkeypatch.setattr(ContentTypeHeader, "parse", classmethod(lambda cls, value, kwds: (parsed.append(value), parse(cls, value, kwds))[1]))
+    raw = [f"From: a@x\r\nSubject: s{i}\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n{body}".encode() for i in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11), pa.int64()), pa.array([*raw, None], pa.binary())], ["idx", "content"])
+    pieces = list(SM._parse_batches(iter([batch])))
+    assert [p.num_rows for p in pieces] == [4, 4, 2] and len(parsed) == 1
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [(r["idx"], r["subject"], r["part_idx"], r["content_type"]) for r in rows] == [(i, f"s{i}", 0, "text/plain") for i in range(10)]
+    assert {r["content"] for r in rows} == {body}
