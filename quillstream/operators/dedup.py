@@ -18,10 +18,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,8 @@ from ..session import checkpoint_dir, delete_folder
 NUM_HASHES = 64
 BANDS = 16
 SHINGLE = 3
-PIECE = 1 << 18         # shingles permuted at a time
+PIECE = 1 << 18         # shingles permuted, or common ones listed, at a time
+POOL = 2048             # rows of small buckets compared in one group
 _PRIME = (1 << 61) - 1
 
 
@@ -146,31 +149,73 @@ def _similar(a: str, b: str, threshold: float) -> Column:
     return both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
 
 
-def _compare_blocks(threshold: float, window_days: int | None = None):
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between the two sides of one pair of blocks, one for each pair
-        of components."""
-        out = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
-        rest, other = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if rest.empty or other.empty:
-            return out
-        size = rest["set"].map(len).to_numpy()
-        h = np.concatenate(rest["set"].to_list())
-        order = np.argsort(h, kind="stable")
-        h, owner = h[order], np.repeat(np.arange(len(rest)), size)[order]
-        ids, comp, days, found = rest["id"].to_numpy(), rest["comp"].to_numpy(), rest["day"].to_numpy(), []
-        for dst, cb, day, mine in zip(other["id"], other["comp"], other["day"], other["set"]):
-            lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
-            n = hi - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(rest))
-            ok = (both >= threshold * (size + len(mine) - both) - 1e-9) & (comp != cb)
-            if window_days is not None:
-                ok &= np.abs(days - day) <= window_days
-            found += [(ids[i], dst, comp[i], cb) for i in np.flatnonzero(ok)]
-        if not found:
-            return out
-        return pd.DataFrame(found, columns=["src", "dst", "ca", "cb"]).drop_duplicates(["ca", "cb"])[["src", "dst"]]
+def _overlaps(rest: list, others: list):
+    """(i, j, common elements) of the sets of ``rest`` and ``others`` that have
+    some, in pieces of bounded size."""
+    h = np.concatenate(others)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], np.repeat(np.arange(len(others)), [len(x) for x in others])[order]
+    mine = np.concatenate(rest)
+    row = np.repeat(np.arange(len(rest)), [len(x) for x in rest])
+    lo = np.searchsorted(h, mine, "left")
+    n = np.searchsorted(h, mine, "right") - lo
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(rest):
+        x = int(np.searchsorted(row, at))
+        base = ends[x] - n[x]
+        z = int(np.searchsorted(ends, base + PIECE))
+        to = max(at + 1, int(row[z])) if z < len(row) else len(rest)
+        y = int(np.searchsorted(row, to))
+        i, k = np.repeat(row[x:y] - at, n[x:y]), n[x:y]
+        j = owner[np.repeat(lo[x:y] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        both = np.bincount(i * len(others) + j, minlength=(to - at) * len(others))
+        cell = np.flatnonzero(both)
+        yield cell // len(others) + at, cell % len(others), both[cell]
+        at = to
+
+
+def _compare_lists(threshold: float, window_days: int | None = None):
+    def links(t: pa.Table) -> pa.Table:
+        """Links of the lists of one group between their members outside the
+        largest component (``rest``) and all members of the block (``main``).
+        A link that joins what earlier links of the group have joined is left out."""
+        t = t.combine_chunks()
+        cols = {c: t.column(c).to_numpy() for c in ("key", "id", "day", "comp", "rest", "main")}
+        sets = t.column("set").combine_chunks()
+        cut, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        root: dict[int, int] = {}
+
+        def find(c):
+            while c in root:
+                c = root[c]
+            return c
+        order = np.argsort(cols["key"], kind="stable")
+        key = cols["key"][order]
+        found = []
+        for rows in np.split(order, np.flatnonzero(key[1:] != key[:-1]) + 1):
+            comp = np.array([find(c) for c in cols["comp"][rows].tolist()])
+            if (comp == comp[0]).all():
+                continue
+            r, m = np.flatnonzero(cols["rest"][rows]), np.flatnonzero(cols["main"][rows])
+            if not len(r) or not len(m):
+                continue
+            size, day, ids = cut[rows + 1] - cut[rows], cols["day"][rows], cols["id"][rows]
+            part = [flat[cut[x]:cut[x + 1]] for x in rows]
+            for i, j, both in _overlaps([part[x] for x in r], [part[x] for x in m]):
+                i, j = r[i], m[j]
+                ok = (both >= threshold * (size[i] + size[j] - both) - 1e-9) & (comp[i] != comp[j])
+                if window_days is not None:
+                    ok &= np.abs(day[i] - day[j]) <= window_days
+                i, j = i[ok], j[ok]
+                _, one = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
+                for x, y in zip(i[one], j[one]):
+                    a, b = find(int(comp[x])), find(int(comp[y]))
+                    if a != b:
+                        root[a] = b
+                        found.append((ids[x], ids[y]))
+        src, dst = zip(*found) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
     return links
 
 
@@ -183,10 +228,11 @@ def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float
     Equal sets are linked to their least id, which stands for them. In a
     bucket, every member is compared with the least id (star edges). Where that
     leaves several components in a bucket, members outside its largest one are
-    compared with all its members: both sides are dealt into blocks of about
-    ``block`` rows, and a pair of blocks is compared inside one task, so no
-    pair of rows is ever shuffled. Connected components of the result equal
-    those of all such pairs.
+    compared with all its members inside tasks, so no pair of rows is ever
+    shuffled: buckets of one block are dealt together into pools, both sides of
+    a larger one into blocks of about ``block`` rows. Buckets with the same
+    members are taken once. Connected components of the result equal those of
+    all such pairs.
 
     With ``day_col`` and ``window_days`` a pair's days are at most that far
     apart, and rows without a day have no edges."""
@@ -212,8 +258,11 @@ def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "bucket"))
     buckets = _stored(banded.select("id", "day", "band", "bucket", F.explode(slots).alias("slot")), "lsh-buckets")
-    roots = (buckets.groupBy(*key).agg(F.min(F.struct("id", "day")).alias("root"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select(*key, F.col("root.id").alias("dst"), F.col("root.day").alias("dst_day")))
+    # sums, not exclusive ors: a repeated id counts as often as it occurs
+    marks = [F.sum(F.shiftright(F.xxhash64("id", "day", F.lit(i)), 28)).alias(f"x{i}") for i in (1, 2)]
+    roots = (buckets.groupBy(*key).agg(F.min(F.struct("id", "day")).alias("root"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), *marks)
+             .filter("n > 1").groupBy("n", "root", "high", "x1", "x2").agg(F.min(F.struct(*key)).alias("k"))
+             .select("k.*", F.col("root.id").alias("dst"), F.col("root.day").alias("dst_day")))
     shared = _stored(buckets.join(roots, key), "lsh-shared")
     near = F.abs(F.col("day") - F.col("dst_day")) <= window_days if day_col else F.lit(True)
     pairs = shared.filter("id <> dst").filter(near).select(F.col("id").alias("src"), "dst").distinct()
@@ -227,16 +276,23 @@ def lsh_edges(sigs: DataFrame, id_col: str, bands: int = BANDS, threshold: float
                                                  F.max("k").alias("k"), F.count(F.lit(1)).alias("c")).filter("c > 1")
              .select(*key, "main", F.ceil(F.col("n") / block).cast("int").alias("all_blocks"),
                      F.ceil((F.col("n") - F.col("k")) / block).cast("int").alias("rest_blocks")))
-    m = members.join(open_, key).join(reps.select("id", "set"), "id")
-
-    def dealt(frame, side, own, other, names):
+    opened = _stored(members.join(open_, key).withColumn("key", F.xxhash64(*key)), "lsh-open")
+    pools = max(1, math.ceil(opened.count() / POOL))
+    outside = F.col("comp") != F.col("main")
+    alone = F.col("all_blocks") > 1
+    zero = F.lit(0)
+    small = opened.filter(~alone).select(F.pmod(F.xxhash64("key", F.lit(0)), F.lit(pools)).alias("pool"), F.lit(-1).alias("i"), zero.alias("j"),
+                                         "key", "id", "day", "comp", outside.alias("rest"), F.lit(True).alias("main"))
+
+    def dealt(frame, rest, own, other, names):
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
-        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
-        return frame.select(*key, "id", "day", "comp", "set", F.lit(side).alias("side"), mine, spread)
-    left = dealt(m.filter("comp <> main"), 0, "rest_blocks", "all_blocks", ("i", "j"))
-    right = dealt(m, 1, "all_blocks", "rest_blocks", ("j", "i"))
-    remaining = left.unionByName(right).groupBy(*key, "i", "j").applyInPandas(
-        _compare_blocks(threshold, window_days), "src long, dst long")
+        spread = F.explode(F.sequence(zero, F.col(other) - 1)).alias(names[1])
+        return frame.select(F.col("key").alias("pool"), "key", "id", "day", "comp", F.lit(rest).alias("rest"), F.lit(not rest).alias("main"), mine, spread)
+    large = opened.filter(alone)
+    rows_ = (small.unionByName(dealt(large.filter(outside), True, "rest_blocks", "all_blocks", ("i", "j")))
+             .unionByName(dealt(large, False, "all_blocks", "rest_blocks", ("j", "i"))))
+    remaining = (rows_.join(reps.select("id", "set"), "id").groupBy("pool", "i", "j")
+                 .applyInArrow(_compare_lists(threshold, window_days), "src long, dst long"))
     return copies.unionByName(star).unionByName(remaining)
 
 

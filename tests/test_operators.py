@@ -107,6 +107,32 @@ def test_event_units_over_days(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}
 
 
+def test_lists_are_compared_in_groups():
+    """Links of several lists in one group join what all pairs join, with none left over."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 40, 60) for _ in range(4)]
+    sets = [np.unique(np.concatenate([base[i % 4][:60 - i % 5], rng.integers(0, 1 << 40, 3)])) for i in range(40)]
+    days = [int(d) for d in rng.integers(0, 40, 40)]
+    lists = [(key, i) for key in range(6) for i in range(40) if (i + key) % 3]
+    rows = pa.table({"key": [k for k, _ in lists], "id": [i for _, i in lists], "day": [days[i] for _, i in lists], "comp": [i for _, i in lists],
+                     "rest": [i > 1 for _, i in lists], "main": [True] * len(lists), "set": pa.array([sets[i].tolist() for _, i in lists], pa.list_(pa.int64()))})
+    got = DD._compare_lists(0.8, 14)(rows).to_pylist()
+
+    def components(pairs):
+        root = list(range(40))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [root.index(r) for r in root]
+    both = {(k, i) for k, i in lists}
+    want = [(a, b) for a, b in itertools.combinations(range(40), 2) if any((k, a) in both and (k, b) in both for k in range(6)) and b > 1
+            and abs(days[a] - days[b]) <= 14 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+    assert components([(r["src"], r["dst"]) for r in got]) == components(want)
+    assert len(got) == 40 - len(set(components(want))) < len(want)
+
+
 def test_vendor_names_are_whole_words(spark):
     items = spark.createDataFrame([(1, "Open-AI ships", None), (2, "openai", "by OPEN  ai."), (3, "reopen ai", "open air"), (4, None, None)],
                                   "idx long, title string, summary string")
