@@ -18,11 +18,15 @@
    searches it. The sum over groups of the smaller coordinate of a point and a
    box's upper corner bounds the overlap with everything in the box; boxes and
    points whose bound is under 4/9 of the two sizes (a similarity of 0.8) are
-   left out. Lists are dealt into blocks of ``BLOCK`` points.
-6. The surviving pairs are verified on the whole sets, in rounds: each component
-   first tests its pair of largest bound, then 4, 16, ... of those left. Pairs
-   that have come into one component need no test; no pair across components
-   is left untested. Components of the links are the result.
+   left out. Lists are dealt into blocks of ``BLOCK`` points. Points found are
+   bounded again by ``Sketches``, whose groups follow the size of the set.
+   A first search gives each member's pair of largest bound; once these are
+   verified, members that had other pairs search again and give all pairs that
+   still lie across components, so a group's links aren't listed as pairs.
+6. The pairs of the second search are verified on the whole sets, in rounds: each
+   component first tests its pair of largest bound, then 4, 16, ... of those left.
+   Pairs that have come into one component need no test; no pair across
+   components is left untested. Components of the links are the result.
 
 A tree over all documents isn't built: in 64 dimensions the boxes of unlike
 texts overlap, so every document would search every part. The shared prefix
@@ -58,6 +62,8 @@ GROWTH = 4                  # pairs a component tests in a round, times those of
 BLOCK = 2048                # points of a tree
 LEAF = 16
 CHUNK = 1 << 16             # bounds computed at a time
+LEVELS = 6, 14              # a sketch's groups, as powers of two
+SKETCH_CHUNK = 1 << 21      # group counts held at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,8 +81,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
         h[on] = h[on] * _GOLD + w.hash[start[on] + k]
     h = mix(h + length.astype(np.uint64))
     row = row[start]
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    if 16 * len(offsets) > len(h):
+        h = h[np.lexsort((h, row))]
+    else:                                                     # rows are few: each by itself
+        cuts = np.searchsorted(row, np.arange(len(offsets)))
+        for lo, hi in zip(cuts, cuts[1:]):
+            h[lo:hi].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[new], row[new]
@@ -157,7 +167,77 @@ def points_of(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).reshape(rows, GROUPS)
 
 
-PROFILE = "doc_id long, sid long, n int, point binary, prefix array<long>"
+def sketches_of(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each row's set, which groups hold a shingle, and which hold two: a
+    power of two of groups, twice the set's size or more within ``LEVELS``."""
+    level = np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))), *LEVELS).astype(np.int64)
+    first = np.cumsum(n) - n
+    out: list[bytes] = [b""] * len(n)
+    for k in np.unique(level).tolist():
+        rows = np.flatnonzero(level == k)
+        for lo in range(0, len(rows), SKETCH_CHUNK >> k):
+            part = rows[lo:lo + (SKETCH_CHUNK >> k)]
+            size = n[part]
+            at = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            group = ((h[at] >> np.uint64(8)) & np.uint64((1 << k) - 1)).astype(np.int64)
+            count = np.bincount((np.repeat(np.arange(len(part)), size) << k) + group, minlength=len(part) << k).reshape(len(part), 1 << k)
+            planes = np.packbits(np.stack([count > 0, count > 1], 1), axis=2, bitorder="little")
+            for i, x in zip(part.tolist(), planes):
+                out[i] = x.tobytes()
+    return out
+
+
+def _fold(planes: np.ndarray) -> np.ndarray:
+    """Planes of half as many groups."""
+    half = planes.shape[2] // 2
+    low, high = planes[:, :, :half], planes[:, :, half:]
+    out = low | high
+    out[:, 1] |= low[:, 0] & high[:, 0]
+    return out
+
+
+def _ones(planes: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(planes).sum((1, 2), dtype=np.int64)
+
+
+class Sketches:
+    """Sketches of sets of ``n`` shingles."""
+
+    def __init__(self, sketches: list[bytes], n: np.ndarray):
+        self.n = n
+        self.level = np.array([4 * len(x) for x in sketches], np.int64)     # groups, then their power
+        self.level = np.round(np.log2(np.maximum(self.level, 1))).astype(np.int64)
+        self.place, self.planes = np.empty(len(n), np.int64), {}
+        for k in np.unique(self.level).tolist():
+            rows = np.flatnonzero(self.level == k)
+            self.place[rows] = np.arange(len(rows))
+            self.planes[k] = np.frombuffer(b"".join([sketches[i] for i in rows]), "<u8").reshape(len(rows), 2, -1)
+
+    def at(self, rows: np.ndarray, k: int):
+        """Planes of 2 ** k groups of the rows, and the shingles they leave out."""
+        out = np.empty((len(rows), 2, (1 << k) // 64), np.uint64)
+        for level in np.unique(self.level[rows]).tolist():
+            mine = self.level[rows] == level
+            planes = self.planes[level][self.place[rows[mine]]]
+            for _ in range(level - k):
+                planes = _fold(planes)
+            out[mine] = planes
+        return out, self.n[rows] - _ones(out)
+
+    def bound(self, rows: np.ndarray, other: "Sketches", others: np.ndarray) -> np.ndarray:
+        """The overlap of pairs of sets, or more."""
+        level = np.minimum(self.level[rows], other.level[others])
+        out = np.empty(len(rows), np.int64)
+        for k in np.unique(level).tolist():
+            pairs = np.flatnonzero(level == k)
+            for lo in range(0, len(pairs), SKETCH_CHUNK >> k):
+                part = pairs[lo:lo + (SKETCH_CHUNK >> k)]
+                (a, over_a), (b, over_b) = self.at(rows[part], k), other.at(others[part], k)
+                out[part] = _ones(a & b) + np.minimum(over_a, over_b)
+        return out
+
+
+PROFILE = "doc_id long, sid long, tid long, n int, point binary, sketch binary, prefix array<long>"
 
 
 def profiles(docs: DataFrame, shared, hot, size: int, zone: int) -> DataFrame:
@@ -171,7 +251,8 @@ def profiles(docs: DataFrame, shared, hot, size: int, zone: int) -> DataFrame:
             low = h < np.uint64(zone)
             at = np.minimum(np.searchsorted(hots, h), max(0, len(hots) - 1))
             is_hot = (hots[at] == h) if len(hots) else np.zeros(len(h), bool)
-            order = np.lexsort((np.where(low, is_hot, 2), row))       # hashes are sorted within a row
+            zones = 3 * row + np.where(low, is_hot, 2)                # hashes are sorted within a row
+            order = np.argsort(zones.astype(np.uint16) if 3 * len(n) < 1 << 16 else zones, kind="stable")
             h2, row2, low2 = h[order], row[order], low[order]
             rank = np.arange(len(h)) - first[row2]
             take = rank < (n - -(-num * n // den) + 1)[row2]
@@ -179,27 +260,30 @@ def profiles(docs: DataFrame, shared, hot, size: int, zone: int) -> DataFrame:
             cut = np.concatenate([[0], np.cumsum(np.bincount(row2[take], minlength=len(n)))])
             point = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(n), [None, pa.py_buffer(points_of(h, row, len(n)).tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(set_ids(h, first).view(np.int64)), pa.array(n, pa.int32()), point.cast(pa.binary()),
-                 list_array(h2[take].view(np.int64), cut, pa.int64())], names=["doc_id", "sid", "n", "point", "prefix"])
+                [b.column("doc_id"), pa.array(set_ids(h, first).view(np.int64)), b.column("tid"), pa.array(n, pa.int32()), point.cast(pa.binary()),
+                 pa.array(sketches_of(h, row, n), pa.binary()), list_array(h2[take].view(np.int64), cut, pa.int64())],
+                names=["doc_id", "sid", "tid", "n", "point", "sketch", "prefix"])
 
-    return _texts(docs).mapInArrow(profile, PROFILE)
+    return _texts(docs).withColumn("tid", F.xxhash64("text")).mapInArrow(profile, PROFILE)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, max_bytes: int) -> DataFrame:
-    """(sid, set) of the wanted sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("sid"), max_bytes))
+    """(sid, set) of the wanted sets, each by the hash of one of its texts
+    (``tid``); other texts are left out before they are taken apart."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("tid"), max_bytes))
 
     def pick(batches):
-        for _, h, row, first in _text_blocks(batches, size):
+        few = (b.filter(pa.array(in_filter(shared.value, b.column("tid").to_numpy().view(np.uint64)))) for b in batches)
+        for _, h, row, first in _text_blocks(few, size):
             ids = set_ids(h, first)
-            keep = in_filter(shared.value, ids) & (np.diff(first) > 0)
+            keep = np.diff(first) > 0
             _, one = np.unique(ids, return_index=True)
             rows = one[keep[one]]
             cut = np.concatenate([[0], np.cumsum(np.diff(first)[rows])])
             at = np.repeat(first[rows] - cut[:-1], np.diff(cut)) + np.arange(cut[-1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), list_array(h[at].view(np.int64), cut, pa.int64())], names=["sid", "set"])
 
-    found = _texts(docs).select("text").mapInArrow(pick, "sid long, set array<long>")
+    found = _texts(docs).select("text", F.xxhash64("text").alias("tid")).mapInArrow(pick, "sid long, set array<long>")
     return found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -264,38 +348,59 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
-def _search_lists(left: pa.Table, right: pa.Table) -> pa.Table:
+def _search_lists(left: pa.Table, right: pa.Table, best: bool) -> pa.Table:
     """Surviving pairs between the members of each list's block (``left``) and
-    the members that are outside the list's largest component (``right``)."""
-    src, dst = [], []
+    the members that ask (``right``). ``best``: the first of each asking member
+    (h, sid), by bound, and whether it has more."""
+    got: list[list] = [[], [], [], [], [], []]
     if left.num_rows and right.num_rows:
         left, right = left.sort_by("h"), right.sort_by("h")
-        cols = [{c: t.column(c).to_numpy() for c in ("h", "sid", "n", "comp")} | {"point": _matrix(t.column("point"))} for t in (left, right)]
+        cols = [{c: t.column(c).to_numpy() for c in ("h", "sid", "comp")} | {"n": t.column("n").to_numpy().astype(np.int64), "point": _matrix(t.column("point"))}
+                for t in (left, right)]
         a, b = cols
+        sa, sb = (Sketches(t.column("sketch").to_pylist(), c["n"]) for t, c in zip((left, right), cols))
         keys, lo = np.unique(b["h"], return_index=True)
         hi = np.append(lo[1:], len(b["h"]))
         from_, to = np.searchsorted(a["h"], keys, "left"), np.searchsorted(a["h"], keys, "right")
-        for i, j, x, y in zip(lo, hi, from_, to):
+        for key, i, j, x, y in zip(keys, lo, hi, from_, to):
             if x < y:
-                q, row = Tree(a["point"][x:y], a["n"][x:y].astype(np.int64)).search(b["point"][i:j], b["n"][i:j].astype(np.int64))
+                q, row = Tree(a["point"][x:y], a["n"][x:y]).search(b["point"][i:j], b["n"][i:j])
                 q, row = q + i, row + x
                 ok = b["comp"][q] != a["comp"][row]
-                src.append(b["sid"][q[ok]])
-                dst.append(a["sid"][row[ok]])
-    none = [np.empty(0, np.int64)]
-    s, d = np.concatenate(src + none), np.concatenate(dst + none)
-    pair = np.unique(np.stack([np.minimum(s, d), np.maximum(s, d)]), axis=1)
-    return pa.Table.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["src", "dst"])
-
-
-def _open_lists(members: DataFrame, block: int) -> DataFrame:
-    """Members (with ``comp``) of lists of several components: the list's
-    largest component, and its numbers of blocks."""
+                q, row = q[ok], row[ok]
+                bound, both = sb.bound(q, sa, row), b["n"][q] + a["n"][row]
+                ok = may_link(bound, b["n"][q], a["n"][row])
+                q, row, share = q[ok], row[ok], bound[ok] / both[ok]
+                more = np.zeros(len(q), bool)
+                if best:
+                    order = np.lexsort((a["sid"][row], -share, q))
+                    one, many = np.unique(q[order], return_index=True, return_counts=True)[1:]
+                    q, row, share, more = q[order][one], row[order][one], share[order][one], many > 1
+                s, d = b["sid"][q], a["sid"][row]
+                for x_, v in zip(got, (np.minimum(s, d), np.maximum(s, d), share, np.full(len(q), key), s, more)):
+                    x_.append(v)
+    kinds = [np.int64, np.int64, np.float64, np.int64, np.int64, bool]
+    src, dst, *rest = (np.concatenate([*x, np.empty(0, k)]).astype(k) for x, k in zip(got, kinds))
+    if not best:                        # a pair may stand in many lists
+        order = np.lexsort((dst, src))
+        order = order[(np.diff(src[order], prepend=src[order][:1] - 1) != 0) | (np.diff(dst[order], prepend=dst[order][:1] - 1) != 0)]
+        src, dst, rest = src[order], dst[order], [x[order] for x in rest]
+    return pa.Table.from_arrays([pa.array(x) for x in (src, dst, *rest)], names=["src", "dst", "share", "h", "sid", "more"])
+
+
+def _open_lists(members: DataFrame, asked: DataFrame | None, block: int) -> DataFrame:
+    """Members (with ``comp``) of the lists to search, whether they ask, and the
+    list's numbers of blocks. Those asked for (h, sid) ask, or else the members
+    outside the largest component of a list of several."""
+    blocks = [F.ceil(F.col("all") / block).alias("m_blocks"), F.ceil(F.col("ask") / block).alias("q_blocks")]
+    if asked is not None:
+        lists = members.groupBy("h").agg(F.count(F.lit(1)).alias("all")).join(asked.groupBy("h").agg(F.count(F.lit(1)).alias("ask")), "h")
+        ask = asked.withColumn("asks", F.lit(True))
+        return members.join(lists.select("h", *blocks), "h").join(ask, ["h", "sid"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     sizes = members.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
-    lists = (sizes.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"),
-                                    F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-             .select("h", "main", F.ceil(F.col("all") / block).alias("m_blocks"), F.ceil((F.col("all") - F.col("k")) / block).alias("q_blocks")))
-    return members.join(lists, "h")
+    lists = (sizes.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("ask"),
+                                    F.count(F.lit(1)).alias("parts")).filter("parts > 1"))
+    return members.join(lists.select("h", "main", *blocks), "h").withColumn("asks", F.col("comp") != F.col("main"))
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -304,22 +409,29 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.select("h", F.col("sid").alias("dst")).join(hubs, "h").filter("src <> dst").select("src", "dst").distinct()
 
 
-def tree_pairs(members: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """All pairs of one list and different components that the tree can't rule out."""
-    opened = stored(_open_lists(members, block), "open")
+FOUND = "src long, dst long, share double, h long, sid long, more boolean"
+
+
+def tree_pairs(members: DataFrame, points: DataFrame, block: int, asked: DataFrame | None = None) -> DataFrame:
+    """FOUND of pairs of one list and different components that the tree and
+    the sketches can't rule out: all pairs of the members asked for, or else of
+    every member outside a list's largest component the one of largest bound,
+    and whether it has more."""
+    opened = stored(_open_lists(members, asked, block), "lists")
     pools = max(1, math.ceil(opened.count() / block))
     # lists of one block are dealt together into pools; a larger list's blocks are groups of their own
     alone = (F.col("m_blocks") > 1) | (F.col("q_blocks") > 1)
     pool = F.when(alone, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(pools))).alias("pool")
     full = opened.join(points, "sid")
-    cols = [F.col(c).alias(c) for c in ("h", "sid", "n", "comp", "point")]
+    cols = [F.col(c).alias(c) for c in ("h", "sid", "n", "comp", "point", "sketch")]
     one = F.lit(1).cast("long")
     mine = lambda blocks, name: (F.pmod(F.xxhash64("sid"), F.col(blocks)) + 1).alias(name)
     every = lambda blocks, name: F.explode(F.sequence(one, F.col(blocks))).alias(name)
     left = full.select(pool, alone.alias("alone"), mine("m_blocks", "mb"), every("q_blocks", "qb"), *cols)
-    right = full.filter("comp <> main").select(pool, alone.alias("alone"), every("m_blocks", "mb"), mine("q_blocks", "qb"), *cols)
+    right = full.filter("asks").select(pool, alone.alias("alone"), every("m_blocks", "mb"), mine("q_blocks", "qb"), *cols)
     keys = ["pool", "alone", "mb", "qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search_lists, "src long, dst long").distinct()
+    best = asked is None
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search_lists(a, b, best), FOUND)
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -331,11 +443,15 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             pa_, pb = _matrix(b.column("pa")), _matrix(b.column("pb"))
             na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             bound = np.minimum(pa_, pb).sum(1, dtype=np.int64) + np.minimum(na - pa_.sum(1, dtype=np.int64), nb - pb.sum(1, dtype=np.int64))
+            close = np.flatnonzero(may_link(bound, na, nb) & (np.minimum(na, nb) * den >= num * np.maximum(na, nb)))
+            sa, sb = (Sketches(b.column(c).take(pa.array(close)).to_pylist(), n[close]) for c, n in (("ka", na), ("kb", nb)))
+            at = np.arange(len(close))
+            bound[close] = np.minimum(bound[close], sa.bound(at, sb, at))
             ok = may_link(bound, na, nb) & (np.minimum(na, nb) * den >= num * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(bound / (na + nb))], names=["src", "dst", "share"]).filter(pa.array(ok))
 
-    a = points.select(F.col("sid").alias("src"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    b = points.select(F.col("sid").alias("dst"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    a = points.select(F.col("sid").alias("src"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("sketch").alias("ka"))
+    b = points.select(F.col("sid").alias("dst"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("sketch").alias("kb"))
     return pairs.join(a, "src").join(b, "dst").mapInArrow(check, "src long, dst long, share double")
 
 
@@ -357,9 +473,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
-def _own_sets(docs: DataFrame, pairs: DataFrame, size: int, filter_bytes: int) -> DataFrame:
+def _own_sets(docs: DataFrame, pairs: DataFrame, points: DataFrame, size: int, filter_bytes: int) -> DataFrame:
     """Stored sets of the texts in a surviving pair."""
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct().join(points.select("sid", "tid"), "sid")
     return stored(whole_sets(docs, stored(wanted, "wanted"), size, filter_bytes), "sets")
 
 
@@ -384,14 +500,14 @@ def components(docs: DataFrame, size: int = SHINGLE, zone: int = ZONE, most_hot:
     shared = stored(frequent(docs, size, zone), "shared")
     bits, hot = context.broadcast(key_filter(shared.select("h"), filter_bytes)), context.broadcast(hot_shingles(shared, most_hot))
     rows = stored(profiles(docs, bits, hot, size, zone), "profiles")
-    points = rows.filter("n > 0").dropDuplicates(["sid"]).select("sid", "n", "point", "prefix")
+    points = rows.filter("n > 0").dropDuplicates(["sid"]).select("sid", "tid", "n", "point", "sketch", "prefix")
     entries = points.select(F.explode("prefix").alias("h"), "sid")
     marks = [F.count(F.lit(1)).alias("k"), F.min("sid").alias("low"), F.max("sid").alias("high"),
              F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")]
     lists = entries.groupBy("h").agg(*marks).filter("k > 1").groupBy("k", "low", "high", "x", "y").agg(F.min("h").alias("h")).select("h")
     members = stored(entries.join(lists, "h"), "members")
     nodes = stored(members.select("sid").distinct(), "nodes")
-    points = stored(points.select("sid", "n", "point").join(nodes, "sid"), "points")
+    points = stored(points.select("sid", "tid", "n", "point", "sketch").join(nodes, "sid"), "points")
     vertices = nodes.withColumnRenamed("sid", "id")
     edges, at = None, vertices.select(F.col("id").alias("sid"), F.col("id").alias("comp"))
 
@@ -399,18 +515,24 @@ def components(docs: DataFrame, size: int = SHINGLE, zone: int = ZONE, most_hot:
         found = more if edges is None else edges.unionByName(more)
         return found, stored(connected_components(vertices, found).select(F.col("id").alias("sid"), F.col("component").alias("comp")), "components")
 
-    for step in (["star"] if star else []) + ["tree"]:
-        pairs = star_pairs(members) if step == "star" else tree_pairs(members.join(at, "sid"), points, block)
-        open_ = stored(_placed_pairs(stored(bounded(pairs, points), "pairs"), at), "open")
+    asked = None
+    for step in (["star"] if star else []) + ["best", "tree"]:
+        if step == "star":
+            pairs = stored(bounded(star_pairs(members), points), "pairs")
+        else:
+            found = stored(tree_pairs(members.join(at, "sid"), points, block, asked), "found")
+            pairs = found.select("src", "dst", "share").distinct()
+            asked = found.filter("more").select("h", "sid").distinct()
+        open_ = stored(_placed_pairs(pairs, at), "open")
         if open_.isEmpty():
             continue
-        sets, k = _own_sets(docs, open_, size, filter_bytes), 1
+        sets, k = _own_sets(docs, open_, points, size, filter_bytes), 1
         while not open_.isEmpty():
-            picks = stored(open_.select("src", "dst") if step == "star" else _picked(open_, k), "picks")
+            picks = stored(_picked(open_, k) if step == "tree" else open_.select("src", "dst"), "picks")
             more = stored(verified(picks, sets), "links")
             if not more.isEmpty():
                 edges, at = linked(more)
-            if step == "star":
+            if step != "tree":
                 break
             left = open_.select("src", "dst", "share").join(picks, ["src", "dst"], "left_anti")
             open_, k = stored(_placed_pairs(left, at), "open"), k * GROWTH

@@ -98,3 +98,45 @@ def test_tree_keeps_every_pair_that_the_bound_allows():
     ok = (9 * bound >= 4 * (n[:200, None] + n[None])) & (np.minimum(n[:200, None], n[None]) * 10 >= 8 * np.maximum(n[:200, None], n[None]))
     assert set(zip(q.tolist(), row.tolist())) == set(zip(*np.nonzero(ok)))
     assert 0 < len(q) < 0.3 * 200 * 900
+
+
+def test_sketch_bounds_the_overlap_closely():
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (0, 1, 30, 150, 240, 256, 260, 500, 900, 20000):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for share in (1, 0.9, 0.6):
+            new = rng.random(size) > share
+            sets.append(np.unique(np.where(new, rng.integers(0, 1 << 63, size).astype(np.uint64), base)))
+    n = np.array([len(x) for x in sets])
+    sketches = J.Sketches(J.sketches_of(np.concatenate(sets), np.repeat(np.arange(len(n)), n), n), n)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(n)), np.arange(len(n))))
+    near = np.abs(sketches.level[a] - sketches.level[b]) <= 1
+    a, b = a[near], b[near]
+    true = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    bound = sketches.bound(a, sketches, b)
+    assert (bound >= true).all() and (bound <= np.minimum(n[a], n[b])).all()
+    own = (a // 3 == b // 3) & (n[a] < 5000) & (true >= 0.75 * n[a])
+    assert (bound[own] - true[own] <= 0.06 * n[a][own] + 2).all()
+
+
+def test_a_groups_links_are_not_listed_as_pairs(spark, docs_of, monkeypatch):
+    """Members that only their neighbours link: pairs left for the rounds don't follow the square of the group."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, far = [word() for _ in range(200)], [word() for _ in range(30)]
+    rows = []
+    for i in range(240):
+        t = base[:170] + far if i % 2 else list(base)
+        t[rng.randrange(160)] = word()
+        rows.append((i, " ".join(t)))
+    made, stored = {}, J.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stored", counted)
+    assert shown(J.components(docs_of(rows), star=False)) == brute(rows)
+    assert max(made["open"]) < 6 * len(rows) and max(made["picks"]) < 6 * len(rows), made
