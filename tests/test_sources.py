@@ -161,6 +161,32 @@ def test_cache_folder_is_written_and_listed_by_many_tasks(spark, scratch):
     assert listed.filter("content is not null and name in ('run-manifest.json', 'run-metadata.json')").count() == listed.filter("content is not null").count() > 0
 
 
+def test_cache_written_and_listed_by_plain_files_equals_sparks(spark, scratch, monkeypatch):
+    day = "2024-01-30"
+    rows = [(day, "run-manifest.json", '{"status": "né"}'), (day, "a b%=:x.json", "[]"), (day, None, "t"), (None, "run-metadata.json", "{}"),
+            (None, None, None), ("2024-01-29", "run-metadata.json", "{bad"), ("2024-01-29", "_hidden", "x"), ("2024-01-29", "", "x")]
+    files = spark.createDataFrame(rows, "day string, name string, text string")
+    plain, sparks = os.path.join(scratch, "plain"), os.path.join(scratch, "sparks")
+    INV.write_cache(files.repartition(3), plain)
+    files.write.partitionBy("day", "name").text(sparks)
+    names = lambda root: sorted(os.path.relpath(d, root) for d, _, fs in os.walk(root) if any(f.startswith("part-") for f in fs))
+    assert names(plain) == names(sparks) and sum(len(fs) for _, _, fs in os.walk(plain)) == len(rows)      # no checksum files or leftovers
+    listing = lambda root: sorted((str(r.dt), str(r.name), r.size_bytes, r.modified_at is None, r.content) for r in INV.list_cache(spark, root, True).collect())
+    got = listing(plain)
+    assert listing(sparks) == got and len(got) == len(rows)
+    assert not INV.list_cache(spark, plain, True).inputFiles()         # the driver holds no list of files
+    monkeypatch.setattr(INV, "_mounted", lambda *_: None)              # Spark's own listing and writer
+    assert listing(plain) == listing(sparks) == got
+    INV.write_cache(files, os.path.join(scratch, "other"))
+    assert listing(os.path.join(scratch, "other")) == got
+
+
+def test_empty_cache_has_no_rows(spark, scratch):
+    root = os.path.join(scratch, "empty-cache")
+    INV.write_cache(spark.createDataFrame([], "day date, name string, text string"), root)
+    assert INV.list_cache(spark, root, partitioned=True).collect() == []
+
+
 def test_parts_go_back_in_bounded_pieces_and_a_header_value_is_parsed_once(monkeypatch):
     import pyarrow as pa
     from email.headerregistry import ContentTypeHeader
