@@ -187,6 +187,15 @@ def test_empty_cache_has_no_rows(spark, scratch):
     assert INV.list_cache(spark, root, partitioned=True).collect() == []
 
 
+def test_note_folder_is_written_by_plain_files(spark, scratch):
+    from quillstream.plans import landed as L
+    spark.createDataFrame([(i, 10) for i in range(0, 70, 7)] + [(None, 1)], "doc_id long, n_chars long").write.parquet(f"{scratch}/documents.parquet")
+    root = L.note_folder(spark, scratch)
+    assert all(f.startswith("part-") for _, _, fs in os.walk(root.removeprefix("file:")) for f in fs)
+    got = sorted((str(r.dt), r.name) for r in INV.list_cache(spark, root, partitioned=True).collect())
+    assert len(got) == 7 + 4 and {n for _, n in got} == {"raw.md", "summary.md"}
+
+
 def test_parts_go_back_in_bounded_pieces_and_a_header_value_is_parsed_once(monkeypatch):
     import pyarrow as pa
     from email.headerregistry import ContentTypeHeader
