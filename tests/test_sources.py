@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from quillstream.operators import mail as M
 from quillstream.sources import feeds as SF
 from quillstream.sources import inventory as INV
@@ -196,6 +198,27 @@ def test_note_folder_is_written_by_plain_files(spark, scratch):
     assert len(got) == 7 + 4 and {n for _, n in got} == {"raw.md", "summary.md"}
 
 
+def test_resume_lists_the_cache_once(spark, monkeypatch):
+    from quillstream.plans import normalize_queries as NQ
+    from quillstream.plans import runstate_queries as RQ
+    rows = [("2024-01-30", "aihot.json"), ("2024-01-30", "bestblogs.json"), ("2024-01-30", "bestblogs-normalized.json"), ("2024-01-29", "aihot.json")]
+    listed, count = spark.createDataFrame(rows, "day string, name string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            count.add(b.num_rows)
+            yield b
+
+    seen = listed.mapInArrow(counted, "day string, name string").selectExpr("cast(day as date) as dt", "name", "cast(null as string) as content")
+    items = spark.createDataFrame([("2024-01-30", s, "k", i, None) for s in ("aihot", "bestblogs") for i in range(3)],
+                                  "dt string, source string, kind string, idx long, reason string").withColumn("dt", F.col("dt").cast("date"))
+    monkeypatch.setattr(RQ, "_listed", lambda *_: seen)
+    monkeypatch.setattr(NQ, "all_normalized", lambda *_: items)
+    got = sorted((str(r.dt), r.source, r.n_rows) for r in RQ.inc_resume(spark, "").collect())
+    assert got == [("2024-01-29", "aihot", 0), ("2024-01-30", "aihot", 3)]
+    assert count.value == len(rows)
+
+
 def test_parts_go_back_in_bounded_pieces_and_a_header_value_is_parsed_once(monkeypatch):
     import pyarrow as pa
     from email.headerregistry import ContentTypeHeader
