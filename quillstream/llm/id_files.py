@@ -11,8 +11,15 @@ by adaptive counts of the digits before (order 0). The probability of each of
 the first two answers is mixed from three adaptive predictions (of the entry's
 own record, of the two orders' agreement, and of the block so far) whose
 weights follow their success. All arithmetic is in whole numbers, so files read
-back alike anywhere. The blocks of a record advance together, one id of each at
-a time, as numpy lanes; writing and reading run the same model code.
+back alike anywhere. Tasks write and read records in the JVM (``IdCoder.java``), a block at
+a time. ``compress_ids`` and ``expand_ids`` do so without Spark and with the same bytes:
+the blocks of a record advance together, one id of each at a time, as numpy lanes.
+Writing and reading run the same model code.
+
+A byte-level vocabulary whose merges are in the order of its ids, and each of whose ids
+is what its own bytes encode to, gives the same ids by ranks, which tiktoken does several
+times as fast; others, and texts that its patterns can't hold (long runs of blanks), go
+through the tokenizers library.
 
 Defined cases: a null text is empty, which is the end id alone; rows without an
 id come first; rows that repeat an id are ordered by text hash; an empty table
@@ -21,8 +28,11 @@ gives empty files and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import tempfile
+import zipfile
 import zlib
 
 import numpy as np
@@ -37,11 +47,16 @@ from .tokens import worker_cache
 BLOCK = 2048
 LANES = 1024
 SLOTS = 2048
+ROW_IDS = 512 * BLOCK
 END_ID = 2
 MAGIC = b"QIDS"
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 
+#: how a byte-level vocabulary cuts texts before it merges
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_compiled: dict = {}
+
 FILES = "shard int, seq int, doc_ids array<long>, lengths array<int>, record binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -252,64 +267,147 @@ def expand_ids(record: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int32)
 
 
-def _tokenizer(path: str):
-    cache = worker_cache()
-    if path not in cache:
+def by_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks that give the ids of a tokenizers file, if there are any: for a plain byte-level
+    vocabulary with merges in the order of its ids. Merging by rank may join two ids that no merge
+    names; before it does, the bytes of their union are cut in another way than into that id's
+    own two parts, so it does not happen where every id's bytes encode to the id itself."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = (model.get("type") == "BPE" and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+             and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+             and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+             and len(added) <= 1 and not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")))
+    if not plain:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]       # bytes that stand for themselves
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {x["content"] for x in added}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in special}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if (any(c not in byte for w in vocab for c in w) or any(x not in vocab for x in byte)
+            or [vocab.get(x + y) for x, y in pairs] != list(range(256, 256 + len(pairs))) or len(vocab) != 256 + len(pairs)):
+        return None
+    rank = {(vocab[x], vocab[y]): vocab[x + y] for x, y in pairs}
+    for w, i in vocab.items():
+        ids = [vocab[c] for c in w]
+        while len(ids) > 1:
+            best, at = min((rank.get(p, len(vocab)), k) for k, p in enumerate(zip(ids, ids[1:])))
+            if best == len(vocab):
+                break
+            ids[at:at + 2] = [best]
+        if ids != [i]:
+            return None
+    return {bytes(byte[c] for c in w): i for w, i in vocab.items()}
+
+
+def _encoder(path: str, ranks: dict[bytes, int] | None):
+    """Function from texts to the arrays of their ids."""
+    cache, key = worker_cache(), (path, ranks is None)
+    if key not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
 
-        cache[path] = Tokenizer.from_file(path)
-    return cache[path]
-
-
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, row_ids: int = BLOCK * LANES) -> None:
+        tk = Tokenizer.from_file(path)
+        if ranks is None:
+            cache[key] = lambda texts: [np.array(e.ids, np.uint32) for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            import tiktoken
+
+            fast = tiktoken.Encoding("ids", pat_str=BYTE_LEVEL, mergeable_ranks=ranks,
+                                     special_tokens={t.content: i for i, t in tk.get_added_tokens_decoder().items()})
+
+            def ids(text):
+                try:
+                    return fast.encode_to_numpy(text, allowed_special="all")
+                except ValueError:                          # the pattern's stack ran out
+                    return np.array(tk.encode(text, add_special_tokens=False).ids, np.uint32)
+
+            cache[key] = lambda texts: [ids(t) for t in texts]
+    return cache[key]
+
+
+def _coder(spark):
+    """Column functions (compress, expand) of ``IdCoder.java``. Its classes, compiled once for an
+    application by the compiler Spark brings along, go to the executors as a jar."""
+    app = spark.sparkContext.applicationId
+    if app not in _compiled:
+        compiler = spark.sparkContext._jvm.org.codehaus.janino.SimpleCompiler()
+        with open(os.path.join(os.path.dirname(__file__), "IdCoder.java"), encoding="utf-8") as f:
+            compiler.cook(f.read())
+        classes = compiler.getBytecodes()
+        jar = os.path.join(tempfile.mkdtemp(prefix="qs-coder-"), f"id-coder-{app}.jar")
+        with zipfile.ZipFile(jar, "w") as z:
+            for name in classes:
+                z.writestr(f"{name}.class", bytes(classes[name]))
+        spark.sparkContext._jsc.addJar(jar)
+        _compiled[app] = compiler.getClassLoader()
+    session = spark._jsparkSession
+    for name, kind in (("qs_compress_ids", "IdCoder$Compress"), ("qs_expand_ids", "IdCoder$Expand")):
+        session.udf().register(name, _compiled[app].loadClass(kind).newInstance(), session.parseDataType('"binary"'))
+    return (lambda c: F.call_function("qs_compress_ids", c)), (lambda c: F.call_function("qs_expand_ids", c))
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, row_ids: int = ROW_IDS) -> None:
     """Writes the documents' ids as files below ``path``, in ascending id order."""
+    ranks = docs.sparkSession.sparkContext.broadcast(by_ranks(tokenizer))
+
     def encode(batches):
-        tk = _tokenizer(tokenizer)
-        shard, seq, held, held_ids, total = TaskContext.get().partitionId(), 0, [], [], 0
+        ids_of = _encoder(tokenizer, ranks.value)
+        shard, seq, held, held_ids, total, end = TaskContext.get().partitionId(), 0, [], [], 0, np.array([end_id], np.uint32)
 
         def row():
+            ids = np.concatenate([x for doc in held for x in (doc, end)])
+            if ids.max() > 0xFFFF:
+                raise ValueError("ids are of 16 bits")
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([held_ids], pa.list_(pa.int64())),
-                 pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([compress_ids(np.concatenate(held))], pa.binary())],
+                 pa.array([[len(x) + 1 for x in held]], pa.list_(pa.int32())), pa.array([ids.astype("<u2").tobytes()], pa.binary())],
                 names=["shard", "seq", "doc_ids", "lengths", "record"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, e in zip(part.column("doc_id").to_pylist(), tk.encode_batch_fast(texts, add_special_tokens=False)):
-                    held.append(np.append(np.array(e.ids, np.int32), np.int32(end_id)))
+                for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of(texts)):
+                    held.append(ids)
                     held_ids.append(doc)
-                    total += len(held[-1])
+                    total += len(ids) + 1
                     if total >= row_ids:
                         yield row()
                         seq, held, held_ids, total = seq + 1, [], [], 0
         if held:
             yield row()
 
+    compress, _ = _coder(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_h"))
     ordered = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-    ordered.mapInArrow(encode, FILES).write.parquet(path)
+    ordered.mapInArrow(encode, FILES).withColumn("record", compress("record")).write.parquet(path)
+
 
+def read_ids(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """(shard, seq, place, doc_id, n_tokens, ids_crc32, ids) of every document; the last
+    only if it is wanted, as Spark doesn't see that a column of ``mapInArrow`` is dropped."""
+    names = ["shard", "seq", "place", "doc_id", "n_tokens", "ids_crc32", "ids"][:6 + with_ids]
 
-def read_ids(spark, path: str) -> DataFrame:
-    """(shard, seq, place, doc_id, n_tokens, ids_crc32, ids) of every document."""
     def decode(batches):
         for b in batches:
-            for r in b.to_pylist():
-                ids = expand_ids(r["record"]).astype("<u4")
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                ids = np.frombuffer(r["record"], "<u2").astype("<u4")
                 cut = np.concatenate([[0], np.cumsum(r["lengths"])]).astype(int)
                 n = len(r["lengths"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["seq"]] * n, pa.int32()), pa.array(cut[:-1], pa.int64()),
-                     pa.array(r["doc_ids"], pa.int64()), pa.array(r["lengths"], pa.int64()),
-                     pa.array([zlib.crc32(ids[x:y].tobytes()) for x, y in zip(cut, cut[1:])], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))],
-                    names=["shard", "seq", "place", "doc_id", "n_tokens", "ids_crc32", "ids"])
+                columns = [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["seq"]] * n, pa.int32()), pa.array(cut[:-1], pa.int64()),
+                           pa.array(r["doc_ids"], pa.int64()), pa.array(r["lengths"], pa.int64()),
+                           pa.array([zlib.crc32(ids[x:y]) for x, y in zip(cut, cut[1:])], pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spark.read.schema(FILES).parquet(path).mapInArrow(
-        decode, "shard int, seq int, place long, doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
+    _, expand = _coder(spark)
+    return spark.read.schema(FILES).parquet(path).withColumn("record", expand("record")).mapInArrow(
+        decode, "shard int, seq int, place long, doc_id long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -324,5 +422,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = (rows.withColumn("_in", inside).join(shards.withColumn("_before", before), "shard")
               .select("shard", "seq", (F.col("_before") + F.col("_in")).alias("_first")))
-    return (read_ids(spark, path).drop("ids").join(firsts, ["shard", "seq"])
+    return (read_ids(spark, path, with_ids=False).join(firsts, ["shard", "seq"])
             .select("doc_id", (F.col("_first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"))
