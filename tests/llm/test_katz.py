@@ -92,3 +92,18 @@ def test_packing_round_trip():
     for a in ([], [0], [1, 2**40, 3, 2**63], list(range(1000))):
         a = np.array(a, np.uint64)
         assert (katz.unpack(katz.pack(a)) == a).all()
+
+
+def test_order_is_lexsorts(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    for n, tops in ((0, (5,)), (1, (9, 9)), (5000, (3, 70)), (5000, (2**40, 2**30, 2**20, 5)), (5000, (2**40, 2**40)), (5000, (40, 2**26, 40, 40))):
+        keys = [rng.integers(0, t, n).astype(np.uint64) for t in tops]
+        for k in keys:
+            k[rng.random(n) < 0.1] = min(katz.START, k.max(initial=katz.START))
+        assert (katz._order(keys) == np.lexsort(keys)).all()
+    keys = [rng.integers(0, 40, 800_000).astype(np.uint64) + np.uint64(2**24) for _ in range(3)]
+    want, stable, sort = np.lexsort(keys), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, kind=None: (stable.append(kind), sort(x, kind=kind))[1])
+    monkeypatch.setattr(np, "lexsort", lambda *_: pytest.fail("stable sorts of each key"))
+    assert (katz._order(keys) == want).all() and set(stable) == {None} and len(stable) <= 3
